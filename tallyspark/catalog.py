@@ -1,0 +1,4 @@
+"""The registered queries over the driver's tables and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
