@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package, whatever their PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip", "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(z.filename))
+    return spark
+
+
 def written(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import quality_rules
+from tallyspark.llm import byte_bpe, quality_rules, token_counts
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op9_token_counts": token_counts.op9_token_counts,
+}
 ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL}
