@@ -61,3 +61,12 @@ def lower_ascii(c: Column) -> Column:
 def words(c: Column) -> Column:
     """The words of a text, an empty array for null."""
     return F.coalesce(F.array_remove(F.split(c, SPACE_CLASS + "+"), ""), F.array().cast("array<string>"))
+
+
+#: Bound on the rows of a written table that is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for broadcast only if it has no more than ``BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

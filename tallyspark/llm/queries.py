@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, quality_rules, token_counts
+from tallyspark.llm import byte_bpe, iso_media, quality_rules, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_iso_media": iso_media.op5_iso_media,
+    "op8_warc": warc.op8_warc,
     "op9_token_counts": token_counts.op9_token_counts,
 }
-ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL}
+ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_warc": warc.OP8_SQL}
