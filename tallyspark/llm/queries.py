@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, iso_media, quality_rules, token_counts, warc
+from tallyspark.llm import byte_bpe, iso_media, mixing, quality_rules, suffix_tree, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_iso_media": iso_media.op5_iso_media,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_suffix_tree": suffix_tree.op7_suffix_tree,
     "op8_warc": warc.op8_warc,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_warc": warc.OP8_SQL}
