@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, iso_media, mixing, quality_rules, suffix_tree, token_counts, toxicity, warc
+from tallyspark.llm import byte_bpe, iso_media, line_dedup, mixing, ngram_join, quality_rules, suffix_tree, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_iso_media": iso_media.op5_iso_media,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -14,4 +16,4 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_warc": warc.OP8_SQL}
+ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op8_warc": warc.OP8_SQL}
