@@ -25,33 +25,40 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import shipped, table, written
+from tallyspark.llm.common import shipped, sliced, table, written
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Bound on the words and ids that are broadcast.
 BROADCAST_BYTES = 128 << 20
 #: Distinct words that a task holds at most before it hands on its counts, or in its cache of ids.
-WORDS_HELD = 300_000
+WORDS_HELD = 200_000
 #: White space of the pattern's ``\\s``, as the inside of a character class.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B))))
 
 
 @lru_cache
 def splitter(pattern: str):
-    """Finds all matches of a pattern. For the public pattern a regular expression of the standard
-    library with the same classes, letters, numbers and white space, spelt out."""
+    """Finds all matches of a pattern. For the public pattern by regular expressions of the standard library, which are
+    faster: its classes are the pattern's but for numbers that aren't decimal digits and four control characters, so
+    texts that hold such, or any character beyond the basic plane, go by an expression that spells them out."""
     if pattern != public_tokenizers.PATTERN:
         import regex
 
         return regex.compile(pattern).findall
     other = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
-    return re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_{other}]+| ?[\d{other}]+| ?(?:[^\w{SPACE}{other}]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    odd = re.compile(f"[\x1c-\x1f{''.join(c for c in other if c < chr(0x10000))}]").search
+    astral = re.compile("[\U00010000-\U0010ffff]").search
+    ends = r"'s|'t|'re|'ve|'m|'ll|'d"
+    usual = re.compile(ends + r"| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    exact = re.compile(
+        rf"{ends}| ?[^\W\d_{other}]+| ?[\d{other}]+| ?(?:[^\w{SPACE}{other}]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
     ).findall
+    return lambda text: exact(text) if astral(text) or odd(text) else usual(text)
 
 
 @lru_cache(maxsize=2)
@@ -113,7 +120,7 @@ def dictionary(df: DataFrame, ranks: bytes, text: str = "text") -> DataFrame:
 
 def common_bucket(words: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[int, bool]:
     """The lowest bucket of counts from which on the words fit into ``limit`` bytes, and whether rarer ones are left."""
-    size = F.sum(F.lit(48) + F.length("ids")).alias("size")
+    size = F.sum(F.lit(16) + F.length("ids") / 2).alias("size")
     rows = sorted(words.groupBy("bucket").agg(size).collect(), reverse=True)  # some hundred buckets at most
     total, lowest = 0, 1 << 30
     for bucket, size in rows:
@@ -124,35 +131,54 @@ def common_bucket(words: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[int,
     return lowest, False
 
 
-class Common:
-    """The broadcast words: sorted 96-bit keys with their ids."""
+class Keys:
+    """Sorted 96-bit keys of the broadcast words."""
 
-    def __init__(self, keys, ids):
-        both = np.frombuffer(b"".join(keys), np.dtype([("a", ">u8"), ("b", ">u4")]))
-        order = np.argsort(both["a"], kind="stable")
-        self.a, self.b = both["a"][order].astype("u8"), both["b"][order].astype("u4")
-        size = np.array([len(x) for x in ids], "i8")[order]
-        self.end = np.cumsum(size)
-        self.ids = b"".join([ids[i] for i in order])
+    def __init__(self, keys: pa.ChunkedArray):
+        kind = np.dtype([("a", ">u8"), ("b", ">u4")])
+        both = np.concatenate([np.zeros(0, kind), *(np.frombuffer(c.cast(pa.binary(12)).buffers()[1], kind)[c.offset : c.offset + len(c)] for c in keys.chunks)])
+        self.order = np.argsort(both["a"], kind="stable")
+        self.a, self.b = both["a"][self.order].astype("u8"), both["b"][self.order].astype("u4")
 
-    def find(self, words: list[str]) -> list[bytes | None]:
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where each word stands, -1 for others."""
+        if not len(self.a):
+            return np.full(len(words), -1)
         both = np.frombuffer(b"".join(map(word_key, words)), np.dtype([("a", ">u8"), ("b", ">u4")]))
         a, b = both["a"].astype("u8"), both["b"].astype("u4")
-        at = np.searchsorted(self.a, a)
-        out = []
-        for k, x, y in zip(at.tolist(), a.tolist(), b.tolist()):
-            while k < len(self.a) and self.a[k] == x and self.b[k] != y:
+        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+        hit = self.a[at] == a
+        for i in np.flatnonzero(hit & (self.b[at] != b)):  # keys that agree in 64 bits
+            k = at[i]
+            while k < len(self.a) and self.a[k] == a[i] and self.b[k] != b[i]:
                 k += 1
-            hit = k < len(self.a) and self.a[k] == x
-            out.append(self.ids[(self.end[k - 1] if k else 0) : self.end[k]] if hit else None)
-        return out
+            hit[i] = k < len(self.a) and self.a[k] == a[i]
+            at[i] = k if hit[i] else 0
+        return np.where(hit, at, -1)
+
+
+class Common:
+    """The broadcast words with their ids, two bytes each if the vocabulary allows."""
+
+    def __init__(self, rows: pa.Table):
+        self.keys = Keys(rows.column("key"))
+        ids = rows.column("ids").cast(pa.large_binary()).combine_chunks().take(pa.array(self.keys.order))
+        self.keys.order = None
+        size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype("i8") // 4
+        self.end = np.concatenate((np.zeros(1, "i8"), np.cumsum(size)))
+        flat = np.frombuffer(ids.buffers()[2], "<u4")[: self.end[-1]] if self.end[-1] else np.zeros(0, "<u4")
+        self.end = self.end.astype("u4" if len(flat) < 1 << 32 else "u8")
+        self.ids = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        ids, at = self.ids, self.keys.places(words)
+        starts, ends = self.end[at].tolist(), self.end[at + 1].tolist()
+        return [ids[x:y].astype("<u4").tobytes() if k >= 0 else None for k, x, y in zip(at.tolist(), starts, ends)]
 
 
 def broadcast_common(words: DataFrame, limit: int) -> tuple[object, int, bool]:
     lowest, rare = common_bucket(words, limit)
-    rows = words.where(F.col("bucket") >= lowest).select("key", "ids").toArrow()
-    keys, ids = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.binary()) for c in ("key", "ids"))
-    found = Common(keys.to_pylist(), ids.to_pylist())
+    found = Common(words.where(F.col("bucket") >= lowest).select("key", "ids").toArrow())
     return words.sparkSession.sparkContext.broadcast(found), lowest, rare
 
 
@@ -174,7 +200,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: byt
 
     def join(batches):
         find, held, common = splitter(public_tokenizers.PATTERN), {}, shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             ids, holes = [], []
             for value in batch.column(1):
                 found = find(value.as_py() or "")
@@ -203,7 +229,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: byt
     pieces = holes.join(rarer, "word").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "at", "piece"))).alias("pieces"))
 
     def put_back(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             whole = []
             for ids, pieces in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 done, last = [], 0
@@ -224,7 +250,7 @@ def token_lengths(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
 
     def join(batches):
         find, held, common = splitter(public_tokenizers.PATTERN), {}, shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             counts, holes = [], []
             for value in batch.column(1):
                 found = find(value.as_py() or "")
@@ -249,7 +275,7 @@ def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks: bytes
 
     def join(batches):
         merges = {int(b): base64.b64decode(a) for a, b in map(bytes.split, shared.value.splitlines())}
-        for batch in batches:
+        for batch in sliced(batches):
             out = [b"".join(map(merges.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
             yield pa.record_batch({doc_id: batch.column(0), "ids": batch.column(1), "decoded": pa.array(out, pa.binary())})
 

@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def sliced(batches, rows: int = 400):
+    """Arrow batches cut small, so that a Python worker holds the results of few long texts at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -76,6 +76,7 @@ def telling_words(labelled: DataFrame, sizes: dict[str, int]) -> dict[str, list[
     counts = labelled.select("domain", F.explode("__stems").alias("stem")).groupBy("stem").agg(
         *(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)
     )
+    counts = written(counts, "mix-stems")
     found = {}
     for d in DOMAINS:
         others = [o for o in DOMAINS if o != d]
@@ -132,9 +133,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     sizes = {r[0]: r[1] for r in marks.groupBy("domain").count().collect()}
     known = _prepared(rows.join(bounded(marks), "doc_id"), "text").drop("text")
     vocabulary = telling_words(known, sizes)
-    scored = _posteriors(with_features(known, vocabulary), sizes)
     features = [f"f{k}" for k in range(N_FEATURES)]
     lean = written(with_features(_prepared(rows, "text"), vocabulary).select("doc_id", "n_tokens", *features), "mix-features")
+    scored = _posteriors(lean.join(bounded(marks), "doc_id"), sizes)
     cells = lean.groupBy(*features).agg(F.sum("n_tokens").alias("words")).select(*features, "words", *scored)
     fitted = written(fit_rates(written(cells, "mix-cells"), targets or TARGETS, budget).drop("words"), "mix-fitted")
     return lean.join(bounded(fitted), features).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")

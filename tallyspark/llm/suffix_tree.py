@@ -26,22 +26,21 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.byte_bpe import word_key
-from tallyspark.llm.common import WORD_RE, lower_ascii, shipped, table, words, written
+from tallyspark.llm.byte_bpe import Keys, word_key
+from tallyspark.llm.common import WORD_RE, lower_ascii, shipped, sliced, table, words, written
 from tallyspark.llm.toxicity import remainder
 
 DEPTH = 7
-MIN_SHARE = 3e-6
+MIN_SHARE = 2e-5
 MIN_GAIN = 12.0
 SMOOTHING = 4.0
 CODE_POINTS = 1_114_112
-BROADCAST_WORDS = 3_000_000
-WORDS_HELD = 300_000
+BROADCAST_WORDS = 1_500_000
+WORDS_HELD = 150_000
 START, STOP = "\x20", "\n"  # characters that no word holds
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -92,11 +91,12 @@ def states(symbols: DataFrame, min_share: float = MIN_SHARE, min_gain: float = M
 class SuffixTree:
     """Next-symbol distributions of the kept contexts, smoothed; bounded as ``states`` is."""
 
-    def __init__(self, rows, depth: int = DEPTH):
+    def __init__(self, rows: pa.Table, depth: int = DEPTH):
         self.depth, self.n, self.total = depth, {}, {}
-        for context, symbol, n, total in rows:
-            self.n[context, symbol] = n
-            self.total[context] = total
+        for batch in rows.to_batches(10_000):
+            for context, symbol, n, total in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                self.n.setdefault(context, {})[symbol] = n
+                self.total[context] = total
         self.total.setdefault("", 0)
 
     def state(self, before: str) -> str:
@@ -107,7 +107,7 @@ class SuffixTree:
 
     def p(self, state: str, symbol: str) -> float:
         low = self.p(self.state(state[1:]), symbol) if state else 1 / CODE_POINTS
-        return (self.n.get((state, symbol), 0) + SMOOTHING * low) / (self.total[state] + SMOOTHING)
+        return (self.n.get(state, {}).get(symbol, 0) + SMOOTHING * low) / (self.total[state] + SMOOTHING)
 
     def word(self, word: str) -> float:
         """log10 of a word's probability, its end included."""
@@ -116,22 +116,15 @@ class SuffixTree:
 
 
 class Counts:
-    """Broadcast words: sorted 96-bit keys and counts."""
+    """Broadcast words: sorted keys and counts."""
 
-    def __init__(self, keys: list[bytes], counts: list[int]):
-        both = np.frombuffer(b"".join(keys), np.dtype([("a", ">u8"), ("b", ">u4")]))
-        order = np.argsort(both["a"], kind="stable")
-        self.a, self.b, self.n = both["a"][order].astype("u8"), both["b"][order].astype("u4"), np.array(counts, "i8")[order]
+    def __init__(self, rows: pa.Table):
+        self.keys = Keys(rows.column("key"))
+        self.n, self.keys.order = rows.column("n").to_numpy()[self.keys.order], None
 
     def find(self, words: list[str]) -> list[int | None]:
-        both = np.frombuffer(b"".join(map(word_key, words)), np.dtype([("a", ">u8"), ("b", ">u4")]))
-        a, b = both["a"].astype("u8"), both["b"].astype("u4")
-        at, out = np.searchsorted(self.a, a), []
-        for k, x, y in zip(at.tolist(), a.tolist(), b.tolist()):
-            while k < len(self.a) and self.a[k] == x and self.b[k] != y:
-                k += 1
-            out.append(int(self.n[k]) if k < len(self.a) and self.a[k] == x else None)
-        return out
+        at = self.keys.places(words)
+        return [n if k >= 0 else None for k, n in zip(at.tolist(), self.n[at].tolist() if len(self.n) else at.tolist())]
 
 
 def _common(counts: DataFrame, limit: int) -> tuple[object, int]:
@@ -149,8 +142,7 @@ def _common(counts: DataFrame, limit: int) -> tuple[object, int]:
             yield pa.record_batch({"key": pa.array(map(word_key, batch.column(0).to_pylist()), pa.binary()), "n": batch.column(1)})
 
     rows = with_bucket.where(F.col("bucket") >= lowest).select("word", "n").mapInArrow(keyed, "key binary, n long").toArrow()
-    found = Counts(rows.column("key").to_pylist(), rows.column("n").to_pylist())
-    return counts.sparkSession.sparkContext.broadcast(found), lowest
+    return counts.sparkSession.sparkContext.broadcast(Counts(rows)), lowest
 
 
 def lm_scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BROADCAST_WORDS) -> DataFrame:
@@ -160,7 +152,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: s
     n_docs = train.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     N, V = n_words + n_docs, n_kinds + (n_docs > 0)
-    tree = spark.sparkContext.broadcast(SuffixTree(states(symbol_counts(counts)).select("context", "symbol", "n", "total").collect()))
+    tree = spark.sparkContext.broadcast(SuffixTree(states(symbol_counts(counts)).select("context", "symbol", "n", "total").toArrow()))
     shared, lowest = _common(counts, limit)
     kind = docs.schema[doc_id].dataType.simpleString()
     stop = (n_docs + 1) / (N + 2)
@@ -170,7 +162,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: s
         find, common, model = re.compile(WORD_RE).findall, shared.value, tree.value
         held: dict = {}
         go, end = math.log10(1 - stop), math.log10(stop)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for value in batch.column(1):
                 own = Counter(find((value.as_py() or "").translate(LOWERED)))

@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import shipped, table, written
 
-TRAIN_ROWS = 8_000
-CALIBRATION_ROWS = 4_000
+TRAIN_ROWS = 3_000
+CALIBRATION_ROWS = 1_500
 WINDOW = 16
 DISCOUNT = 0.75
 MIN_COUNT = 2
 MIN_CONTEXT = 20
+MIN_PAIR = 4
 STEM = 5
 FOLDS = 5
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -101,18 +102,18 @@ class KneserNey:
             rate[r["word"]] = [(max(r[f"n{c}"] - DISCOUNT, 0) + DISCOUNT * totals[c][1] * base) / totals[c][0] for c in (0, 1)]
         self.unigram = {w: math.log(b / a) for w, (a, b) in rate.items()}
         context = counts.groupBy("toxic", "before").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= MIN_CONTEXT)
+        context = written(context, "toxic-contexts")
+        frequent_contexts = context.groupBy("before").count().where("count = 2").select("before")  # of a bounded sample
         held: dict = defaultdict(dict)
         for c, v, n, kinds in context.collect():
             held[v][c] = (n, kinds)
         held = {v: by for v, by in held.items() if len(by) == 2}
         self.backoff = {v: math.log(by[1][1] / by[1][0]) - math.log(by[0][1] / by[0][0]) for v, by in held.items()}
-        seen: dict = defaultdict(dict)
-        for c, v, w, n in counts.where(F.col("n") >= MIN_COUNT).collect():
-            if w in rate and v in held:
-                seen[v, w][c] = n
+        pairs = counts.join(F.broadcast(frequent_contexts), "before").groupBy("before", "word").agg(*sides[::2]).where(F.col("n0") + F.col("n1") >= MIN_PAIR)
+        seen = {(v, w): (a, b) for v, w, a, b in pairs.toLocalIterator() if w in rate and v in held}
         self.bigram = {}
         for (v, w), by in seen.items():
-            p = [(max(by.get(c, 0) - DISCOUNT, 0) + DISCOUNT * held[v][c][1] * rate[w][c]) / held[v][c][0] for c in (0, 1)]
+            p = [(max(by[c] - DISCOUNT, 0) + DISCOUNT * held[v][c][1] * rate[w][c]) / held[v][c][0] for c in (0, 1)]
             self.bigram[v, w] = math.log(p[1] / p[0])
 
     def differences(self, words: list[str]) -> list[float]:
