@@ -1,4 +1,237 @@
 """The registered queries over the driver's tables and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tallyspark.functions.expressions import display_model, dollars, local_day, short_label, unix
+from tallyspark.operators import calls as C
+from tallyspark.operators import dashboard as D
+from tallyspark.operators import rollup as R
+from tallyspark.operators import search as S
+from tallyspark.plans.adapters import CALLS_SQL, calls_of, priced_of, usage_rows
+from tallyspark.sources.rates import builtin_rates
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+NOW = 1_705_320_000  # 2024-01-15 12:00:00 UTC
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _with(select: str) -> str:
+    return f"WITH {CALLS_SQL} {select}"
+
+
+TOKENS = "CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write"
+MONEY = """CAST(sum(n_in) AS BIGINT) / 1e9 AS cost_input, CAST(sum(n_out) AS BIGINT) / 1e9 AS cost_output, CAST(sum(n_r) AS BIGINT) / 1e9 AS cost_cache_read,
+  CAST(sum(n_w) AS BIGINT) / 1e9 AS cost_cache_write, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost"""
+ROLL = f"""{TOKENS}, {MONEY}, count(*) AS api_calls, max(unix) AS last_ts,
+  coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS models, coalesce(string_agg(DISTINCT project, ',' ORDER BY project), '') AS projects"""
+KEYS = {
+    "day": "CAST(day AS VARCHAR)", "week": "CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR)", "month": "strftime(day, '%Y-%m')", "session": "project",
+    "block": "unix - unix % 18000",
+}
+
+for _bucket, _key in KEYS.items():
+    query(f"rollup_{_bucket}", _with(f"SELECT {_key} AS key, {ROLL} FROM priced GROUP BY 1"))(
+        lambda spark, d, b=_bucket: R.in_dollars(R.rollup(priced_of(spark, d), b))
+    )
+
+OFFSET = 9 * 3600
+query("rollup_day_tz", _with(f"SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS key, {ROLL} FROM priced GROUP BY 1"))(
+    lambda spark, d: R.in_dollars(R.rollup(priced_of(spark, d), "day", offset=OFFSET))
+)
+query("rollup_block_tz", _with(f"SELECT (unix + 32400) - (unix + 32400) % 18000 - 32400 AS key, {ROLL} FROM priced GROUP BY 1"))(
+    lambda spark, d: R.in_dollars(R.rollup(priced_of(spark, d), "block", offset=OFFSET))
+)
+query("breakdown", _with(f"SELECT CAST(day AS VARCHAR) AS key, model, {ROLL} FROM priced GROUP BY 1, 2"))(
+    lambda spark, d: R.in_dollars(R.rollup(priced_of(spark, d), "day", ("model",)))
+)
+query("by_agent", _with(f"SELECT strftime(day, '%Y-%m') AS key, provider, {ROLL} FROM priced GROUP BY 1, 2"))(
+    lambda spark, d: R.in_dollars(R.rollup(priced_of(spark, d), "month", ("provider",)))
+)
+_call_columns = "provider, session, line_seq, msg_id, model, project, input, output, cache_read, cache_write, cache_write_1h"
+
+
+@query("coalesce_stream", _with(f"SELECT {_call_columns} FROM coalesced"))
+def coalesce_stream(spark, d):
+    return C.coalesce_streamed(usage_rows(spark, d)).select(*_call_columns.split(", "))
+
+
+@query("dedup_cross_session", _with(f"SELECT {_call_columns} FROM calls"))
+def dedup_cross_session(spark, d):
+    return calls_of(spark, d).select(*_call_columns.split(", "))
+
+
+@query("price_columns", _with("SELECT provider, line_seq, resolution, n_in / 1e9 AS cost_input, n_out / 1e9 AS cost_output, n_r / 1e9 AS cost_cache_read, n_w / 1e9 AS cost_cache_write FROM priced"))
+def price_columns(spark, d):
+    return R.in_dollars(priced_of(spark, d)).select("provider", "line_seq", "resolution", "cost_input", "cost_output", "cost_cache_read", "cost_cache_write")
+
+
+@query("unpriced", _with("SELECT model, max(resolution) AS resolution FROM priced WHERE resolution <> 'exact' GROUP BY model"))
+def unpriced(spark, d):
+    return C.unpriced_models(calls_of(spark, d), C.resolve_rates(usage_rows(spark, d), builtin_rates(spark)))
+
+
+@query("rate_resolution", _with("SELECT DISTINCT provider, model, resolution, r[1] / 1e3 AS rate_input, r[2] / 1e3 AS rate_output FROM priced WHERE model IS NOT NULL"))
+def rate_resolution(spark, d):
+    rates = C.resolve_rates(calls_of(spark, d), builtin_rates(spark))
+    return rates.select("provider", "model", "resolution", *((F.col(f"rate_{c}") * 1000).cast("long").alias(c) for c in ("input", "output"))).select(
+        "provider", "model", "resolution", (F.col("input") / F.lit(1e3)).alias("rate_input"), (F.col("output") / F.lit(1e3)).alias("rate_output")
+    )
+
+
+@query("filter_days_project", _with(f"SELECT CAST(day AS VARCHAR) AS key, {ROLL} FROM priced WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND project = 'code/p3' GROUP BY 1"))
+def filter_days_project(spark, d):
+    return R.in_dollars(R.rollup(R.filtered(priced_of(spark, d), "2024-01-05", "2024-01-12", "code/p3"), "day"))
+
+
+@query("tail_buckets", _with(f"SELECT CAST(day AS VARCHAR) AS key, model, {ROLL} FROM priced WHERE day IN (SELECT DISTINCT day FROM priced ORDER BY day DESC LIMIT 3) GROUP BY 1, 2"))
+def tail_buckets(spark, d):
+    return R.in_dollars(R.tail(R.rollup(priced_of(spark, d), "day", ("model",)), 3))
+
+
+@query("totals", _with(f"SELECT {TOKENS}, {MONEY}, count(*) AS api_calls FROM priced WHERE day IN (SELECT DISTINCT day FROM priced ORDER BY day DESC LIMIT 3)"))
+def totals(spark, d):
+    return R.in_dollars(R.totals(R.tail(R.rollup(priced_of(spark, d), "day"), 3)))
+
+
+@query("limit_pct", _with("SELECT unix - unix % 18000 AS key, model, CAST(sum(sum(n_in + n_out + n_r + n_w)) OVER (PARTITION BY unix - unix % 18000) AS BIGINT) / 1e9 / 1.0 * 100 AS limit_pct FROM priced GROUP BY 1, 2"))
+def limit_pct(spark, d):
+    return R.limit_percent(R.rollup(priced_of(spark, d), "block", ("model",)), 1.0).select("key", "model", "limit_pct")
+
+
+@query("statusline", _with(f"""SELECT CAST(coalesce(sum(input + output + cache_read + cache_write) FILTER (WHERE day = DATE '2024-01-15'), 0) AS BIGINT) AS today_tokens,
+  CAST(coalesce(sum(n_in + n_out + n_r + n_w) FILTER (WHERE day = DATE '2024-01-15'), 0) AS BIGINT) / 1e9 AS today_cost,
+  CAST(coalesce(sum(n_in + n_out + n_r + n_w) FILTER (WHERE unix - unix % 18000 = {NOW - NOW % 18000}), 0) AS BIGINT) / 1e9 AS block_cost FROM priced"""))
+def statusline(spark, d):
+    return R.status_line(priced_of(spark, d), NOW)
+
+
+@query("session_totals", _with(f"SELECT provider, session, {TOKENS}, {MONEY}, max(unix) AS last_ts FROM priced GROUP BY 1, 2"))
+def session_totals(spark, d):
+    return R.in_dollars(R.session_totals(priced_of(spark, d)))
+
+
+@query("daily_index", _with(f"SELECT CAST(day AS VARCHAR) AS key, project, model, {TOKENS}, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost FROM priced GROUP BY 1, 2, 3"))
+def daily_index(spark, d):
+    return R.in_dollars(R.rollup(priced_of(spark, d), "day", ("project", "model"))).select("key", "project", "model", *R.TOKENS, "cost")
+
+
+@query("usage_15m", _with("SELECT provider, unix - unix % 900 AS slot, project, model, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, count(*) AS calls, max(unix) AS last_ts FROM priced GROUP BY 1, 2, 3, 4"))
+def usage_15m(spark, d):
+    return R.quarter_hours(calls_of(spark, d)).select("provider", unix(F.col("ts")).alias("slot"), "project", "model", "input", "output", "calls", unix(F.col("last_ts")).alias("last_ts"))
+
+
+@query("carbon", _with("""SELECT kwh, kwh * 0.390 AS kg_co2, kwh * 0.390 / 14 AS tree_years, kwh * 0.390 * 1000 / 38.4 AS tree_days FROM (
+  SELECT (CAST(sum(input) + sum(output) + sum(cache_write) AS BIGINT)::DOUBLE * 0.001::DOUBLE + CAST(sum(cache_read) AS BIGINT)::DOUBLE * 0.00001::DOUBLE) / 1000 AS kwh FROM priced)"""))
+def carbon(spark, d):
+    sums = priced_of(spark, d).agg(*(F.sum(c).cast("double").alias(c) for c in R.TOKENS))
+    return R.carbon(sums).select("kwh", "kg_co2", "tree_years", "tree_days")
+
+
+@query("drift", _with("""SELECT coalesce(a.day, b.day) AS day, ours, theirs, (ours - theirs) / theirs * 100 AS drift_pct, abs((ours - theirs) / theirs * 100) > 10 AS breach FROM
+  (SELECT CAST(day AS VARCHAR) AS day, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS ours FROM priced WHERE day < DATE '2024-01-20' GROUP BY 1) a FULL JOIN
+  (SELECT CAST(day AS VARCHAR) AS day, CAST(sum(n_in + n_out + n_r) AS BIGINT) / 1e9 AS theirs FROM priced WHERE day > DATE '2024-01-10' GROUP BY 1) b ON a.day = b.day"""))
+def drift(spark, d):
+    calls = priced_of(spark, d).withColumn("day", local_day(F.col("ts")).cast("string"))
+    ours = calls.where("day < '2024-01-20'").groupBy("day").agg(dollars(F.sum("cost")).alias("cost"))
+    theirs = calls.where("day > '2024-01-10'").groupBy("day").agg(dollars(F.sum(F.col("cost") - F.col("cost_cache_write"))).alias("cost"))
+    return R.drift(ours, theirs)
+
+
+@query("codex_dup_guard", """WITH e AS (SELECT user_id AS session, event_id AS line_seq, event_type AS model, CAST(floor(value) AS BIGINT) % 3 AS uncached, event_id % 2 AS cached, 1::BIGINT AS output FROM events),
+s AS (SELECT *, sum(CASE WHEN model IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY line_seq) AS seg FROM (SELECT *, lag(model) OVER (PARTITION BY session ORDER BY line_seq) AS b FROM e)),
+g AS (SELECT *, lag((uncached, cached, output)) OVER (PARTITION BY session, seg ORDER BY line_seq) AS p FROM s)
+SELECT session, line_seq, model, uncached, cached, output FROM g WHERE (uncached, cached, output) IS DISTINCT FROM p""")
+def codex_dup_guard(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS session", "event_id AS line_seq", "event_type AS model", "CAST(floor(value) AS BIGINT) % 3 AS uncached", "event_id % 2 AS cached", "1L AS output")
+    return C.drop_repeated_usage(e)
+
+
+@query("running_model", """SELECT user_id AS session, event_id AS line_seq, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER
+  (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events""")
+def running_model(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS session", "event_id AS line_seq", "CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS turn_model")
+    return C.running_model(e).select("session", "line_seq", "model")
+
+
+@query("display_names", _with("SELECT DISTINCT provider, model, project, CASE WHEN provider = 'codex' THEN model ELSE regexp_replace(regexp_replace(model, '^claude-', ''), '-[0-9]{8}$', '') END AS shown, replace(project, '/', '-') AS label FROM priced"))
+def display_names(spark, d):
+    c = calls_of(spark, d).select("provider", "model", "project").distinct()
+    return c.select("*", display_model(F.col("provider"), F.col("model")).alias("shown"), short_label(F.col("project")).alias("label"))
+
+
+@query("dash_hour", _with("""SELECT h.hour, coalesce(CAST(sum(input + output + cache_read + cache_write) AS BIGINT), 0) AS tokens,
+  CAST(coalesce(sum(n_in + n_out + n_r + n_w), 0) AS BIGINT) / 1e9 / (SELECT count(DISTINCT day) FROM priced) AS cost_a_day
+  FROM (SELECT unnest(range(24))::INT AS hour) h LEFT JOIN priced p ON hour(p.ts) = h.hour GROUP BY 1"""))
+def dash_hour(spark, d):
+    return D.by_hour(priced_of(spark, d))
+
+
+@query("calendar", _with("""SELECT CAST(g.day AS VARCHAR) AS day, CASE WHEN t IS NULL THEN NULL WHEN t > 0.75 * m THEN 4 WHEN t > 0.40 * m THEN 3 WHEN t > 0.15 * m THEN 2 WHEN t > 0 THEN 1 ELSE 0 END AS level
+  FROM (SELECT CAST(unnest(generate_series(DATE '2023-01-15', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS day) g
+  LEFT JOIN (SELECT day, sum(input + output + cache_read + cache_write)::DOUBLE AS t, max(sum(input + output + cache_read + cache_write)) OVER ()::DOUBLE AS m FROM priced WHERE day BETWEEN DATE '2023-01-15' AND DATE '2024-01-20' GROUP BY day) x USING (day)"""))
+def calendar(spark, d):
+    return D.calendar(priced_of(spark, d), "2024-01-20")
+
+
+@query("dash_model", _with("SELECT coalesce(session_model, 'unknown') AS model, count(DISTINCT session) AS sessions, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost FROM priced GROUP BY 1"))
+def dash_model(spark, d):
+    return D.by_model(priced_of(spark, d))
+
+
+@query("share", _with("SELECT model, c / sum(c) OVER () AS share FROM (SELECT coalesce(model, 'unknown') AS model, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT)::DOUBLE AS c FROM priced GROUP BY 1) WHERE c > 0"))
+def share(spark, d):
+    c = priced_of(spark, d).groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg((F.sum("cost") * 1000).cast("long").cast("double").alias("c")).where("c > 0")
+    return c.select("model", (F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(0)))).alias("share"))
+
+
+@query("top_sessions", _with("SELECT provider, session, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost FROM priced GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50"))
+def top_sessions(spark, d):
+    s = R.session_totals(priced_of(spark, d))
+    return R.in_dollars(s).select("provider", "session", "cost").orderBy(F.desc("cost"), "provider", "session").limit(50)
+
+
+TOKENIZE = """SELECT DISTINCT {k}, t AS term FROM (SELECT {k}, unnest(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {s})
+  WHERE (regexp_full_match(t, '[\\x00-\\x7F]+') AND ((length(t) >= 3 AND regexp_matches(t, '[a-z]')) OR regexp_full_match(t, '[0-9]{{2,6}}')))
+    OR (NOT regexp_full_match(t, '[\\x00-\\x7F]+') AND length(t) >= 2)"""
+
+
+@query("postings", TOKENIZE.format(k="doc_id", c="text", s="documents"))
+def postings(spark, d):
+    return S.postings(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+@query("search_and_prefix", f"WITH p AS ({TOKENIZE.format(k='doc_id', c='text', s='documents')}) SELECT doc_id FROM p WHERE term = 'the' INTERSECT SELECT doc_id FROM p WHERE starts_with(term, 'idi')")
+def search_and_prefix(spark, d):
+    return S.search(S.postings(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"), "doc_id", ["the", "idi"])
+
+
+@query("fuzzy_filter", "SELECT DISTINCT source FROM documents WHERE regexp_matches(lower(source), 's.*1')")
+def fuzzy_filter(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("source").distinct()
+    return docs.where(S.fuzzy(F.col("source"), "S1"))
+
+
+@query("compact_groups", """SELECT conv_id, min(turn) AS first_turn, min(role) AS role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
+  SELECT *, sum(CASE WHEN role IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)) GROUP BY conv_id, g""")
+def compact_groups(spark, d):
+    return D.compact(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+@query("session_headers", """SELECT conv_id, left(first(text ORDER BY turn) FILTER (WHERE role = 'user'), 50) AS title, count(*) FILTER (WHERE role = 'user') AS turns, count(*) AS messages FROM conversations GROUP BY conv_id""")
+def session_headers(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(
+        F.substring(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))), 1, 50).alias("title"), F.count(F.when(F.col("role") == "user", 1)).alias("turns"), F.count(F.lit(1)).alias("messages")
+    )
