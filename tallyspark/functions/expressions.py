@@ -72,8 +72,13 @@ def resume_target(rel_path: Column) -> Column:
 
 def cut_bytes(c: Column, limit: int) -> Column:
     """At most so many bytes of UTF-8, on a character's boundary, with three dots if cut."""
-    head = F.decode(F.substring(c.cast("binary"), 1, limit), "UTF-8")  # a split character decodes to replacements
-    return F.when(F.octet_length(c) > limit, F.concat(F.regexp_replace(head, "\ufffd{1,3}$", ""), F.lit("..."))).otherwise(c)
+    step = lambda a, x: F.struct(
+        F.when(a["bytes"] + F.octet_length(x) <= limit, a["n"] + 1).otherwise(a["n"]).alias("n"),
+        F.when(a["bytes"] + F.octet_length(x) <= limit, a["bytes"] + F.octet_length(x)).otherwise(F.lit(limit)).alias("bytes"),
+    )
+    characters = F.split(F.left(c, F.lit(limit)), "")
+    n = F.aggregate(characters, F.struct(F.lit(0).alias("n"), F.lit(0).alias("bytes")), step, lambda a: a["n"])
+    return F.when(F.octet_length(c) > limit, F.concat(F.left(c, n), F.lit("..."))).otherwise(c)
 
 
 def duration_ms(start: Column, end: Column) -> Column:
