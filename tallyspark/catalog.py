@@ -235,3 +235,35 @@ def session_headers(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(
         F.substring(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))), 1, 50).alias("title"), F.count(F.when(F.col("role") == "user", 1)).alias("turns"), F.count(F.lit(1)).alias("messages")
     )
+
+
+ALL = "CAST(sum(input + output + cache_read + cache_write) AS BIGINT)"
+COST = "CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9"
+
+
+@query("hourly", _with(f"SELECT provider, session, unix - unix % 3600 AS hour, {ALL} AS tokens, {COST} AS cost FROM priced GROUP BY 1, 2, 3"))
+def hourly(spark, d):
+    return D.hourly(priced_of(spark, d))
+
+
+@query("project_summary", _with(f"""SELECT project, count(*) AS sessions, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) / 1e9 AS cost,
+  max(ended) AS last_active, CAST(sum((ended - started) * 1000) AS BIGINT) AS duration_ms FROM (SELECT provider, session, project, count(*) AS calls, {ALL} AS tokens,
+  sum(n_in + n_out + n_r + n_w) AS n, min(unix) AS started, max(unix) AS ended FROM priced GROUP BY 1, 2, 3) GROUP BY 1"""))
+def project_summary(spark, d):
+    return D.project_summary(priced_of(spark, d))
+
+
+@query("dash_overview", _with(f"""SELECT count(DISTINCT (provider, session)) AS sessions, count(DISTINCT project) AS projects, {ALL} AS tokens, {COST} AS cost,
+  min(unix) AS earliest, max(unix) AS latest, count(DISTINCT day) AS active_days FROM priced"""))
+def dash_overview(spark, d):
+    return D.overview(priced_of(spark, d))
+
+
+@query("hist_projects", _with(f"SELECT project, {ALL} AS tokens FROM priced GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16"))
+def hist_projects(spark, d):
+    return D.top_projects(priced_of(spark, d))
+
+
+@query("model_choices", _with("SELECT DISTINCT session_model FROM priced WHERE session_model IS NOT NULL"))
+def model_choices(spark, d):
+    return D.model_choices(calls_of(spark, d))

@@ -45,3 +45,39 @@ def compact(messages: DataFrame, session: str = "conv_id", order: str = "turn",
     new = (~F.col(kind).eqNullSafe(F.lag(kind).over(w))).cast("int")
     groups = messages.withColumn("__new", F.when(F.lag(order).over(w).isNull(), 1).otherwise(new)).withColumn("__g", F.sum("__new").over(w))
     return groups.groupBy(session, "__g").agg(F.min(order).alias(f"first_{order}"), F.min(kind).alias(kind), F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars")).drop("__g")
+
+
+def hourly(calls: DataFrame) -> DataFrame:
+    """Usage by session and UTC hour, from calls that count once."""
+    return calls.groupBy("provider", "session", F.unix_seconds(F.date_trunc("hour", "ts")).alias("hour")).agg(F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"))
+
+
+def sessions_of(calls: DataFrame) -> DataFrame:
+    """One row a session: totals, first and last call, and their distance in milliseconds."""
+    first, last = F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))
+    return calls.groupBy("provider", "session", "project").agg(
+        F.sum(all_tokens()).alias("tokens"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("calls"), first.alias("started"), last.alias("ended"), ((last - first) * 1000).alias("duration_ms")
+    )
+
+
+def project_summary(calls: DataFrame) -> DataFrame:
+    return sessions_of(calls).groupBy("project").agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), dollars(F.sum("cost")).alias("cost"),
+        F.max("ended").alias("last_active"), F.sum(F.greatest("duration_ms", F.lit(0))).alias("duration_ms"),
+    )
+
+
+def overview(calls: DataFrame) -> DataFrame:
+    return calls.agg(
+        F.count_distinct("provider", "session").alias("sessions"), F.count_distinct("project").alias("projects"), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"),
+        F.unix_seconds(F.min("ts")).alias("earliest"), F.unix_seconds(F.max("ts")).alias("latest"), F.count_distinct(local_day(F.col("ts"))).alias("active_days"),
+    )
+
+
+def top_projects(calls: DataFrame, n: int = 16) -> DataFrame:
+    """The projects with the most tokens, as many as the chart has bars."""
+    return calls.groupBy("project").agg(F.sum(all_tokens()).alias("tokens")).orderBy(F.desc("tokens"), "project").limit(n)
+
+
+def model_choices(calls: DataFrame) -> DataFrame:
+    return calls.select("session_model").where("session_model is not null").distinct()
