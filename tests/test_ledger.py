@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ def test_query_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
 
     def norm(df):
-        plain = lambda v: None if v is None or v != v else float(f"{float(v):.9g}") if hasattr(v, "real") else str(v)
+        plain = lambda v: None if pd.isna(v) else float(f"{float(v):.9g}") if hasattr(v, "real") else str(v)
         return sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
     assert norm(got) == norm(want)
