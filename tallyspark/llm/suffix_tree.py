@@ -37,7 +37,7 @@ from tallyspark.llm.toxicity import remainder
 DEPTH = 7
 MIN_SHARE = 2e-5
 MIN_GAIN = 12.0
-SMOOTHING = 4.0
+SMOOTHING = 16.0
 CODE_POINTS = 1_114_112
 BROADCAST_WORDS = 1_500_000
 WORDS_HELD = 150_000
