@@ -14,8 +14,8 @@ first, by a 128-bit hash; one representative of each stands for it from then on.
 
 Scanning a list doesn't form all its pairs. Each list has a leader, the set with the fewest light
 elements; every other set of the list is held against it. Lists whose sets then all lie in one
-component are done. What is left: lists of up to ``LIGHT`` sets are compared whole, across
-components; longer ones go on with their next leader, without the one that is settled. Hot lists
+component are done. What is left: lists of up to ``WHOLE`` sets are compared whole, across
+components; longer ones go on with ``LEADERS`` more leaders, without those that are settled. Hot lists
 are split by adaptive joins, as leaders' rows are one for each list.
 
 Candidates are held first against a bound from the elements in the region, exact as the others can
@@ -45,6 +45,8 @@ from tallyspark.llm.suffix_tree import LOWERED
 SHINGLE = 4
 THRESHOLD = 85
 LIGHT = 24
+#: Open lists of up to so many sets are compared whole, across components; longer ones with so many leaders a round.
+WHOLE, LEADERS = 128, 16
 REGION = 0.25
 HEAVY_HELD = 100_000
 BOUNDARIES = (0, 6, 13, 19)
@@ -246,20 +248,25 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     pairs = current.where((F.col("doc") != F.col("leader.doc")) & fit("n", "leader.n")).select(F.col("doc").alias("a"), F.col("leader.doc").alias("b")).distinct()
     labels = components(written(verified(written(pairs, "ngram-pairs"), reps, rows, size, threshold), "ngram-links"), reps.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")))
     open_ = current.where(F.col("doc") != F.col("leader.doc")).select("key", "doc", "n", "light")
+    slot = F.pmod(F.xxhash64("doc"), F.lit(LEADERS))
     while True:
         # Lists whose sets lie in more than one component; the leaders so far are settled with all others.
         open_ = open_.join(labels, "doc")
-        state = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(order).alias("leader")).where("c0 <> c1")
+        tops = F.array_compact(F.array(*(F.min(F.when(slot == j, F.struct("light", "doc", "n", "comp"))) for j in range(LEADERS))))
+        state = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), tops.alias("leaders")).where("c0 <> c1")
         open_ = written(open_.join(state.drop("c0", "c1"), "key"), "ngram-open")
         if not open_.limit(1).count():
             break
-        few = open_.where(F.col("k") <= LIGHT).select("key", "doc", "n", "comp")
+        few = open_.where(F.col("k") <= WHOLE).select("key", "doc", "n", "comp")
         other = few.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
         close = few.join(other, "key").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("c")) & fit("n", "m")).select(F.col("doc").alias("a"), "b")
-        rest = open_.where((F.col("k") > LIGHT) & (F.col("doc") != F.col("leader.doc")))
-        led = rest.where(fit("n", "leader.n")).select(F.col("doc").alias("a"), F.col("leader.doc").alias("b"))
+        long_ = open_.where(F.col("k") > WHOLE)
+        led = long_.select("doc", "n", "comp", F.explode("leaders").alias("l")).where((F.col("comp") != F.col("l.comp")) & fit("n", "l.n"))
+        led = led.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b"))
         pairs = written(close.union(led).distinct(), "ngram-pairs")
-        labels = components(written(verified(pairs, reps, rows, size, threshold), "ngram-links"), labels)
+        links = written(verified(pairs, reps, rows, size, threshold), "ngram-links")
+        labels = components(links, labels) if links.limit(1).count() else labels
+        rest = long_.where(~F.exists("leaders", lambda x: x["doc"] == F.col("doc")))
         open_ = rest.select("key", "doc", "n", "light")
     of_rep = lead.join(labels.withColumnRenamed("doc", "rep"), "rep").select("f1", "f2", "n", "comp")
     return every.join(of_rep, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
