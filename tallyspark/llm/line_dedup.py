@@ -93,16 +93,18 @@ def within_one(a: Column, b: Column) -> Column:
 def repeated_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``d, k``: the places to remove. ``docs``: d (long) and text."""
     shipped(docs.sparkSession)
-    lines = _lines(docs)
+    # The texts are split and hashed once; what follows works on places and hashes.
+    lines = _lines(docs).select("h", "d", "k", *([] if exact else [half_keys(F.col("w")).alias("halves")]))
+    lines = written(lines, "lines-hashed")
     firsts = lines.groupBy("h").agg(F.min(F.struct("d", "k")).alias("first"))
     firsts = written(firsts.select("h", "first.d", "first.k"), "lines-first")
     again = lines.select("h", "d", "k").join(firsts.withColumnsRenamed({"d": "d0", "k": "k0"}), "h").where("d > d0 or (d = d0 and k > k0)").select("d", "k")
     if exact:
         return again
     # Halves that occur in different lines.
-    halves = lines.select("h", F.explode(half_keys(F.col("w"))).alias("half"))
+    halves = lines.join(firsts, ["h", "d", "k"], "left_semi").select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    near = written(halves.groupBy("half", "h").agg(F.lit(1).alias("one")).join(shared, "half").select("h").distinct(), "lines-near")
+    near = written(halves.join(shared, "half").select("h").distinct(), "lines-near")
     places = firsts.join(near, "h").groupBy("d").agg(F.collect_set("k").alias("ks"))  # of one document
     texts = docs.join(places, "d").select("d", "ks", F.posexplode(F.split("text", "\n")).alias("k", "line")).where(F.array_contains("ks", F.col("k")))
     looked_at = written(texts.select("d", "k", words(lower_ascii(F.col("line"))).alias("w")).select("*", F.xxhash64("w").alias("h")), "lines-looked-at")
@@ -129,7 +131,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exa
     joined = docs.withColumn("__d", place).join(removed.withColumnRenamed("d", "__d"), "__d", "left")
     keep = lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))
     left = F.when(F.col("__gone").isNull(), F.split(text, "\n")).otherwise(F.filter(F.split(text, "\n"), keep))
-    cut = joined.withColumn("__left", left)
+    cut = joined.withColumn("__left", left)  # used twice, so it stays a projection of its own
     return cut.select(
         *(F.array_join("__left", "\n").alias(c) if c == text else F.col(c) for c in docs.columns),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"),
