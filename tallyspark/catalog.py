@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import display_model, dollars, local_day, short_label, unix
 from tallyspark.operators import calls as C
+from tallyspark.operators import catalogue as K
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import rollup as R
 from tallyspark.operators import search as S
-from tallyspark.plans.adapters import CALLS_SQL, calls_of, priced_of, usage_rows
+from tallyspark.plans.adapters import CALLS_SQL, calls_of, headers_of, messages_of, priced_of, usage_rows
 from tallyspark.sources.rates import builtin_rates
 
 QUERIES: dict = {}
@@ -267,3 +268,45 @@ def hist_projects(spark, d):
 @query("model_choices", _with("SELECT DISTINCT session_model FROM priced WHERE session_model IS NOT NULL"))
 def model_choices(spark, d):
     return D.model_choices(calls_of(spark, d))
+
+
+query("dash_project", _with(f"SELECT project, count(DISTINCT (provider, session)) AS sessions, {ALL} AS tokens, {COST} AS cost, CAST(max(day) AS VARCHAR) AS last_day FROM priced GROUP BY 1"))(
+    lambda spark, d: D.by_project(priced_of(spark, d))
+)
+query("dash_day", _with(f"""SELECT CAST(coalesce(s.day, p.day) AS VARCHAR) AS day, coalesce(sessions, 0) AS sessions, coalesce(tokens, 0) AS tokens, coalesce(n, 0) / 1e9 AS cost FROM
+  (SELECT day, count(*) AS sessions FROM (SELECT min(day) AS day FROM priced GROUP BY provider, session) GROUP BY 1) s
+  FULL JOIN (SELECT day, {ALL} AS tokens, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) AS n FROM priced GROUP BY 1) p ON s.day = p.day"""))(lambda spark, d: D.by_day(priced_of(spark, d)))
+query("hist_days", _with(f"SELECT CAST(day AS VARCHAR) AS day, {ALL} AS tokens FROM priced GROUP BY 1 ORDER BY 1 DESC LIMIT 120"))(lambda spark, d: D.last_days(priced_of(spark, d)))
+query("hist_hours", _with(f"""SELECT h.hour, ((h.hour + 18) % 24)::INT AS place, coalesce({ALL}, 0) AS tokens
+  FROM (SELECT unnest(range(24))::INT AS hour) h LEFT JOIN priced p ON hour(p.ts) = h.hour GROUP BY 1"""))(lambda spark, d: D.hours_from_six(priced_of(spark, d)))
+query("averages", _with(f"""SELECT project, cost / sessions AS cost_a_session, cost / calls AS cost_a_call, cost / tokens * 1e6 AS cost_a_million FROM (
+  SELECT project, {COST} AS cost, count(DISTINCT (provider, session)) AS sessions, count(*) AS calls, {ALL} AS tokens FROM priced GROUP BY 1)"""))(lambda spark, d: D.averages(priced_of(spark, d), "project"))
+
+LISTED = """heads AS (SELECT provider, session, project, min(session_model) AS model, count(*) AS messages, min(ts) AS started, max(ts) AS ended FROM headed GROUP BY 1, 2, 3),
+  spent AS (SELECT provider, session, sum(input + output + cache_read + cache_write) AS t, sum(n_in + n_out + n_r + n_w) AS n, max(unix) AS last_ts FROM priced GROUP BY 1, 2),
+  listed AS (SELECT h.*, CAST(coalesce(t, 0) AS BIGINT) AS tokens, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(last_ts, floor(epoch(ended))::BIGINT) AS ended_unix,
+    greatest(coalesce(last_ts * 1000, epoch_us(ended) // 1000) - epoch_us(started) // 1000, 0) AS duration_ms FROM heads h LEFT JOIN spent s ON h.provider = s.provider AND h.session = s.session)"""
+
+
+def listed(spark, d):
+    return K.sessions(headers_of(spark, d), R.session_totals(priced_of(spark, d)))
+
+
+@query("catalogue_sessions", f"WITH {CALLS_SQL}, {LISTED} SELECT provider, session, project, model, messages, tokens, n / 1e9 AS cost, floor(epoch(started))::BIGINT AS started, ended_unix AS ended, duration_ms FROM listed")
+def catalogue_sessions(spark, d):
+    return listed(spark, d).select("provider", "session", "project", "model", "messages", "tokens", "cost", unix(F.col("started_at")).alias("started"), unix(F.col("ended_at")).alias("ended"), "duration_ms")
+
+
+@query("catalogue_projects", f"""WITH {CALLS_SQL}, {LISTED} SELECT project, count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens,
+  CAST(sum(n) AS BIGINT) / 1e9 AS cost, max(floor(epoch(started))::BIGINT) AS last_active, CAST(sum(duration_ms) AS BIGINT) AS duration_ms
+  FROM listed WHERE CAST(started AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND model IN ('claude-opus-4-7', 'gpt-5') GROUP BY 1""")
+def catalogue_projects(spark, d):
+    shown = K.sessions_shown(listed(spark, d), "2024-01-05", "2024-01-12", ["claude-opus-4-7", "gpt-5"])
+    return K.projects(shown, by_start=True).select("project", "sessions", "messages", "tokens", "cost", unix(F.col("last_active")).alias("last_active"), "duration_ms")
+
+
+query("providers", f"WITH {CALLS_SQL}, {LISTED} SELECT provider, count(*) AS sessions, CAST(sum(n) AS BIGINT) / 1e9 AS cost FROM listed GROUP BY 1")(lambda spark, d: K.providers(listed(spark, d)))
+query("messages_shown", "SELECT conv_id AS session, turn AS ord, text FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'an')")(
+    lambda spark, d: K.messages_shown(messages_of(spark, d), ["User", "Assistant"], "AN").select("session", "ord", "text")
+)
+query("report_totals", _with(f"SELECT {TOKENS}, {MONEY} FROM priced"))(lambda spark, d: R.in_dollars(R.totals(R.rollup(priced_of(spark, d), "month"))).drop("api_calls"))

@@ -81,3 +81,39 @@ def top_projects(calls: DataFrame, n: int = 16) -> DataFrame:
 
 def model_choices(calls: DataFrame) -> DataFrame:
     return calls.select("session_model").where("session_model is not null").distinct()
+
+
+def tool_counts(messages: DataFrame) -> DataFrame:
+    """Tool calls by session and tool."""
+    return messages.where("kind = 'ToolUse'").groupBy("provider", "session", "tool_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_project(calls: DataFrame) -> DataFrame:
+    return calls.groupBy("project").agg(
+        F.count_distinct("provider", "session").alias("sessions"), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"), F.max(local_day(F.col("ts"))).cast("string").alias("last_day")
+    )
+
+
+def by_day(calls: DataFrame) -> DataFrame:
+    """Sessions on the day they start, tokens and cost on the day of the call."""
+    starts = calls.groupBy("provider", "session").agg(local_day(F.min("ts")).alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("sessions"))
+    spent = calls.groupBy(local_day(F.col("ts")).alias("day")).agg(F.sum(all_tokens()).alias("tokens"), F.sum("cost").alias("cost"))
+    both = starts.join(spent, "day", "full")
+    return both.select(F.col("day").cast("string").alias("day"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sessions", "tokens")), dollars(F.col("cost")).alias("cost"))
+
+
+def last_days(calls: DataFrame, n: int = 120) -> DataFrame:
+    """The bars of the latest days with calls, as many as the chart has."""
+    return calls.groupBy(local_day(F.col("ts")).alias("day")).agg(F.sum(all_tokens()).alias("tokens")).orderBy(F.desc("day")).limit(n).select(F.col("day").cast("string").alias("day"), "tokens")
+
+
+def hours_from_six(calls: DataFrame) -> DataFrame:
+    """Hours with their place on a chart that begins at 06."""
+    return by_hour(calls).select("hour", F.pmod(F.col("hour") - 6, F.lit(24)).cast("int").alias("place"), "tokens")
+
+
+def averages(calls: DataFrame, *by: str) -> DataFrame:
+    """Cost by session, by call and by a million tokens; null where there are none."""
+    sums = calls.groupBy(*by).agg(dollars(F.sum("cost")).alias("cost"), F.count_distinct("provider", "session").alias("sessions"), F.count(F.lit(1)).alias("calls"), F.sum(all_tokens()).alias("tokens"))
+    each = lambda c: F.try_divide("cost", F.nullif(F.col(c), F.lit(0)))
+    return sums.select(*by, each("sessions").alias("cost_a_session"), each("calls").alias("cost_a_call"), (each("tokens") * 1e6).alias("cost_a_million"))

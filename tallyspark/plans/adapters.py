@@ -82,4 +82,18 @@ def priced_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced(calls, resolve_rates(named, builtin_rates(spark)))
 
 
+def headers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session headers: each event as a message, the session's id as its name."""
+    return usage_rows(spark, sf_dir).groupBy("provider", "session", "project").agg(
+        F.min("session").alias("id"), F.min("session").alias("name"), F.min("session_model").alias("model"), F.count(F.lit(1)).alias("messages"),
+        F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
+    )
+
+
+def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as messages: roles as kinds."""
+    kind = F.initcap("role")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), kind.alias("kind"), "text")
+
+
 RATE_COLUMNS = RATES

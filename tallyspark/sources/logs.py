@@ -45,6 +45,12 @@ def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
 
+def claude_project(cwd: Column, rel_path: Column) -> Column:
+    """The working directory without the home folder, else the log's folder with its dashes as slashes."""
+    dashed = F.regexp_replace(F.element_at(F.split(rel_path, "/"), 1), "^-(?:Users|home)-[^-]+-", "")
+    return F.coalesce(pretty_path(cwd), F.regexp_replace(dashed, "-", "/"))
+
+
 def decode_claude(lines: DataFrame) -> DataFrame:
     """Billable assistant lines: one row a line, with ``project``, session facts and counts. Lines that are no JSON, or lack
     content, are dropped."""
@@ -64,9 +70,7 @@ def decode_claude(lines: DataFrame) -> DataFrame:
         F.min_by("cwd", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != ""), F.col("ord"))).alias("session_cwd"),
     )
     billable = rows.where("type = 'assistant' and has_usage and ts is not null").drop("cwd", "content", "has_usage", "type")
-    dashed = F.regexp_replace(F.element_at(F.split("rel_path", "/"), 1), "^-(?:Users|home)-[^-]+-", "")
-    project = F.coalesce(pretty_path(F.col("session_cwd")), F.regexp_replace(dashed, "-", "/"))
-    named = billable.join(heads, "session").withColumn("project", project).drop("session_cwd")
+    named = billable.join(heads, "session").withColumn("project", claude_project(F.col("session_cwd"), F.col("rel_path"))).drop("session_cwd")
     return named.withColumnRenamed("ord", "line_seq").drop("rel_path")
 
 
