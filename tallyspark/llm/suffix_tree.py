@@ -41,6 +41,8 @@ SMOOTHING = 16.0
 CODE_POINTS = 1_114_112
 BROADCAST_WORDS = 1_500_000
 WORDS_HELD = 150_000
+#: Steps that a task keeps computed at most.
+STEPS_HELD = 300_000
 START, STOP = "\x20", "\n"  # characters that no word holds
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,6 +100,9 @@ class SuffixTree:
                 self.n.setdefault(context, {})[symbol] = n
                 self.total[context] = total
         self.total.setdefault("", 0)
+        self.prefixes = {c[:k] for c in self.total for k in range(len(c) + 1)}
+        self.steps: dict = {}
+        self.n_steps = 0
 
     def state(self, before: str) -> str:
         for k in range(min(len(before), self.depth), 0, -1):
@@ -109,10 +114,28 @@ class SuffixTree:
         low = self.p(self.state(state[1:]), symbol) if state else 1 / CODE_POINTS
         return (self.n.get(state, {}).get(symbol, 0) + SMOOTHING * low) / (self.total[state] + SMOOTHING)
 
+    def step(self, at: str, symbol: str) -> tuple[str, float]:
+        """From the longest suffix of the text so far that begins a kept context: that suffix after ``symbol``, and the
+        symbol's log10 probability. All kept suffixes of the text are suffixes of ``at``, so nothing else counts."""
+        if self.n_steps > STEPS_HELD:
+            self.steps.clear()
+            self.n_steps = 0
+        after = at + symbol
+        while after not in self.prefixes:
+            after = after[1:]
+        found = after, math.log10(self.p(self.state(at), symbol))
+        self.steps.setdefault(at, {})[symbol] = found
+        self.n_steps += 1
+        return found
+
     def word(self, word: str) -> float:
         """log10 of a word's probability, its end included."""
-        marked = START + word + STOP
-        return sum(math.log10(self.p(self.state(marked[max(0, k - self.depth) : k]), marked[k])) for k in range(1, len(marked)))
+        at, each, steps = START if START in self.prefixes else "", [], self.steps
+        for symbol in word + STOP:
+            known = steps.get(at)
+            at, p = (known and known.get(symbol)) or self.step(at, symbol)
+            each.append(p)
+        return sum(each)
 
 
 class Counts:
