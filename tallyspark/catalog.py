@@ -254,7 +254,7 @@ def project_summary(spark, d):
     return D.project_summary(priced_of(spark, d))
 
 
-@query("dash_overview", _with(f"""SELECT count(DISTINCT (provider, session)) AS sessions, count(DISTINCT project) AS projects, {ALL} AS tokens, {COST} AS cost,
+@query("dash_overview", _with(f"""SELECT count(DISTINCT (provider, session)) AS sessions, count(DISTINCT project) AS projects, {TOKENS}, {ALL} AS tokens, {COST} AS cost,
   min(unix) AS earliest, max(unix) AS latest, count(DISTINCT day) AS active_days FROM priced"""))
 def dash_overview(spark, d):
     return D.overview(priced_of(spark, d))

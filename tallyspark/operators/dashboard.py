@@ -69,7 +69,7 @@ def project_summary(calls: DataFrame) -> DataFrame:
 
 def overview(calls: DataFrame) -> DataFrame:
     return calls.agg(
-        F.count_distinct("provider", "session").alias("sessions"), F.count_distinct("project").alias("projects"), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"),
+        F.count_distinct("provider", "session").alias("sessions"), F.count_distinct("project").alias("projects"), *(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"),
         F.unix_seconds(F.min("ts")).alias("earliest"), F.unix_seconds(F.max("ts")).alias("latest"), F.count_distinct(local_day(F.col("ts"))).alias("active_days"),
     )
 
