@@ -5,13 +5,15 @@ inflected and compounded forms share their counts. Each interpolates its discoun
 bigrams with discounted unigrams, and those with one continuation distribution that both classes
 share; for a rare expression both models thus say the same. A text is cut into windows of
 ``WINDOW`` words; a window's value is the difference of the models' log-likelihoods, divided by
-its length; the text's value is its greatest window's. A logistic curve, fitted on training rows
-that the counts haven't seen, turns the value into a score.
+its length; the text's value is its greatest window's. A logistic curve, fitted on all labelled
+training rows of a fold that the counts haven't seen, turns the value into a score; it thus knows
+the classes' shares as they are, whatever the size of the input.
 
 The models are fitted on a bounded sample of the labelled training rows, ``TRAIN_ROWS`` of each
-class at most, by the hash of the text, so copies are in or out together; n-grams seen once are
+class at most, by the hash of the document id; n-grams seen once are
 left to the back-off. The model's size is thus bounded whatever the corpus holds, and it is
-broadcast. Scoring is row-wise over whole texts, with no shuffle.
+broadcast. Scoring is row-wise over whole texts, with no shuffle; the curve is fitted on the
+written values, summed to hundredths.
 
 Null and empty texts get the score of a text with no evidence. Without labels of both classes all
 scores are the prior. Repeated label rows of one document count once, as toxic if any is.
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import shipped, table, written
 
 TRAIN_ROWS = 3_000
-CALIBRATION_ROWS = 1_500
 WINDOW = 16
 DISCOUNT = 0.75
 MIN_COUNT = 2
@@ -171,19 +172,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(remainder("doc_id", FOLDS) != 0)
     fold = F.when(remainder("doc_id", FOLDS) == FOLDS - 1, 1).otherwise(0)
     # Rows of the sample: the least hashes of each class, by a threshold that follows from its size.
-    sizes = {(r[0], r[1]): r[2] for r in marks.groupBy("toxic", fold.alias("f")).count().collect()}
+    sizes = dict(marks.where(fold == 0).groupBy("toxic").count().collect())
     share = F.lit(0.0)
-    for (c, f), n in sizes.items():
-        most = CALIBRATION_ROWS if f else TRAIN_ROWS
-        share = F.when((F.col("toxic") == c) & (F.col("f") == f), F.lit(min(1.0, most / n))).otherwise(share)
-    picked = marks.withColumn("f", fold).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    sample = written(rows.join(F.broadcast(picked), "doc_id"), "toxic-sample")  # (TRAIN_ROWS + CALIBRATION_ROWS) * 2 ids
-    model = KneserNey(written(ngram_counts(sample.where("f = 0").select("toxic", "text")), "toxic-ngrams"))
+    for c, n in sizes.items():
+        share = F.when(F.col("toxic") == c, F.lit(min(1.0, TRAIN_ROWS / n))).otherwise(share)
+    picked = marks.where(fold == 0).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    sample = written(rows.join(F.broadcast(picked), "doc_id"), "toxic-sample")  # TRAIN_ROWS * 2 ids
+    model = KneserNey(written(ngram_counts(sample.select("toxic", "text")), "toxic-ngrams"))
     shared = spark.sparkContext.broadcast(model)
-    held = values(sample.where("f = 1"), shared, "doc_id", "toxic").select("toxic", F.round("value", 2).alias("v"))
+    out = written(values(rows.withColumn("fold", (remainder("doc_id", FOLDS) == 0).cast("int")), shared, "doc_id", "fold"), "toxic-values")
+    held = out.join(marks.where(fold == 1), "doc_id").select("toxic", F.round("value", 2).alias("v"))
     pairs = [tuple(r) for r in held.groupBy("v").agg(F.sum("toxic"), F.count(F.lit(1))).collect()]
     a, b = logistic(pairs)
-    out = values(rows.withColumn("fold", (remainder("doc_id", FOLDS) == 0).cast("int")), shared, "doc_id", "fold")
     score = 1 / (1 + F.exp(-(F.col("value") * a + b)))
     return out.select("doc_id", (F.col("fold") == 1).alias("held_out"), "value", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -169,6 +169,22 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, docs[:3]), marks.limit(0)).count() == 3
 
 
+def test_toxicity_keeps_the_prior_of_a_large_table(spark):
+    rng = random.Random(2)
+    docs, labels = [], []
+    for d in range(20_000):
+        bad = rng.random() < 0.1
+        w = [f"word{chr(97 + rng.randrange(26))}" for _ in range(6)]
+        if rng.random() < (0.8 if bad else 0.1):  # the word tells the classes apart in part only
+            w[3] = "vile"
+        docs.append((d, " ".join(w)))
+        labels.append((d, 1, int(bad)))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(table(spark, docs), marks).collect()}
+    fold = [(got[d], y) for d, _, y in labels if zlib.crc32(str(d).encode()) % 5 == 4]
+    assert sum(p for p, _ in fold) / len(fold) == pytest.approx(sum(y for _, y in fold) / len(fold), abs=0.01)
+
+
 @pytest.mark.parametrize("limit", [suffix_tree.BROADCAST_WORDS, 40])
 def test_suffix_tree(spark, limit):
     rows = [*ODD, *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
