@@ -1,11 +1,12 @@
 """Language-model scores by a probabilistic suffix tree.
 
-Symbols are the characters of words, with a mark for a word's beginning and its end; whether
-another word or the end of the text comes next is a symbol of its own. Training gathers:
+A text is one run of symbols: a mark for its beginning, the characters of its words, a space
+between two words and a mark for its end. Contexts reach over the spaces, so a word's probability
+depends on what stands before it, and that of a text on the order of its words. Training gathers:
 
-1. counts of distinct words over all training texts (one shuffle, summed in tasks before);
-2. from these, each distinct word once and weighted by its count, next-symbol counts after every
-   context of up to ``DEPTH`` symbols;
+1. counts of distinct words over all training texts, for the base score;
+2. next-symbol counts after every context of up to ``DEPTH`` symbols of the running texts (summed
+   in tasks before the shuffle, which is by context and symbol);
 3. a divergence test for each context with at least ``MIN_SHARE`` of all symbols, of which there
    are at most 1 / MIN_SHARE a length: it is kept if its next symbols, against those after the
    context without its oldest symbol, save ``MIN_GAIN`` nats or more over the corpus.
@@ -43,7 +44,9 @@ BROADCAST_WORDS = 1_500_000
 WORDS_HELD = 150_000
 #: Steps that a task keeps computed at most.
 STEPS_HELD = 300_000
-START, STOP = "\x20", "\n"  # characters that no word holds
+#: Different n-grams of symbols that a task sums at most before it hands them on.
+NGRAMS_HELD = 500_000
+START, SPACE, STOP = "\t", "\x20", "\n"  # characters that no word holds
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -51,26 +54,32 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
     return train.select(F.explode(words(lower_ascii(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def symbol_counts(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``context, symbol, n`` for all contexts of 0 to ``depth`` symbols."""
+def running(words: list[str]) -> str:
+    """A text's symbols; that of its beginning is a context only."""
+    return START + SPACE.join(words) + STOP
+
+
+def symbol_counts(train: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """``context, symbol, n`` for all contexts of 0 to ``depth`` symbols of the running texts."""
 
     def longest(batches):
-        held: Counter = Counter()
+        find, held = re.compile(WORD_RE).findall, Counter()
         out = lambda: pa.record_batch({
-            "context": pa.array([c for c, _ in held], pa.string()), "symbol": pa.array([x for _, x in held], pa.string()), "n": pa.array(list(held.values()), pa.int64()),
+            "context": pa.array([x[:-1] for x in held], pa.string()), "symbol": pa.array([x[-1] for x in held], pa.string()), "n": pa.array(list(held.values()), pa.int64()),
         })
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                marked = START + word + STOP
-                for k in range(1, len(marked)):
-                    held[marked[max(0, k - depth) : k], marked[k]] += n
-            if len(held) > WORDS_HELD:
-                yield out()
-                held.clear()
+        for batch in sliced(batches, 20):
+            for value in batch.column(0):
+                run = running(find((value.as_py() or "").translate(LOWERED)))
+                held.update(run[:k] for k in range(2, min(depth, len(run)) + 1))
+                for at in range(0, len(run) - depth, NGRAMS_HELD):  # one text may be long, too
+                    held.update(run[k : k + depth + 1] for k in range(at, min(at + NGRAMS_HELD, len(run) - depth)))
+                    if len(held) > NGRAMS_HELD:
+                        yield out()
+                        held.clear()
         if held:
             yield out()
 
-    full = counts.mapInArrow(longest, "context string, symbol string, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    full = train.select(text).mapInArrow(longest, "context string, symbol string, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
     full = written(full, "pst-symbols")
     suffix = F.when(F.col("k") == 0, F.lit("")).otherwise(F.right("context", F.col("k")))
     every = full.select("*", F.explode(F.sequence(F.lit(0), F.length("context"))).alias("k")).select(suffix.alias("context"), "symbol", "n")
@@ -128,10 +137,10 @@ class SuffixTree:
         self.n_steps += 1
         return found
 
-    def word(self, word: str) -> float:
-        """log10 of a word's probability, its end included."""
+    def text(self, words: list[str]) -> float:
+        """log10 of a text's probability, its end included."""
         at, each, steps = START if START in self.prefixes else "", [], self.steps
-        for symbol in word + STOP:
+        for symbol in running(words)[1:]:
             known = steps.get(at)
             at, p = (known and known.get(symbol)) or self.step(at, symbol)
             each.append(p)
@@ -175,36 +184,34 @@ def lm_scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: s
     n_docs = train.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     N, V = n_words + n_docs, n_kinds + (n_docs > 0)
-    tree = spark.sparkContext.broadcast(SuffixTree(states(symbol_counts(counts)).select("context", "symbol", "n", "total").toArrow()))
+    tree = spark.sparkContext.broadcast(SuffixTree(states(symbol_counts(train, text)).select("context", "symbol", "n", "total").toArrow()))
     shared, lowest = _common(counts, limit)
     kind = docs.schema[doc_id].dataType.simpleString()
-    stop = (n_docs + 1) / (N + 2)
     end_base = math.log10((n_docs + 1) / (N + V + 1))
 
     def score(batches):
         find, common, model = re.compile(WORD_RE).findall, shared.value, tree.value
         held: dict = {}
-        go, end = math.log10(1 - stop), math.log10(stop)
         for batch in sliced(batches):
             out: list[tuple] = []
             for value in batch.column(1):
-                own = Counter(find((value.as_py() or "").translate(LOWERED)))
+                words = find((value.as_py() or "").translate(LOWERED))
+                own = Counter(words)
                 if missing := [w for w in own if w not in held]:
                     if len(held) > WORDS_HELD:
                         held.clear()
                         missing = list(own)
                     for w, c in zip(missing, common.find(missing)):
-                        held[w] = (c, math.log10((c + 1) / (N + V + 1)) if c is not None else 0.0, model.word(w) + go)
-                known, base, total, rare = int(n_docs > 0), end_base, end, []
+                        held[w] = (c, math.log10((c + 1) / (N + V + 1)) if c is not None else 0.0)
+                known, base, rare = int(n_docs > 0), end_base, []
                 for w, m in own.items():
-                    c, b, s = held[w]
-                    total += m * s
+                    c, b = held[w]
                     if c is None:
                         rare.append({"word": w, "m": m})
                     else:
                         known += m
                         base += m * b
-                out.append((sum(own.values()) + 1, known, base, total, rare))
+                out.append((len(words) + 1, known, base, model.text(words), rare))
             n, known, base, total, rare = zip(*out) if out else ((),) * 5
             yield pa.record_batch({
                 doc_id: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()),

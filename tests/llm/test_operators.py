@@ -200,6 +200,14 @@ def test_suffix_tree(spark, limit):
         assert got[d]["score"] < 0
 
 
+def test_suffix_tree_reads_the_order_of_words(spark):
+    df = table(spark, [(d, "ab cd ef gh ij kl mn op" if d < 90 else None) for d in range(100)])
+    docs = table(spark, [(1, "ab cd ef gh ij kl mn op"), (2, "op mn kl ij gh ef cd ab"), (3, "")])
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in suffix_tree.lm_scores(docs, df).collect()}
+    assert got[1][1] == pytest.approx(got[2][1]) and got[1][0] > got[2][0] + 5
+    assert got[3][0] == pytest.approx(-1, abs=0.2)  # a tenth of the training texts is empty
+
+
 def test_mixing(spark):
     cells = [("a", 60, 0.9, 0.05, 0.05), ("b", 30, 0.1, 0.8, 0.1), ("c", 10, 0.2, 0.1, 0.7)]
     df = spark.createDataFrame(cells, "cell string, words long, p_good double, p_low double, p_toxic double")
