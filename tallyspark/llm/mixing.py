@@ -7,8 +7,13 @@
 2. Every document gets posteriors of the domains, so its words count towards each in part.
    Documents with the same features share them, and are summed to one cell: cells are bounded by
    the features' values, whatever the number of documents.
-3. Projected gradient least squares over the cells: nonnegative rates whose expected words by
-   domain come nearest to the targets, starting from ``START_RATE`` for all. A document has its cell's rate:
+3. Least squares over the cells: nonnegative rates whose expected words by domain meet the targets,
+   and of those the nearest to ``START_RATE``, documents weighted by their words. Such rates are
+   ``START_RATE`` plus a multiple of each posterior, cut at 0; Newton's method finds the multiples,
+   a sum over the cells a round, until the slope is under the tolerance, and fails if it doesn't
+   get there. Where no rates meet the targets, the nearest would put all weight on a few documents;
+   then the squared distance from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as that from
+   the targets, and a warning says what is missing. A document has its cell's rate:
    equal posteriors have equal gradients, so this is the fit over documents.
 
 Null and empty texts have no words, posteriors like any other and a rate. Labels that are null
@@ -19,8 +24,10 @@ Targets are shares of the expected total; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +41,10 @@ START_RATE = 1.0
 VOCABULARY = 60
 STEM = 5
 MIN_DOCS = 5
-ITERATIONS = 60
+#: A fit that takes more rounds fails.
+ITERATIONS = 200
 TOLERANCE = 1e-4
+WITHIN_REACH, OUT_OF_REACH = 1e-9, 1e-2
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -106,23 +115,48 @@ def _posteriors(labelled: DataFrame, sizes: dict[str, int]) -> list[Column]:
 
 def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGET, start: float = START_RATE) -> DataFrame:
     """``cells``: key, words and posteriors. Adds ``rate``; each round is one sum over the cells."""
-    total = cells.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] or 1
-    goal = [targets[d] * budget for d in DOMAINS]
-    share = [F.sum(F.col("rate") * F.col("words") / total * F.col(f"p_{d}")) for d in DOMAINS]
-    cross = cells.agg(*(F.sum(F.col("words") / total * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS)).first()
-    # The step is one over a bound on the curvature: the largest sum of a row of the small matrix of second moments.
+    total = cells.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    if not total:
+        return cells.withColumn("rate", F.lit(float(start)))
+    goal = np.array([targets[d] * budget for d in DOMAINS])
     k = len(DOMAINS)
-    step = 1 / max(max(sum(cross[a * k + b] or 0 for b in range(k)) for a in range(k)), 1e-9)
-    now = cells.withColumn("rate", F.lit(float(start)))
-    for i in range(ITERATIONS):
-        gap = [(s or 0.0) - g for s, g in zip(now.agg(*share).first(), goal)]
-        if max(map(abs, gap)) < TOLERANCE:
-            break
-        slope = reduce(lambda a, b: a + b, (F.col(f"p_{d}") * g for d, g in zip(DOMAINS, gap)))
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope * step))
-        if i % 10 == 9:
-            now = written(now, "mix-rates")
-    return now
+    p, w = [F.col(f"p_{d}") for d in DOMAINS], F.col("words") / total
+
+    def rate(multiples) -> Column:
+        return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, (c * float(x) for c, x in zip(p, multiples)), F.lit(float(start))))
+
+    def at(multiples, ridge: float):
+        """The convex function that is made least, its slope, its curvature and what goes beyond the targets."""
+        r = rate(multiples)
+        rows = [w * r * r / 2, *(w * r * a for a in p), *(F.when(r > 0, w * a * b).otherwise(0.0) for a in p for b in p)]
+        half, *sums = cells.agg(*map(F.sum, rows)).first()
+        gap = np.array(sums[:k]) - goal
+        value = half - goal @ multiples + ridge / 2 * multiples @ multiples
+        return value, gap + ridge * multiples, np.array(sums[k:]).reshape(k, k) + ridge * np.eye(k), gap
+
+    def fitted(ridge: float):
+        now, rounds, least = np.zeros(k), 0, TOLERANCE / 10
+        value, slope, curvature, gap = at(now, ridge)
+        while np.abs(slope).max() > least:
+            step, part = -np.linalg.solve(curvature, slope), 1.0
+            while True:
+                if (rounds := rounds + 1) > ITERATIONS:
+                    raise RuntimeError(f"the fit of rates didn't converge in {ITERATIONS} rounds; missing: {missing(gap)}")
+                then = at(now + part * step, ridge)
+                if then[0] <= value + 1e-4 * part * (slope @ step) or np.abs(then[1]).max() <= least:
+                    break
+                part /= 2
+            now = now + part * step
+            value, slope, curvature, gap = then
+        return now, gap
+
+    missing = lambda gap: dict(zip(DOMAINS, (-gap).tolist()))
+    found, gap = fitted(WITHIN_REACH)
+    if np.abs(gap).max() > TOLERANCE:
+        nearest = missing(gap)
+        found, gap = fitted(OUT_OF_REACH)
+        warnings.warn(f"no rates reach the targets; missing by domain, in shares of all words: {missing(gap)}, at the nearest {nearest}", stacklevel=2)
+    return cells.withColumn("rate", rate(found))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -217,3 +217,17 @@ def test_mixing(spark):
         assert sum(rates[c] * w * p[k] for c, w, *p in cells) / 100 == pytest.approx(goal[d], abs=0.01)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mixing_rates(table(spark), none).count() == len(ODD)
+
+
+def test_mixing_reaches_the_share_of_a_rare_domain(spark):
+    columns, domains = "cell string, words long, p_good double, p_low double, p_toxic double", ("good", "low", "toxic")
+    goal = {"good": 0.7, "low": 0.2, "toxic": 0.1}
+    for rare in (3, 1):
+        cells = [("a", 60, 0.9, 0.05, 0.05), ("b", 40 - rare, 0.1, 0.85, 0.05), ("c", rare, 0.05, 0.05, 0.9), ("d", 0, 1.0, 0.0, 0.0)]
+        rates = {r["cell"]: r["rate"] for r in mixing.fit_rates(spark.createDataFrame(cells, columns), goal).collect()}
+        assert min(rates.values()) >= 0
+        for k, d in enumerate(domains):
+            assert sum(rates[c] * w * p[k] for c, w, *p in cells) / 100 == pytest.approx(goal[d], abs=mixing.TOLERANCE)
+    cells = [("a", 50, 0.5, 0.1, 0.4), ("b", 50, 0.1, 0.5, 0.4)]
+    with pytest.warns(UserWarning, match="no rates reach"):  # all words are toxic in part
+        mixing.fit_rates(spark.createDataFrame(cells, columns), {"good": 1.0, "low": 0.0, "toxic": 0.0})
