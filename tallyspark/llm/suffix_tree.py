@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,9 +82,15 @@ def symbol_counts(train: DataFrame, text: str = "text", depth: int = DEPTH) -> D
 
     full = train.select(text).mapInArrow(longest, "context string, symbol string, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
     full = written(full, "pst-symbols")
-    suffix = F.when(F.col("k") == 0, F.lit("")).otherwise(F.right("context", F.col("k")))
-    every = full.select("*", F.explode(F.sequence(F.lit(0), F.length("context"))).alias("k")).select(suffix.alias("context"), "symbol", "n")
-    return every.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    # Length by length: a context's counts are those of the contexts that are longer by one, and of texts that begin with it.
+    levels: list[DataFrame] = []
+    for k in range(depth, -1, -1):
+        rows = full.where(F.length("context") == k)
+        if levels:
+            rows = rows.unionByName(levels[-1].withColumn("context", F.expr("substring(context, 2)")))
+            rows = rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+        levels.append(written(rows, "pst-level") if k < depth else rows)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def states(symbols: DataFrame, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN) -> DataFrame:
