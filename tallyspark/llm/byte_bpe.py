@@ -1,17 +1,22 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. ``count_words``: each task splits its texts into pre-tokens and counts them; one shuffle
-   brings the counts of a distinct word together.
-2. ``dictionary``: each distinct word is encoded once, whatever its count; a written table.
-3. ``encode``: texts are split again, each pre-token with its position, and ids are joined back.
-   The commonest words, as many as ``BROADCAST_BYTES`` hold, are joined by broadcast, so that no
-   common word is ever shuffled by key. The other words, all rarer than those, are exploded with
-   their positions, joined by word, and put back into the text's ids by position.
-4. ``decode`` joins the token-byte table, whose size is the vocabulary's, and concatenates.
+1. ``blocks``: each task splits its texts into pre-tokens. A block, some thousand documents, keeps
+   its distinct words once and each document as positions into them; a written table.
+2. ``encoded_words``: the blocks' words are exploded, each with its place in its block, and meet by
+   word in one shuffle. Sorted by word, all rows of a word arrive one after the other, so that it
+   is encoded once, and its ids are joined back to each of its rows. A word has one row a block at
+   most, however often texts hold it, so no word is hot.
+3. ``encode``: a second shuffle brings the ids of a block's words to its documents, which are put
+   together by position. A block is bounded by ``WORDS_HELD`` words and ``POSITIONS_HELD``
+   positions, or is one document.
+4. ``decode`` joins the token-byte table, which is bounded by the vocabulary's size and thus goes
+   to each task whole, and concatenates.
+
+There is one path for all sizes, and nothing of the corpus goes through the driver.
 
 Null texts count as empty and give no ids. Ids of rows may repeat or be null; every row is
 encoded. A pre-token has no length limit. An empty table gives an empty result. Other columns
-aren't read.
+aren't read, whatever their names. Ids outside the vocabulary can't be decoded: an error.
 """
 
 from __future__ import annotations
@@ -20,23 +25,22 @@ import base64
 import re
 import sys
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import shipped, sliced, table, written
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: Bound on the words and ids that are broadcast.
-BROADCAST_BYTES = 128 << 20
-#: Distinct words that a task holds at most before it hands on its counts, or in its cache of ids.
-WORDS_HELD = 200_000
+#: Distinct words and positions of a block, but for its last document.
+WORDS_HELD, POSITIONS_HELD = 400_000, 4_000_000
 #: White space of the pattern's ``\\s``, as the inside of a character class.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B))))
 
@@ -69,203 +73,112 @@ def encoder(ranks: bytes):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
-def word_key(word: str) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(word.encode())[:12]
-
-
 def read_ranks(path: str | None = None) -> bytes:
     with open(path or public_tokenizers.path(RANKS_FILE), "rb") as f:
         return f.read()
 
 
-def count_words(df: DataFrame, text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``word, n`` over all texts."""
+def gathered(values: pa.Array, at: list[np.ndarray]) -> pa.Array:
+    """For each list of positions, the values there one after the other; null or missing values are an error."""
+    every = np.concatenate([*at, np.zeros(0, "u4")])
+    flat = None if len(every) and every.max() >= len(values) else values.cast(pa.large_binary()).take(pa.array(every))
+    if flat is None or flat.null_count:
+        raise ValueError("ids outside the vocabulary")
+    _, ends, data = flat.buffers()
+    each = np.frombuffer(ends, "i8")[np.cumsum([0, *map(len, at)])]  # the values lie one after the other already
+    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(each), data])
+
+
+def packed(at: np.ndarray) -> bytes:
+    """Positions byte plane by byte plane, compressed: most planes are zeros."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
+
+def blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN, held: int = WORDS_HELD) -> DataFrame:
+    """``block, doc_id, at, words``: a row for each document with its packed positions, and one for each block with its words."""
+    kind = df.schema[doc_id].dataType
     shipped(df.sparkSession)
 
-    def count(batches):
-        find, held = splitter(pattern), Counter()
-        out = lambda: pa.record_batch({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-        for batch in batches:
-            for value in batch.column(0):
-                held.update(find(value.as_py() or ""))
-                if len(held) > WORDS_HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+    def split(batches):
+        find, number = splitter(pattern), count(TaskContext.get().partitionId() << 32)
+        own: dict = defaultdict(count().__next__)
+        block, positions = next(number), 0
+        for batch in sliced(batches):
+            at = []
+            for value in batch.column(1):
+                found = find(value.as_py() or "")
+                at.append(packed(np.fromiter(map(own.__getitem__, found), "u4", len(found))))
+                positions += len(found)
+            n = len(at)
+            yield pa.record_batch({"block": pa.array([block] * n, pa.int64()), "id": batch.column(0), "at": pa.array(at, pa.binary()), "words": pa.nulls(n, pa.list_(pa.string()))})
+            if len(own) > held or positions > POSITIONS_HELD:
+                yield last(block, own)
+                own, block, positions = defaultdict(count().__next__), next(number), 0
+        if own:
+            yield last(block, own)
+
+    def last(block, own):
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    return df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return pa.record_batch({"block": pa.array([block], pa.int64()), "id": pa.nulls(1, to_arrow_type(kind)), "at": pa.nulls(1, pa.binary()), "words": pa.array([list(own)], pa.list_(pa.string()))})
 
+    return written(df.select(doc_id, text).mapInArrow(split, f"block long, id {kind.simpleString()}, at binary, words array<string>"), "bpe-blocks")
 
-def dictionary(df: DataFrame, ranks: bytes, text: str = "text") -> DataFrame:
-    """``word, n, key, ids, n_ids, bucket``: each distinct word once; ids are unsigned 32-bit, little-endian."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+def encoded_words(parts: DataFrame, ranks: bytes) -> DataFrame:
+    """``block, k, ids``: the ids, unsigned 32-bit and little-endian, of each block's k-th word."""
+    shared = parts.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def encode(batches):
         piece = encoder(shared.value)._encode_single_piece
+        before, its_ids = None, b""
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.asarray(piece(w.encode()), "<u4").tobytes() for w in words]
-            yield pa.record_batch(
-                {"word": batch.column(0), "n": batch.column(1), "key": pa.array(map(word_key, words), pa.binary()), "ids": pa.array(ids, pa.binary())}
-            )
-
-    found = count_words(df, text).mapInArrow(encode, "word string, n long, key binary, ids binary")
-    bucket = F.floor(F.log2("n") * 4).cast("int").alias("bucket")
-    return written(found.select("*", (F.length("ids") / 4).cast("int").alias("n_ids"), bucket), "bpe-words")
-
-
-def common_bucket(words: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[int, bool]:
-    """The lowest bucket of counts from which on the words fit into ``limit`` bytes, and whether rarer ones are left."""
-    size = F.sum(F.lit(16) + F.length("ids") / 2).alias("size")
-    rows = sorted(words.groupBy("bucket").agg(size).collect(), reverse=True)  # some hundred buckets at most
-    total, lowest = 0, 1 << 30
-    for bucket, size in rows:
-        total += size
-        if total > limit:
-            return lowest, True
-        lowest = bucket
-    return lowest, False
-
-
-class Keys:
-    """Sorted 96-bit keys of the broadcast words."""
-
-    def __init__(self, keys: pa.ChunkedArray):
-        kind = np.dtype([("a", ">u8"), ("b", ">u4")])
-        both = np.concatenate([np.zeros(0, kind), *(np.frombuffer(c.cast(pa.binary(12)).buffers()[1], kind)[c.offset : c.offset + len(c)] for c in keys.chunks)])
-        self.order = np.argsort(both["a"], kind="stable")
-        self.a, self.b = both["a"][self.order].astype("u8"), both["b"][self.order].astype("u4")
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """Where each word stands, -1 for others."""
-        if not len(self.a):
-            return np.full(len(words), -1)
-        both = np.frombuffer(b"".join(map(word_key, words)), np.dtype([("a", ">u8"), ("b", ">u4")]))
-        a, b = both["a"].astype("u8"), both["b"].astype("u4")
-        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
-        hit = self.a[at] == a
-        for i in np.flatnonzero(hit & (self.b[at] != b)):  # keys that agree in 64 bits
-            k = at[i]
-            while k < len(self.a) and self.a[k] == a[i] and self.b[k] != b[i]:
-                k += 1
-            hit[i] = k < len(self.a) and self.a[k] == a[i]
-            at[i] = k if hit[i] else 0
-        return np.where(hit, at, -1)
-
-
-class Common:
-    """The broadcast words with their ids, two bytes each if the vocabulary allows."""
-
-    def __init__(self, rows: pa.Table):
-        self.keys = Keys(rows.column("key"))
-        ids = rows.column("ids").cast(pa.large_binary()).combine_chunks().take(pa.array(self.keys.order))
-        self.keys.order = None
-        size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype("i8") // 4
-        self.end = np.concatenate((np.zeros(1, "i8"), np.cumsum(size)))
-        flat = np.frombuffer(ids.buffers()[2], "<u4")[: self.end[-1]] if self.end[-1] else np.zeros(0, "<u4")
-        self.end = self.end.astype("u4" if len(flat) < 1 << 32 else "u8")
-        self.ids = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
-
-    def find(self, words: list[str]) -> list[bytes | None]:
-        ids, at = self.ids, self.keys.places(words)
-        starts, ends = self.end[at].tolist(), self.end[at + 1].tolist()
-        return [ids[x:y].astype("<u4").tobytes() if k >= 0 else None for k, x, y in zip(at.tolist(), starts, ends)]
-
-
-def broadcast_common(words: DataFrame, limit: int) -> tuple[object, int, bool]:
-    lowest, rare = common_bucket(words, limit)
-    found = Common(words.where(F.col("bucket") >= lowest).select("key", "ids").toArrow())
-    return words.sparkSession.sparkContext.broadcast(found), lowest, rare
-
-
-def _looked_up(common, held: dict, found: list[str]) -> bool:
-    """Put the ids of the words into ``held``, None for a rarer word; whether all are known."""
-    if missing := [w for w in dict.fromkeys(found) if w not in held]:
-        if len(held) > WORDS_HELD:
-            held.clear()
-            missing = list(dict.fromkeys(found))
-        held.update(zip(missing, common.find(missing)))
-    return all(held[w] is not None for w in missing) and None not in map(held.__getitem__, found)
-
-
-def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+            each = batch.column(2).dictionary_encode()
+            words = each.dictionary.to_pylist()  # a word that goes on in the next batch keeps its ids
+            ids = [its_ids if w == before else np.asarray(piece(w.encode()), "<u4").tobytes() for w in words]
+            if words:
+                before, its_ids = words[-1], ids[-1]
+            yield pa.record_batch({"block": batch.column(0), "k": batch.column(1), "ids": pa.array(ids, pa.binary()).take(each.indices)})
+
+    places = parts.where("words is not null").select("block", F.posexplode("words").alias("k", "word"))
+    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, k int, ids binary")
+
+
+def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, held: int = WORDS_HELD) -> DataFrame:
     """``doc_id, ids``: the ids of each text, unsigned 32-bit, little-endian, one after the other."""
-    words = dictionary(df, ranks or read_ranks(), text)
-    shared, lowest, rare = broadcast_common(words, limit)
     kind = df.schema[doc_id].dataType.simpleString()
+    parts = blocks(df, doc_id, text, held=held)
+    words = encoded_words(parts, ranks or read_ranks())
 
-    def join(batches):
-        find, held, common = splitter(public_tokenizers.PATTERN), {}, shared.value
-        for batch in sliced(batches):
-            ids, holes = [], []
-            for value in batch.column(1):
-                found = find(value.as_py() or "")
-                if _looked_up(common, held, found):
-                    ids.append(b"".join(map(held.__getitem__, found)))
-                    holes.append(None)
-                    continue
-                done, at, gaps = [], 0, []
-                for w in found:
-                    if (x := held[w]) is None:
-                        gaps.append({"at": at, "word": w})
-                    else:
-                        done.append(x)
-                        at += len(x)
-                ids.append(b"".join(done))
-                holes.append(gaps)
-            kinds = pa.list_(pa.struct([("at", pa.int64()), ("word", pa.string())]))
-            yield pa.record_batch({doc_id: batch.column(0), "ids": pa.array(ids, pa.binary()), "holes": pa.array(holes, kinds)})
-
-    parts = df.select(doc_id, text).mapInArrow(join, f"`{doc_id}` {kind}, ids binary, holes array<struct<at:bigint,word:string>>")
-    if not rare:
-        return parts.select(doc_id, "ids")
-    parts = written(parts.select("*", F.monotonically_increasing_id().alias("__row")), "bpe-parts")
-    holes = parts.select("__row", F.posexplode("holes").alias("k", "hole")).select("__row", "k", "hole.at", "hole.word")
-    rarer = words.where(F.col("bucket") < lowest).select("word", F.col("ids").alias("piece"))
-    pieces = holes.join(rarer, "word").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "at", "piece"))).alias("pieces"))
-
-    def put_back(batches):
-        for batch in sliced(batches):
-            whole = []
-            for ids, pieces in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                done, last = [], 0
-                for p in pieces or ():
-                    done += (ids[last : p["at"]], p["piece"])
-                    last = p["at"]
-                whole.append(b"".join([*done, ids[last:]]))
-            yield pa.record_batch({doc_id: batch.column(0), "ids": pa.array(whole, pa.binary())})
-
-    return parts.join(pieces, "__row", "left").select(doc_id, "ids", "pieces").mapInArrow(put_back, f"`{doc_id}` {kind}, ids binary")
-
-
-def token_lengths(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``doc_id, n_tokens`` by the same joins, without the ids."""
-    words = dictionary(df, ranks or read_ranks(), text)
-    shared, lowest, rare = broadcast_common(words, limit)
-    kind = df.schema[doc_id].dataType.simpleString()
+    def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("k").to_numpy())
+        pieces = words.column("ids").combine_chunks().take(pa.array(order))
+        ids = gathered(pieces, [unpacked(x.as_py()) for x in docs.column("at")])
+        return pa.table({doc_id: docs.column("id"), "ids": ids.cast(pa.binary())})
 
-    def join(batches):
-        find, held, common = splitter(public_tokenizers.PATTERN), {}, shared.value
-        for batch in sliced(batches):
-            counts, holes = [], []
-            for value in batch.column(1):
-                found = find(value.as_py() or "")
-                known = _looked_up(common, held, found)
-                counts.append(sum(map(len, filter(None, map(held.__getitem__, found)))) // 4)
-                holes.append(None if known else [w for w in found if held[w] is None])
-            yield pa.record_batch({doc_id: batch.column(0), "known": pa.array(counts, pa.int64()), "holes": pa.array(holes, pa.list_(pa.string()))})
+    docs = parts.where("at is not null").select("block", "id", "at")
+    return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, f"`{doc_id}` {kind}, ids binary")
 
-    parts = df.select(doc_id, text).mapInArrow(join, f"`{doc_id}` {kind}, known long, holes array<string>")
-    if not rare:
-        return parts.select(doc_id, F.col("known").alias("n_tokens"))
-    parts = written(parts.select("*", F.monotonically_increasing_id().alias("__row")), "bpe-lengths")
-    rarer = words.where(F.col("bucket") < lowest).select("word", "n_ids")
-    more = parts.select("__row", F.explode("holes").alias("word")).join(rarer, "word").groupBy("__row").agg(F.sum("n_ids").alias("more"))
-    return parts.join(more, "__row", "left").select(doc_id, (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
+
+def token_lengths(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, held: int = WORDS_HELD) -> DataFrame:
+    """``doc_id, n_tokens``: how many ids each text has."""
+    return encode(df, doc_id, text, ranks, held).select(doc_id, (F.length("ids") / 4).cast("long").alias("n_tokens"))
+
+
+@lru_cache(maxsize=2)
+def token_bytes(ranks: bytes) -> pa.Array:
+    """The token-byte table: by id, null where the vocabulary has none."""
+    merges = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.splitlines())}
+    return pa.array(map(merges.get, range(max(merges) + 1)), pa.large_binary())
 
 
 def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks: bytes | None = None) -> DataFrame:
@@ -274,10 +187,10 @@ def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks: bytes
     kind = df.schema[doc_id].dataType.simpleString()
 
     def join(batches):
-        merges = {int(b): base64.b64decode(a) for a, b in map(bytes.split, shared.value.splitlines())}
+        table_ = token_bytes(shared.value)
         for batch in sliced(batches):
-            out = [b"".join(map(merges.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
-            yield pa.record_batch({doc_id: batch.column(0), "ids": batch.column(1), "decoded": pa.array(out, pa.binary())})
+            decoded = gathered(table_, [np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column(1)])
+            yield pa.record_batch({doc_id: batch.column(0), "ids": batch.column(1), "decoded": decoded.cast(pa.binary())})
 
     return df.select(doc_id, F.col(ids).alias("ids")).mapInArrow(join, f"`{doc_id}` {kind}, ids binary, decoded binary")
 

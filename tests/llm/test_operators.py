@@ -1,5 +1,6 @@
 """The operators against brute force on small tables, with nulls, empty and repeated rows, ties and clashing columns."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -11,6 +12,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tallyspark.llm")
 from tallyspark.llm import byte_bpe, iso_media, line_dedup, mixing, ngram_join, quality_rules, queries, suffix_tree, token_counts, toxicity, warc  # noqa: E402
@@ -90,21 +92,45 @@ def test_ngram_join(spark):
     assert ngram_join.ngram_components(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("limit", [byte_bpe.BROADCAST_BYTES, 3000])
-def test_byte_bpe(spark, limit):
-    rows = [*ODD, *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
+@pytest.mark.parametrize("held", [byte_bpe.WORDS_HELD, 30])
+def test_byte_bpe(spark, held):
+    rows = [*ODD, (None, "null id"), (6, "same id"), *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
     encode = byte_bpe.encoder(byte_bpe.read_ranks()).encode_ordinary
-    df = table(spark, rows)
-    got = {r["doc_id"]: r for r in byte_bpe.decode(byte_bpe.encode(df, limit=limit)).collect()}
+    df = table(spark, rows).withColumns({c: F.lit(1) for c in ("ids", "words", "block", "at", "id")})
+    got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in byte_bpe.decode(byte_bpe.encode(df, held=held)).collect())
+    want = Counter()
     for d, t in rows:
         ids = encode(t or "")
-        assert bytes(got[d]["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and bytes(got[d]["decoded"]) == (t or "").encode()
-    lengths = {r["doc_id"]: r["n_tokens"] for r in byte_bpe.token_lengths(df, limit=limit).collect()}
-    assert lengths == {d: len(encode(t or "")) for d, t in rows}
+        want[d, struct.pack(f"<{len(ids)}I", *ids), (t or "").encode()] += 1
+    assert got == want
+    lengths = Counter(tuple(r) for r in byte_bpe.token_lengths(df, held=held).collect())
+    assert lengths == Counter((d, len(encode(t or ""))) for d, t in rows)
+    assert byte_bpe.decode(byte_bpe.encode(table(spark, []))).count() == 0
+
+
+def test_decoding_unknown_ids_fails(spark):
+    ids = spark.createDataFrame([(1, bytearray(struct.pack("<I", 50_256)))], "doc_id long, ids binary")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        byte_bpe.decode(ids).collect()
+
+
+def test_registered_bpe_queries(spark):
+    encode = byte_bpe.encoder(byte_bpe.read_ranks()).encode_ordinary
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op4_byte_bpe"](spark, SF).collect()}
+    sizes = Counter()
+    for d, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = encode(t or "")
+        sizes[len(ids)] += 1
+        digest = hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert got[d] == (len(ids), digest, hashlib.sha256((t or "").encode()).hexdigest())
+    rows = {r["n_tokens"]: r for r in queries.QUERIES["op9_token_counts"](spark, SF).collect()}
+    assert {n: r["n_docs"] for n, r in rows.items()} == sizes
+    for n, r in rows.items():
+        assert r["truncated_total"] == sum(c * min(n, m) for m, c in sizes.items()) and r["docs_at_least"] == sum(c for m, c in sizes.items() if m >= n)
 
 
 def test_token_counts(spark):
-    n = [0, 0, 3, 3, 3, 5, 2000, 1023, 1024]
+    n = [0, 0, 3, 3, 3, 5, 2000, 1023, 1024, 3_000_000, 1 << 31, (1 << 31) - 1]
     rows = {r["n_tokens"]: r for r in token_counts.histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long")).collect()}
     for x in set(n):
         r = rows[x]
@@ -112,7 +138,8 @@ def test_token_counts(spark):
         assert r["truncated_total"] == sum(min(x, y) for y in n) and r["quantile"] == pytest.approx(sum(y <= x for y in n) / len(n))
     sums = token_counts.histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long"))
     cut = token_counts.at_limits(sums, spark.createDataFrame([(4,), (9999,)], "context int")).collect()
-    assert {r["context"]: (r["docs_longer"], r["truncated_total"]) for r in cut} == {4: (4, 25), 9999: (0, sum(n))}
+    assert {r["context"]: (r["docs_longer"], r["truncated_total"]) for r in cut} == {4: (7, sum(min(x, 4) for x in n)), 9999: (3, sum(min(x, 9999) for x in n))}
+    assert token_counts.histogram(sums.limit(0)).count() == 0
 
 
 def test_iso_media(spark):
