@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. ``blocks``: each task splits its texts into pre-tokens. A block, some thousand documents, keeps
-   its distinct words once and each document as positions into them; a written table.
+   its distinct words once and each document as positions into them.
 2. ``encoded_words``: the blocks' words are exploded, each with its place in its block, and meet by
    word in one shuffle. Sorted by word, all rows of a word arrive one after the other, so that it
    is encoded once, and its ids are joined back to each of its rows. A word has one row a block at
@@ -12,6 +12,11 @@
 4. ``decode`` joins the token-byte table, which is bounded by the vocabulary's size and thus goes
    to each task whole, and concatenates.
 
+Texts are split twice, once for the words and once for the positions, as keeping the positions in
+a table would take half the input's disk again. A table gives the same rows in the same tasks each
+time, also after an executor is lost; a block's key holds a hash of its words, and for input that
+isn't a table and comes in another order when it is read again, ``encode`` fails.
+
 There is one path for all sizes, and nothing of the corpus goes through the driver.
 
 Null texts count as empty and give no ids. Ids of rows may repeat or be null; every row is
@@ -36,11 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import shipped, sliced, table, written
+from tallyspark.llm.common import shipped, sliced, table
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Distinct words and positions of a block, but for its last document.
 WORDS_HELD, POSITIONS_HELD = 400_000, 4_000_000
+#: Encoded words that a task packs by block at once.
+ROWS_HELD = 200_000
 #: White space of the pattern's ``\\s``, as the inside of a character class.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B))))
 
@@ -78,22 +85,22 @@ def read_ranks(path: str | None = None) -> bytes:
         return f.read()
 
 
-def gathered(values: pa.Array, at: list[np.ndarray]) -> pa.Array:
-    """For each list of positions, the values there one after the other; null or missing values are an error."""
-    every = np.concatenate([*at, np.zeros(0, "u4")])
+def gathered(values: pa.Array, every: np.ndarray, lengths: list[int] | np.ndarray) -> pa.Array:
+    """``every``: positions, list after list, of these lengths. For each list its values one after the other; null or missing
+    values are an error."""
     flat = None if len(every) and every.max() >= len(values) else values.cast(pa.large_binary()).take(pa.array(every))
     if flat is None or flat.null_count:
         raise ValueError("ids outside the vocabulary")
     _, ends, data = flat.buffers()
-    each = np.frombuffer(ends, "i8")[np.cumsum([0, *map(len, at)])]  # the values lie one after the other already
-    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(each), data])
+    each = np.frombuffer(ends, "i8")[np.concatenate(([0], np.cumsum(lengths, dtype="i8")))]  # the values lie one after the other already
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(each), data])
 
 
-def packed(at: np.ndarray) -> bytes:
-    """Positions byte plane by byte plane, compressed: most planes are zeros."""
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: most planes are zeros."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -103,69 +110,104 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN, held: int = WORDS_HELD) -> DataFrame:
-    """``block, doc_id, at, words``: a row for each document with its packed positions, and one for each block with its words."""
+def blocks(df: DataFrame, words: bool, doc_id: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN, held: int = WORDS_HELD) -> DataFrame:
+    """A row for each block: with ``words``, ``block, words``; else ``block, n_words, docs, lengths, at``: its documents, how
+    many pre-tokens each has, and their packed positions among the words."""
     kind = df.schema[doc_id].dataType
     shipped(df.sparkSession)
 
     def split(batches):
-        find, number = splitter(pattern), count(TaskContext.get().partitionId() << 32)
-        own: dict = defaultdict(count().__next__)
-        block, positions = next(number), 0
-        for batch in sliced(batches):
-            at = []
-            for value in batch.column(1):
-                found = find(value.as_py() or "")
-                at.append(packed(np.fromiter(map(own.__getitem__, found), "u4", len(found))))
-                positions += len(found)
-            n = len(at)
-            yield pa.record_batch({"block": pa.array([block] * n, pa.int64()), "id": batch.column(0), "at": pa.array(at, pa.binary()), "words": pa.nulls(n, pa.list_(pa.string()))})
-            if len(own) > held or positions > POSITIONS_HELD:
-                yield last(block, own)
-                own, block, positions = defaultdict(count().__next__), next(number), 0
-        if own:
-            yield last(block, own)
-
-    def last(block, own):
+        import xxhash
         from pyspark.sql.pandas.types import to_arrow_type
 
-        return pa.record_batch({"block": pa.array([block], pa.int64()), "id": pa.nulls(1, to_arrow_type(kind)), "at": pa.nulls(1, pa.binary()), "words": pa.array([list(own)], pa.list_(pa.string()))})
-
-    return written(df.select(doc_id, text).mapInArrow(split, f"block long, id {kind.simpleString()}, at binary, words array<string>"), "bpe-blocks")
+        find, number = splitter(pattern), count(TaskContext.get().partitionId() << 32)
+        own: dict = defaultdict(count().__next__)
+        docs, lengths, at, positions = [], [], [], 0
 
+        def block():
+            key = xxhash.xxh3_64_intdigest("\0".join([str(next(number)), *own]).encode()) - (1 << 63)
+            if words:
+                return pa.record_batch({"block": pa.array([key], pa.int64()), "words": pa.array([list(own)], pa.list_(pa.string()))})
+            return pa.record_batch({
+                "block": pa.array([key], pa.int64()), "n_words": pa.array([len(own)], pa.int64()), "docs": pa.array([docs], pa.list_(to_arrow_type(kind))),
+                "lengths": pa.array([packed(np.array(lengths, "u4"))]), "at": pa.array([packed(np.concatenate(at))], pa.binary()),
+            })
 
-def encoded_words(parts: DataFrame, ranks: bytes) -> DataFrame:
-    """``block, k, ids``: the ids, unsigned 32-bit and little-endian, of each block's k-th word."""
-    shared = parts.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
+        for batch in sliced(batches):
+            for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = find(value.as_py() or "")
+                x = np.fromiter(map(own.__getitem__, found), "u4", len(found))
+                if not words:
+                    docs.append(id_)
+                    lengths.append(len(x))
+                    at.append(x)
+                positions += len(x) + 1
+                if len(own) > held or positions > POSITIONS_HELD:
+                    yield block()
+                    own.clear()
+                    own.default_factory = count().__next__
+                    docs, lengths, at, positions = [], [], [], 0
+        if positions:
+            yield block()
+
+    schema = "block long, words array<string>" if words else f"block long, n_words long, docs array<{kind.simpleString()}>, lengths binary, at binary"
+    return df.select(doc_id, text).mapInArrow(split, schema)
+
+
+def encoded_words(words: DataFrame, ranks: bytes) -> DataFrame:
+    """``block, k, n, ids``: for some words of a block, by rising place k, how many ids each has, and the ids; all packed."""
+    shared = words.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def encode(batches):
         piece = encoder(shared.value)._encode_single_piece
-        before, its_ids = None, b""
+        before, its_ids, held = None, b"", []
         for batch in batches:
-            each = batch.column(2).dictionary_encode()
-            words = each.dictionary.to_pylist()  # a word that goes on in the next batch keeps its ids
-            ids = [its_ids if w == before else np.asarray(piece(w.encode()), "<u4").tobytes() for w in words]
-            if words:
-                before, its_ids = words[-1], ids[-1]
-            yield pa.record_batch({"block": batch.column(0), "k": batch.column(1), "ids": pa.array(ids, pa.binary()).take(each.indices)})
-
-    places = parts.where("words is not null").select("block", F.posexplode("words").alias("k", "word"))
-    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, k int, ids binary")
+            each = batch.column(1).dictionary_encode()
+            found = each.dictionary.to_pylist()
+            # A word that goes on in the next batch keeps its ids.
+            ids = [its_ids if w == before else np.asarray(piece(w.encode()), "<u4").tobytes() for w in found]
+            if found:
+                before, its_ids = found[-1], ids[-1]
+            held.append(pa.record_batch({"place": batch.column(0), "ids": pa.array(ids, pa.binary()).take(each.indices)}))
+            if sum(b.num_rows for b in held) >= ROWS_HELD:
+                yield by_block(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield by_block(pa.Table.from_batches(held))
+
+    def by_block(rows: pa.Table) -> pa.RecordBatch:
+        place = rows.column("place").combine_chunks()
+        block, k = place.field("block").to_numpy(), place.field("k").to_numpy()
+        order = np.lexsort((k, block))
+        ids = rows.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        _, ends, data = ids.buffers()
+        ends, flat = np.frombuffer(ends, "i8") // 4, np.frombuffer(data or b"", "<u4")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0)))
+        parts = [(order[a:b], ends[a : b + 1]) for a, b in zip(starts, [*starts[1:], len(order)])]
+        return pa.record_batch({
+            "block": pa.array(block[order][starts], pa.int64()), "k": pa.array([packed(k[o]) for o, _ in parts], pa.binary()),
+            "n": pa.array([packed(np.diff(e)) for _, e in parts], pa.binary()), "ids": pa.array([packed(flat[e[0] : e[-1]]) for _, e in parts], pa.binary()),
+        })
+
+    places = words.select("block", F.posexplode("words").alias("k", "word")).select(F.struct("block", "k").alias("place"), "word")
+    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, k binary, n binary, ids binary")
 
 
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, held: int = WORDS_HELD) -> DataFrame:
     """``doc_id, ids``: the ids of each text, unsigned 32-bit, little-endian, one after the other."""
     kind = df.schema[doc_id].dataType.simpleString()
-    parts = blocks(df, doc_id, text, held=held)
-    words = encoded_words(parts, ranks or read_ranks())
+    words = encoded_words(blocks(df, True, doc_id, text, held=held), ranks or read_ranks())
+    docs = blocks(df, False, doc_id, text, held=held)
 
     def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("k").to_numpy())
-        pieces = words.column("ids").combine_chunks().take(pa.array(order))
-        ids = gathered(pieces, [unpacked(x.as_py()) for x in docs.column("at")])
-        return pa.table({doc_id: docs.column("id"), "ids": ids.cast(pa.binary())})
+        k, n, ids = (np.concatenate([np.zeros(0, "u4"), *(unpacked(x.as_py()) for x in words.column(c))]) for c in ("k", "n", "ids"))
+        if docs.num_rows != 1 or docs.column("n_words")[0].as_py() != len(k):
+            raise RuntimeError("the input gave other rows when it was read again; encode a table of it")
+        ends = np.concatenate(([0], np.cumsum(n, dtype="i8"))) * 4
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
+        found = gathered(pieces.take(pa.array(np.argsort(k))), unpacked(docs.column("at")[0].as_py()), unpacked(docs.column("lengths")[0].as_py()))
+        return pa.table({doc_id: docs.column("docs").combine_chunks().flatten(), "ids": found.cast(pa.binary())})
 
-    docs = parts.where("at is not null").select("block", "id", "at")
     return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, f"`{doc_id}` {kind}, ids binary")
 
 
@@ -189,7 +231,8 @@ def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks: bytes
     def join(batches):
         table_ = token_bytes(shared.value)
         for batch in sliced(batches):
-            decoded = gathered(table_, [np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column(1)])
+            each = [np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column(1)]
+            decoded = gathered(table_, np.concatenate(each), list(map(len, each)))
             yield pa.record_batch({doc_id: batch.column(0), "ids": batch.column(1), "decoded": decoded.cast(pa.binary())})
 
     return df.select(doc_id, F.col(ids).alias("ids")).mapInArrow(join, f"`{doc_id}` {kind}, ids binary, decoded binary")
