@@ -56,11 +56,20 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Shuffle files go when the query that made them ends; nothing reads them after its result is a table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_cols).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_cols).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.table_path = path
     return found

@@ -1,13 +1,15 @@
 """Near-duplicate lines across a corpus by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words, lower-cased in A-Z, and their distance counts words put
-in, left out or replaced. A line of ``MIN_WORDS`` words or more is removed if it stands earlier, by
-document id and line number, within a distance of ``1``, or of 0 with exact=True; shorter lines
-stay, as do blank ones. Comparing is not transitive: what counts is any earlier line, kept or not.
+in, left out or replaced. A line is removed if one stands earlier, by document id and line number,
+that has the same words or, if both have ``MIN_WORDS`` words or more and exact=True isn't given, is
+within a distance of 1. Lines without a word stay. Comparing is not transitive: what counts is any
+earlier line, kept or not.
 
-1. Equal lines meet by a 64-bit hash: their earliest place, with partial minima.
+1. Each task splits its texts once. A line is known by two hashes of its words, 96 bits together;
+   equal lines meet by them, and partial minima give their earliest place.
 2. Two lines within the bound share their first or their last half, so only lines whose half
-   occurs in another line are looked at further; others have no neighbour.
+   occurs in a different line are looked at further; others have no neighbour.
 3. Those emit their whole neighbourhood as hashed keys: themselves; themselves without one word,
    once as a deletion and once with its place as a substitution. Lines with equal substitution
    keys differ in that place at most; a deletion key equal to a line is one insertion. Each group
@@ -15,68 +17,131 @@ stay, as do blank ones. Comparing is not transitive: what counts is any earlier
 4. The earliest line found is fetched and the distance verified, as hashes might collide.
 5. Places to remove go back to their documents; texts are cut by built-in functions.
 
-Null texts stay null, empty ones empty. Rows that repeat a document id are taken to be in the
-order of their text; two equal rows with one id are the same place, and are kept whole alike. Null
-ids come after all others. Other columns pass through. An empty table gives an empty result.
+Null texts stay null, empty ones empty. Null ids come after all others. Rows that repeat a document
+id are places of their own, in the order of a hash of their text; rows with equal id and text are
+one place, and neither removes the other's lines. Other columns pass through; one that has the name
+of an added column is replaced by it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import lower_ascii, shipped, table, words, written
+from tallyspark.llm.common import bounded, dropped, shipped, sliced, table, written
 
 MIN_WORDS = 4
 NULLS_LAST = (1 << 63) - 1
-ROOT = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """``d, k, w, h``: place, words and hash of each line with enough words."""
-    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("d", "k", words(lower_ascii(F.col("line"))).alias("w"))
-    return lines.where(F.size("w") >= MIN_WORDS).select("*", F.xxhash64("w").alias("h"))
-
-
-def half_keys(w: Column) -> Column:
-    """Hashes of the first and last p words, for p the half of its own length and of one word less."""
-    n = F.size(w)
-    keys = []
-    for p, more in ((F.floor(n / 2), 0), (F.floor((n - 1) / 2), 1)):
-        p = p.cast("int")
-        keys += [F.xxhash64(F.lit(1), p, F.slice(w, 1, p)), F.xxhash64(F.lit(2), p, F.slice(w, n - p + 1, p))]
-    return F.array_distinct(F.array(*keys))
-
-
-KEYS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("d", pa.int64()), ("k", pa.int32())])
+#: Odd, so that it has an inverse modulo 2**64; and numbers that tell kinds of keys apart.
+ROOT = 0x9E3779B97F4A7C15
+FIRST, LAST, PLACE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
+WORDS_HELD = 300_000
+#: What a key is of: the line itself, the line without a word, or likewise with that word's place.
+SELF, LESS, SUB = 0, 1, 2
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, each computed once while it is held."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WORDS_HELD:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), "u8", len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Runs:
+    """Hashes of runs of a sequence of words, as polynomials modulo 2**64: any run's in one step."""
+
+    def __init__(self, x: np.ndarray):
+        powers = lambda root: np.multiply.accumulate(np.concatenate((np.ones(1, "u8"), np.full(len(x), root, "u8"))))
+        self.up, self.down = powers(ROOT), powers(pow(ROOT, -1, 1 << 64))
+        self.ahead = np.concatenate((np.zeros(1, "u8"), np.cumsum(x * self.up[:-1], dtype="u8")))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.ahead[end] - self.ahead[start]) * self.down[start]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view("i8"))
+
+
+def _hash_lines(batches):
+    """``d, t, k, h, g, halves``: place, hashes and half keys of each line with a word."""
+    held = WordHashes()
+    for batch in sliced(batches, 200):
+        row, line, words = [], [], []
+        for i, value in enumerate(batch.column(2)):
+            # Bytes are lower-cased in A-Z and split at ASCII white space alone.
+            for k, found in enumerate(map(bytes.split, (value.as_py() or "").encode().lower().split(b"\n"))):
+                if found:
+                    row.append(i)
+                    line.append(k)
+                    words.append(found)
+        n = np.fromiter(map(len, words), "i8", len(words))
+        x = held.of(list(chain.from_iterable(words)))
+        end = np.cumsum(n)
+        start = end - n
+        runs, other = Runs(x), Runs(mixed(x ^ PLACE))
+        size = n.astype("u8")
+        h, g = mixed(runs.of(start, end) ^ size), mixed(other.of(start, end) ^ size)
+        keys = []
+        for p in (n // 2, (n - 1) // 2):  # the half of the line's own length, and of one word less
+            keys += [mixed(runs.of(start, start + p) ^ p.astype("u8")) ^ FIRST, mixed(runs.of(end - p, end) ^ p.astype("u8")) ^ LAST]
+        several = np.where(n < MIN_WORDS, 0, np.where(n % 2 == 1, 2, 4))  # of odd lengths both halves are equal
+        halves = np.stack(keys, 1)[np.arange(4) < several[:, None]]
+        at = pa.array(np.array(row, "i4"))
+        yield pa.record_batch({
+            "d": batch.column(0).take(at), "t": batch.column(1).take(at), "k": pa.array(line, pa.int32()), "h": _signed(h), "g": pa.array(g.astype("u4").view("i4")),
+            "halves": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(several))).astype("i4")), _signed(halves)),
+        })
 
 
 def _neighbourhood(batches):
-    """``key, kind, h, d, k``: kind 0 the line itself, 1 without a word, 2 likewise but with that word's place."""
-    for batch in batches:
-        rows = batch.to_pydict()
-        out: list[pd.DataFrame] = []
-        for h, d, k, hashes in zip(rows["h"], rows["d"], rows["k"], rows["hashes"]):
-            x = np.array(hashes, "i8").view("u8")
-            n = len(x)
-            powers = np.multiply.accumulate(np.concatenate((np.ones(1, "u8"), np.full(n, ROOT, "u8"))))
-            ahead = np.concatenate((np.zeros(1, "u8"), np.cumsum(x * powers[:n], dtype="u8")))
-            # Of the words after the gap, each moves forward by one place.
-            back = np.uint64(pow(ROOT, -1, 1 << 64))
-            left_out = ahead[:-1] + (ahead[-1] - ahead[1:]) * back
-            place = np.arange(n, dtype="u8")
-            keys = np.concatenate((ahead[-1:] ^ np.uint64(n), left_out ^ np.uint64(n - 1), (left_out ^ np.uint64(n)) * np.uint64(ROOT) + (place + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
-            kinds = np.concatenate(([0], np.ones(n, "i4"), np.full(n, 2, "i4")))
-            part = pd.DataFrame({"key": keys.view("i8"), "kind": kinds.astype("i4")}).drop_duplicates()
-            out.append(part.assign(h=h, d=d, k=k))
-            if sum(map(len, out)) > 100_000:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), KEYS, preserve_index=False)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pandas(pd.concat(out), KEYS, preserve_index=False)
+    """``key, d, t, kk, w``: kk is four times the line's number and the kind; w is the line's words, with the line's own key."""
+    held = WordHashes()
+    for batch in sliced(batches, 100):
+        row, line, words = [], [], []
+        for i, (value, ks) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+            lines = value.as_py().encode().lower().split(b"\n")
+            for k in ks:
+                row.append(i)
+                line.append(k)
+                words.append(lines[k].split())
+        n = np.fromiter(map(len, words), "i8", len(words))
+        end = np.cumsum(n)
+        start = end - n
+        runs, size = Runs(held.of(list(chain.from_iterable(words)))), n.astype("u8")
+        own = mixed(runs.of(start, end) ^ size)
+        of = np.repeat(np.arange(len(n)), n)  # the line of each word
+        j = np.arange(len(of))
+        inside = j - start[of]
+        without = runs.of(start[of], j) + runs.of(j + 1, end[of]) * runs.up[inside]
+        less = mixed(without ^ (size[of] - np.uint64(1)))
+        sub = mixed(mixed(without ^ size[of]) ^ ((inside.astype("u8") + np.uint64(1)) * PLACE))
+        of = np.concatenate((np.arange(len(n)), of, of))
+        kinds = np.repeat([SELF, LESS, SUB], [len(n), len(j), len(j)])
+        at = pa.array(np.array(row, "i4")[of])
+        texts = pa.array([b" ".join(w).decode() for w in words], pa.string())
+        yield pa.record_batch({
+            "key": _signed(np.concatenate((own, less, sub))), "d": batch.column(0).take(at), "t": batch.column(1).take(at),
+            "kk": pa.array(np.array(line, "i8")[of] * 4 + kinds), "w": pa.concat_arrays([texts, pa.nulls(2 * len(j), pa.string())]),
+        })
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -90,50 +155,59 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & ((first == 0) | same)
 
 
+PLACES = ("d", "t", "k")
+
+
 def repeated_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """``d, k``: the places to remove. ``docs``: d (long) and text."""
+    """``d, t, k``: the places to remove, a written table. ``docs``: d, t (long) and text."""
     shipped(docs.sparkSession)
+    docs = docs.where("text is not null")
     # The texts are split and hashed once; what follows works on places and hashes.
-    lines = _lines(docs).select("h", "d", "k", *([] if exact else [half_keys(F.col("w")).alias("halves")]))
-    lines = written(lines, "lines-hashed")
-    firsts = lines.groupBy("h").agg(F.min(F.struct("d", "k")).alias("first"))
-    firsts = written(firsts.select("h", "first.d", "first.k"), "lines-first")
-    again = lines.select("h", "d", "k").join(firsts.withColumnsRenamed({"d": "d0", "k": "k0"}), "h").where("d > d0 or (d = d0 and k > k0)").select("d", "k")
+    lines = written(docs.select("d", "t", "text").mapInArrow(_hash_lines, "d long, t long, k int, h long, g int, halves array<long>"), "lines-hashed")
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*PLACES)).alias("first"))
+    firsts = written(firsts.select("h", "g", F.col("first.d").alias("d0"), F.col("first.t").alias("t0"), F.col("first.k").alias("k0")), "lines-first")
+    later = F.struct(*PLACES) > F.struct("d0", "t0", "k0")
+    again = written(lines.select(*PLACES, "h", "g").join(firsts, ["h", "g"]).where(later).select(*PLACES), "lines-again")
     if exact:
+        dropped(lines, firsts)
         return again
     # Halves that occur in different lines.
-    halves = lines.join(firsts, ["h", "d", "k"], "left_semi").select("h", F.explode("halves").alias("half"))
+    halves = lines.select("h", "g", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    near = written(halves.join(shared, "half").select("h").distinct(), "lines-near")
-    places = firsts.join(near, "h").groupBy("d").agg(F.collect_set("k").alias("ks"))  # of one document
-    texts = docs.join(places, "d").select("d", "ks", F.posexplode(F.split("text", "\n")).alias("k", "line")).where(F.array_contains("ks", F.col("k")))
-    looked_at = written(texts.select("d", "k", words(lower_ascii(F.col("line"))).alias("w")).select("*", F.xxhash64("w").alias("h")), "lines-looked-at")
-    hashed = looked_at.select("h", "d", "k", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
-    keys = written(hashed.mapInArrow(_neighbourhood, "key long, kind int, h long, d long, k int"), "lines-keys")
-    place = F.struct("d", "k", "h")
-    by_key = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("kind") == 0, place)).alias("self"),
-        F.min(F.when(F.col("kind") == 1, place)).alias("less"), F.min(F.when(F.col("kind") == 2, place)).alias("sub"),
-    ).where("n > 1").drop("n")
-    best = F.when(F.col("kind") == 0, F.col("less")).when(F.col("kind") == 1, F.col("self")).otherwise(F.col("sub"))
-    earlier = keys.join(by_key, "key").select("h", "d", "k", best.alias("e")).where("e.d < d or (e.d = d and e.k < k)").groupBy("h", "d", "k").agg(F.min("e").alias("e"))
-    own, other = looked_at.select("h", F.col("w").alias("w1")), looked_at.select(F.col("h").alias("h2"), F.col("w").alias("w2"))
-    checked = earlier.select("h", F.col("e.h").alias("h2")).join(own, "h").join(other, "h2").where(within_one(F.col("w1"), F.col("w2"))).select("h").distinct()
-    # All places of such a line go, its first one too.
-    first_places = firsts.join(checked, "h", "left_semi").select("d", "k")
-    return again.unionByName(first_places)
+    near = written(halves.join(shared, "half").select("h", "g").distinct(), "lines-near")
+    dropped(lines)
+    places = firsts.join(near, ["h", "g"]).groupBy(F.col("d0").alias("d"), F.col("t0").alias("t")).agg(F.collect_set("k0").alias("ks"))  # of one document
+    places = written(places, "lines-places")
+    looked_at = docs.join(bounded(places), ["d", "t"]).select("d", "t", "text", "ks").dropDuplicates(["d", "t"])
+    keys = written(looked_at.mapInArrow(_neighbourhood, "key long, d long, t long, kk long, w string"), "lines-keys")
+    dropped(firsts, near, places)
+    kind, place = F.col("kk") % 4, F.struct("d", "t", F.floor(F.col("kk") / 4).alias("k"))
+    of = lambda x: F.min(F.when(kind == x, place))
+    by_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), of(SELF).alias("self"), of(LESS).alias("less"), of(SUB).alias("sub")).where("n > 1").drop("n")
+    best = F.when(kind == SELF, F.col("less")).when(kind == LESS, F.col("self")).otherwise(F.col("sub"))
+    found = keys.select("key", "d", "t", "kk").join(by_key, "key").select(place.alias("p"), best.alias("e")).where("e < p")
+    found = written(found.groupBy("p").agg(F.min("e").alias("e")), "lines-found")
+    texts = keys.where("w is not null").select(place.alias("p"), F.split("w", " ").alias("w"))
+    pairs = found.join(texts, "p").join(texts.select(F.col("p").alias("e"), F.col("w").alias("v")), "e").where(within_one(F.col("w"), F.col("v")))
+    # The line's other places stand later and go already.
+    gone = written(pairs.select("p.d", "p.t", F.col("p.k").cast("int").alias("k")).unionByName(again), "lines-gone")
+    dropped(keys, found, again)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text that is left, ``n_lines_removed`` and ``n_lines_left`` (lines with a word)."""
-    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULLS_LAST))
-    removed = repeated_lines(docs.select(place.alias("d"), F.col(text).alias("text")), exact).groupBy("d").agg(F.collect_set("k").alias("__gone"))  # of one document
-    joined = docs.withColumn("__d", place).join(removed.withColumnRenamed("d", "__d"), "__d", "left")
-    keep = lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))
-    left = F.when(F.col("__gone").isNull(), F.split(text, "\n")).otherwise(F.filter(F.split(text, "\n"), keep))
+    added = ("n_lines_removed", "n_lines_left")
+    kept = [c for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text)).alias("__r"), F.col(text).alias("__text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULLS_LAST)).alias("__d"), F.xxhash64(text).alias("__t"))
+    removed = repeated_lines(rows.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col("__text").alias("text")), exact)
+    removed = removed.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_set("k").alias("__gone"))  # of one document
+    joined = rows.join(removed, ["__d", "__t"], "left")
+    keep = lambda x, i: ~F.array_contains("__gone", i)
+    left = F.when(F.col("__gone").isNull(), F.split("__text", "\n")).otherwise(F.filter(F.split("__text", "\n"), keep))
     cut = joined.withColumn("__left", left)  # used twice, so it stays a projection of its own
     return cut.select(
-        *(F.array_join("__left", "\n").alias(c) if c == text else F.col(c) for c in docs.columns),
+        *(F.array_join("__left", "\n").alias(c) if c == text else F.col(f"__r.`{c}`").alias(c) for c in kept),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"),
         F.size(F.filter(F.coalesce("__left", F.array().cast("array<string>")), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long").alias("n_lines_left"),
     )
@@ -150,10 +224,10 @@ def dedup_sql(source: str, exact: bool = False) -> str:
     return f"""
 d_split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {source}),
 d_lines AS (SELECT doc_id, k, w FROM (SELECT doc_id, k,
-  regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM d_split) WHERE len(w) >= {MIN_WORDS}),
+  regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM d_split) WHERE len(w) > 0),
 d_first AS (SELECT w, min((doc_id, k)) AS p FROM d_lines GROUP BY w),
 d_half AS (SELECT DISTINCT w, p, unnest([(1, h, w[1:h]), (2, h, w[len(w) - h + 1:])]) AS half
-  FROM (SELECT w, p, unnest([len(w) // 2, (len(w) - 1) // 2]) AS h FROM d_first)),
+  FROM (SELECT w, p, unnest([len(w) // 2, (len(w) - 1) // 2]) AS h FROM d_first WHERE len(w) >= {MIN_WORDS})),
 d_pairs AS (SELECT DISTINCT a.w AS w, b.w AS v FROM d_half a JOIN d_half b ON a.half = b.half AND b.p < a.p AND abs(len(a.w) - len(b.w)) <= 1),
 d_near AS (SELECT DISTINCT w FROM d_pairs WHERE
   CASE WHEN len(w) = len(v) THEN len(list_filter(list_zip(w, v), lambda x: x[1] <> x[2])) <= 1

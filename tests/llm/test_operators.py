@@ -51,10 +51,25 @@ def test_quality_rules(spark):
 def test_line_dedup(spark):
     rows = [*ODD, (30, "the quick brown fox jumps\nshort one"), (31, "The quick brown fox jumps high\nshort one"), (32, "the quick red fox jumps\nnew line here now"), (33, None)]
     got = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
-    assert got[30] == (rows[8][1], 0) and got[31] == ("short one", 1) and got[32] == ("new line here now", 1) and got[33] == (None, 0) and got[6] == ("", 1)
+    assert got[30] == (rows[8][1], 0) and got[31] == ("", 2) and got[32] == ("new line here now", 1) and got[33] == (None, 0) and got[6] == ("", 1)
+    exact = {r["doc_id"]: r["n_lines_removed"] for r in line_dedup.dedup_lines(table(spark, rows), exact=True).collect()}
+    assert (exact[31], exact[32], exact[6]) == (1, 0, 1)
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    texts = ["one two three\nfour five six", "four five six\nseven eight nine", "ten eleven twelve\nthirteen fourteen fifteen"]
+    df = table(spark, [(None, t) for t in texts] + [(7, t.replace("e", "i")) for t in texts] + [(8, "same text here"), (8, "same text here")])
+    df = df.withColumns({"n_lines_left": F.lit("mine"), "d": F.lit(1), "__gone": F.lit(2), "k": F.lit(3), "a.b": F.lit(4)})
+    got = line_dedup.dedup_lines(df)
+    assert sorted(got.columns) == sorted(df.columns + ["n_lines_removed"]) and got.count() == 8
+    rows = got.collect()
+    for d, t in ((None, texts), (7, [x.replace("e", "i") for x in texts])):
+        left = [line for r in rows if r["doc_id"] == d for line in r["text"].split("\n")]
+        assert sorted(left) == sorted({line for x in t for line in x.split("\n")})  # each line once, whichever row is first
+    assert [(r["text"], r["n_lines_removed"]) for r in rows if r["doc_id"] == 8] == [("same text here", 0)] * 2
+
+
 def components(rows):
     sets = {}
     for d, t in rows:
