@@ -65,13 +65,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(root: int, n: int) -> np.ndarray:
+    """The first n powers, kept from batch to batch."""
+    if len(_POWERS.get(root, ())) < n:
+        _POWERS[root] = np.multiply.accumulate(np.concatenate((np.ones(1, "u8"), np.full(2 * n, root, "u8"))))
+    return _POWERS[root][:n]
+
+
 class Runs:
     """Hashes of runs of a sequence of words, as polynomials modulo 2**64: any run's in one step."""
 
     def __init__(self, x: np.ndarray):
-        powers = lambda root: np.multiply.accumulate(np.concatenate((np.ones(1, "u8"), np.full(len(x), root, "u8"))))
-        self.up, self.down = powers(ROOT), powers(pow(ROOT, -1, 1 << 64))
-        self.ahead = np.concatenate((np.zeros(1, "u8"), np.cumsum(x * self.up[:-1], dtype="u8")))
+        self.up, self.down = powers(ROOT, len(x) + 1), powers(pow(ROOT, -1, 1 << 64), len(x) + 1)
+        self.ahead = np.zeros(len(x) + 1, "u8")
+        np.cumsum(x * self.up[:-1], out=self.ahead[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.ahead[end] - self.ahead[start]) * self.down[start]
@@ -97,9 +107,8 @@ def _hash_lines(batches):
         x = held.of(list(chain.from_iterable(words)))
         end = np.cumsum(n)
         start = end - n
-        runs, other = Runs(x), Runs(mixed(x ^ PLACE))
-        size = n.astype("u8")
-        h, g = mixed(runs.of(start, end) ^ size), mixed(other.of(start, end) ^ size)
+        runs, size = Runs(x), n.astype("u8")
+        h, g = mixed(runs.of(start, end) ^ size), mixed(np.add.reduceat(x, start) if len(x) else x)  # one of the order, one of the words
         keys = []
         for p in (n // 2, (n - 1) // 2):  # the half of the line's own length, and of one word less
             keys += [mixed(runs.of(start, start + p) ^ p.astype("u8")) ^ FIRST, mixed(runs.of(end - p, end) ^ p.astype("u8")) ^ LAST]
@@ -182,9 +191,10 @@ def repeated_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     keys = written(looked_at.mapInArrow(_neighbourhood, "key long, d long, t long, kk long, w string"), "lines-keys")
     dropped(firsts, near, places)
     kind, place = F.col("kk") % 4, F.struct("d", "t", F.floor(F.col("kk") / 4).alias("k"))
-    of = lambda x: F.min(F.when(kind == x, place))
-    by_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), of(SELF).alias("self"), of(LESS).alias("less"), of(SUB).alias("sub")).where("n > 1").drop("n")
-    best = F.when(kind == SELF, F.col("less")).when(kind == LESS, F.col("self")).otherwise(F.col("sub"))
+    # Keys of kind SUB are hashed apart, so what isn't SELF under a key is all of one kind.
+    of = lambda x: F.min(F.when(x, place))
+    by_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), of(kind == SELF).alias("self"), of(kind != SELF).alias("other")).where("n > 1").drop("n")
+    best = F.when(kind == LESS, F.col("self")).otherwise(F.col("other"))
     found = keys.select("key", "d", "t", "kk").join(by_key, "key").select(place.alias("p"), best.alias("e")).where("e < p")
     found = written(found.groupBy("p").agg(F.min("e").alias("e")), "lines-found")
     texts = keys.where("w is not null").select(place.alias("p"), F.split("w", " ").alias("w"))
