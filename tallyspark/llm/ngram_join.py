@@ -7,77 +7,65 @@ first, by a 128-bit hash; one representative of each stands for it from then on.
   is enumerated and hashed. Two that link share the subset that is their intersection.
 * Large sets: inverted lists. In one global order of elements, each set is listed under its first
   n - ceil(t * n) + 1; two that link share one of them. The order puts heavy elements last, those
-  with lists of more than ``LIGHT`` sets, so common passages don't make long lists. Elements are
-  counted in a fixed part of the hash range, ``REGION``, over all representatives.
+  with lists of more than ``LIGHT`` sets, so common passages don't make long lists.
 * The boundary is the size at which enumerating all smaller sets costs least against scanning
-  their lists, from the counts of sets by size and the mean length of a list.
+  their lists, from the counts of sets by size and the mean length of a list; any size up to
+  ``LARGEST`` may be it.
 
-Scanning a list doesn't form all its pairs. Each list has a leader, the set with the fewest light
-elements; every other set of the list is held against it. Lists whose sets then all lie in one
-component are done. What is left: lists of up to ``WHOLE`` sets are compared whole, across
-components; longer ones go on with ``LEADERS`` more leaders, without those that are settled. Hot lists
-are split by adaptive joins, as leaders' rows are one for each list.
+Scanning a list doesn't form all its pairs. With the place of a list's element in a set's order,
+the elements before it shared with nothing, a pair can link only if what is left of both is enough;
+a pair that links passes this at its first common element.
 
-Candidates are held first against a bound from the elements in the region, exact as the others can
-add no more than their number; the rest are verified on the whole texts. Components come from
-repeated minima over neighbours with pointer jumping, each round a written table.
+1. Over all representatives, in an order from the counts of a fixed part of the hash range,
+   ``REGION``: each list has a leader, the set with the fewest light elements, which every other
+   set of the list is held against. Lists whose sets then lie in one component are done.
+2. The sets of the other lists are joined again among themselves, in an order from the counts of all
+   their elements: leaders first; then the sets outside a list's largest component are held
+   against the whole list, where the places allow a link and the components differ.
+
+Candidates are verified on whole sets. Components come from repeated minima over neighbours with
+pointer jumping, each round a written table.
 
 Null texts, and texts without words, have empty sets and link with nothing. Texts with fewer words
-than a shingle have their whole sequence as one element. Rows that repeat a document id count as
-one if their sets are equal; rows with null ids are left out. An empty table gives an empty result.
-Other columns aren't read.
+than a shingle have their whole sequence as one element. Each row counts for itself: ids may repeat
+or be null. A component's id is its least that isn't null, null if it has none. An empty table
+gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD_RE, bounded, shipped, sliced, table, written
-from tallyspark.llm.suffix_tree import LOWERED
+from tallyspark.llm.common import dropped, shipped, sliced, table, written
+from tallyspark.llm.line_dedup import WordHashes, mixed
 
 SHINGLE = 4
 THRESHOLD = 85
 LIGHT = 24
-#: Open lists of up to so many sets are compared whole, across components; longer ones with so many leaders a round.
-WHOLE, LEADERS = 128, 16
 REGION = 0.25
 HEAVY_HELD = 100_000
-BOUNDARIES = (0, 6, 13, 19)
-_FIND = re.compile(WORD_RE).findall
+#: The greatest size that may be the boundary.
+LARGEST = 64
 _ROOT = 0x9E3779B97F4A7C15
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def elements(text: str | None, held: dict, size: int = SHINGLE) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles. ``held``: a cache of word hashes."""
-    import xxhash
-
-    words = _FIND((text or "").translate(LOWERED))
-    if not words:
-        return np.zeros(0, "u8")
-    if len(held) > 300_000:
-        held.clear()
-    for w in words:
-        if w not in held:
-            held[w] = xxhash.xxh3_64_intdigest(w.encode())
-    x = np.fromiter(map(held.__getitem__, words), "u8", len(words))
+def elements(text: str | None, held: WordHashes, size: int = SHINGLE) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles."""
+    x = held.of((text or "").encode().lower().split())  # bytes: lower-cased in A-Z, split at ASCII white space alone
+    if not len(x):
+        return x
     n = min(size, len(x))
     out = np.zeros(len(x) - n + 1, "u8")
     for k in range(n):
         out = out * np.uint64(_ROOT) + x[k : k + len(out)]
-    return np.unique(_mixed(out + np.uint64(n)))
+    return np.unique(mixed(out + np.uint64(n)))
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -88,188 +76,209 @@ def subsets(n: int, threshold: int = THRESHOLD) -> int:
     return sum(math.comb(n, d) for d in range(n * (100 - threshold) // 100 + 1))
 
 
-def sketches(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """``doc_id, n, f1, f2, low``: set size, hash, and the smallest elements, all in the region and as many as a prefix needs."""
-    edge = np.uint64(int(REGION * (1 << 64)))
+def _hashes(x: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set; of an empty one zeros."""
+    return int(x.sum(dtype="u8").view("i8")), int(mixed(x * np.uint64(_ROOT)).sum(dtype="u8").view("i8"))
+
+
+def hashed_sets(docs: DataFrame, size: int = SHINGLE, whole: bool = False) -> DataFrame:
+    """``doc_id, n, f1, f2``: size and hashes of each row's set; with ``whole``, also ``x``, its elements, and no empty sets."""
 
     def run(batches):
-        held: dict = {}
+        held = WordHashes()
         for batch in sliced(batches):
-            n, f1, f2, low = [], [], [], []
-            for value in batch.column(1):
-                x = elements(value.as_py(), held, size)
-                n.append(len(x))
-                f1.append(int(x.sum(dtype="u8").view("i8")) if len(x) else 0)
-                f2.append(int(_mixed(x * np.uint64(_ROOT)).sum(dtype="u8").view("i8")) if len(x) else 0)
-                m = max(int(np.searchsorted(x, edge)), min(len(x), prefix_length(len(x), threshold) if len(x) else 0), len(x) if len(x) <= BOUNDARIES[-1] else 0)
-                low.append(x[:m].tobytes())
-            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "low": pa.array(low, pa.binary())})
+            sets = [elements(value.as_py(), held, size) for value in batch.column(1)]
+            f1, f2 = zip(*map(_hashes, sets)) if sets else ((), ())
+            out = pa.record_batch({
+                "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()),
+                **({"x": pa.array([x.tobytes() for x in sets], pa.binary())} if whole else {}),
+            })
+            yield out.filter(pc.not_equal(out.column("n"), 0)) if whole else out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, low binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long" + (", x binary" if whole else ""))
 
 
-def _region_elements(batches):
-    edge = np.uint64(int(REGION * (1 << 64)))
-    for batch in sliced(batches):
-        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "u8")
-        yield pa.record_batch({"e": pa.array(flat[flat < edge].view("i8"))})
+def _edge(region: float) -> np.uint64:
+    return np.uint64(min(int(region * (1 << 64)), (1 << 64) - 1))
 
 
-def heavy_elements(reps: DataFrame) -> tuple[np.ndarray, float]:
+def heavy_elements(sets: DataFrame, region: float) -> tuple[np.ndarray, float]:
     """The elements of the region in more than ``LIGHT`` sets, sorted; of more than ``HEAVY_HELD`` those with the longest lists,
     by a greater bound. Any such set gives one global order, and so exact results. Also the mean length of a light list."""
-    counts = reps.select("low").mapInArrow(_region_elements, "e long").groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    edge = _edge(region)
+
+    def flat(batches):
+        for batch in sliced(batches):
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), "u8")
+            yield pa.record_batch({"e": pa.array((every[every < edge] if region < 1 else every).view("i8"))})
+
+    counts = sets.select("x").mapInArrow(flat, "e long").groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counts = written(counts, "ngram-counts")
-    by = counts.where(F.col("c") > LIGHT).groupBy(F.floor(F.log2("c") * 4).alias("b")).count().collect()
+    level = F.floor(F.log2("c") * 4)
+    by = counts.where(F.col("c") > LIGHT).groupBy(level.alias("b")).count().collect()  # some hundred levels at most
     total, lowest = 0, 1 << 30
     for b, k in sorted(by, reverse=True):
         total += k
         if total > HEAVY_HELD:
             break
         lowest = b
-    rows = counts.where((F.col("c") > LIGHT) & (F.floor(F.log2("c") * 4) >= lowest)).select("e").toArrow().column("e").to_numpy()
+    rows = counts.where((F.col("c") > LIGHT) & (level >= lowest)).select("e").toArrow().column("e").to_numpy()  # HEAVY_HELD at most
     light = counts.where(F.col("c") <= LIGHT).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0]
+    dropped(counts)
     return np.sort(rows.view("u8")) if len(rows) else np.zeros(0, "u8"), float(light or 1)
 
 
-def boundary(reps: DataFrame, mean_list: float, threshold: int = THRESHOLD) -> int:
+def boundary(sets: DataFrame, mean_list: float, threshold: int = THRESHOLD) -> int:
     """The size up to which sets are enumerated, by cost; a handful of counts."""
-    sizes = dict(reps.where(F.col("n").between(1, BOUNDARIES[-1])).groupBy("n").count().collect())
+    sizes = dict(sets.where(F.col("n") <= LARGEST).groupBy("n").count().collect())
     scan = lambda n: prefix_length(n, threshold) * mean_list
-    return min(BOUNDARIES, key=lambda x: sum(c * (subsets(n, threshold) if n <= x else scan(n)) for n, c in sizes.items()))
+    return min(range(LARGEST + 1), key=lambda x: sum(c * (subsets(n, threshold) if n <= x else scan(n)) for n, c in sizes.items()))
 
 
-def postings(reps: DataFrame, heavy, small: int, threshold: int = THRESHOLD) -> DataFrame:
-    """``key, doc, n, light``: each set under the subsets or the list elements that it shares with what it links to."""
-    edge = np.uint64(int(REGION * (1 << 64)))
+def postings(sets: DataFrame, heavy, small: int, region: float, threshold: int = THRESHOLD) -> DataFrame:
+    """``key, r, n, p, light``: each set under the subsets or the list elements that it shares with what it links to; p elements
+    stand before the list's in its order, 0 for subsets."""
+    edge = _edge(region)
     mixed_from = -(-threshold * (small + 1) // 100)
 
     def run(batches):
         hot = heavy.value
         for batch in sliced(batches):
-            keys, docs, sizes, lights = [], [], [], []
-            for d, n, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = np.frombuffer(low, "u8")
-                own: list[int] = []
+            keys, places, count, lights = [], [], [], []
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+                x = np.frombuffer(data.as_buffer(), "u8")
+                own = [np.zeros(0, "u8")]
                 if n <= small:
-                    for k in range(n * (100 - threshold) // 100 + 1):
-                        for gone in itertools.combinations(range(n), k):
-                            rest = np.delete(x, gone)
-                            own.append(int((_mixed(rest).sum(dtype="u8") ^ np.uint64(len(rest) * _ROOT & (1 << 64) - 1)).view("i8")))
-                at = np.searchsorted(hot, x) if len(hot) else np.zeros(len(x), "i8")
-                late = (x >= edge) | ((hot[np.minimum(at, len(hot) - 1)] == x) if len(hot) else False)
-                light = int((~late).sum())
-                if n > small or n >= mixed_from:
-                    own += np.concatenate((x[~late], x[late]))[: prefix_length(n, threshold)].view("i8").tolist()
-                keys += own
-                docs += [d] * len(own)
-                sizes += [n] * len(own)
-                lights += [light] * len(own)
-            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "doc": pa.array(docs, pa.int64()), "n": pa.array(sizes, pa.int64()), "light": pa.array(lights, pa.int64())})
-
-    return reps.select("doc_id", "n", "low").mapInArrow(run, "key long, doc long, n long, light long")
-
-
-def _sizes_fit(a: Column, b: Column, threshold: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
-
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+                    rests = (np.delete(x, gone) for k in range(n * (100 - threshold) // 100 + 1) for gone in itertools.combinations(range(n), k))
+                    own.append(np.array([mixed(rest).sum(dtype="u8") ^ np.uint64(len(rest) * _ROOT & (1 << 64) - 1) for rest in rests], "u8"))
+                at = np.minimum(np.searchsorted(hot, x), max(len(hot) - 1, 0))
+                late = ((x >= edge) if region < 1 else np.zeros(n, bool)) | ((hot[at] == x) if len(hot) else False)
+                light = n - int(late.sum())
+                m = prefix_length(n, threshold) if n > small or n >= mixed_from else 0
+                prefix = np.concatenate((x[~late][:m], x[late][: max(m - light, 0)]))
+                keys += [*own, prefix]
+                enumerated = len(own[-1]) if len(own) > 1 else 0
+                places.append(np.concatenate((np.zeros(enumerated, "i4"), np.arange(m, dtype="i4"))))
+                count.append(enumerated + m)
+                lights.append(light)
+            of = np.repeat(np.arange(batch.num_rows), count)
+            yield pa.record_batch({
+                "key": pa.array(np.concatenate([np.zeros(0, "u8"), *keys]).view("i8")), "r": batch.column(0).take(pa.array(of)), "n": batch.column(1).take(pa.array(of)).cast(pa.int32()),
+                "p": pa.array(np.concatenate([np.zeros(0, "i4"), *places])), "light": pa.array(np.array(lights, "i4")[of]),
+            })
+
+    return sets.select("r", "n", "x").mapInArrow(run, "key long, r long, n int, p int, light int")
+
+
+def may_link(n: Column, p: Column, m: Column, q: Column, threshold: int) -> Column:
+    """Whether sets of n and m elements may link that share none of their first p and q, nor more than what is left of both."""
+    left = F.least(n - p, m - q)
+    return left * (100 + threshold) >= (n + m) * threshold
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs ``a, b`` that link."""
-    edge = np.uint64(int(REGION * (1 << 64)))
-
-    def hopeful(batches):
-        for batch in sliced(batches):
-            keep = []
-            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                p, q = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                p, q = p[p < edge], q[q < edge]
-                most = len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))
-                keep.append(100 * most >= threshold * (n + m - most))
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
 
     def linked(batches):
-        held: dict = {}
-        for batch in sliced(batches, 100):
+        for batch in sliced(batches):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = elements(x, held, size), elements(y, held, size)
-                both = len(np.intersect1d(p, q, assume_unique=True))
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
+                p, q = (p, q) if len(p) <= len(q) else (q, p)
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 keep.append(100 * both >= threshold * (len(p) + len(q) - both))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"low{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "lowa", "lowb").mapInArrow(hopeful, "a long, b long")
-    near = written(near, "ngram-near")
-    text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text{c}")).where(F.col(c).isNotNull())
-    involved = bounded(written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ngram-involved"))
-    texts = written(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text"), "ngram-texts")
-    docs = texts.dropDuplicates(["doc_id"])
-    return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "texta", "textb").mapInArrow(linked, "a long, b long")
-
-
-def components(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc, comp`` after the links ``a, b`` are added to ``labels`` (doc, comp): comp is the least doc of a component.
-    Rounds of minima over neighbours with pointer jumping, over the components that links touch."""
-    of = lambda c: labels.select(F.col("doc").alias(c), F.col("comp").alias(f"c{c}"))
-    edges = written(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct(), "ngram-edges")
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    side = lambda c: sets.select(F.col("r").alias(c), F.col("x").alias(f"x{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(linked, "a long, b long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``r, comp``, a written table, for all that links ``a, b`` touch: comp is the least r of a component. Rounds of minima over
+    neighbours with pointer jumping, as many as the logarithm of the longest path."""
+    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "ngram-edges")
     state = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "ngram-parents")
     while True:
         # The least parent among neighbours, then the parent's parent.
         heard = both.join(state.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("q"))
         to_parent = heard.join(state, "u").groupBy(F.col("p").alias("u")).agg(F.min("q").alias("h"))
-        best = state.join(heard, "u", "left").join(to_parent, "u", "left").select("u", F.least("p", "q", "h").alias("p"))
-        jumped = best.join(best.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.least("p", "pp").alias("p"))
+        best = state.join(heard, "u", "left").join(to_parent, "u", "left").select("u", F.least("p", "q", "h").alias("p"), F.col("p").alias("old"))
+        jumped = best.join(best.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.least("p", "pp").alias("p"), "old")
         then = written(jumped, "ngram-parents")
-        if not then.join(state.withColumnRenamed("p", "old"), "u").where("p <> old").limit(1).count():
-            break
-        state = then
-    moved = labels.join(then.select(F.col("u").alias("comp"), "p"), "comp", "left")
-    return written(moved.select("doc", F.coalesce("p", "comp").alias("comp")), "ngram-labels")
+        dropped(state)
+        if not then.where("p <> old").limit(1).count():
+            dropped(both)
+            return then.select(F.col("u").alias("r"), F.col("p").alias("comp"))
+        state = written(then.select("u", "p"), "ngram-parents")
+        dropped(then)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with ``comp``; what no link touches is its own component."""
+    return rows.withColumn("comp", F.col("r")) if labels is None else rows.join(labels, "r", "left").withColumn("comp", F.coalesce("comp", "r"))
+
+
+def led(lists: DataFrame, labels: DataFrame | None, threshold: int) -> DataFrame:
+    """Pairs ``a, b`` of each list's sets with its leader, where the places allow a link and the components differ."""
+    rows = _labelled(lists, labels)
+    tops = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("light", "p", "r", "n", "comp")).alias("l")).where("k > 1").drop("k")
+    fits = may_link(F.col("n"), F.col("p"), F.col("l.n"), F.col("l.p"), threshold) & (F.col("comp") != F.col("l.comp"))
+    return rows.join(tops, "key").where(fits).select(F.least("r", "l.r").alias("a"), F.greatest("r", "l.r").alias("b")).distinct()
+
+
+def still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, k``: the lists whose sets lie in more than one component."""
+    rows = _labelled(lists, labels)
+    return rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+
+
+def outsiders(lists: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``a, b`` of the sets outside a list's largest component with all of the list, where the places allow a link and the
+    components differ."""
+    rows = written(_labelled(lists, labels), "ngram-labelled")
+    by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    major = by.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("major"))
+    open_ = written(rows.join(major, "key"), "ngram-lists-open")
+    dropped(rows)
+    minor = open_.where("comp <> major").select("key", F.col("r").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("c"))
+    other = open_.select("key", "r", "n", "p", "comp")
+    fits = may_link(F.col("n"), F.col("p"), F.col("m"), F.col("q"), threshold) & (F.col("comp") != F.col("c"))
+    return other.join(minor, (other["key"] == minor["key"]) & fits).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+
+
+def _lists(sets: DataFrame, region: float, threshold: int) -> DataFrame:
+    """The inverted lists of two sets or more, a written table."""
+    heavy, mean_list = heavy_elements(sets, region)
+    small = boundary(sets, mean_list, threshold)
+    return written(postings(sets, sets.sparkSession.sparkContext.broadcast(heavy), small, region, threshold), "ngram-lists")
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-    spark = shipped(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    every = written(sketches(rows, size, threshold), "ngram-sketches")
-    lead = written(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "ngram-reps")
-    reps = every.where("n > 0").join(bounded(lead.select("f1", "f2", "n", F.col("rep").alias("doc_id"))), ["f1", "f2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    reps = written(reps.select("doc_id", "n", "low"), "ngram-sets")
-    heavy, mean_list = heavy_elements(reps)
-    small = boundary(reps, mean_list, threshold)
-    listed = postings(reps, spark.sparkContext.broadcast(heavy), small, threshold)
-    lists = written(listed, "ngram-lists")
-    order = F.struct("light", "doc", "n")
-    shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("leader")).where("k > 1")
-    current = lists.join(shared, "key")
-    fit = lambda a, b: _sizes_fit(F.col(a), F.col(b), threshold)
-    pairs = current.where((F.col("doc") != F.col("leader.doc")) & fit("n", "leader.n")).select(F.col("doc").alias("a"), F.col("leader.doc").alias("b")).distinct()
-    labels = components(written(verified(written(pairs, "ngram-pairs"), reps, rows, size, threshold), "ngram-links"), reps.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")))
-    open_ = current.where(F.col("doc") != F.col("leader.doc")).select("key", "doc", "n", "light")
-    slot = F.pmod(F.xxhash64("doc"), F.lit(LEADERS))
-    while True:
-        # Lists whose sets lie in more than one component; the leaders so far are settled with all others.
-        open_ = open_.join(labels, "doc")
-        tops = F.array_compact(F.array(*(F.min(F.when(slot == j, F.struct("light", "doc", "n", "comp"))) for j in range(LEADERS))))
-        state = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), tops.alias("leaders")).where("c0 <> c1")
-        open_ = written(open_.join(state.drop("c0", "c1"), "key"), "ngram-open")
-        if not open_.limit(1).count():
-            break
-        few = open_.where(F.col("k") <= WHOLE).select("key", "doc", "n", "comp")
-        other = few.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
-        close = few.join(other, "key").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("c")) & fit("n", "m")).select(F.col("doc").alias("a"), "b")
-        long_ = open_.where(F.col("k") > WHOLE)
-        led = long_.select("doc", "n", "comp", F.explode("leaders").alias("l")).where((F.col("comp") != F.col("l.comp")) & fit("n", "l.n"))
-        led = led.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b"))
-        pairs = written(close.union(led).distinct(), "ngram-pairs")
-        links = written(verified(pairs, reps, rows, size, threshold), "ngram-links")
-        labels = components(links, labels) if links.limit(1).count() else labels
-        rest = long_.where(~F.exists("leaders", lambda x: x["doc"] == F.col("doc")))
-        open_ = rest.select("key", "doc", "n", "light")
-    of_rep = lead.join(labels.withColumnRenamed("doc", "rep"), "rep").select("f1", "f2", "n", "comp")
-    return every.join(of_rep, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    shipped(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    of_set = ["f1", "f2", "n"]
+    every = written(hashed_sets(rows, size), "ngram-rows")
+    sets = hashed_sets(rows, size, whole=True).groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
+    sets = written(sets.withColumn("r", F.monotonically_increasing_id()), "ngram-sets")
+
+    lists = _lists(sets, REGION, threshold)
+    links = written(verified(written(led(lists, None, threshold), "ngram-pairs"), sets, threshold), "ngram-links")
+    labels = components(links)
+    opened = written(lists.join(still_open(lists, labels), "key", "left_semi").select("r").distinct(), "ngram-open")
+    dropped(lists)
+    again = written(sets.join(opened, "r", "left_semi").select("r", "n", "x"), "ngram-open-sets")
+    lists = _lists(again, 1.0, threshold)
+    for find in (led, outsiders):
+        pairs = written(find(lists, labels, threshold), "ngram-pairs")
+        links = links.unionByName(written(verified(pairs, again, threshold), "ngram-links"))
+        labels = components(links)
+    dropped(lists, again, opened)
+    known = _labelled(sets.select("r", "least", *of_set), labels)
+    ids = known.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_sets = known.join(ids, "comp").select(*of_set, "component_id")
+    found = every.join(of_sets, of_set, "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op3_ngram_join(spark, sf_dir):
