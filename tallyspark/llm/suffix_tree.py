@@ -1,278 +1,271 @@
 """Language-model scores by a probabilistic suffix tree.
 
-A text is one run of symbols: a mark for its beginning, the characters of its words, a space
-between two words and a mark for its end. Contexts reach over the spaces, so a word's probability
-depends on what stands before it, and that of a text on the order of its words. Training gathers:
-
-1. counts of distinct words over all training texts, for the base score;
-2. next-symbol counts after every context of up to ``DEPTH`` symbols of the running texts (summed
-   in tasks before the shuffle, which is by context and symbol);
-3. a divergence test for each context with at least ``MIN_SHARE`` of all symbols, of which there
-   are at most 1 / MIN_SHARE a length: it is kept if its next symbols, against those after the
-   context without its oldest symbol, save ``MIN_GAIN`` nats or more over the corpus.
-
-A state's distribution is smoothed by that of its longest kept suffix, down to the root and one
-over all code points. A symbol is scored in the state of the longest kept suffix of what precedes.
-
-Word counts for the add-one base score meet the texts as in ``byte_bpe``: the commonest words by
-broadcast within a fixed bound, all rarer ones by a join on the word, summed by text.
-
-Null texts count as empty: one token, the end. Rows with one doc_id are scored each. Without
-training rows the counts are zero and all probabilities come from the uniform distribution.
+A text is one run of bytes: marks for its beginning, the UTF-8 bytes of its words with a space
+between two, and a mark for its end. Contexts reach over the spaces, so a word's probability
+depends on what stands before it, and that of a text on the order of its words.
+
+1. ``items``: each task cuts its texts into blocks of ``BLOCK_BYTES`` and sums each block's words
+   and runs of ``DEPTH`` + 1 bytes, a longest context and its next symbol. One shuffle sums them
+   over all training texts; runs and words that only other texts hold have count 0.
+2. ``tree``: counts after shorter contexts are sums over longer ones, level by level, down to the
+   root. Then upwards again: a context is a state if it occurs ``MIN_COUNT`` times or more and
+   the divergence test keeps it: its next symbols, against those of the context without its oldest
+   symbol, save ``MIN_GAIN`` nats or more over the corpus. A state's distribution is smoothed by
+   that of its longest suffix that is a state, down to the root and one over all bytes; a context
+   that is none has its suffix's. So each run's probability is that of its last byte in the
+   state of the longest suffix of what precedes. States grow with the corpus.
+3. ``lm_scores``: counts of words and probabilities of runs are joined back to the blocks' items,
+   packed by block, and meet the block's texts in a second shuffle. A word or run has one row a
+   block at most, so none is hot. There is one path for all sizes, and neither states nor counts
+   go through the driver or to all tasks.
+
+Texts are cut into blocks twice, as in ``byte_bpe``; for input that comes in another order when it
+is read again, items are missing and the scoring fails. Words are known by 64-bit hashes.
+
+Null texts count as empty: one token, the end. Ids may repeat or be null, equal texts have equal
+scores, and each row is scored. Without training rows the counts are zero and all probabilities
+come from the uniform distribution. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD_RE, lower_ascii, shipped, sliced, table, words, written
+from tallyspark.llm.common import shipped, sliced, table, written
+from tallyspark.llm.line_dedup import WordHashes
 from tallyspark.llm.toxicity import remainder
 
-DEPTH = 7
-MIN_SHARE = 2e-5
-MIN_GAIN = 12.0
-SMOOTHING = 16.0
-CODE_POINTS = 1_114_112
-BROADCAST_WORDS = 1_500_000
-WORDS_HELD = 150_000
-#: Steps that a task keeps computed at most.
-STEPS_HELD = 300_000
-#: Different n-grams of symbols that a task sums at most before it hands them on.
-NGRAMS_HELD = 500_000
-START, SPACE, STOP = "\t", "\x20", "\n"  # characters that no word holds
-LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def word_key(word: str) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(word.encode())[:12]
-
-
-class Keys:
-    """Sorted 96-bit keys of the broadcast words."""
-
-    def __init__(self, keys: pa.ChunkedArray):
-        kind = np.dtype([("a", ">u8"), ("b", ">u4")])
-        both = np.concatenate([np.zeros(0, kind), *(np.frombuffer(c.cast(pa.binary(12)).buffers()[1], kind)[c.offset : c.offset + len(c)] for c in keys.chunks)])
-        self.order = np.argsort(both["a"], kind="stable")
-        self.a, self.b = both["a"][self.order].astype("u8"), both["b"][self.order].astype("u4")
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """Where each word stands, -1 for others."""
-        if not len(self.a):
-            return np.full(len(words), -1)
-        both = np.frombuffer(b"".join(map(word_key, words)), np.dtype([("a", ">u8"), ("b", ">u4")]))
-        a, b = both["a"].astype("u8"), both["b"].astype("u4")
-        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
-        hit = self.a[at] == a
-        for i in np.flatnonzero(hit & (self.b[at] != b)):  # keys that agree in 64 bits
-            k = at[i]
-            while k < len(self.a) and self.a[k] == a[i] and self.b[k] != b[i]:
-                k += 1
-            hit[i] = k < len(self.a) and self.a[k] == a[i]
-            at[i] = k if hit[i] else 0
-        return np.where(hit, at, -1)
-
-
-def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    return train.select(F.explode(words(lower_ascii(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def running(words: list[str]) -> str:
-    """A text's symbols; that of its beginning is a context only."""
-    return START + SPACE.join(words) + STOP
-
-
-def symbol_counts(train: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """``context, symbol, n`` for all contexts of 0 to ``depth`` symbols of the running texts."""
-
-    def longest(batches):
-        find, held = re.compile(WORD_RE).findall, Counter()
-        out = lambda: pa.record_batch({
-            "context": pa.array([x[:-1] for x in held], pa.string()), "symbol": pa.array([x[-1] for x in held], pa.string()), "n": pa.array(list(held.values()), pa.int64()),
+DEPTH = 5
+MIN_COUNT = 8
+MIN_GAIN = 8.0
+SMOOTHING = 4.0
+START, SPACE, STOP = b"\t", b"\x20", b"\n"  # bytes that no word holds
+#: Bytes of the texts of a block, but for its last, and of those that are worked on at once.
+BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 2 << 20
+ROWS_HELD = 200_000
+
+
+def run_keys(runs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all runs of ``depth`` + 1 bytes, text after text, and how many each text has. Each text begins with
+    ``depth`` marks, so each of its other bytes ends one run."""
+    b = np.frombuffer(b"".join(runs), "u1").astype("u8")
+    key = np.zeros(max(len(b) - depth, 0), "u8")
+    for k in range(depth + 1):
+        key = (key << np.uint64(8)) | b[k : k + len(key)]
+    lengths = np.fromiter(map(len, runs), "i8", len(runs))
+    ends = np.cumsum(lengths)
+    over = (ends[:-1, None] + np.arange(-depth, 0)).ravel()  # runs that begin in one text and end in the next
+    keep = np.ones(len(key), bool)
+    keep[over[(over >= 0) & (over < len(key))]] = False
+    return key[keep], lengths - depth
+
+
+def chunks(batches, depth: int):
+    """From ``doc_id, text, train`` batches: the number of the block, ids, training marks, words of each text, and its run."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in sliced(batches):
+        ids, train, words, runs, held = [], [], [], [], 0
+        for id_, text, is_train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            found = (text.as_py() or "").encode().lower().split()  # lower-cased in A-Z, split at ASCII white space alone
+            ids.append(id_)
+            train.append(is_train)
+            words.append(found)
+            runs.append(START * depth + SPACE.join(found) + STOP)
+            held += len(runs[-1])
+            size += len(runs[-1])
+            if held > CHUNK_BYTES or size > BLOCK_BYTES:
+                yield block, ids, train, words, runs
+                ids, train, words, runs, held = [], [], [], [], 0
+            if size > BLOCK_BYTES:
+                block, size = block + 1, 0
+        if ids:
+            yield block, ids, train, words, runs
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype("i8")
+
+
+def items(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``block, is_word, key, n``: each block's words and runs once, with their count in training texts."""
+
+    def count(batches):
+        held, now, parts = WordHashes(), None, {True: [], False: []}
+
+        def out():
+            for is_word, found in parts.items():
+                if found:
+                    keys, n = _summed(found)
+                    yield pa.record_batch({
+                        "block": pa.array(np.full(len(keys), now, "i8")), "is_word": pa.array(np.full(len(keys), is_word)), "key": pa.array(keys.view("i8")), "n": pa.array(n),
+                    })
+                    found.clear()
+
+        for block, _, train, words, runs in chunks(batches, depth):
+            if now is not None and block != now:
+                yield from out()
+            now = block
+            for wanted in (True, False):
+                keys = run_keys([r for r, t in zip(runs, train) if t == wanted], depth)[0]
+                hashes = held.of(list(chain.from_iterable(w for w, t in zip(words, train) if t == wanted)))
+                for is_word, x in ((True, hashes), (False, keys)):
+                    if len(x):
+                        found, n = np.unique(x, return_counts=True)
+                        parts[is_word].append((found, n if wanted else np.zeros(len(found), "i8")))
+                        if len(parts[is_word]) > 8:
+                            parts[is_word][:] = [_summed(parts[is_word])]
+        if now is not None:
+            yield from out()
+
+    return docs.mapInArrow(count, "block long, is_word boolean, key long, n long")
+
+
+def tree(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``key, v``: log10 of each run's probability. ``runs``: key and n of all runs of ``depth`` + 1 bytes.
+
+    The windows are over one context, at most 256 rows; only the root's has no key."""
+    context = F.shiftright("key", 8)
+    levels = [written(runs.select("key", "n"), "pst-runs")]
+    for k in range(depth, 0, -1):
+        shorter = F.col("key").bitwiseAND((1 << 8 * k) - 1)
+        levels.append(written(levels[-1].groupBy(shorter.alias("key")).agg(F.sum("n").alias("n")), "pst-level"))
+    every = Window.partitionBy("context")
+    below = levels.pop().withColumn("context", context).withColumn("total", F.sum("n").over(every))  # 256 rows at most
+    below = below.withColumn("p", (F.col("n") + SMOOTHING / 256) / (F.col("total") + SMOOTHING))
+    for k in range(1, depth + 1):
+        parent = written(below.select(F.col("key").alias("shorter"), F.col("n").alias("m"), F.col("total").alias("of"), F.col("p").alias("q")), "pst-states")
+        rows = levels.pop().withColumn("context", context).withColumn("shorter", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(parent, "shorter")
+        rows = rows.withColumn("total", F.sum("n").over(every))
+        saved = F.when(F.col("n") > 0, F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("m") / F.col("of")))).otherwise(0.0)
+        is_state = (F.col("total") >= MIN_COUNT) & (F.sum(saved).over(every) >= MIN_GAIN)
+        p = F.when(is_state, (F.col("n") + SMOOTHING * F.col("q")) / (F.col("total") + SMOOTHING)).otherwise(F.col("q"))
+        below = rows.select("key", "n", "total", p.alias("p"))
+    return below.select("key", F.log10("p").alias("v"))
+
+
+class Lookup:
+    """Values of sorted keys, by a table of slots and, for the few that lost theirs, by search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.bits = np.uint64(64 - max(4, int(len(keys) * 6).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.bits)), "i4")
+        self.slots[self._slot(self.keys)] = np.arange(len(keys))
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.zeros(0)
+        if len(self.keys):
+            at = self.slots[self._slot(x)]
+            lost = np.flatnonzero(self.keys[at] != x)
+            at[lost] = np.minimum(np.searchsorted(self.keys, x[lost]), len(self.keys) - 1)
+        if not len(self.keys) or (self.keys[at[lost]] != x[lost]).any():
+            raise RuntimeError("the input gave other rows when it was read again; score a table of it")
+        return self.values[at]
+
+
+def _sums(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each text's sum, by itself, so that equal texts have equal sums."""
+    ends = np.cumsum(lengths)
+    return np.array([x[e - n : e].sum() for e, n in zip(ends.tolist(), lengths.tolist())])
+
+
+def _packed_by_block(batches):
+    """``block, is_word, keys, values``: many rows of a block as one."""
+    held: list[pa.RecordBatch] = []
+
+    def out():
+        rows = pa.Table.from_batches(held)
+        block, is_word, key, v = (rows.column(c).to_numpy() for c in ("block", "is_word", "key", "v"))
+        order = np.lexsort((key, is_word, block))
+        block, is_word, key, v = block[order], is_word[order], key[order], v[order]
+        starts = np.flatnonzero(np.concatenate(([True], (np.diff(block) != 0) | (is_word[1:] != is_word[:-1]))))
+        cuts = list(zip(starts, [*starts[1:], len(block)]))
+        held.clear()
+        return pa.record_batch({
+            "block": pa.array(block[starts]), "is_word": pa.array(is_word[starts]),
+            "keys": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), "values": pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()),
         })
-        for batch in sliced(batches, 20):
-            for value in batch.column(0):
-                run = running(find((value.as_py() or "").translate(LOWERED)))
-                held.update(run[:k] for k in range(2, min(depth, len(run)) + 1))
-                for at in range(0, len(run) - depth, NGRAMS_HELD):  # one text may be long, too
-                    held.update(run[k : k + depth + 1] for k in range(at, min(at + NGRAMS_HELD, len(run) - depth)))
-                    if len(held) > NGRAMS_HELD:
-                        yield out()
-                        held.clear()
-        if held:
+
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS_HELD:
             yield out()
+            n = 0
+    if held:
+        yield out()
 
-    full = train.select(text).mapInArrow(longest, "context string, symbol string, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    full = written(full, "pst-symbols")
-    # Length by length: a context's counts are those of the contexts that are longer by one, and of texts that begin with it.
-    levels: list[DataFrame] = []
-    for k in range(depth, -1, -1):
-        rows = full.where(F.length("context") == k)
-        if levels:
-            rows = rows.unionByName(levels[-1].withColumn("context", F.expr("substring(context, 2)")))
-            rows = rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        levels.append(written(rows, "pst-level") if k < depth else rows)
-    return reduce(DataFrame.unionByName, levels)
-
-
-def states(symbols: DataFrame, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN) -> DataFrame:
-    """``context, symbol, n, total`` of the contexts that the divergence test keeps, the root among them."""
-    totals = symbols.groupBy("context").agg(F.sum("n").alias("total"))
-    root = totals.where("context = ''").select(F.col("total").alias("all_symbols"))
-    common = totals.crossJoin(F.broadcast(root)).where(F.col("total") >= F.col("all_symbols") * min_share).drop("all_symbols")  # one row by one
-    rows = written(symbols.join(common, "context"), "pst-contexts")
-    parents = rows.select(F.col("context").alias("parent"), "symbol", F.col("n").alias("parent_n"), F.col("total").alias("parent_total"))
-    longer = rows.where("context <> ''").withColumn("parent", F.expr("substring(context, 2)"))
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("parent_n") / F.col("parent_total"))))
-    kept = longer.join(parents, ["parent", "symbol"]).groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= min_gain)
-    return rows.where("context = ''").unionByName(rows.join(kept.select("context"), "context", "left_semi"))
-
-
-class SuffixTree:
-    """Next-symbol distributions of the kept contexts, smoothed; bounded as ``states`` is."""
-
-    def __init__(self, rows: pa.Table, depth: int = DEPTH):
-        self.depth, self.n, self.total = depth, {}, {}
-        for batch in rows.to_batches(10_000):
-            for context, symbol, n, total in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                self.n.setdefault(context, {})[symbol] = n
-                self.total[context] = total
-        self.total.setdefault("", 0)
-        self.prefixes = {c[:k] for c in self.total for k in range(len(c) + 1)}
-        self.steps: dict = {}
-        self.n_steps = 0
-
-    def state(self, before: str) -> str:
-        for k in range(min(len(before), self.depth), 0, -1):
-            if before[-k:] in self.total:
-                return before[-k:]
-        return ""
-
-    def p(self, state: str, symbol: str) -> float:
-        low = self.p(self.state(state[1:]), symbol) if state else 1 / CODE_POINTS
-        return (self.n.get(state, {}).get(symbol, 0) + SMOOTHING * low) / (self.total[state] + SMOOTHING)
-
-    def step(self, at: str, symbol: str) -> tuple[str, float]:
-        """From the longest suffix of the text so far that begins a kept context: that suffix after ``symbol``, and the
-        symbol's log10 probability. All kept suffixes of the text are suffixes of ``at``, so nothing else counts."""
-        if self.n_steps > STEPS_HELD:
-            self.steps.clear()
-            self.n_steps = 0
-        after = at + symbol
-        while after not in self.prefixes:
-            after = after[1:]
-        found = after, math.log10(self.p(self.state(at), symbol))
-        self.steps.setdefault(at, {})[symbol] = found
-        self.n_steps += 1
-        return found
-
-    def text(self, words: list[str]) -> float:
-        """log10 of a text's probability, its end included."""
-        at, each, steps = START if START in self.prefixes else "", [], self.steps
-        for symbol in running(words)[1:]:
-            known = steps.get(at)
-            at, p = (known and known.get(symbol)) or self.step(at, symbol)
-            each.append(p)
-        return sum(each)
-
-
-class Counts:
-    """Broadcast words: sorted keys and counts."""
-
-    def __init__(self, rows: pa.Table):
-        self.keys = Keys(rows.column("key"))
-        self.n, self.keys.order = rows.column("n").to_numpy()[self.keys.order], None
-
-    def find(self, words: list[str]) -> list[int | None]:
-        at = self.keys.places(words)
-        return [n if k >= 0 else None for k, n in zip(at.tolist(), self.n[at].tolist() if len(self.n) else at.tolist())]
-
-
-def _common(counts: DataFrame, limit: int) -> tuple[object, int]:
-    """The commonest words for the broadcast, and the bucket of counts under which the others are."""
-    with_bucket = counts.withColumn("bucket", F.floor(F.log2("n") * 4).cast("int"))
-    total, lowest = 0, 1 << 30
-    for bucket, n in sorted(with_bucket.groupBy("bucket").count().collect(), reverse=True):  # some hundred buckets at most
-        total += n
-        if total > limit:
-            break
-        lowest = bucket
-
-    def keyed(batches):
-        for batch in batches:
-            yield pa.record_batch({"key": pa.array(map(word_key, batch.column(0).to_pylist()), pa.binary()), "n": batch.column(1)})
-
-    rows = with_bucket.where(F.col("bucket") >= lowest).select("word", "n").mapInArrow(keyed, "key binary, n long").toArrow()
-    return counts.sparkSession.sparkContext.broadcast(Counts(rows)), lowest
-
-
-def lm_scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BROADCAST_WORDS) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``, by what ``train`` holds."""
-    spark = shipped(docs.sparkSession)
-    counts = written(word_counts(train, text), "pst-words")
-    n_docs = train.count()
-    n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    N, V = n_words + n_docs, n_kinds + (n_docs > 0)
-    tree = spark.sparkContext.broadcast(SuffixTree(states(symbol_counts(train, text)).select("context", "symbol", "n", "total").toArrow()))
-    shared, lowest = _common(counts, limit)
+
+def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``, by the rows where ``train`` holds."""
+    shipped(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    end_base = math.log10((n_docs + 1) / (N + V + 1))
-
-    def score(batches):
-        find, common, model = re.compile(WORD_RE).findall, shared.value, tree.value
-        held: dict = {}
-        for batch in sliced(batches):
-            out: list[tuple] = []
-            for value in batch.column(1):
-                words = find((value.as_py() or "").translate(LOWERED))
-                own = Counter(words)
-                if missing := [w for w in own if w not in held]:
-                    if len(held) > WORDS_HELD:
-                        held.clear()
-                        missing = list(own)
-                    for w, c in zip(missing, common.find(missing)):
-                        held[w] = (c, math.log10((c + 1) / (N + V + 1)) if c is not None else 0.0)
-                known, base, rare = int(n_docs > 0), end_base, []
-                for w, m in own.items():
-                    c, b = held[w]
-                    if c is None:
-                        rare.append({"word": w, "m": m})
-                    else:
-                        known += m
-                        base += m * b
-                out.append((len(words) + 1, known, base, model.text(words), rare))
-            n, known, base, total, rare = zip(*out) if out else ((),) * 5
-            yield pa.record_batch({
-                doc_id: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()),
-                "score": pa.array(total, pa.float64()), "rare": pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("m", pa.int64())]))),
-            })
-
-    parts = docs.select(doc_id, text).mapInArrow(score, f"`{doc_id}` {kind}, n_tokens long, known long, base double, score double, rare array<struct<word:string,m:bigint>>")
-    parts = written(parts.withColumn("__row", F.monotonically_increasing_id()), "pst-parts")
-    rarer = counts.where(F.floor(F.log2("n") * 4) < lowest)
-    # Unknown words have count 0; a left join keeps them.
-    more = (
-        parts.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.m").join(rarer, "word", "left").groupBy("__row").agg(
-            F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1) / (N + V + 1))).alias("more_base")
-        )
-    )
-    return parts.join(more, "__row", "left").select(
-        doc_id, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    parts = written(items(rows, depth), "pst-items")
+    sums = written(parts.groupBy("is_word", "key").agg(F.sum("n").alias("n")), "pst-sums")
+    n_docs = rows.where("train").count()
+    n_words, n_kinds = sums.where("is_word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    N, V = n_words + n_docs, n_kinds + (n_docs > 0)
+    values = sums.where("is_word").select("is_word", "key", F.col("n").cast("double").alias("v"))
+    values = values.unionByName(tree(sums.where("not is_word"), depth).select(F.lit(False).alias("is_word"), "key", "v"))
+    joined = parts.select("block", "is_word", "key").join(values, ["is_word", "key"]).select("block", "is_word", "key", "v")
+    packed = joined.mapInArrow(_packed_by_block, "block long, is_word boolean, keys binary, values binary")
+
+    def blocks(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        id_type = to_arrow_type(docs.schema[doc_id].dataType)
+        for block, ids, _, _, runs in chunks(batches, depth):
+            yield pa.record_batch({"block": pa.array([block] * len(ids), pa.int64()), "id": pa.array(ids, id_type), "run": pa.array([r[depth:-1] for r in runs], pa.binary())})
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        tables = {}
+        for is_word in (True, False):
+            mine = found.filter(pc.equal(found.column("is_word"), is_word))
+            raw = [b"".join(mine.column(c).to_pylist()) for c in ("keys", "values")]
+            tables[is_word] = Lookup(np.frombuffer(raw[0], "u8"), np.frombuffer(raw[1], "f8"))
+        held, out, size, now = WordHashes(), [], 0, []
+        log = lambda c: np.log10((c + 1) / (N + V + 1))
+
+        def chunk():
+            words = [r.split() for r in now]
+            lengths = np.fromiter(map(len, words), "i8", len(words))
+            counts = tables[True].of(held.of(list(chain.from_iterable(words))))
+            keys, sizes = run_keys([START * depth + r + STOP for r in now], depth)
+            out.append((lengths + 1, _sums((counts > 0).astype("i8"), lengths) + (n_docs > 0), _sums(log(counts), lengths) + log(n_docs), _sums(tables[False].of(keys), sizes)))
+
+        for r in texts.column("run"):
+            now.append(r.as_py())
+            size += len(now[-1])
+            if size > CHUNK_BYTES:
+                chunk()
+                now, size = [], 0
+        if now:
+            chunk()
+        n, known, base, total = (np.concatenate(x) for x in zip(*out))
+        return pa.table({doc_id: texts.column("id"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known.astype("i8")), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
+
+    texts = rows.mapInArrow(blocks, f"block long, id {kind}, run binary")
+    scored = texts.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(score, f"`{doc_id}` {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(doc_id, "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_suffix_tree(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 7) == 2
-    return lm_scores(docs, docs.where(~held)).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scores(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

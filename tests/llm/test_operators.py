@@ -70,24 +70,37 @@ def test_line_dedup_of_null_and_repeated_ids(spark):
     assert [(r["text"], r["n_lines_removed"]) for r in rows if r["doc_id"] == 8] == [("same text here", 0)] * 2
 
 
+def lowered(text):
+    return (text or "").encode().lower().decode()
+
+
 def components(rows):
-    sets = {}
-    for d, t in rows:
-        w = WORDS.findall((t or "").translate(suffix_tree.LOWERED))
-        sets[d] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
-    parent = {d: d for d in sets}
+    """Brute force over all pairs of rows: id, set size and component of each row, sorted."""
+    sets = []
+    for _, t in rows:
+        w = WORDS.findall(lowered(t))
+        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
+    for a, b in itertools.combinations(range(len(rows)), 2):
         both = len(sets[a] & sets[b])
         if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = root(a), root(b)
-            parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), root(d)) for d in sets}
+            parent[root(b)] = root(a)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(k)] = min(d, least.get(root(k), d))
+    return sorted(((d, len(sets[k]), least.get(root(k)) if sets[k] else d) for k, (d, _) in enumerate(rows)), key=repr)
+
+
+def joined(spark, rows):
+    df = table(spark, rows).withColumns({c: F.lit(1) for c in ("n", "x", "r", "comp", "component_id", "n_shingles")})
+    return sorted(map(tuple, ngram_join.ngram_components(df).collect()), key=repr)
 
 
 def test_ngram_join(spark):
@@ -102,11 +115,31 @@ def test_ngram_join(spark):
     for k in range(80):
         b = [rng.choice(pool[:5]) for _ in range(rng.randrange(1, 24))]
         rows += [(300 + k, " ".join(b)), (500 + k, " ".join(b[:-1]))]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(table(spark, rows)).collect()}
-    assert got == components(rows)
+    assert joined(spark, rows) == components(rows)
     assert ngram_join.ngram_components(table(spark, [])).count() == 0
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    text = lambda k, n=12: " ".join(f"t{k}x{j}" for j in range(n))
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (1, text(3)), (2, text(4)), (2, text(1)), (9, text(5)), (None, None), (None, ""), (3, "")]
+    got = joined(spark, rows)
+    assert len(got) == len(rows) and got == components(rows)
+
+
+def test_ngram_join_of_a_large_group(spark):
+    """Copies of one text with few or many words changed, so that lists hold sets that link and sets that don't, and a long
+    passage that other texts share."""
+    rng = random.Random(5)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(150):
+        w = list(base)
+        for j in rng.sample(range(120), rng.randrange(5)):
+            w[j] = rng.choice([f"n{k}", f"m{k % 7}"])
+        rows.append((k, " ".join(w)))
+    rows += [(500 + k, " ".join([*base[:60], *(f"o{k}y{j}" for j in range(60 - k))])) for k in range(40)]
+    assert joined(spark, rows) == components(rows)
+
+
 @pytest.mark.parametrize("held", [byte_bpe.WORDS_HELD, 30])
 def test_byte_bpe(spark, held):
     rows = [*ODD, (None, "null id"), (6, "same id"), *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
@@ -227,27 +260,69 @@ def test_toxicity_keeps_the_prior_of_a_large_table(spark):
     assert sum(p for p, _ in fold) / len(fold) == pytest.approx(sum(y for _, y in fold) / len(fold), abs=0.01)
 
 
-@pytest.mark.parametrize("limit", [suffix_tree.BROADCAST_WORDS, 40])
-def test_suffix_tree(spark, limit):
-    rows = [*ODD, *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
-    df = table(spark, rows)
-    got = {r["doc_id"]: r for r in suffix_tree.lm_scores(df, df.where("doc_id % 3 <> 0"), limit=limit).collect()}
-    split = lambda t: [*WORDS.findall((t or "").translate(suffix_tree.LOWERED)), ""]
-    c = Counter(w for d, t in rows if d % 3 for w in split(t))
+class BruteTree:
+    """The suffix tree by counting every context of every training text."""
+
+    def __init__(self, texts):
+        self.n = Counter()
+        for t in texts:
+            run = self.run(t)
+            for k in range(suffix_tree.DEPTH, len(run)):
+                for m in range(suffix_tree.DEPTH + 1):
+                    self.n[run[k - m : k], run[k]] += 1
+        self.total = Counter()
+        for (c, _), n in self.n.items():
+            self.total[c] += n
+        gain = Counter()
+        for (c, x), n in self.n.items():
+            if c:
+                gain[c] += n * math.log(n / self.total[c] / (self.n[c[1:], x] / self.total[c[1:]]))
+        self.states = {c for c in self.total if not c or self.total[c] >= suffix_tree.MIN_COUNT and gain[c] >= suffix_tree.MIN_GAIN}
+
+    @staticmethod
+    def run(text):
+        words = (text or "").encode().lower().split()
+        return b"\t" * suffix_tree.DEPTH + b" ".join(words) + b"\n"
+
+    def p(self, c, x):
+        if not c:
+            return (self.n[c, x] + suffix_tree.SMOOTHING / 256) / (self.total[c] + suffix_tree.SMOOTHING)
+        low = self.p(c[1:], x)
+        return (self.n[c, x] + suffix_tree.SMOOTHING * low) / (self.total[c] + suffix_tree.SMOOTHING) if c in self.states else low
+
+    def score(self, text):
+        run, d = self.run(text), suffix_tree.DEPTH
+        return sum(math.log10(self.p(run[k - d : k], run[k])) for k in range(d, len(run)))
+
+
+@pytest.mark.parametrize("block", [suffix_tree.BLOCK_BYTES, 2000])
+def test_suffix_tree(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
+    rows = [*ODD, (None, "null id"), (6, "same id"), *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
+    df = table(spark, rows).withColumns({c: F.lit(1) for c in ("score", "train", "run", "block", "n_tokens")})
+    got = sorted(map(tuple, suffix_tree.lm_scores(df, F.col("doc_id") % 3 != 0).collect()), key=repr)
+    assert len(got) == len(rows)
+    split = lambda t: [*WORDS.findall(lowered(t)), ""]
+    taught = [t for d, t in rows if d is not None and d % 3]
+    c, model = Counter(w for t in taught for w in split(t)), BruteTree(taught)
     n = sum(c.values())
+    want = []
     for d, t in rows:
         w = split(t)
-        assert (got[d]["n_tokens"], got[d]["n_known"], got[d]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert got[d]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w))
-        assert got[d]["score"] < 0
+        base = sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w)
+        want.append((d, len(w), sum(c[x] > 0 for x in w), n, base, model.score(t)))
+    for g, w in zip(got, sorted(want, key=repr)):
+        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
+    assert suffix_tree.lm_scores(table(spark, []), F.lit(True)).count() == 0
+    none = suffix_tree.lm_scores(table(spark, ODD), F.lit(False)).collect()
+    assert {(r["n_known"], r["train_tokens"]) for r in none} == {(0, 0)} and all(r["score"] < 0 for r in none)
 
 
 def test_suffix_tree_reads_the_order_of_words(spark):
-    df = table(spark, [(d, "ab cd ef gh ij kl mn op" if d < 90 else None) for d in range(100)])
-    docs = table(spark, [(1, "ab cd ef gh ij kl mn op"), (2, "op mn kl ij gh ef cd ab"), (3, "")])
-    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in suffix_tree.lm_scores(docs, df).collect()}
-    assert got[1][1] == pytest.approx(got[2][1]) and got[1][0] > got[2][0] + 5
-    assert got[3][0] == pytest.approx(-1, abs=0.2)  # a tenth of the training texts is empty
+    docs = table(spark, [(d, "ab cd ef gh ij kl mn op" if d < 90 else None) for d in range(100)] + [(200, "ab cd ef gh ij kl mn op"), (201, "op mn kl ij gh ef cd ab"), (202, "")])
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in suffix_tree.lm_scores(docs, F.col("doc_id") < 100).collect()}
+    assert got[200][1] == pytest.approx(got[201][1]) and got[200][0] > got[201][0] + 5
+    assert got[202][0] == pytest.approx(-1, abs=0.2)  # a tenth of the training texts is empty
 
 
 def test_mixing(spark):
@@ -273,3 +348,96 @@ def test_mixing_reaches_the_share_of_a_rare_domain(spark):
     cells = [("a", 50, 0.5, 0.1, 0.4), ("b", 50, 0.1, 0.5, 0.4)]
     with pytest.warns(UserWarning, match="no rates reach"):  # all words are toxic in part
         mixing.fit_rates(spark.createDataFrame(cells, columns), {"good": 1.0, "low": 0.0, "toxic": 0.0})
+
+
+def test_mixing_rates_by_brute_force(spark):
+    """Posteriors by plain counting, and rates that a check over all documents holds to the targets."""
+    rng = random.Random(4)
+    own = {"good": [f"fine{k}" for k in range(12)], "low": [f"poor{k}" for k in range(12)], "toxic": [f"vile{k}" for k in range(12)]}
+    docs, marks = [], []
+    for d in range(240):
+        kind = ("good", "good", "good", "low", "toxic")[d % 5]
+        docs.append((d, " ".join(rng.choice(own[kind] + own["good"][:4]) for _ in range(rng.randrange(5, 40)))))
+        if d % 2:
+            marks.append((d, int(kind != "low"), int(kind == "toxic")))
+    docs += [(None, "fine1 vile2"), (7, docs[7][1]), (900, None), (901, "")]
+    df = table(spark, docs).withColumns({c: F.lit(1) for c in ("n_tokens", "rate", "words", "f0", "__words", "domain")})
+    goal = {"good": 0.6, "low": 0.25, "toxic": 0.15}
+    got = mixing.mixing_rates(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), goal).collect()
+    assert len(got) == len(docs) and Counter(r["doc_id"] for r in got) == Counter(d for d, _ in docs)
+    total = sum(r["n_tokens"] for r in got)
+    for k in goal:
+        assert sum(r["rate"] * r["n_tokens"] * r[f"p_{k}"] for r in got) / total == pytest.approx(goal[k], abs=mixing.TOLERANCE)
+    assert min(r["rate"] for r in got) >= 0 and len({(r["n_tokens"], r["rate"]) for r in got if r["doc_id"] == 7}) == 1
+    # The classifier: Bernoulli over telling words, and steps.
+    words = {d: WORDS.findall(lowered(t)) for d, t in docs if d is not None}
+    taught = {d: "toxic" if x else "good" if q else "low" for d, q, x in marks}
+    sizes = Counter(taught.get(d) for d, _ in docs if d in taught)
+    has = lambda w, c: sum(w in words[d] for d, _ in docs if taught.get(d) == c)
+    vocabulary = set()
+    for c in goal:
+        value = {}
+        for w in {w for d in taught for w in words[d]}:
+            inside, outside = (has(w, c) + 0.5) / (sizes[c] + 1), (sum(has(w, o) for o in goal if o != c) + 0.5) / (sum(sizes.values()) - sizes[c] + 1)
+            if has(w, c) >= mixing.MIN_DOCS and inside * math.log(inside / outside) > 0:
+                value[w] = inside * math.log(inside / outside)
+        vocabulary |= set(sorted(value, key=lambda w: (-value[w], w))[: mixing.VOCABULARY])
+    steps = lambda w: (int(math.log2(len(w) + 1)), len(set(w)) * 20 // max(len(w), 1), 0)
+    values = [{steps(words[d])[k] for d in taught} for k in range(3)]
+    for r in got:
+        if r["doc_id"] is not None:
+            w, logs = words[r["doc_id"]], {}
+            for c in goal:
+                p = {x: (has(x, c) + 1) / (sizes[c] + 2) for x in vocabulary}
+                logs[c] = math.log((sizes[c] + 1) / (sum(sizes.values()) + 3)) + sum(math.log(p[x] if x in w else 1 - p[x]) for x in vocabulary)
+                for k in range(3):
+                    same = sum(steps(words[d])[k] == steps(w)[k] for d, _ in docs if taught.get(d) == c)
+                    logs[c] += math.log((same + 1) / (sizes[c] + len(values[k]) + 1))
+            whole = sum(math.exp(x) for x in logs.values())
+            assert [r[f"p_{c}"] for c in goal] == pytest.approx([math.exp(logs[c]) / whole for c in goal])
+    with pytest.raises(ValueError, match="targets must name"):
+        mixing.mixing_rates(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), {"good": 1.0})
+    assert mixing.mixing_rates(table(spark, []), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_toxicity_values_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k % 2, " ".join(rng.choice(["a", "b", "c1", "d-e", "x" if k % 2 else "y"]) for _ in range(rng.randrange(1, 12)))) for k in range(40)]
+    model = toxicity.KneserNey(toxicity.ngram_counts(spark.createDataFrame(rows, "toxic int, text string")))
+    n = [Counter(), Counter()]
+    for c, t in rows:
+        w = toxicity.tokens(t)
+        n[c].update(zip(["", *w], w))
+    D = toxicity.DISCOUNT
+    every = {w for c in n for pair in c for w in pair}
+    cont = [Counter(w for _, w in c) for c in n]
+    shared = {w: min(cont[0][w] / len(n[0]), cont[1][w] / len(n[1])) * len(n[0]) + 1 for w in every}
+    whole = sum(shared.values()) + 1
+
+    def p(c, v, w):
+        low = (max(cont[c][w] - D, 0) + D * len(cont[c]) * shared[w] / whole) / len(n[c])
+        after = {x: k for (u, x), k in n[c].items() if u == v}
+        total = sum(after.values())
+        return (max(after.get(w, 0) - D, 0) + D * len(after) * low) / total if total else low
+
+    text = "a x y b. c1 d-e x x never b y a x"
+    found = toxicity.tokens(text)
+    want = [0.0 if w not in every else math.log(p(1, v, w) / p(0, v, w)) for v, w in zip(["", *found], found)]
+    want[found.index("never") + 1] = math.log(p(1, "never", "b") / p(0, "never", "b"))
+    assert model.differences(found).tolist() == pytest.approx(want)
+    assert model.value(text) == pytest.approx(sum(want) / len(want))
+    long_ = " ".join([text] * 4)
+    each = model.differences(toxicity.tokens(long_))
+    assert model.value(long_) == pytest.approx(max(each[k : k + toxicity.WINDOW].sum() for k in range(len(each) - toxicity.WINDOW + 1)) / toxicity.WINDOW)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = [(d, f"plain words here {d % 3}" + (" vile nasty" if d % 4 == 0 else "")) for d in range(400)] + [(None, "vile nasty"), (4, "plain words here 1"), (900, None), (901, "")]
+    marks = spark.createDataFrame([(d, 1, int(d % 4 == 0)) for d in range(400)] * 2, "doc_id long, quality int, toxic int")
+    df = table(spark, docs).withColumns({c: F.lit(1) for c in ("toxic", "fold", "value", "score", "predicted")})
+    got = toxicity.toxicity(df, marks).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in docs)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert by[900] == by[901] and len(by[None]) == 1 and by[8] == by[20] and toxicity.toxicity(table(spark, []), marks).count() == 0
