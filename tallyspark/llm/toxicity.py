@@ -1,28 +1,31 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Word bigram models of toxic and of ordinary training texts; a word stands for its first ``STEM`` letters, so that
-inflected and compounded forms share their counts. Each interpolates its discounted
-bigrams with discounted unigrams, and those with one continuation distribution that both classes
-share; for a rare expression both models thus say the same. A text is cut into windows of
-``WINDOW`` words; a window's value is the difference of the models' log-likelihoods, divided by
-its length; the text's value is its greatest window's. A logistic curve, fitted on all labelled
-training rows of a fold that the counts haven't seen, turns the value into a score; it thus knows
-the classes' shares as they are, whatever the size of the input.
+Word bigram models of toxic and of ordinary training texts. Each interpolates its discounted
+bigrams with discounted continuation counts (in how many contexts of the class a word occurs), and
+those with one distribution that both classes share, from the contexts that a word has in either;
+for a rare expression both models thus say the same. Every word counts whole, with its digits and
+symbols, and no n-gram is left out. A text is cut into windows of ``WINDOW`` words; a window's value
+is the difference of the models' log-likelihoods divided by its length, and so is that of a shorter
+text; the text's value is its greatest window's. A logistic curve, fitted on all labelled training
+rows of a fold that the counts haven't seen, turns the value into a score; it thus knows the
+classes' shares as they are, whatever the size of the input.
 
 The models are fitted on a bounded sample of the labelled training rows, ``TRAIN_ROWS`` of each
-class at most, by the hash of the document id; n-grams seen once are
-left to the back-off. The model's size is thus bounded whatever the corpus holds, and it is
-broadcast. Scoring is row-wise over whole texts, with no shuffle; the curve is fitted on the
-written values, summed to hundredths.
+class at most, by the hash of the document id. The model's size is thus bounded whatever the corpus
+holds, and it is broadcast: the words, and numbers by word, by context and by bigram. Scoring is
+row-wise over whole texts, with no shuffle; the curve is fitted on the written values, summed to
+hundredths.
 
 Null and empty texts get the score of a text with no evidence. Without labels of both classes all
-scores are the prior. Repeated label rows of one document count once, as toxic if any is.
+scores are the prior. Repeated label rows of one document count once, as toxic if any is; rows that
+repeat an id are scored each, and all train if it is labelled; rows with a null id are scored, and
+held out. Equal texts have equal scores. An empty table gives an empty result. Other columns aren't
+read.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -30,18 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import shipped, table, written
+from tallyspark.llm.common import bounded, dropped, shipped, sliced, table, written
 
 TRAIN_ROWS = 3_000
 WINDOW = 16
 DISCOUNT = 0.75
-MIN_COUNT = 2
-MIN_CONTEXT = 20
-MIN_PAIR = 4
-STEM = 5
 FOLDS = 5
-TOKEN = re.compile(r"[^\W\d_]+")
 NONE = ""
+#: What stands around a word and isn't part of it.
+EDGES = ".,;:!?()[]{}\"'\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u2026"
 
 
 def remainder(doc_id: Column | str, folds: int) -> Column:
@@ -50,7 +50,8 @@ def remainder(doc_id: Column | str, folds: int) -> Column:
 
 
 def tokens(text: str | None) -> list[str]:
-    return [w[:STEM] for w in TOKEN.findall((text or "").lower())]
+    """Lower-cased words between white space, without the punctuation around them; a word of punctuation alone stays."""
+    return [w.strip(EDGES) or w for w in (text or "").lower().split()]
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
@@ -58,13 +59,11 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches):
         held: dict = defaultdict(Counter)
-        size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = tokens(text)
                 held[label].update(zip([NONE, *words], words))
-            size = sum(map(len, held.values()))
-            if size > 500_000:
+            if sum(map(len, held.values())) > 500_000:
                 yield from _held(held)
                 held.clear()
         yield from _held(held)
@@ -82,53 +81,49 @@ def _held(held):
 
 
 class KneserNey:
-    """What the difference of the log-likelihoods needs: by word, by context and by bigram. A context is used if both
-    classes have seen it ``MIN_CONTEXT`` times; after a rarer one, both models stand on their unigrams."""
+    """What the difference of the log-likelihoods needs. Words have numbers; by word its unigrams' difference, by context those
+    of the weights that are left for unigrams, and by bigram its own, where either class has seen it.
+
+    ``counts`` is of a bounded sample of rows: what is collected is bounded by its words."""
 
     def __init__(self, counts: DataFrame):
-        by_word = counts.groupBy("toxic", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
-        by_word = written(by_word, "toxic-words")
-        totals = {r[0]: tuple(r)[1:] for r in by_word.groupBy("toxic").agg(F.sum("n"), F.count(F.lit(1)), F.sum("contexts")).collect()}
-        self.known = all(totals.get(c, (0,))[0] > 0 for c in (0, 1))
+        both = counts.groupBy("before", "word").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+        rows = both.toArrow()
+        first, second = (rows.column(c).combine_chunks().dictionary_encode() for c in ("before", "word"))
+        self.words = {w: k for k, w in enumerate(second.dictionary.to_pylist())}
+        n = [rows.column(f"n{c}").to_numpy() for c in (0, 1)]
+        self.known = all(x.sum() > 0 for x in n)
         if not self.known:
             return
-        sides = [F.sum(F.when(F.col("toxic") == c, F.col(x)).otherwise(0)).alias(f"{x}{c}") for c in (0, 1) for x in ("n", "contexts")]
-        rows = by_word.groupBy("word").agg(*sides).where(F.col("n0") + F.col("n1") >= MIN_COUNT).collect()  # words of a bounded sample
+        # A word that only begins, or only ends, texts has no place as the other.
+        names = {w: k for k, w in enumerate(first.dictionary.to_pylist())}
+        number = np.array([self.words.setdefault(w, len(self.words)) for w in names], "i8")
+        size = len(self.words)
+        v, w = number[first.indices.to_numpy()], second.indices.to_numpy().astype("i8")
+        seen = [x > 0 for x in n]
+        contexts = [np.bincount(w[s], minlength=size) for s in seen]  # of each word, how many kinds stand before it
+        kinds = [c.sum() for c in contexts]
         # Shared back-off counts: as many contexts as a word has in either class, and one for every word.
-        shared = {r["word"]: min(r["contexts0"] / totals[0][2], r["contexts1"] / totals[1][2]) * totals[0][2] + 1 for r in rows}
-        all_shared = sum(shared.values())
-        rate = {}
-        for r in rows:
-            base = shared[r["word"]] / all_shared
-            rate[r["word"]] = [(max(r[f"n{c}"] - DISCOUNT, 0) + DISCOUNT * totals[c][1] * base) / totals[c][0] for c in (0, 1)]
-        self.unigram = {w: math.log(b / a) for w, (a, b) in rate.items()}
-        context = counts.groupBy("toxic", "before").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= MIN_CONTEXT)
-        context = written(context, "toxic-contexts")
-        frequent_contexts = context.groupBy("before").count().where("count = 2").select("before")  # of a bounded sample
-        held: dict = defaultdict(dict)
-        for c, v, n, kinds in context.collect():
-            held[v][c] = (n, kinds)
-        held = {v: by for v, by in held.items() if len(by) == 2}
-        self.backoff = {v: math.log(by[1][1] / by[1][0]) - math.log(by[0][1] / by[0][0]) for v, by in held.items()}
-        pairs = counts.join(F.broadcast(frequent_contexts), "before").groupBy("before", "word").agg(*sides[::2]).where(F.col("n0") + F.col("n1") >= MIN_PAIR)
-        seen = {(v, w): (a, b) for v, w, a, b in pairs.toLocalIterator() if w in rate and v in held}
-        self.bigram = {}
-        for (v, w), by in seen.items():
-            p = [(max(by[c] - DISCOUNT, 0) + DISCOUNT * held[v][c][1] * rate[w][c]) / held[v][c][0] for c in (0, 1)]
-            self.bigram[v, w] = math.log(p[1] / p[0])
-
-    def differences(self, words: list[str]) -> list[float]:
-        """By word, log P(toxic model) - log P(ordinary model)."""
-        unigram, backoff, bigram = self.unigram, self.backoff, self.bigram
-        out, before = [], NONE
-        for w in words:
-            x = bigram.get((before, w))
-            if x is None:
-                # A word that is in neither model has the shared distribution in both.
-                x = unigram.get(w, 0.0) + (backoff.get(before, 0.0) if w in unigram else 0.0)
-            out.append(x)
-            before = w
-        return out
+        shared = np.minimum(contexts[0] / kinds[0], contexts[1] / kinds[1]) * kinds[0] + 1
+        shared = shared / (shared.sum() + 1)
+        unigram = [(np.maximum(contexts[c] - DISCOUNT, 0) + DISCOUNT * (contexts[c] > 0).sum() * shared) / kinds[c] for c in (0, 1)]
+        total = [np.bincount(v, n[c], size) for c in (0, 1)]
+        followers = [np.bincount(v[seen[c]], minlength=size) for c in (0, 1)]
+        left = [np.where(total[c] > 0, DISCOUNT * followers[c] / np.maximum(total[c], 1), 1.0) for c in (0, 1)]
+        p = [np.where(total[c][v] > 0, np.maximum(n[c] - DISCOUNT, 0) / np.maximum(total[c][v], 1), 0) + left[c][v] * unigram[c][w] for c in (0, 1)]
+        self.unigram = np.append(np.log(unigram[1] / unigram[0]), 0.0)  # the last is of words that neither class has
+        self.backoff = np.append(np.log(left[1] / left[0]), 0.0)
+        key = v * size + w
+        order = np.argsort(key)
+        self.keys, self.bigram, self.size = key[order], np.log(p[1] / p[0])[order], size
+
+    def differences(self, words: list[str]) -> np.ndarray:
+        """By word, log P(toxic model) - log P(ordinary model); 0 for one that neither has, as both give it the shared share."""
+        at = np.fromiter((self.words.get(w, self.size) for w in words), "i8", len(words))
+        before = np.concatenate(([self.words.get(NONE, self.size)], at[:-1]))
+        key = np.where((at < self.size) & (before < self.size), before * self.size + at, -1)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.bigram[place], np.where(at < self.size, self.unigram[at] + self.backoff[before], 0.0))
 
     def value(self, text: str | None) -> float:
         words = tokens(text)
@@ -136,7 +131,7 @@ class KneserNey:
             return 0.0
         sums = np.concatenate(([0.0], np.cumsum(self.differences(words))))
         if len(words) <= WINDOW:
-            return float(sums[-1]) / WINDOW
+            return float(sums[-1]) / len(words)
         return float(np.max(sums[WINDOW:] - sums[:-WINDOW])) / WINDOW
 
 
@@ -144,7 +139,7 @@ def values(df: DataFrame, shared, doc_id: str, keep: str) -> DataFrame:
     kind = df.schema[doc_id].dataType.simpleString()
 
     def score(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shared.value.value(x.as_py()) for x in batch.column(1)]
             yield pa.record_batch({doc_id: batch.column(0), keep: batch.column(2), "value": pa.array(found, pa.float64())})
 
@@ -178,10 +173,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         share = F.when(F.col("toxic") == c, F.lit(min(1.0, TRAIN_ROWS / n))).otherwise(share)
     picked = marks.where(fold == 0).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
     sample = written(rows.join(F.broadcast(picked), "doc_id"), "toxic-sample")  # TRAIN_ROWS * 2 ids
-    model = KneserNey(written(ngram_counts(sample.select("toxic", "text")), "toxic-ngrams"))
+    counts = written(ngram_counts(sample.select("toxic", "text")), "toxic-ngrams")
+    model = KneserNey(counts)
+    dropped(sample, counts)
     shared = spark.sparkContext.broadcast(model)
     out = written(values(rows.withColumn("fold", (remainder("doc_id", FOLDS) == 0).cast("int")), shared, "doc_id", "fold"), "toxic-values")
-    held = out.join(marks.where(fold == 1), "doc_id").select("toxic", F.round("value", 2).alias("v"))
+    held = out.join(bounded(written(marks.where(fold == 1), "toxic-fold")), "doc_id").select("toxic", F.round("value", 2).alias("v"))
     pairs = [tuple(r) for r in held.groupBy("v").agg(F.sum("toxic"), F.count(F.lit(1))).collect()]
     a, b = logistic(pairs)
     score = 1 / (1 + F.exp(-(F.col("value") * a + b)))
