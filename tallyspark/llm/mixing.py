@@ -1,24 +1,26 @@
 """Mixing sources to target weights by soft memberships, with DataFrame functions only.
 
 1. Classifier: naive Bayes on the labelled table. Its domains are ``DOMAINS``, by the labels'
-   quality and toxic marks; its features are coarse counts of a text and how many words it has
-   of each domain's telling words, ``VOCABULARY`` a domain, found from document frequencies over
-   all labelled rows.
+   quality and toxic marks. Its features are which telling words a text has, ``VOCABULARY`` a
+   domain, whole words found from document frequencies over the labelled rows (at most
+   ``LABELLED_ROWS`` a domain, by the hash of the id); its length, by
+   powers of two; and its shares of different words and of symbols, by steps.
 2. Every document gets posteriors of the domains, so its words count towards each in part.
-   Documents with the same features share them, and are summed to one cell: cells are bounded by
-   the features' values, whatever the number of documents.
-3. Least squares over the cells: nonnegative rates whose expected words by domain meet the targets,
-   and of those the nearest to ``START_RATE``, documents weighted by their words. Such rates are
-   ``START_RATE`` plus a multiple of each posterior, cut at 0; Newton's method finds the multiples,
-   a sum over the cells a round, until the slope is under the tolerance, and fails if it doesn't
-   get there. Where no rates meet the targets, the nearest would put all weight on a few documents;
-   then the squared distance from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as that from
-   the targets, and a warning says what is missing. A document has its cell's rate:
-   equal posteriors have equal gradients, so this is the fit over documents.
-
-Null and empty texts have no words, posteriors like any other and a rate. Labels that are null
-are not used; repeated labels of a document count once. Without labels all posteriors are equal.
-Targets are shares of the expected total; an empty table gives an empty result.
+3. Least squares over the documents: nonnegative rates whose expected words by domain meet the
+   targets, and of those the nearest to ``START_RATE``, documents weighted by their words. Such
+   rates are ``START_RATE`` plus a multiple of each posterior, cut (projected) at 0; the multiples
+   follow the gradient, scaled by the curvature, one distributed sum over all documents a round,
+   until the slope is under the tolerance; a fit that doesn't get there fails. Where no rates meet
+   the targets, the nearest would put all weight on a few documents; then the squared distance
+   from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as that from the targets, and a
+   warning says what is missing.
+
+A document's tokens are its words between white space: byte-level BPE needs Python, which a native
+operator's main path has none of. Null and empty texts have no words, posteriors like any other and
+a rate. Labels that are null are not used; repeated labels of a document count once, by the worst.
+Without labels all posteriors are equal. Ids may repeat or be null, each row has a rate, and equal
+texts have equal rates. Targets are shares of the expected total, one for each domain; an empty
+table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded, table, words, written
+from tallyspark.llm.common import bounded, dropped, table, words, written
 
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of the expected words, and the total as a multiple of all words.
@@ -39,8 +41,9 @@ TARGETS = {"good": 0.80, "low": 0.10, "toxic": 0.10}
 BUDGET = 1.0
 START_RATE = 1.0
 VOCABULARY = 60
-STEM = 5
 MIN_DOCS = 5
+#: Bound on the labelled rows of each domain that the classifier is fitted on.
+LABELLED_ROWS = 10_000
 #: A fit that takes more rounds fails.
 ITERATIONS = 200
 TOLERANCE = 1e-4
@@ -51,70 +54,74 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "good")
 
 
-def stems(text: Column) -> Column:
-    """The different word beginnings of a text, lower-cased."""
-    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.substring(w, 1, STEM)))
-
-
-def with_features(docs: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """``__stems`` and ``__words`` become one small integer a feature, ``f0`` and so on."""
-    n = F.col("n_tokens")
-    part = lambda x, of, steps: F.least(F.floor(x * steps / F.greatest(of, F.lit(1))), F.lit(steps - 1))
-    features = [
-        F.least(F.floor(F.log2(n + 1) / 2), F.lit(7)),
-        part(F.size("__stems"), n, 6),
-        part(F.col("__symbols") * 10, F.col("__length"), 4),
-        *(F.least(F.size(F.array_intersect("__stems", F.array(*map(F.lit, v)))), F.lit(3)) if v else F.lit(0) for v in (vocabulary.get(d, []) for d in DOMAINS)),
-    ]
-    return docs.select("*", *(f.cast("int").alias(f"f{k}") for k, f in enumerate(features)))
-
-
-N_FEATURES = 3 + len(DOMAINS)
+#: Features by steps: length, share of different words, share of symbols.
+STEPS = ("f0", "f1", "f2")
 
 
 def _prepared(docs: DataFrame, text: str) -> DataFrame:
+    """``__words`` (different ones, lower-cased), ``n_tokens`` and the features by steps."""
     c = F.col(text)
-    return docs.select(
-        "*", stems(c).alias("__stems"), F.size(words(c)).cast("long").alias("n_tokens"),
-        F.coalesce(F.regexp_count(c, F.lit("[#*$%&|<>]")), F.lit(0)).alias("__symbols"), F.coalesce(F.length(c), F.lit(0)).alias("__length"),
-    )
-
-
-def telling_words(labelled: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
-    """For each domain, the stems whose share of its documents most exceeds their share of the others."""
-    counts = labelled.select("domain", F.explode("__stems").alias("stem")).groupBy("stem").agg(
+    split = docs.withColumn("__all", words(F.lower(c)))
+    shown = split.select("*", F.array_distinct("__all").alias("__words"), F.size("__all").cast("long").alias("n_tokens")).drop("__all")
+    part = lambda x, of: F.floor(x * 20 / F.greatest(of, F.lit(1)))
+    features = {
+        "f0": F.floor(F.log2(F.col("n_tokens") + 1)), "f1": part(F.size("__words"), F.col("n_tokens")),
+        "f2": part(F.coalesce(F.regexp_count(c, F.lit("[#*$%&|<>]")), F.lit(0)), F.coalesce(F.length(c), F.lit(0))),
+    }
+    return shown.withColumns({k: v.cast("int") for k, v in features.items()})
+
+
+def telling_words(labelled: DataFrame, sizes: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """The words whose share of a domain's documents most exceeds their share of the others, each with how many documents of
+    each domain have it."""
+    counts = labelled.select("domain", F.explode("__words").alias("word")).groupBy("word").agg(
         *(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)
     )
-    counts = written(counts, "mix-stems")
+    counts = written(counts, "mix-words")
     found = {}
     for d in DOMAINS:
         others = [o for o in DOMAINS if o != d]
         inside = (F.col(d) + 0.5) / (sizes.get(d, 0) + 1)
         outside = (sum((F.col(o) for o in others), F.lit(0)) + 0.5) / (sum(sizes.get(o, 0) for o in others) + 1)
-        best = counts.where(F.col(d) >= MIN_DOCS).select("stem", (inside * F.log(inside / outside)).alias("v")).where("v > 0").orderBy(F.desc("v"), "stem")
-        found[d] = [r[0] for r in best.limit(VOCABULARY).collect()]
+        best = counts.where(F.col(d) >= MIN_DOCS).select("word", *DOMAINS, (inside * F.log(inside / outside)).alias("v")).where("v > 0").orderBy(F.desc("v"), "word")
+        found |= {r["word"]: tuple(r[x] for x in DOMAINS) for r in best.limit(VOCABULARY).collect()}
+    dropped(counts)
     return found
 
 
-def _posteriors(labelled: DataFrame, sizes: dict[str, int]) -> list[Column]:
-    """Posterior columns over f0, f1 ...: counts of each value by domain, with one added; some hundred rows at most."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("v")) for k in range(N_FEATURES)))
-    counts = labelled.select("domain", F.explode(pairs).alias("x")).groupBy("domain", "x.k", "x.v").count().collect()
-    seen = {(r[0], r[1], r[2]): r[3] for r in counts}
+def _summed(found: str, weights: dict[str, float]) -> Column:
+    by_word = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    return F.aggregate(found, F.lit(0.0), lambda a, w: a + by_word[w])
+
+
+def _posteriors(labelled: DataFrame, sizes: dict[str, int], vocabulary: dict[str, tuple[int, ...]]) -> tuple[list[Column], list[Column]]:
+    """Log-likelihoods, to be named ``__l0`` and so on, and posteriors over those, from ``__found`` (the telling words of a text) and the steps: Bernoulli naive Bayes, with one added to
+    every count. The tables have a row for each telling word and step."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in STEPS))
+    seen = {(r[0], r[1], r[2]): r[3] for r in labelled.select("domain", F.explode(pairs).alias("x")).groupBy("domain", "x.k", "x.v").count().collect()}
+    values = {k: sorted({v for _, f, v in seen if f == k}) for k in STEPS}
     logs = []
-    for d in DOMAINS:
-        terms = [F.lit(math.log((sizes.get(d, 0) + 1) / (sum(sizes.values()) + len(DOMAINS))))]
-        for k in range(N_FEATURES):
-            row = [math.log((seen.get((d, k, v), 0) + 1) / (sizes.get(d, 0) + 8)) for v in range(8)]
-            terms.append(F.element_at(F.array(*map(F.lit, row)), F.col(f"f{k}") + 1))
+    for i, d in enumerate(DOMAINS):
+        size = sizes.get(d, 0)
+        odds = {w: (c[i] + 1) / (size + 2) for w, c in vocabulary.items()}
+        terms = [F.lit(math.log((size + 1) / (sum(sizes.values()) + len(DOMAINS))) + sum(math.log(1 - p) for p in odds.values()))]
+        if odds:
+            terms.append(_summed("__found", {w: math.log(p / (1 - p)) for w, p in odds.items()}))
+        for k, steps in values.items():
+            log = lambda v: F.lit(math.log((seen.get((d, k, v), 0) + 1) / (size + len(steps) + 1)))  # noqa: B023, E731
+            if steps:
+                terms.append(reduce(lambda other, v: F.when(F.col(k) == v, log(v)).otherwise(other), steps, log(None)))  # noqa: B023
         logs.append(reduce(lambda a, b: a + b, terms))
-    top = F.greatest(*logs)
-    whole = reduce(lambda a, b: a + b, (F.exp(x - top) for x in logs))
-    return [(F.exp(x - top) / whole).alias(f"p_{d}") for d, x in zip(DOMAINS, logs)]
+    top = F.greatest(*(F.col(f"__l{i}") for i in range(len(DOMAINS))))
+    whole = reduce(lambda a, b: a + b, (F.exp(F.col(f"__l{i}") - top) for i in range(len(DOMAINS))))
+    return logs, [(F.exp(F.col(f"__l{i}") - top) / whole).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
 
 
 def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGET, start: float = START_RATE) -> DataFrame:
-    """``cells``: key, words and posteriors. Adds ``rate``; each round is one sum over the cells."""
+    """``cells``: rows with words and posteriors, of documents or of groups of them. Adds ``rate``; each round is one sum over
+    the rows. ``targets`` has a share for each domain."""
+    if set(targets) != set(DOMAINS):
+        raise ValueError(f"targets must name {', '.join(DOMAINS)}")
     total = cells.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     if not total:
         return cells.withColumn("rate", F.lit(float(start)))
@@ -164,15 +171,21 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     marks = written(marks.select("doc_id", domain_of(F.col("q"), F.col("t")).alias("domain")).where("doc_id is not null and domain is not null"), "mix-labels")
-    sizes = {r[0]: r[1] for r in marks.groupBy("domain").count().collect()}
-    known = _prepared(rows.join(bounded(marks), "doc_id"), "text").drop("text")
+    # At most LABELLED_ROWS of each domain, by the hash of the id.
+    share = F.lit(1.0)
+    for d, n in marks.groupBy("domain").count().collect():
+        share = F.when(F.col("domain") == d, min(1.0, LABELLED_ROWS / n)).otherwise(share)
+    marks = written(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003), "mix-sample")
+    known = written(_prepared(rows.join(bounded(marks), "doc_id"), "text").drop("text"), "mix-labelled")
+    sizes = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
     vocabulary = telling_words(known, sizes)
-    features = [f"f{k}" for k in range(N_FEATURES)]
-    lean = written(with_features(_prepared(rows, "text"), vocabulary).select("doc_id", "n_tokens", *features), "mix-features")
-    scored = _posteriors(lean.join(bounded(marks), "doc_id"), sizes)
-    cells = lean.groupBy(*features).agg(F.sum("n_tokens").alias("words")).select(*features, "words", *scored)
-    fitted = written(fit_rates(written(cells, "mix-cells"), targets or TARGETS, budget).drop("words"), "mix-fitted")
-    return lean.join(bounded(fitted), features).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
+    logs, posteriors = _posteriors(known, sizes, vocabulary)
+    found = F.array_intersect("__words", F.array(*map(F.lit, sorted(vocabulary)))) if vocabulary else F.array().cast("array<string>")
+    lean = written(_prepared(rows, "text").select("doc_id", "n_tokens", *STEPS, found.alias("__found")), "mix-features")
+    scored = lean.select("doc_id", "n_tokens", *(x.alias(f"__l{i}") for i, x in enumerate(logs))).select("doc_id", "n_tokens", F.col("n_tokens").alias("words"), *posteriors)
+    scored = written(scored, "mix-scored")
+    dropped(known, lean)
+    return fit_rates(scored, targets or TARGETS, budget).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
 
 
 def op10_mixing(spark, sf_dir):
