@@ -17,13 +17,14 @@ the elements before it shared with nothing, a pair can link only if what is left
 a pair that links passes this at its first common element.
 
 1. Over all representatives, in an order from the counts of a fixed part of the hash range,
-   ``REGION``: each list has a leader, the set with the fewest light elements, which every other
-   set of the list is held against. Lists whose sets then lie in one component are done.
-2. The sets of the other lists are joined again among themselves, in an order from the counts of all
-   their elements: leaders first; then the sets outside a list's largest component are held
+   ``REGION``: lists of up to ``SHORT`` sets are compared whole, where the places allow a link.
+   A longer list has a leader, the set with the fewest light elements, which every other set of
+   the list is held against. Lists whose sets then lie in one component are done.
+2. The sets of the other long lists are joined again among themselves, in an order from the counts
+   of all their elements: leaders first; then the sets outside a list's largest component are held
    against the whole list, where the places allow a link and the components differ.
 
-Candidates are verified on whole sets. Components come from repeated minima over neighbours with
+Candidates are verified on whole sets, which are made for the sets in pairs and in long lists only. Components come from repeated minima over neighbours with
 pointer jumping, each round a written table.
 
 Null texts, and texts without words, have empty sets and link with nothing. Texts with fewer words
@@ -39,11 +40,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import dropped, shipped, sliced, table, written
+from tallyspark.llm.common import bounded, dropped, shipped, sliced, table, written
 from tallyspark.llm.line_dedup import WordHashes, mixed
 
 SHINGLE = 4
@@ -53,6 +53,8 @@ REGION = 0.25
 HEAVY_HELD = 100_000
 #: The greatest size that may be the boundary.
 LARGEST = 64
+#: Lists of up to so many sets are compared whole.
+SHORT = 8
 _ROOT = 0x9E3779B97F4A7C15
 
 
@@ -81,21 +83,36 @@ def _hashes(x: np.ndarray) -> tuple[int, int]:
     return int(x.sum(dtype="u8").view("i8")), int(mixed(x * np.uint64(_ROOT)).sum(dtype="u8").view("i8"))
 
 
-def hashed_sets(docs: DataFrame, size: int = SHINGLE, whole: bool = False) -> DataFrame:
-    """``doc_id, n, f1, f2``: size and hashes of each row's set; with ``whole``, also ``x``, its elements, and no empty sets."""
+def hashed_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``doc_id, n, f1, f2, x``: size and hashes of each row's set, and its smallest elements: all in the region, as many as a
+    prefix needs, and all of a set that may be enumerated."""
+    edge = _edge(REGION)
 
     def run(batches):
         held = WordHashes()
         for batch in sliced(batches):
             sets = [elements(value.as_py(), held, size) for value in batch.column(1)]
             f1, f2 = zip(*map(_hashes, sets)) if sets else ((), ())
-            out = pa.record_batch({
-                "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()),
-                **({"x": pa.array([x.tobytes() for x in sets], pa.binary())} if whole else {}),
+            low = [x if len(x) <= LARGEST else x[: max(int(np.searchsorted(x, edge)), prefix_length(len(x), threshold))] for x in sets]
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "x": pa.array([x.tobytes() for x in low], pa.binary()),
             })
-            yield out.filter(pc.not_equal(out.column("n"), 0)) if whole else out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long" + (", x binary" if whole else ""))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, x binary")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``r, n, x`` with all elements of the sets that ``wanted`` (r, n, f1, f2) names."""
+
+    def run(batches):
+        held = WordHashes()
+        for batch in sliced(batches):
+            sets = [elements(value.as_py(), held, size) for value in batch.column(0)]
+            f1, f2 = zip(*map(_hashes, sets)) if sets else ((), ())
+            yield pa.record_batch({"n": pa.array(map(len, sets), pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "x": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    found = docs.select("text").mapInArrow(run, "n long, f1 long, f2 long, x binary").join(bounded(wanted), ["n", "f1", "f2"])
+    return found.groupBy("r").agg(F.first("n").alias("n"), F.first("x").alias("x"))  # copies have one set
 
 
 def _edge(region: float) -> np.uint64:
@@ -152,8 +169,8 @@ def postings(sets: DataFrame, heavy, small: int, region: float, threshold: int =
                     rests = (np.delete(x, gone) for k in range(n * (100 - threshold) // 100 + 1) for gone in itertools.combinations(range(n), k))
                     own.append(np.array([mixed(rest).sum(dtype="u8") ^ np.uint64(len(rest) * _ROOT & (1 << 64) - 1) for rest in rests], "u8"))
                 at = np.minimum(np.searchsorted(hot, x), max(len(hot) - 1, 0))
-                late = ((x >= edge) if region < 1 else np.zeros(n, bool)) | ((hot[at] == x) if len(hot) else False)
-                light = n - int(late.sum())
+                late = ((x >= edge) if region < 1 else np.zeros(len(x), bool)) | ((hot[at] == x) if len(hot) else False)
+                light = len(x) - int(late.sum())
                 m = prefix_length(n, threshold) if n > small or n >= mixed_from else 0
                 prefix = np.concatenate((x[~late][:m], x[late][: max(m - light, 0)]))
                 keys += [*own, prefix]
@@ -218,26 +235,34 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.withColumn("comp", F.col("r")) if labels is None else rows.join(labels, "r", "left").withColumn("comp", F.coalesce("comp", "r"))
 
 
+def compared(lists: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``a, b`` within short lists, where the places allow a link."""
+    one = lists.select("key", F.col("r").alias("a"), "n", "p")
+    two = lists.select("key", F.col("r").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
+    fits = may_link(F.col("n"), F.col("p"), F.col("m"), F.col("q"), threshold)
+    return one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
 def led(lists: DataFrame, labels: DataFrame | None, threshold: int) -> DataFrame:
     """Pairs ``a, b`` of each list's sets with its leader, where the places allow a link and the components differ."""
     rows = _labelled(lists, labels)
-    tops = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("light", "p", "r", "n", "comp")).alias("l")).where("k > 1").drop("k")
+    tops = rows.groupBy("key").agg(F.min(F.struct("light", "p", "r", "n", "comp")).alias("l"))
     fits = may_link(F.col("n"), F.col("p"), F.col("l.n"), F.col("l.p"), threshold) & (F.col("comp") != F.col("l.comp"))
     return rows.join(tops, "key").where(fits).select(F.least("r", "l.r").alias("a"), F.greatest("r", "l.r").alias("b")).distinct()
 
 
 def still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, k``: the lists whose sets lie in more than one component."""
-    rows = _labelled(lists, labels)
-    return rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    """``key``: the lists whose sets lie in more than one component."""
+    by = _labelled(lists, labels).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    return by.where("c0 <> c1").select("key")
 
 
 def outsiders(lists: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     """Pairs ``a, b`` of the sets outside a list's largest component with all of the list, where the places allow a link and the
     components differ."""
     rows = written(_labelled(lists, labels), "ngram-labelled")
-    by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    major = by.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("major"))
+    by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    major = by.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("major"))
     open_ = written(rows.join(major, "key"), "ngram-lists-open")
     dropped(rows)
     minor = open_.where("comp <> major").select("key", F.col("r").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("c"))
@@ -247,10 +272,13 @@ def outsiders(lists: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, region: float, threshold: int) -> DataFrame:
-    """The inverted lists of two sets or more, a written table."""
+    """The inverted lists of two sets or more, with their length ``k``, a written table."""
     heavy, mean_list = heavy_elements(sets, region)
     small = boundary(sets, mean_list, threshold)
-    return written(postings(sets, sets.sparkSession.sparkContext.broadcast(heavy), small, region, threshold), "ngram-lists")
+    rows = written(postings(sets, sets.sparkSession.sparkContext.broadcast(heavy), small, region, threshold), "ngram-postings")
+    lists = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "key"), "ngram-lists")
+    dropped(rows)
+    return lists
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -258,16 +286,21 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shipped(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     of_set = ["f1", "f2", "n"]
-    every = written(hashed_sets(rows, size), "ngram-rows")
-    sets = hashed_sets(rows, size, whole=True).groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
+    every = written(hashed_sets(rows, size, threshold), "ngram-rows")
+    sets = every.where("n > 0").groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
     sets = written(sets.withColumn("r", F.monotonically_increasing_id()), "ngram-sets")
 
     lists = _lists(sets, REGION, threshold)
-    links = written(verified(written(led(lists, None, threshold), "ngram-pairs"), sets, threshold), "ngram-links")
+    long_ = lists.where(F.col("k") > SHORT)
+    pairs = written(compared(lists.where(F.col("k") <= SHORT), threshold).unionByName(led(long_, None, threshold)).distinct(), "ngram-pairs")
+    wanted = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).unionByName(long_.select("r")).distinct()
+    wanted = written(sets.select("r", *of_set).join(wanted, "r", "left_semi"), "ngram-wanted")
+    whole = written(whole_sets(rows, wanted, size), "ngram-whole")
+    links = written(verified(pairs, whole, threshold), "ngram-links")
     labels = components(links)
-    opened = written(lists.join(still_open(lists, labels), "key", "left_semi").select("r").distinct(), "ngram-open")
-    dropped(lists)
-    again = written(sets.join(opened, "r", "left_semi").select("r", "n", "x"), "ngram-open-sets")
+    opened = written(long_.join(still_open(long_, labels), "key", "left_semi").select("r").distinct(), "ngram-open")
+    again = written(whole.join(opened, "r", "left_semi"), "ngram-open-sets")
+    dropped(lists, pairs, wanted, whole)
     lists = _lists(again, 1.0, threshold)
     for find in (led, outsiders):
         pairs = written(find(lists, labels, threshold), "ngram-pairs")
