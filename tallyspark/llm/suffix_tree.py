@@ -67,7 +67,7 @@ def run_keys(runs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], lengths - depth
 
 
-def chunks(batches, depth: int):
+def chunks(batches, depth: int, block_bytes: int):
     """From ``doc_id, text, train`` batches: the number of the block, ids, training marks, words of each text, and its run."""
     block, size = TaskContext.get().partitionId() << 32, 0
     for batch in sliced(batches):
@@ -80,10 +80,10 @@ def chunks(batches, depth: int):
             runs.append(START * depth + SPACE.join(found) + STOP)
             held += len(runs[-1])
             size += len(runs[-1])
-            if held > CHUNK_BYTES or size > BLOCK_BYTES:
+            if held > CHUNK_BYTES or size > block_bytes:
                 yield block, ids, train, words, runs
                 ids, train, words, runs, held = [], [], [], [], 0
-            if size > BLOCK_BYTES:
+            if size > block_bytes:
                 block, size = block + 1, 0
         if ids:
             yield block, ids, train, words, runs
@@ -94,7 +94,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype("i8")
 
 
-def items(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def items(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``block, is_word, key, n``: each block's words and runs once, with their count in training texts."""
 
     def count(batches):
@@ -109,7 +109,7 @@ def items(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     })
                     found.clear()
 
-        for block, _, train, words, runs in chunks(batches, depth):
+        for block, _, train, words, runs in chunks(batches, depth, block_bytes):
             if now is not None and block != now:
                 yield from out()
             now = block
@@ -210,12 +210,13 @@ def _packed_by_block(batches):
         yield out()
 
 
-def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``, by the rows where ``train`` holds."""
     shipped(docs.sparkSession)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    id_type = docs.schema[doc_id].dataType
+    kind = id_type.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    parts = written(items(rows, depth), "pst-items")
+    parts = written(items(rows, depth, block_bytes), "pst-items")
     sums = written(parts.groupBy("is_word", "key").agg(F.sum("n").alias("n")), "pst-sums")
     n_docs = rows.where("train").count()
     n_words, n_kinds = sums.where("is_word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
@@ -228,9 +229,8 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     def blocks(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        id_type = to_arrow_type(docs.schema[doc_id].dataType)
-        for block, ids, _, _, runs in chunks(batches, depth):
-            yield pa.record_batch({"block": pa.array([block] * len(ids), pa.int64()), "id": pa.array(ids, id_type), "run": pa.array([r[depth:-1] for r in runs], pa.binary())})
+        for block, ids, _, _, runs in chunks(batches, depth, block_bytes):
+            yield pa.record_batch({"block": pa.array([block] * len(ids), pa.int64()), "id": pa.array(ids, to_arrow_type(id_type)), "run": pa.array([r[depth:-1] for r in runs], pa.binary())})
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         tables = {}

@@ -296,11 +296,10 @@ class BruteTree:
 
 
 @pytest.mark.parametrize("block", [suffix_tree.BLOCK_BYTES, 2000])
-def test_suffix_tree(spark, monkeypatch, block):
-    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
+def test_suffix_tree(spark, block):
     rows = [*ODD, (None, "null id"), (6, "same id"), *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
     df = table(spark, rows).withColumns({c: F.lit(1) for c in ("score", "train", "run", "block", "n_tokens")})
-    got = sorted(map(tuple, suffix_tree.lm_scores(df, F.col("doc_id") % 3 != 0).collect()), key=repr)
+    got = sorted(map(tuple, suffix_tree.lm_scores(df, F.col("doc_id") % 3 != 0, block_bytes=block).collect()), key=repr)
     assert len(got) == len(rows)
     split = lambda t: [*WORDS.findall(lowered(t)), ""]
     taught = [t for d, t in rows if d is not None and d % 3]
@@ -441,3 +440,51 @@ def test_toxicity_of_odd_rows(spark):
     for r in got:
         by.setdefault(r["doc_id"], set()).add(r["score"])
     assert by[900] == by[901] and len(by[None]) == 1 and by[8] == by[20] and toxicity.toxicity(table(spark, []), marks).count() == 0
+
+
+def test_quality_rules_with_clashing_columns(spark):
+    df = table(spark, [*ODD, (None, "null id"), (6, "again")]).withColumns({c: F.lit("mine") for c in ("kept", "n_words", "clean_text", "__q_row", "a.b")})
+    got = quality_rules.quality_rules(df)
+    assert len(got.columns) == len(set(got.columns)) and set(df.columns) <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == len(ODD) + 2 and {r["a.b"] for r in rows} == {r["__q_row"] for r in rows} == {"mine"} and {r["kept"] for r in rows} == {False}
+    assert [r["n_words"] for r in rows if r["doc_id"] is None] == [2]
+
+
+def test_iso_media_with_clashing_columns(spark):
+    df = table(spark, [*ODD, (None, "x"), (6, ODD[5][1])]).withColumns({"error": F.lit(1), "tracks": F.lit(2), "a.b": F.lit(3)})
+    got = iso_media.media_columns(df.withColumn("media", iso_media.pack("text")))
+    assert sorted(got.columns) == sorted([*df.columns, "media"])
+    rows = got.collect()
+    assert len(rows) == len(ODD) + 2 and all(r["error"] is None and r["a.b"] == 3 for r in rows) and len({bytes(r["media"]) for r in rows if r["doc_id"] == 6}) == 1
+    assert iso_media.media_columns(spark.createDataFrame([], "media binary")).count() == 0
+
+
+def test_registered_media_query(spark):
+    want = {}
+    for d, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        p = iso_media.padded((t or "").encode())
+        want[d] = (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    got = {r["doc_id"]: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in queries.QUERIES["op5_iso_media"](spark, SF).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_warc_with_odd_rows(spark, tmp_path, broadcast, monkeypatch):
+    """Null and repeated ids, clashing columns, an empty table; also where joins shuffle."""
+    if broadcast == "-1":
+        monkeypatch.setattr(warc, "bounded", lambda df: df)
+    long_ = "p" * 150
+    rows = [(None, "u", long_), (3, "u", long_), (2, "u", long_), (2, "u", "q" * 120), (None, "u", "r" * 200), (None, "u", "r" * 200), (4, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload_bytes", "record_type", "refers_to", "payload_digest")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.classify(df).collect())
+        warc.write_archives(df, f"file://{tmp_path}/w")
+        got = Counter((r["id"], r["type"], len(r["content"].split(b"\r\n\r\n", 1)[1])) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == sorted([(0, "revisit", 2), (3, "revisit", 2), (2, "response", None), (2, "response", None), (0, "response", None), (0, "response", None), (4, "response", None)], key=lambda x: (x[0], x[1]))
+    assert sum(got.values()) == len(rows) and got["<urn:x-page:2>", "response", 150] == 1 and got["<urn:x-page:none>", "response", 200] == 2
+    warc.write_archives(df.limit(0), f"file://{tmp_path}/e")
+    assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
