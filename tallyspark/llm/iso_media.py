@@ -5,9 +5,11 @@ and stores codec, time scale, duration, sample count and the byte ranges of keyf
 aren't decoded. ``pack`` makes such a container from any bytes, as raw 8-bit samples of ``UNIT``
 bytes, and ``unpack`` reads the stored samples back by the tables.
 
-Each row stands alone: no shuffle, and bounded memory, as rows are handled one at a time. Null
-media give null columns; bytes that aren't a container give an ``error`` and no tracks. Equal
-bytes give equal values. An empty table gives an empty result; other columns pass through.
+Each row stands alone: no shuffle; a task holds one Arrow batch of rows and their containers. Null
+media give null columns; bytes that aren't a container give an ``error`` and no tracks; of
+fragmented files, only what their ``moov`` tells is read. Equal bytes give equal values, so repeated
+rows do. An empty table gives an empty result; other columns pass through, but for any named
+``error`` or ``tracks``, which ours replace.
 """
 
 from __future__ import annotations
@@ -198,7 +200,8 @@ def unpack(media: Column | str) -> Column:
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """All columns of ``df``, with ``error`` and ``tracks``."""
     shipped(df.sparkSession)
-    return df.withColumn("__media", read_tracks(media)).select(*df.columns, "__media.error", "__media.tracks")
+    kept = [f"`{c}`" for c in df.columns if c not in ("error", "tracks")]
+    return df.withColumn("__media", read_tracks(media)).select(*kept, "__media.error", "__media.tracks")
 
 
 def op5_iso_media(spark, sf_dir):

@@ -166,9 +166,10 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGE
     return cells.withColumn("rate", rate(found))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens``, a posterior for each domain and ``rate``, for each row of ``docs``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens``, a posterior for each domain and ``rate``, for each row of ``docs``; ``carry``: columns that pass
+    through, with names that are none of ours."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry)
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     marks = written(marks.select("doc_id", domain_of(F.col("q"), F.col("t")).alias("domain")).where("doc_id is not null and domain is not null"), "mix-labels")
     # At most LABELLED_ROWS of each domain, by the hash of the id.
@@ -176,16 +177,16 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     for d, n in marks.groupBy("domain").count().collect():
         share = F.when(F.col("domain") == d, min(1.0, LABELLED_ROWS / n)).otherwise(share)
     marks = written(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003), "mix-sample")
-    known = written(_prepared(rows.join(bounded(marks), "doc_id"), "text").drop("text"), "mix-labelled")
+    known = written(_prepared(rows.drop(*carry).join(bounded(marks), "doc_id"), "text").drop("text"), "mix-labelled")
     sizes = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
     vocabulary = telling_words(known, sizes)
     logs, posteriors = _posteriors(known, sizes, vocabulary)
     found = F.array_intersect("__words", F.array(*map(F.lit, sorted(vocabulary)))) if vocabulary else F.array().cast("array<string>")
-    lean = written(_prepared(rows, "text").select("doc_id", "n_tokens", *STEPS, found.alias("__found")), "mix-features")
-    scored = lean.select("doc_id", "n_tokens", *(x.alias(f"__l{i}") for i, x in enumerate(logs))).select("doc_id", "n_tokens", F.col("n_tokens").alias("words"), *posteriors)
+    lean = written(_prepared(rows, "text").select("doc_id", *carry, "n_tokens", *STEPS, found.alias("__found")), "mix-features")
+    scored = lean.select("doc_id", *carry, "n_tokens", *(x.alias(f"__l{i}") for i, x in enumerate(logs))).select("doc_id", *carry, "n_tokens", F.col("n_tokens").alias("words"), *posteriors)
     scored = written(scored, "mix-scored")
     dropped(known, lean)
-    return fit_rates(scored, targets or TARGETS, budget).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
+    return fit_rates(scored, targets or TARGETS, budget).select("doc_id", *carry, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
 
 
 def op10_mixing(spark, sf_dir):

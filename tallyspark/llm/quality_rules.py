@@ -9,8 +9,9 @@ Every line is held against three rules; a line that breaks one is removed:
 
 A document is rejected if fewer than ``MIN_KEPT_PCT`` percent of its words are left, or if it
 fails the base rules (under 50 words, or over half of the words in repeated 3-word windows).
-Null and empty texts have no words and are rejected. Rows stay as they are, so repeated rows
-and extra columns pass through; an empty table gives an empty result.
+Null and empty texts have no words and are rejected. Rows stay as they are, so repeated rows,
+null ids and extra columns pass through; a column that has the name of an added one is replaced
+by it. An empty table gives an empty result.
 
 Repeated windows are found by 64-bit hashes within one text, at odds of about n*n/2**65 for a text of n words.
 Everything is row-wise: no shuffle, no Python, whatever the source or the length of a text.
@@ -37,7 +38,12 @@ BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies",
     "accept cookies", "click here", "sign up for", "subscribe to", "enable javascript", "lorem ipsum",
     "licensed under", "released under", "share on facebook", "skip to content",
-)
+    "alle rechte vorbehalten", "wir verwenden cookies", "tous droits r\u00e9serv\u00e9s", "nous utilisons des cookies",
+    "todos los derechos reservados", "utilizamos cookies",
+)
+#: What ends or parts sentences, also in scripts other than Latin.
+MARKS = ".,;:!?\u2026\u3002\uff0c\u3001\uff1b\uff1a\uff01\uff1f\u0964\u061f\u060c"
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_removed", "clean_text", "n_words_kept", "base_failed", "kept")
 
 
 def count_of(c: Column, part: str) -> Column:
@@ -63,7 +69,7 @@ def line_fails(line: Column, symbols: Column, shouts: Column, phrases: Column) -
     n = n_line_words(line)
     bars = count_of(line, "|")
     return (
-        (~line.rlike("[.,;:!?]") & (n >= MIN_LINE_WORDS))
+        (~line.rlike(f"[{MARKS}]") & (n >= MIN_LINE_WORDS))
         | (symbols & (n_line_symbols(line) * 100 > F.length(line) * MAX_SYMBOL_PCT))
         | (shouts & line.contains("!!") & (n >= MIN_LINE_WORDS) & (count_of(line, "!!") * 2 >= n))
         | (symbols & line.contains("|") & (bars >= MIN_BARS) & (bars * WORDS_A_BAR >= n))
@@ -74,7 +80,10 @@ def line_fails(line: Column, symbols: Column, shouts: Column, phrases: Column) -
 def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``df``, with the base counts, ``base_failed``, ``clean_text`` (without the
     lines that fail), ``n_lines``, ``n_lines_removed``, ``n_words_kept`` and ``kept``."""
-    t = F.col(text)
+    # The columns stay together, so that none of their names can meet one of ours.
+    kept = [c for c in df.columns if c not in ADDED]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__q_row"), F.col(f"`{text}`").alias("__q_text"))
+    t = F.col("__q_text")
     # Arrays that lambdas refer to stand in a projection of their own; else each element would compute them again.
     split = df.select(
         "*",
@@ -105,7 +114,7 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     counted = windows.select(
-        *df.columns,
+        *(F.col("__q_row").getField(c).alias(c) for c in kept),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("__q_words", "")).cast("long").alias("word_chars"),
         F.col("__q_symbols").alias("n_symbols"),
@@ -137,7 +146,7 @@ def _sql_contains(column: str) -> str:
 #: What a line must not be, and the counts, in DuckDB's SQL.
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LINE_FAILS_SQL = f"""(
-    (len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) >= {MIN_LINE_WORDS} AND NOT regexp_matches(l, '[.,;:!?]'))
+    (len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) >= {MIN_LINE_WORDS} AND NOT regexp_matches(l, '[{MARKS}]'))
     OR (length(l) - length(translate(l, '{SYMBOLS}', ''))) * 100 > length(l) * {MAX_SYMBOL_PCT}
     OR (len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) >= {MIN_LINE_WORDS}
         AND (length(l) - length(replace(l, '!!', ''))) // 2 * 2 >= len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')))

@@ -16,8 +16,9 @@ The magic may also stand inside a payload, so each piece is only a candidate:
 4. a reachable record is joined with the pieces that lie in it, and they make up its bytes.
 
 Null payloads count as empty; control characters and blanks in a url are written as %XX and read
-back; null urls as an empty field. Rows with one page id are records of their own. Empty tables
-give no archive and no rows. Other columns aren't written.
+back; null urls as an empty field. Rows with one page id are records of their own. A row whose id
+is null revisits a record of its payload that has an id; where all ids are null, all are responses.
+Empty tables give no archive and no rows. Other columns aren't written, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 MIN_SHARED = 100
 ID = "urn:x-page:"
+ADDED = ("__payload", "payload_bytes", "payload_digest", "__first", "record_type", "refers_to")
 
 
 def classify(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
-    """Each row's payload, digest, ``record_type`` and ``refers_to``. Only digests and ids are shuffled, with partial
+    """Each row with its payload, digest, ``record_type`` and ``refers_to``, which replace columns of their names. Only digests and ids are shuffled, with partial
     minima; the payloads meet the digests that occur again by broadcast, or by a join beyond its bound."""
+    pages = pages.drop(*(c for c in ADDED if c not in (page_id, payload)))
     rows = pages.select("*", F.coalesce(F.col(payload), F.lit("")).alias("__payload"))
     rows = rows.select("*", F.octet_length("__payload").cast("long").alias("payload_bytes"), F.sha2("__payload", 256).alias("payload_digest"))
     shared = rows.where(F.col("payload_bytes") >= MIN_SHARED).groupBy("payload_digest").agg(F.min(page_id).alias("__first"), F.count(F.lit(1)).alias("__n"))
@@ -74,8 +77,8 @@ def _record(page_id: Column, url: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    rows = classify(pages, page_id, payload)
-    rows.select(_record(F.col(page_id), F.col(url)).alias("value")).write.option("lineSep", END).text(path)
+    rows = classify(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")))
+    rows.select(_record(F.col("page_id"), F.col("url")).alias("value")).write.option("lineSep", END).text(path)
 
 
 def _fields(raw: bytes) -> tuple[dict, int] | None:
@@ -183,7 +186,7 @@ def read_archives(spark, path: str) -> DataFrame:
     Payloads stay in the task that reads them; only those with the magic inside, and across blocks, are shuffled."""
     shipped(spark)
     pieces = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("piece")
     )
     light = written(pieces.mapInArrow(_candidates, "file string, block long, at long, size long, length long"), "warc-candidates")
     order = Window.partitionBy("file").orderBy("block")  # a row for each block
@@ -199,7 +202,9 @@ def read_archives(spark, path: str) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     blocks = bases.join(lasts, ["file", "block"], "left").select("file", "block", "base", "entry", F.last("last", ignorenulls=True).over(before).alias("owner"))
     blocks = bounded(written(blocks, "warc-entries"))
-    rows = pieces.join(blocks, ["file", "block"]).select("value", "file", "block", "base", "entry", "owner").mapInArrow(_records, RECORD_SQL)
+    # In the reader's order, which joins needn't keep; a block's pieces are in one partition after either join.
+    in_order = pieces.join(blocks, ["file", "block"]).sortWithinPartitions("file", "block", "piece")
+    rows = in_order.select("value", "file", "block", "base", "entry", "owner").mapInArrow(_records, RECORD_SQL)
     parts = rows.where("not whole").groupBy("file", "offset").agg(
         *(F.max(c).alias(c) for c in ("length", "type", "id", "refers", "uri", "digest")), F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts")
     )
