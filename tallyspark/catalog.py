@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import display_model, dollars, local_day, short_label, unix
@@ -11,7 +10,9 @@ from tallyspark.operators import catalogue as K
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import rollup as R
 from tallyspark.operators import search as S
-from tallyspark.plans.adapters import CALLS_SQL, calls_of, headers_of, messages_of, priced_of, usage_rows
+from tallyspark.plans.adapters import CALLS_SQL, SAID_SQL, calls_of, claude_log_of, codex_log_of, headers_of, messages_of, priced_of, rates_of, said_of, usage_rows
+from tallyspark.sources.logs import decode_claude, decode_codex
+from tallyspark.sources.messages import claude_headers, claude_messages
 from tallyspark.sources.rates import builtin_rates
 
 QUERIES: dict = {}
@@ -81,7 +82,7 @@ def price_columns(spark, d):
 
 @query("unpriced", _with("SELECT model, max(resolution) AS resolution FROM priced WHERE resolution <> 'exact' GROUP BY model"))
 def unpriced(spark, d):
-    return C.unpriced_models(calls_of(spark, d), C.resolve_rates(usage_rows(spark, d), builtin_rates(spark)))
+    return C.unpriced_models(calls_of(spark, d), rates_of(spark, d))
 
 
 @query("rate_resolution", _with("SELECT DISTINCT provider, model, resolution, r[1] / 1e3 AS rate_input, r[2] / 1e3 AS rate_output FROM priced WHERE model IS NOT NULL"))
@@ -141,14 +142,40 @@ def carbon(spark, d):
     return R.carbon(sums).select("kwh", "kg_co2", "tree_years", "tree_days")
 
 
-@query("drift", _with("""SELECT coalesce(a.day, b.day) AS day, ours, theirs, (ours - theirs) / theirs * 100 AS drift_pct, abs((ours - theirs) / theirs * 100) > 10 AS breach FROM
-  (SELECT CAST(day AS VARCHAR) AS day, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS ours FROM priced WHERE day < DATE '2024-01-20' GROUP BY 1) a FULL JOIN
-  (SELECT CAST(day AS VARCHAR) AS day, CAST(sum(n_in + n_out + n_r) AS BIGINT) / 1e9 AS theirs FROM priced WHERE day > DATE '2024-01-10' GROUP BY 1) b ON a.day = b.day"""))
-def drift(spark, d):
+_FIELDS = "CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write"
+_SIDES = f"""ours AS (SELECT CAST(day AS VARCHAR) AS day, {_FIELDS}, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS total, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost FROM priced WHERE day < DATE '2024-01-20' GROUP BY 1),
+theirs AS (SELECT CAST(day AS VARCHAR) AS day, {_FIELDS}, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS total, CAST(sum(n_in + n_out + n_r) AS BIGINT) / 1e9 AS cost FROM priced
+  WHERE day > DATE '2024-01-10' AND input % 50 <> 0 GROUP BY 1),
+a AS (SELECT day, field, v::DOUBLE AS ours FROM (SELECT day, input::DOUBLE AS input, output::DOUBLE AS output, cache_read::DOUBLE AS cache_read, cache_write::DOUBLE AS cache_write, total::DOUBLE AS total, cost FROM ours) UNPIVOT (v FOR field IN (input, output, cache_read, cache_write, total, cost))),
+b AS (SELECT day, field, v::DOUBLE AS theirs FROM (SELECT day, input::DOUBLE AS input, output::DOUBLE AS output, cache_read::DOUBLE AS cache_read, cache_write::DOUBLE AS cache_write, total::DOUBLE AS total, cost FROM theirs) UNPIVOT (v FOR field IN (input, output, cache_read, cache_write, total, cost))),
+drifted AS (SELECT coalesce(a.day, b.day) AS day, coalesce(a.field, b.field) AS field, ours, theirs, CASE WHEN theirs = 0 THEN CASE WHEN ours = 0 THEN 0.0::DOUBLE END ELSE (ours - theirs) / theirs * 100 END AS drift_pct
+  FROM a FULL JOIN b ON a.day = b.day AND a.field = b.field)"""
+
+
+def _reports(spark, d):
+    """Two reports by day: ours, and another that stops counting cache writes and some calls."""
     calls = priced_of(spark, d).withColumn("day", local_day(F.col("ts")).cast("string"))
-    ours = calls.where("day < '2024-01-20'").groupBy("day").agg(dollars(F.sum("cost")).alias("cost"))
-    theirs = calls.where("day > '2024-01-10'").groupBy("day").agg(dollars(F.sum(F.col("cost") - F.col("cost_cache_write"))).alias("cost"))
-    return R.drift(ours, theirs)
+    sums = [F.sum(c).alias(c) for c in R.TOKENS]
+    total = F.sum(D.all_tokens()).alias("total")
+    ours = calls.where("day < '2024-01-20'").groupBy("day").agg(*sums, total, dollars(F.sum("cost")).alias("cost"))
+    theirs = calls.where("day > '2024-01-10' and input % 50 <> 0").groupBy("day").agg(*sums, total, dollars(F.sum(F.col("cost") - F.col("cost_cache_write"))).alias("cost"))
+    return ours, theirs
+
+
+@query("drift", f"WITH {CALLS_SQL}, {_SIDES} SELECT *, CASE WHEN ours IS NOT NULL AND theirs IS NOT NULL THEN drift_pct IS NULL OR abs(drift_pct) > CASE field WHEN 'cost' THEN 10 ELSE 1 END END AS breach FROM drifted")
+def drift(spark, d):
+    return R.drift(*_reports(spark, d))
+
+
+@query("drift_days", f"""WITH {CALLS_SQL}, {_SIDES} SELECT day, 'theirs' AS missing_in FROM ours WHERE day NOT IN (SELECT day FROM theirs)
+  UNION ALL SELECT day, 'ours' AS missing_in FROM theirs WHERE day NOT IN (SELECT day FROM ours)""")
+def drift_days(spark, d):
+    return R.missing_days(*_reports(spark, d))
+
+
+@query("drift_widest", f"""WITH {CALLS_SQL}, {_SIDES} SELECT day, ours, theirs, drift_pct FROM drifted WHERE field = 'cost' AND ours IS NOT NULL AND theirs IS NOT NULL ORDER BY abs(ours - theirs) DESC, day LIMIT 5""")
+def drift_widest(spark, d):
+    return R.widest_days(R.drift(*_reports(spark, d)))
 
 
 @query("codex_dup_guard", """WITH e AS (SELECT user_id AS session, event_id AS line_seq, event_type AS model, CAST(floor(value) AS BIGINT) % 3 AS uncached, event_id % 2 AS cached, 1::BIGINT AS output FROM events),
@@ -173,13 +200,6 @@ def display_names(spark, d):
     return c.select("*", display_model(F.col("provider"), F.col("model")).alias("shown"), short_label(F.col("project")).alias("label"))
 
 
-@query("dash_hour", _with("""SELECT h.hour, coalesce(CAST(sum(input + output + cache_read + cache_write) AS BIGINT), 0) AS tokens,
-  CAST(coalesce(sum(n_in + n_out + n_r + n_w), 0) AS BIGINT) / 1e9 / (SELECT count(DISTINCT day) FROM priced) AS cost_a_day
-  FROM (SELECT unnest(range(24))::INT AS hour) h LEFT JOIN priced p ON hour(p.ts) = h.hour GROUP BY 1"""))
-def dash_hour(spark, d):
-    return D.by_hour(priced_of(spark, d))
-
-
 @query("calendar", _with("""SELECT CAST(g.day AS VARCHAR) AS day, CASE WHEN t IS NULL THEN NULL WHEN t > 0.75 * m THEN 4 WHEN t > 0.40 * m THEN 3 WHEN t > 0.15 * m THEN 2 WHEN t > 0 THEN 1 ELSE 0 END AS level
   FROM (SELECT CAST(unnest(generate_series(DATE '2023-01-15', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS day) g
   LEFT JOIN (SELECT day, sum(input + output + cache_read + cache_write)::DOUBLE AS t, max(sum(input + output + cache_read + cache_write)) OVER ()::DOUBLE AS m FROM priced WHERE day BETWEEN DATE '2023-01-15' AND DATE '2024-01-20' GROUP BY day) x USING (day)"""))
@@ -187,21 +207,9 @@ def calendar(spark, d):
     return D.calendar(priced_of(spark, d), "2024-01-20")
 
 
-@query("dash_model", _with("SELECT coalesce(session_model, 'unknown') AS model, count(DISTINCT session) AS sessions, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost FROM priced GROUP BY 1"))
-def dash_model(spark, d):
-    return D.by_model(priced_of(spark, d))
-
-
-@query("share", _with("SELECT model, c / sum(c) OVER () AS share FROM (SELECT coalesce(model, 'unknown') AS model, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT)::DOUBLE AS c FROM priced GROUP BY 1) WHERE c > 0"))
-def share(spark, d):
-    c = priced_of(spark, d).groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg((F.sum("cost") * 1000).cast("long").cast("double").alias("c")).where("c > 0")
-    return c.select("model", (F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(0)))).alias("share"))
-
-
 @query("top_sessions", _with("SELECT provider, session, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) / 1e9 AS cost FROM priced GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50"))
 def top_sessions(spark, d):
-    s = R.session_totals(priced_of(spark, d))
-    return R.in_dollars(s).select("provider", "session", "cost").orderBy(F.desc("cost"), "provider", "session").limit(50)
+    return R.top_sessions(R.session_totals(priced_of(spark, d)))
 
 
 TOKENIZE = """SELECT DISTINCT {k}, t AS term FROM (SELECT {k}, unnest(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {s})
@@ -214,11 +222,17 @@ def postings(spark, d):
     return S.postings(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
 
-@query("search_and_prefix", f"WITH p AS ({TOKENIZE.format(k='doc_id', c='text', s='documents')}) SELECT doc_id FROM p WHERE term = 'the' INTERSECT SELECT doc_id FROM p WHERE starts_with(term, 'idi')")
+@query("search_and_prefix", f"""WITH p AS ({TOKENIZE.format(k='doc_id', c='text', s='documents')}) SELECT doc_id FROM p WHERE term = 'the'
+  INTERSECT SELECT doc_id FROM p WHERE CASE WHEN EXISTS (SELECT 1 FROM p WHERE term = 'idi') THEN term = 'idi' ELSE starts_with(term, 'idi') END""")
 def search_and_prefix(spark, d):
     return S.search(S.postings(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"), "doc_id", ["the", "idi"])
 
 
+@query("search_whole_word", f"""WITH p AS ({TOKENIZE.format(k='doc_id', c='text', s='documents')}) SELECT doc_id FROM p WHERE CASE WHEN EXISTS (SELECT 1 FROM p WHERE term = 'the') THEN term = 'the' ELSE starts_with(term, 'the') END""")
+def search_whole_word(spark, d):
+    return S.search(S.postings(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"), "doc_id", ["the"])
+
+
 @query("fuzzy_filter", "SELECT DISTINCT source FROM documents WHERE regexp_matches(lower(source), 's.*1')")
 def fuzzy_filter(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("source").distinct()
@@ -228,14 +242,7 @@ def fuzzy_filter(spark, d):
 @query("compact_groups", """SELECT conv_id, min(turn) AS first_turn, min(role) AS role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
   SELECT *, sum(CASE WHEN role IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)) GROUP BY conv_id, g""")
 def compact_groups(spark, d):
-    return D.compact(spark.read.parquet(f"{d}/conversations.parquet"))
-
-
-@query("session_headers", """SELECT conv_id, left(first(text ORDER BY turn) FILTER (WHERE role = 'user'), 50) AS title, count(*) FILTER (WHERE role = 'user') AS turns, count(*) AS messages FROM conversations GROUP BY conv_id""")
-def session_headers(spark, d):
-    return spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(
-        F.substring(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))), 1, 50).alias("title"), F.count(F.when(F.col("role") == "user", 1)).alias("turns"), F.count(F.lit(1)).alias("messages")
-    )
+    return D.compact(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", ("turn",), "role", None)
 
 
 ALL = "CAST(sum(input + output + cache_read + cache_write) AS BIGINT)"
@@ -254,12 +261,6 @@ def project_summary(spark, d):
     return D.project_summary(priced_of(spark, d))
 
 
-@query("dash_overview", _with(f"""SELECT count(DISTINCT (provider, session)) AS sessions, count(DISTINCT project) AS projects, {TOKENS}, {ALL} AS tokens, {COST} AS cost,
-  min(unix) AS earliest, max(unix) AS latest, count(DISTINCT day) AS active_days FROM priced"""))
-def dash_overview(spark, d):
-    return D.overview(priced_of(spark, d))
-
-
 @query("hist_projects", _with(f"SELECT project, {ALL} AS tokens FROM priced GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16"))
 def hist_projects(spark, d):
     return D.top_projects(priced_of(spark, d))
@@ -270,22 +271,16 @@ def model_choices(spark, d):
     return D.model_choices(calls_of(spark, d))
 
 
-query("dash_project", _with(f"SELECT project, count(DISTINCT (provider, session)) AS sessions, {ALL} AS tokens, {COST} AS cost, CAST(max(day) AS VARCHAR) AS last_day FROM priced GROUP BY 1"))(
-    lambda spark, d: D.by_project(priced_of(spark, d))
-)
-query("dash_day", _with(f"""SELECT CAST(coalesce(s.day, p.day) AS VARCHAR) AS day, coalesce(sessions, 0) AS sessions, coalesce(tokens, 0) AS tokens, coalesce(n, 0) / 1e9 AS cost FROM
-  (SELECT day, count(*) AS sessions FROM (SELECT min(day) AS day FROM priced GROUP BY provider, session) GROUP BY 1) s
-  FULL JOIN (SELECT day, {ALL} AS tokens, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) AS n FROM priced GROUP BY 1) p ON s.day = p.day"""))(lambda spark, d: D.by_day(priced_of(spark, d)))
 query("hist_days", _with(f"SELECT CAST(day AS VARCHAR) AS day, {ALL} AS tokens FROM priced GROUP BY 1 ORDER BY 1 DESC LIMIT 120"))(lambda spark, d: D.last_days(priced_of(spark, d)))
-query("hist_hours", _with(f"""SELECT h.hour, ((h.hour + 18) % 24)::INT AS place, coalesce({ALL}, 0) AS tokens
-  FROM (SELECT unnest(range(24))::INT AS hour) h LEFT JOIN priced p ON hour(p.ts) = h.hour GROUP BY 1"""))(lambda spark, d: D.hours_from_six(priced_of(spark, d)))
-query("averages", _with(f"""SELECT project, cost / sessions AS cost_a_session, cost / calls AS cost_a_call, cost / tokens * 1e6 AS cost_a_million FROM (
-  SELECT project, {COST} AS cost, count(DISTINCT (provider, session)) AS sessions, count(*) AS calls, {ALL} AS tokens FROM priced GROUP BY 1)"""))(lambda spark, d: D.averages(priced_of(spark, d), "project"))
 
 LISTED = """heads AS (SELECT provider, session, project, min(session_model) AS model, count(*) AS messages, min(ts) AS started, max(ts) AS ended FROM headed GROUP BY 1, 2, 3),
-  spent AS (SELECT provider, session, sum(input + output + cache_read + cache_write) AS t, sum(n_in + n_out + n_r + n_w) AS n, max(unix) AS last_ts FROM priced GROUP BY 1, 2),
-  listed AS (SELECT h.*, CAST(coalesce(t, 0) AS BIGINT) AS tokens, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(last_ts, floor(epoch(ended))::BIGINT) AS ended_unix,
-    greatest(coalesce(last_ts * 1000, epoch_us(ended) // 1000) - epoch_us(started) // 1000, 0) AS duration_ms FROM heads h LEFT JOIN spent s ON h.provider = s.provider AND h.session = s.session)"""
+  spent AS (SELECT provider, session, sum(input + output + cache_read + cache_write) AS t, sum(n_in + n_out + n_r + n_w) AS n, sum(n_in) AS s_in, sum(n_out) AS s_out, sum(n_r) AS s_r, sum(n_w) AS s_w,
+    sum(input) AS t_in, sum(output) AS t_out, sum(cache_read) AS t_r, sum(cache_write) AS t_w, max(unix) AS last_ts FROM priced GROUP BY 1, 2),
+  listed AS (SELECT h.*, CAST(coalesce(t, 0) AS BIGINT) AS tokens, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(last_ts, floor(epoch(ended))::BIGINT) AS ended_unix, s_in, s_out, s_r, s_w, t_in, t_out, t_r, t_w,
+    greatest(coalesce(last_ts * 1000, epoch_us(ended) // 1000) - epoch_us(started) // 1000, 0) AS duration_ms FROM heads h LEFT JOIN spent s ON h.provider = s.provider AND h.session = s.session),
+  hours AS (SELECT provider, session, unix - unix % 3600 AS hour, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens FROM priced GROUP BY 1, 2, 3),
+  dealt AS (SELECT h.provider, h.session, h.hour, h.tokens, CAST(coalesce(round(l.n::DOUBLE * h.tokens / nullif(sum(h.tokens) OVER (PARTITION BY h.provider, h.session), 0)::DOUBLE), 0) AS BIGINT) AS nanos
+    FROM hours h JOIN listed l ON h.provider = l.provider AND h.session = l.session)"""
 
 
 def listed(spark, d):
@@ -310,3 +305,146 @@ query("messages_shown", "SELECT conv_id AS session, turn AS ord, text FROM conve
     lambda spark, d: K.messages_shown(messages_of(spark, d), ["User", "Assistant"], "AN").select("session", "ord", "text")
 )
 query("report_totals", _with(f"SELECT {TOKENS}, {MONEY} FROM priced"))(lambda spark, d: R.in_dollars(R.totals(R.rollup(priced_of(spark, d), "month"))).drop("api_calls"))
+
+
+_GROUPS = """count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) / 1e9 AS cost, CAST(coalesce(sum(s_in), 0) AS BIGINT) / 1e9 AS cost_input,
+  CAST(coalesce(sum(s_out), 0) AS BIGINT) / 1e9 AS cost_output, CAST(coalesce(sum(s_r), 0) AS BIGINT) / 1e9 AS cost_cache_read, CAST(coalesce(sum(s_w), 0) AS BIGINT) / 1e9 AS cost_cache_write,
+  CAST(sum(duration_ms) AS BIGINT) AS duration_ms, max(floor(epoch(started))::BIGINT) AS last_start"""
+_L = f"WITH {CALLS_SQL}, {LISTED}"
+
+
+def hours_of(spark, d):
+    return D.hourly(priced_of(spark, d))
+
+
+query("dash_model", f"{_L} SELECT coalesce(model, 'unknown') AS model, {_GROUPS} FROM listed GROUP BY 1")(lambda spark, d: D.by_model(listed(spark, d)))
+query("dash_project", f"{_L} SELECT project, {_GROUPS} FROM listed GROUP BY 1")(lambda spark, d: D.by_project(listed(spark, d)))
+query("dash_overview", f"""{_L} SELECT count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, count(DISTINCT project) AS projects, CAST(sum(n) AS BIGINT) / 1e9 AS cost,
+  CAST(sum(t_in) AS BIGINT) AS input, CAST(sum(t_out) AS BIGINT) AS output, CAST(sum(t_r) AS BIGINT) AS cache_read, CAST(sum(t_w) AS BIGINT) AS cache_write, CAST(sum(tokens) AS BIGINT) AS tokens,
+  min(floor(epoch(started))::BIGINT) AS earliest, max(ended_unix) AS latest, (SELECT count(DISTINCT day) FROM priced) AS active_days FROM listed""")(lambda spark, d: D.overview(listed(spark, d), calls_of(spark, d)))
+query("dash_day", f"""{_L} SELECT CAST(coalesce(s.day, p.day) AS VARCHAR) AS day, coalesce(sessions, 0) AS sessions, coalesce(messages, 0) AS messages, coalesce(tokens, 0) AS tokens, coalesce(n, 0) / 1e9 AS cost FROM
+  (SELECT CAST(started AS DATE) AS day, count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages FROM listed GROUP BY 1) s
+  FULL JOIN (SELECT day, {ALL} AS tokens, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) AS n FROM priced GROUP BY 1) p ON s.day = p.day""")(lambda spark, d: D.by_day(listed(spark, d), priced_of(spark, d)))
+query("dash_session_days", f"{_L} SELECT provider, session, CAST(CAST(to_timestamp(hour) AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(nanos) AS BIGINT) / 1e9 AS cost FROM dealt GROUP BY 1, 2, 3")(
+    lambda spark, d: D.days_of_sessions(hours_of(spark, d), listed(spark, d))
+)
+_BY_HOUR = """SELECT h.hour, {more} coalesce(CAST(sum(d.tokens) AS BIGINT), 0) / (SELECT count(DISTINCT hour // 86400) FROM dealt) AS tokens{cost}
+  FROM (SELECT unnest(range(24))::INT AS hour) h LEFT JOIN dealt d ON (d.hour % 86400) // 3600 = h.hour GROUP BY 1"""
+query("dash_hour", f"{_L} " + _BY_HOUR.format(more="", cost=", CAST(coalesce(sum(nanos), 0) AS BIGINT) / 1e9 / (SELECT count(DISTINCT hour // 86400) FROM dealt) AS cost"))(
+    lambda spark, d: D.by_hour(hours_of(spark, d), listed(spark, d))
+)
+query("hist_hours", f"{_L} " + _BY_HOUR.format(more="((h.hour + 18) % 24)::INT AS place,", cost=""))(lambda spark, d: D.hours_from_six(hours_of(spark, d), listed(spark, d)))
+query("averages", f"""{_L} SELECT project, c / s AS cost_a_session, c / m AS cost_a_message, c / nullif(t, 0) * 1e6 AS cost_a_million FROM (
+  SELECT project, CAST(sum(n) AS BIGINT) / 1e9 AS c, count(*) AS s, CAST(sum(messages) AS BIGINT) AS m, CAST(sum(tokens) AS BIGINT) AS t FROM listed GROUP BY 1)""")(lambda spark, d: D.averages(listed(spark, d), "project"))
+
+
+@query("share", _with("SELECT model, c AS nanos, c::DOUBLE / CAST(sum(c) OVER () AS BIGINT)::DOUBLE AS share FROM (SELECT coalesce(model, 'unknown') AS model, CAST(sum(n_in + n_out + n_r + n_w) AS BIGINT) AS c FROM priced GROUP BY 1) WHERE c > 0"))
+def share(spark, d):
+    calls = priced_of(spark, d).select(F.coalesce("model", F.lit("unknown")).alias("model"), (F.col("cost") * 1000).cast("long").alias("nanos"))
+    return D.shares(calls, "model", "nanos")
+
+
+_TOOLS = f"WITH {SAID_SQL}, counts AS (SELECT provider, session, tool_name, count(*) AS n FROM said WHERE kind = 'ToolUse' GROUP BY 1, 2, 3)"
+query("tool_counts", f"{_TOOLS} SELECT * FROM counts")(lambda spark, d: D.tool_counts(said_of(spark, d)))
+query("tools_used", f"{_TOOLS} SELECT tool_name, CAST(sum(n) AS BIGINT) AS n, count(*) AS sessions FROM counts GROUP BY 1")(lambda spark, d: D.tools_used(D.tool_counts(said_of(spark, d))))
+query("tool_share", f"{_TOOLS} SELECT tool_name, n, n::DOUBLE / CAST(sum(n) OVER () AS BIGINT)::DOUBLE AS share FROM (SELECT tool_name, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY 1)")(
+    lambda spark, d: D.shares(D.tool_counts(said_of(spark, d)), "tool_name", "n")
+)
+query("compact_tools", f"""WITH {SAID_SQL} SELECT session, min(ord) AS first_ord, first(kind) AS kind, first(tool_name) AS tool_name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
+  SELECT *, sum(CASE WHEN b IS NULL OR (kind, tool_name) IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ord) AS g
+  FROM (SELECT *, lag((kind, tool_name)) OVER (PARTITION BY session ORDER BY ord) AS b FROM said)) GROUP BY session, g""")(lambda spark, d: D.compact(said_of(spark, d), tokens="tokens"))
+query("messages_by_kind", f"WITH {SAID_SQL} SELECT provider, session, ord, kind FROM said")(
+    lambda spark, d: D.by_message(said_of(spark, d).withColumns({c: F.lit(0) for c in R.TOKENS}), "kind").select("provider", "session", "ord", "kind")
+)
+
+_INDEX = f"""{SAID_SQL}, texts AS (SELECT provider, session, text FROM said WHERE kind IN ('User', 'Assistant', 'ToolUse') UNION ALL SELECT provider, session, project AS text FROM headed),
+  cut AS (SELECT DISTINCT provider, session, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM texts),
+  idx AS (SELECT provider, session, t AS term FROM cut WHERE (regexp_full_match(t, '[\\x00-\\x7F]+') AND ((length(t) >= 3 AND regexp_matches(t, '[a-z]')) OR regexp_full_match(t, '[0-9]{{2,6}}')))
+    OR (NOT regexp_full_match(t, '[\\x00-\\x7F]+') AND length(t) >= 2) UNION SELECT provider, session, lower(session) AS term FROM headed)"""
+
+
+def index_of(spark, d):
+    return S.index_of(said_of(spark, d), headers_of(spark, d))
+
+
+query("search_index", f"WITH {CALLS_SQL}, {_INDEX} SELECT * FROM idx")(index_of)
+query("search_results", f"""WITH {CALLS_SQL}, {LISTED}, {_INDEX} SELECT provider, session, project, tokens FROM listed WHERE (provider, session) IN (SELECT (provider, session) FROM idx WHERE term = 'purchase')
+  AND (provider, session) IN (SELECT (provider, session) FROM idx WHERE starts_with(term, 'sig')) AND CAST(started AS DATE) >= DATE '2024-01-05'""")(
+    lambda spark, d: S.results(S.search(index_of(spark, d), ["provider", "session"], ["purchase", "sig"]), listed(spark, d), since="2024-01-05").select("provider", "session", "project", "tokens")
+)
+
+query("catalogue_page", f"{_L} SELECT provider, session, project, tokens, n / 1e9 AS cost FROM listed ORDER BY tokens DESC, project, provider, session LIMIT 24")(
+    lambda spark, d: K.page(K.sorted_list(listed(spark, d), "sessions", "tokens", True), "sessions", 2).select("provider", "session", "project", "tokens", "cost")
+)
+query("catalogue_latest", f"{_L} SELECT provider, session, floor(epoch(started))::BIGINT AS started FROM listed")(
+    lambda spark, d: K.latest_first(listed(spark, d)).select("provider", "session", unix(F.col("started_at")).alias("started"))
+)
+query("relative_days", f"{_L} SELECT provider, session FROM listed WHERE CAST(started AS DATE) BETWEEN DATE '2024-01-09' AND DATE '2024-01-15'")(
+    lambda spark, d: R.relative_days(listed(spark, d), "2024-01-15", 7, "started_at").select("provider", "session")
+)
+query("dash_scope", f"{_L} SELECT CAST(day AS VARCHAR) AS day, {ALL} AS tokens FROM priced WHERE project IN (SELECT project FROM listed GROUP BY 1 HAVING sum(tokens) > 200000) GROUP BY 1")(
+    lambda spark, d: D.in_scope(priced_of(spark, d), K.projects(listed(spark, d)).where("tokens > 200000")).groupBy(local_day(F.col("ts")).cast("string").alias("day")).agg(F.sum(D.all_tokens()).alias("tokens"))
+)
+query("transcript", f"WITH {CALLS_SQL}, {SAID_SQL} SELECT provider, session, ord, kind, text FROM said WHERE session = '5-2024-01-03'")(
+    lambda spark, d: K.transcript(said_of(spark, d), headers_of(spark, d), "code/p5", "5-2024-01-03").select("provider", "session", "ord", "kind", "text")
+)
+
+query("filter_label", _with(f"SELECT CAST(day AS VARCHAR) AS key, {ROLL} FROM priced WHERE project = 'code/p3' GROUP BY 1"))(
+    lambda spark, d: R.in_dollars(R.rollup(R.filtered(priced_of(spark, d), project="code-p3", projects=usage_rows(spark, d)), "day"))
+)
+query("blocks_active", _with(f"SELECT unix - unix % 18000 AS key, {ROLL} FROM priced WHERE unix - unix % 18000 = {NOW - NOW % 18000} GROUP BY 1"))(
+    lambda spark, d: R.report(priced_of(spark, d), "block", active=True, now=NOW)
+)
+query("blocks_recent", _with(f"SELECT unix - unix % 18000 AS key, {ROLL} FROM priced WHERE unix - unix % 18000 >= {NOW - 3 * 86400} GROUP BY 1"))(
+    lambda spark, d: R.report(priced_of(spark, d), "block", recent=True, now=NOW)
+)
+query("report_sessions", _with(f"SELECT project AS key, replace(project, '/', '-') AS label, {ROLL} FROM priced WHERE project IN (SELECT project FROM priced GROUP BY 1 ORDER BY max(unix) DESC, 1 LIMIT 4) GROUP BY 1"))(
+    lambda spark, d: R.report(priced_of(spark, d), "session", tail_=4)
+)
+query("report_weeks", _with(f"SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS key, provider, {ROLL} FROM priced WHERE day >= DATE '2024-01-08' GROUP BY 1, 2"))(
+    lambda spark, d: R.report(priced_of(spark, d), "week", since="2024-01-08", by_provider=True, order="desc")
+)
+query("report_plain", _with(f"""SELECT strftime(day, '%Y-%m') AS key, {TOKENS}, count(*) AS api_calls, max(unix) AS last_ts, string_agg(DISTINCT model, ',' ORDER BY model) AS models,
+  string_agg(DISTINCT project, ',' ORDER BY project) AS projects FROM priced GROUP BY 1"""))(lambda spark, d: R.report(priced_of(spark, d), "month", costs=False))
+
+
+@query("rollup_from_slots", _with(f"SELECT CAST(date_trunc('week', day) AS DATE)::VARCHAR AS key, model, {ROLL} FROM priced GROUP BY 1, 2"))
+def rollup_from_slots(spark, d):
+    return R.in_dollars(R.from_quarter_hours(R.quarter_hours(calls_of(spark, d)), rates_of(spark, d), "week", ("model",)))
+
+
+_LOG = """log AS (SELECT *, 'file:///logs/-home-me-code-p' || (user_id % 7)::VARCHAR || '/' || user_id::VARCHAR || '-' || CAST(ts AS DATE)::VARCHAR || '.jsonl' AS path, 'code/p' || (user_id % 7)::VARCHAR AS project,
+  floor(epoch(ts))::BIGINT AS unix FROM events WHERE user_id % 4 <> 0)"""
+
+
+@query("decode_claude", f"""WITH {_LOG} SELECT 'claude' AS provider, path AS session, event_id AS line, unix AS at, 'm' || event_id::VARCHAR AS msg_id, 'claude-opus-4-7' AS model, event_id % 1000 AS input,
+  event_id % 877 AS output, 0::BIGINT AS cache_read, event_id % 301 AS cache_write, event_id % 7 AS cache_write_1h, project FROM log WHERE event_type <> 'signup'""")
+def decoded_claude(spark, d):
+    rows = decode_claude(claude_log_of(spark, d))
+    return rows.select("provider", "session", F.col("line_seq.line_seq").alias("line"), unix(F.col("ts")).alias("at"), "msg_id", "model", *C.TOKENS, "project")
+
+
+@query("decode_codex", """WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'gpt-5' ELSE 'o9' END END IGNORE NULLS) OVER
+    (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events WHERE user_id % 4 = 0),
+  u AS (SELECT *, greatest(event_id % 4 - event_id % 2, 0) AS fresh, event_id % 2 AS cached FROM e WHERE event_type <> 'signup'),
+  b AS (SELECT *, row_number() OVER w AS nth, lag(model) OVER w AS m, lag(fresh) OVER w AS f, lag(cached) OVER w AS c FROM u WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+  SELECT 'file:///logs/2024/01/01/rollout-' || user_id::VARCHAR || '.jsonl' AS session, event_id AS line, model, fresh AS input, 1::BIGINT AS output, cached AS cache_read FROM b
+  WHERE nth = 1 OR m IS DISTINCT FROM model OR f <> fresh OR c <> cached""")
+def decoded_codex(spark, d):
+    return decode_codex(codex_log_of(spark, d)).select("session", F.col("line_seq.line_seq").alias("line"), "model", "input", "output", "cache_read")
+
+
+@query("log_messages", f"""WITH {_LOG} SELECT path AS session, event_id AS line, 0 AS part, CASE WHEN event_type = 'signup' THEN 'User' ELSE 'Assistant' END AS kind,
+    CASE WHEN event_type = 'signup' THEN 'please ' || props ELSE props END AS text, NULL::VARCHAR AS tool_name, CASE WHEN event_type <> 'signup' THEN event_id % 1000 END AS input FROM log
+  UNION ALL SELECT path, event_id, 1, 'ToolUse', '$ ' || event_type, 'Bash', event_id % 1000 FROM log WHERE event_type <> 'signup'""")
+def log_messages(spark, d):
+    return claude_messages(claude_log_of(spark, d)).select("session", F.col("ord.line_seq").alias("line"), "part", "kind", "text", "tool_name", "input")
+
+
+@query("session_headers", f"""WITH {_LOG} SELECT path AS session, user_id::VARCHAR || '-' || CAST(ts AS DATE)::VARCHAR AS id, project,
+  coalesce(first('please ' || props ORDER BY event_id) FILTER (WHERE event_type = 'signup'), user_id::VARCHAR || '-' || CAST(ts AS DATE)::VARCHAR) AS name,
+  CASE WHEN bool_or(event_type <> 'signup') THEN 'claude-opus-4-7' END AS model, count(*) FILTER (WHERE event_type = 'signup') AS turns,
+  CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 2 END) AS BIGINT) AS messages, first(unix ORDER BY event_id) AS started, last(unix ORDER BY event_id) AS ended FROM log GROUP BY path, user_id, CAST(ts AS DATE), project""")
+def session_headers(spark, d):
+    rows = claude_headers(claude_log_of(spark, d))
+    return rows.select("session", "id", "project", "name", "model", "turns", "messages", unix(F.col("started_at")).alias("started"), unix(F.col("ended_at")).alias("ended"))

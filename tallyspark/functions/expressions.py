@@ -37,7 +37,10 @@ def block_start(ts: Column, offset: int = 0) -> Column:
 
 
 def block_label(start: Column, offset: int = 0) -> Column:
-    return F.date_format(F.timestamp_seconds(start + offset), "yyyy-MM-dd HH:mm")
+    local = start + offset  # by arithmetic, so that the session's time zone has no part in it
+    minute = F.floor(F.pmod(local, F.lit(86400)) / 60)
+    day = F.date_from_unix_date(F.floor(local / 86400).cast("int")).cast("string")
+    return F.format_string("%s %02d:%02d", day, F.floor(minute / 60), F.pmod(minute, F.lit(60)))
 
 
 def strip_date_suffix(model: Column) -> Column:

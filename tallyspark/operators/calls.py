@@ -20,7 +20,7 @@ SYNTHETIC = "<synthetic>"
 
 def coalesce_streamed(rows: DataFrame) -> DataFrame:
     """Adjacent billable rows of a session with one id are one call: each count the greatest, the rest from the first.
-    A window over a session, which is a file."""
+    A window over a session, which is one log file and so bounded by its size; the shuffle is the one that session facts need."""
     order = Window.partitionBy("provider", "session").orderBy("line_seq")
     new = F.coalesce((F.lag("msg_id").over(order) != F.col("msg_id")) | F.lag("msg_id").over(order).isNull(), F.lit(True)) | F.col("msg_id").isNull()
     runs = rows.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(order))
@@ -32,13 +32,13 @@ def coalesce_streamed(rows: DataFrame) -> DataFrame:
 
 
 def drop_repeated_ids(calls: DataFrame) -> DataFrame:
-    """Each message id once a provider: its first row by session start (unknown first), session and line. Rows without an id
-    stay, apart from the shuffle, so that they don't meet under one key. Filters belong after this."""
+    """Each message id once a provider: its first row by session start (unknown first), session and line. A row without an id
+    is a group of its own, so such rows don't meet under one key. Filters belong after this."""
     key = F.struct(F.col("session_started").isNotNull(), "session_started", "session", "line_seq")
     rest = [c for c in calls.columns if c not in ("provider", "msg_id")]
-    once = calls.where("msg_id is not null").groupBy("provider", "msg_id").agg(F.min_by(F.struct(*rest), key).alias("__r"))
-    once = once.select("provider", "msg_id", *(F.col(f"__r.{c}").alias(c) for c in rest)).select(calls.columns)
-    return calls.where("msg_id is null").unionByName(once)
+    own = F.when(F.col("msg_id").isNull(), F.struct("session", "line_seq"))
+    once = calls.groupBy("provider", "msg_id", own.alias("__own")).agg(F.min_by(F.struct(*rest), key).alias("__r"))
+    return once.select("provider", "msg_id", *(F.col(f"__r.{c}").alias(c) for c in rest)).select(calls.columns)
 
 
 def billed(calls: DataFrame) -> DataFrame:
@@ -79,39 +79,36 @@ def resolve_rates(models: DataFrame, builtin: DataFrame, feed: DataFrame | None
     """``provider, model``, rates and ``resolution`` (exact, estimated or unknown) of each distinct model.
 
     In this order: overrides by raw name; the feed by name, vendor and name without its date; the longest feed key that
-    stands in the name between delimiters; the built-in table (one provider); the family; else zero and unknown. All is
-    done on distinct models, so the joins are small whatever the number of calls."""
+    stands in the name between delimiters, whatever the case; the built-in table (one provider); the family; else zero and
+    unknown. All is done on distinct models, which are read once: each names its candidates in order, and one join with the
+    broadcast price tables finds the first that has rates. Price tables have a row for each model on sale, some thousands."""
     m = models.select("provider", "model").where("model is not null").distinct()
-    found: list[DataFrame] = []
-    put = lambda df, rank, resolution: df.select("provider", "model", F.lit(rank).alias("rank"), F.lit(resolution).alias("resolution"), "r")
-    if overrides is not None:
-        found.append(put(m.join(F.broadcast(overrides.select("model", _struct().alias("r"))), "model"), 0, "exact"))
+    claude = F.col("provider") == "claude"
     vendor = F.when(F.col("provider") == "codex", "openai/").otherwise("anthropic/")
     bare = F.when(F.col("provider") == "codex", F.col("model")).otherwise(strip_date_suffix(F.col("model")))
+    ranked = lambda df, table: df.select(F.lit(table).alias("table"), F.col("model").alias("key"), _struct().alias("r"))
+    tables = [ranked(builtin, "builtin"), *([ranked(feed, "feed")] if feed is not None else []), *([ranked(overrides, "overrides")] if overrides is not None else [])]
+    names = [("overrides", F.col("model")), *(("feed", n) for n in (F.col("model"), F.concat(vendor, "model"), bare, F.concat(vendor, bare)))]
+    part = F.lit(None).cast("string")
     if feed is not None:
-        keys = feed.select(F.col("model").alias("key"), _struct().alias("r"))
-        names = F.array("model", F.concat(vendor, "model"), bare, F.concat(vendor, bare))
-        exact = m.select("*", F.posexplode(names).alias("pos", "key")).join(F.broadcast(keys), "key")
-        exact = exact.groupBy("provider", "model").agg(F.min_by("r", "pos").alias("r"))
-        found.append(put(exact, 1, "exact"))
-        edge = lambda c: F.coalesce(c == "", F.lit(True)) | c.rlike(r"^[-/._:]$")
-        at = F.instr(F.col("model"), F.col("key"))
-        inside = (at > 0) & edge(F.substring("model", at - 1, F.when(at > 1, 1).otherwise(0))) & edge(F.substring("model", at + F.length("key"), F.lit(1)))
-        part = m.join(F.broadcast(keys), inside).groupBy("provider", "model").agg(F.max_by("r", F.struct(F.length("key"), "key")).alias("r"))
-        found.append(put(part, 2, "exact"))
-    table = F.broadcast(builtin.select(F.col("model").alias("key"), _struct().alias("r")))
-    own = m.where("provider = 'claude'")
-    found.append(put(own.join(table, F.col("model") == F.col("key")), 3, "exact"))
-    found.append(put(own.join(table, strip_date_suffix(F.col("model")) == F.col("key")), 4, "exact"))
+        # One row of keys beside each model: a key stands in the name if the name, cut at its delimiters, holds it whole.
+        keys = feed.where("model <> ''").agg(F.collect_set("model").alias("__keys"))
+        m = m.crossJoin(F.broadcast(keys))
+        between = lambda k: F.rlike(F.lower("model"), F.concat(F.lit(r"(^|[-/._:])\Q"), F.lower(k), F.lit(r"\E($|[-/._:])")))
+        part = F.array_max(F.transform(F.filter("__keys", between), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    names += [("feed", part), ("builtin", F.when(claude, F.col("model"))), ("builtin", F.when(claude, strip_date_suffix(F.col("model"))))]
     zero = F.struct(*(F.lit("0").cast("decimal(18,8)").alias(r) for r in RATES))
     family = reduce(
         lambda other, f: F.when((F.col("provider") == f[0]) & F.col("model").contains(f[1]), F.struct(*(F.lit(v).cast("decimal(18,8)").alias(r) for r, v in zip(RATES, f[2:])))).otherwise(other),
         reversed(FAMILIES), F.lit(None).cast(f"struct<{','.join(f'{r}:decimal(18,8)' for r in RATES)}>"),
     )
-    guess = m.select("*", family.alias("f")).select("provider", "model", F.when(F.col("f").isNull(), 6).otherwise(5).alias("rank"), F.when(F.col("f").isNull(), "unknown").otherwise("estimated").alias("resolution"), F.coalesce("f", zero).alias("r"))
-    every = reduce(DataFrame.unionByName, [*found, guess])
-    best = every.groupBy("provider", "model").agg(F.min_by(F.struct("resolution", "r"), "rank").alias("b"))
-    return best.select("provider", "model", "b.resolution", *(F.col(f"b.r.{r}").alias(f"rate_{r}") for r in RATES))
+    candidates = F.posexplode(F.array(*(F.struct(F.lit(t).alias("table"), n.alias("key")) for t, n in names)))
+    tried = m.select("provider", "model", family.alias("guess"), candidates.alias("rank", "c")).select("provider", "model", "guess", "rank", "c.table", "c.key")
+    found = tried.join(F.broadcast(reduce(DataFrame.unionByName, tables)), ["table", "key"], "left")
+    best = found.groupBy("provider", "model").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("rank"))).alias("r"), F.first("guess").alias("guess"))
+    resolution = F.when(F.col("r").isNotNull(), "exact").when(F.col("guess").isNotNull(), "estimated").otherwise("unknown")
+    best = best.select("provider", "model", resolution.alias("resolution"), F.coalesce("r", "guess", zero).alias("r"))
+    return best.select("provider", "model", "resolution", *(F.col(f"r.{r}").alias(f"rate_{r}") for r in RATES))
 
 
 def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions.expressions import dollars, duration_ms
-from tallyspark.operators.dashboard import hourly, tool_counts
+from tallyspark.functions.expressions import dollars, duration_ms, local_day
+from tallyspark.operators.dashboard import hourly, summed, tool_counts
 from tallyspark.operators.rollup import COSTS, TOKENS
 
 
@@ -15,7 +15,7 @@ def sessions(headers: DataFrame, totals: DataFrame) -> DataFrame:
     joined = headers.where("messages > 0").join(totals, ["provider", "session"], "left")
     counts = {c: F.coalesce(c, F.lit(0)) for c in TOKENS}
     ended = F.coalesce(F.timestamp_seconds("last_ts"), F.col("ended_at"))
-    rows = joined.withColumns({**counts, "cost": dollars(F.col("cost")), "ended_at": ended}).drop("last_ts")
+    rows = joined.withColumns({**counts, **{c: dollars(F.col(c)) for c in COSTS if c in joined.columns}, "ended_at": ended}).drop("last_ts")
     return rows.withColumns({"tokens": sum((F.col(c) for c in TOKENS), F.lit(0)), "duration_ms": duration_ms(F.col("started_at"), F.col("ended_at"))})
 
 
@@ -23,7 +23,7 @@ def sessions_shown(
     rows: DataFrame, since: str | None = None, until: str | None = None, models: list[str] | None = None, text: str | None = None, project: str | None = None, session: str | None = None
 ) -> DataFrame:
     """Sessions by day of start (those without one pass), model, a part of project or name in any case, and scope."""
-    day = F.to_date("started_at")
+    day = local_day(F.col("started_at"))
     if since:
         rows = rows.where(day.isNull() | (day >= F.to_date(F.lit(since))))
     if until:
@@ -43,9 +43,42 @@ def messages_shown(messages: DataFrame, kinds: list[str] | None = None, text: st
     return rows.where(F.lower("text").contains(text.lower())) if text else rows
 
 
+#: What a list can be sorted by, and how each view begins: column and whether it descends.
+SORTS = {"date": "started_at", "project": "project", "name": "name", "model": "model", "sessions": "sessions", "messages": "messages", "tokens": "tokens", "cost": "cost", "duration": "duration_ms"}
+DEFAULTS = {"sessions": ("date", True), "projects": ("cost", True), "models": ("cost", True)}
+PAGE = 12
+
+
+def sorted_list(rows: DataFrame, view: str, by: str | None = None, descending: bool | None = None) -> DataFrame:
+    """A list by any of its columns, text in any case; missing values last, ties by name."""
+    start, down = DEFAULTS[view]
+    name = SORTS[by or start]
+    name = "last_active" if name == "started_at" and name not in rows.columns else name
+    c = F.lower(name) if dict(rows.dtypes)[name] == "string" else F.col(name)
+    down = (down if by is None else False) if descending is None else descending
+    ties = [x for x in ("project", "provider", "session", "model") if x in rows.columns and x != name]
+    return rows.orderBy(c.desc_nulls_last() if down else c.asc_nulls_last(), *ties)
+
+
+def page(rows: DataFrame, view: str, pages: int = 1) -> DataFrame:
+    """As many rows of a sorted list as are shown: a dozen sessions or projects a page, and all models."""
+    return rows if view == "models" else rows.limit(PAGE * pages)
+
+
+def latest_first(rows: DataFrame) -> DataFrame:
+    """Projects by their last activity, sessions by their start; those without one last."""
+    at = "last_active" if "last_active" in rows.columns else "started_at"
+    return rows.orderBy(F.col(at).desc_nulls_last(), *(c for c in ("project", "provider", "session") if c in rows.columns))
+
+
+def transcript(messages: DataFrame, headers: DataFrame, project: str, session_id: str) -> DataFrame:
+    """The messages of one session, in the order of its log. Both filters reach the scan where transcripts are partitioned."""
+    one = headers.where((F.col("project") == project) & (F.col("id") == session_id)).select("provider", "session")
+    return messages.join(F.broadcast(one), ["provider", "session"], "left_semi").orderBy("session", "ord", "part")  # a log or two
+
+
 def _cost() -> Column:
-    """A sum of dollars by way of whole billionths, so that the order of rows doesn't matter."""
-    return (F.sum(F.round(F.col("cost") * 1e9).cast("long")) / F.lit(1e9)).alias("cost")
+    return summed("cost").alias("cost")
 
 
 def projects(rows: DataFrame, by_start: bool = False) -> DataFrame:
@@ -62,14 +95,15 @@ def providers(rows: DataFrame) -> DataFrame:
 
 
 def write_catalogue(rows: DataFrame, messages: DataFrame, path: str, calls: DataFrame | None = None) -> None:
-    """One JSON document a project with its sessions, their tool counts and, given ``calls``, their hours."""
+    """Sessions as rows in folders by project, the latest first in each file, with their tool counts and, given ``calls``, their
+    hours. A project's sessions may go to several files, so that a great project isn't one task's."""
     tools = tool_counts(messages).groupBy("provider", "session").agg(F.sort_array(F.collect_list(F.struct("tool_name", "n"))).alias("tools"))
     rows = rows.join(tools, ["provider", "session"], "left")
     if calls is not None:
         hours = hourly(calls).groupBy("provider", "session").agg(F.sort_array(F.collect_list(F.struct("hour", "tokens", "cost"))).alias("hours"))
         rows = rows.join(hours, ["provider", "session"], "left")
-    one = F.struct("started_at", *(c for c in rows.columns if c not in ("started_at", "project")))
-    rows.groupBy("project").agg(F.sort_array(F.collect_list(one), asc=False).alias("sessions")).write.mode("overwrite").json(path)
+    in_order = rows.hint("rebalance", "project").sortWithinPartitions("project", F.col("started_at").desc_nulls_last())
+    in_order.write.mode("overwrite").partitionBy("project").json(path)
 
 
 def write_transcripts(messages: DataFrame, headers: DataFrame, path: str) -> None:

@@ -5,27 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.expressions import dollars, local_day
-
+from tallyspark.functions.expressions import dollars, local_day, unix
 
 
 def all_tokens():
     return F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
 
 
-def by_model(calls: DataFrame) -> DataFrame:
-    return calls.groupBy(F.coalesce("session_model", F.lit("unknown")).alias("model")).agg(
-        F.count_distinct("session").alias("sessions"), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost")
-    )
+SPLIT = ("cost_input", "cost_output", "cost_cache_read", "cost_cache_write")
+
+
+def summed(c: str):
+    """A sum of dollars by way of whole billionths, so that the order of rows doesn't matter."""
+    return F.coalesce(F.sum(F.round(F.col(c) * 1e9).cast("long")), F.lit(0)) / F.lit(1e9)
+
+
+def _grouped(sessions: DataFrame, *by) -> DataFrame:
+    """Sums over sessions, as the catalogue lists them."""
+    return sessions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("messages").alias("messages"), F.sum("tokens").alias("tokens"), summed("cost").alias("cost"),
+        *(summed(c).alias(c) for c in SPLIT), F.sum("duration_ms").alias("duration_ms"), F.max(unix(F.col("started_at"))).alias("last_start"),
+    )
+
+
+def by_model(sessions: DataFrame) -> DataFrame:
+    return _grouped(sessions, F.coalesce("model", F.lit("unknown")).alias("model"))
+
+
+def by_project(sessions: DataFrame) -> DataFrame:
+    return _grouped(sessions, "project")
 
 
-def by_hour(calls: DataFrame) -> DataFrame:
-    """All 24 hours; cost as a mean over the active days."""
-    days = calls.agg(F.count_distinct(local_day(F.col("ts"))).alias("days"))
-    sums = calls.groupBy(F.hour("ts").alias("hour")).agg(F.sum(all_tokens()).alias("tokens"), F.sum("cost").alias("cost"))
-    hours = calls.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    joined = hours.join(F.broadcast(sums), "hour", "left").crossJoin(F.broadcast(days))  # 24 rows by one
-    return joined.select("hour", F.coalesce("tokens", F.lit(0)).alias("tokens"), (dollars(F.col("cost")) / F.col("days")).alias("cost_a_day"))
+def in_scope(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """Rows of the projects that are shown, by name."""
+    return rows.join(projects.select("project").distinct(), "project", "left_semi")
+
+
+def shared_cost(hours: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``hourly`` rows with the session's cost dealt to its hours by tokens, in whole billionths (``nanos``)."""
+    of = sessions.select("provider", "session", F.round(F.col("cost") * 1e9).alias("__n"))
+    every = F.sum("tokens").over(Window.partitionBy("provider", "session"))
+    dealt = F.coalesce(F.round(F.try_divide(F.col("__n") * F.col("tokens"), every)), F.lit(0))
+    return hours.join(of, ["provider", "session"]).withColumn("nanos", dealt.cast("long")).drop("__n")
+
+
+def by_hour(hours: DataFrame, sessions: DataFrame) -> DataFrame:
+    """All 24 UTC hours: tokens and cost, dealt by tokens within each session, as means over the active days."""
+    rows = shared_cost(hours, sessions)
+    days = rows.agg(F.count_distinct(F.floor(F.col("hour") / 86400)).alias("days"))
+    of_day = F.floor(F.pmod(F.col("hour"), F.lit(86400)) / 3600).cast("int")
+    sums = rows.groupBy(of_day.alias("hour")).agg(F.sum("tokens").alias("t"), F.sum("nanos").alias("n"))
+    every = hours.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    joined = every.join(F.broadcast(sums), "hour", "left").crossJoin(F.broadcast(days))  # 24 rows by one
+    mean = lambda c: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0)), F.col("days")), F.lit(0.0))
+    return joined.select("hour", mean(F.col("t")).alias("tokens"), mean(F.col("n") / F.lit(1e9)).alias("cost"))
 
 
 def calendar(calls: DataFrame, last_day: str) -> DataFrame:
@@ -39,17 +72,29 @@ def calendar(calls: DataFrame, last_day: str) -> DataFrame:
     return joined.select(F.col("day").cast("string").alias("day"), level.alias("level"))
 
 
-def compact(messages: DataFrame, session: str = "conv_id", order: str = "turn", kind: str = "role", text: str = "text") -> DataFrame:
-    """Adjacent messages of one kind as one group."""
-    w = Window.partitionBy(session).orderBy(order)
-    new = (~F.col(kind).eqNullSafe(F.lag(kind).over(w))).cast("int")
-    groups = messages.withColumn("__new", F.when(F.lag(order).over(w).isNull(), 1).otherwise(new)).withColumn("__g", F.sum("__new").over(w))
-    return groups.groupBy(session, "__g").agg(F.min(order).alias(f"first_{order}"), F.min(kind).alias(kind), F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars")).drop("__g")
+def compact(messages: DataFrame, session: str = "session", order: tuple[str, ...] = ("ord",), kind: str = "kind", tool: str | None = "tool_name", text: str = "text", tokens: str | None = None) -> DataFrame:
+    """Adjacent messages of one kind, and of one tool, as one group: how many, their characters and tokens. A window over a
+    session, which is one log file."""
+    w = Window.partitionBy(session).orderBy(*order)
+    same = F.struct(*(c for c in (kind, tool) if c))
+    new = F.when(F.row_number().over(w) == 1, 1).otherwise((~same.eqNullSafe(F.lag(same).over(w))).cast("int"))
+    groups = messages.withColumn("__new", new).withColumn("__g", F.sum("__new").over(w))
+    sums = [F.sum(tokens).alias("tokens")] if tokens else []
+    return groups.groupBy(session, "__g").agg(
+        *(F.min_by(c, F.struct(*order)).alias(f"first_{c}") for c in order), F.first(kind).alias(kind), *([F.first(tool).alias(tool)] if tool else []),
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"), *sums,
+    ).drop("__g")
+
+
+def by_message(messages: DataFrame, column: str = "ts", descending: bool = False) -> DataFrame:
+    """A transcript by date, kind or tokens; ties in the order of the log."""
+    c = {"ts": F.col("ts"), "kind": F.lower("kind"), "tokens": F.coalesce(F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write"), F.lit(0))}[column]
+    return messages.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_first(), "ord", "part")
 
 
 def hourly(calls: DataFrame) -> DataFrame:
     """Usage by session and UTC hour, from calls that count once."""
-    return calls.groupBy("provider", "session", F.unix_seconds(F.date_trunc("hour", "ts")).alias("hour")).agg(F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"))
+    return calls.groupBy("provider", "session", (F.floor(unix(F.col("ts")) / 3600) * 3600).alias("hour")).agg(F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"))
 
 
 def sessions_of(calls: DataFrame) -> DataFrame:
@@ -67,11 +112,21 @@ def project_summary(calls: DataFrame) -> DataFrame:
     )
 
 
-def overview(calls: DataFrame) -> DataFrame:
-    return calls.agg(
-        F.count_distinct("provider", "session").alias("sessions"), F.count_distinct("project").alias("projects"), *(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"),
-        F.unix_seconds(F.min("ts")).alias("earliest"), F.unix_seconds(F.max("ts")).alias("latest"), F.count_distinct(local_day(F.col("ts"))).alias("active_days"),
+def overview(sessions: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row over the sessions shown; the active days are those of calls."""
+    tokens = ("input", "output", "cache_read", "cache_write", "tokens")
+    of_sessions = sessions.agg(
+        F.count(F.lit(1)).alias("sessions"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("messages", *tokens)), F.count_distinct("project").alias("projects"), summed("cost").alias("cost"),
+        F.min(unix(F.col("started_at"))).alias("earliest"), F.max(unix(F.col("ended_at"))).alias("latest"),
     )
+    return of_sessions.crossJoin(calls.agg(F.count_distinct(local_day(F.col("ts"))).alias("active_days")))  # one row by one
+
+
+def shares(values: DataFrame, name: str, value: str) -> DataFrame:
+    """``name, value, share`` of the positive values, the greatest first: models by cost, or tools by calls."""
+    rows = values.groupBy(name).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
+    total = F.sum(value).over(Window.partitionBy(F.lit(0)))  # a row a model or tool
+    return rows.withColumn("share", F.col(value).cast("double") / total.cast("double")).orderBy(F.desc(value), name)
 
 
 def top_projects(calls: DataFrame, n: int = 16) -> DataFrame:
@@ -88,18 +143,24 @@ def tool_counts(messages: DataFrame) -> DataFrame:
     return messages.where("kind = 'ToolUse'").groupBy("provider", "session", "tool_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def by_project(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("project").agg(
-        F.count_distinct("provider", "session").alias("sessions"), F.sum(all_tokens()).alias("tokens"), dollars(F.sum("cost")).alias("cost"), F.max(local_day(F.col("ts"))).cast("string").alias("last_day")
-    )
+def tools_used(counts: DataFrame) -> DataFrame:
+    """``tool_counts`` summed over the sessions shown."""
+    return counts.groupBy("tool_name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sessions"))
 
 
-def by_day(calls: DataFrame) -> DataFrame:
-    """Sessions on the day they start, tokens and cost on the day of the call."""
-    starts = calls.groupBy("provider", "session").agg(local_day(F.min("ts")).alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("sessions"))
+def by_day(sessions: DataFrame, calls: DataFrame) -> DataFrame:
+    """Sessions and messages on the day they start, tokens and cost on the day of the call."""
+    starts = sessions.groupBy(local_day(F.col("started_at")).alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("messages").alias("messages"))
     spent = calls.groupBy(local_day(F.col("ts")).alias("day")).agg(F.sum(all_tokens()).alias("tokens"), F.sum("cost").alias("cost"))
     both = starts.join(spent, "day", "full")
-    return both.select(F.col("day").cast("string").alias("day"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sessions", "tokens")), dollars(F.col("cost")).alias("cost"))
+    return both.select(F.col("day").cast("string").alias("day"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sessions", "messages", "tokens")), dollars(F.col("cost")).alias("cost"))
+
+
+def days_of_sessions(hours: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Days of each session by its hours, its cost dealt by tokens: the day view at the scope of one session."""
+    rows = shared_cost(hours, sessions)
+    day = F.date_from_unix_date(F.floor(F.col("hour") / 86400).cast("int")).cast("string")
+    return rows.groupBy("provider", "session", day.alias("day")).agg(F.sum("tokens").alias("tokens"), (F.sum("nanos") / F.lit(1e9)).alias("cost"))
 
 
 def last_days(calls: DataFrame, n: int = 120) -> DataFrame:
@@ -107,13 +168,13 @@ def last_days(calls: DataFrame, n: int = 120) -> DataFrame:
     return calls.groupBy(local_day(F.col("ts")).alias("day")).agg(F.sum(all_tokens()).alias("tokens")).orderBy(F.desc("day")).limit(n).select(F.col("day").cast("string").alias("day"), "tokens")
 
 
-def hours_from_six(calls: DataFrame) -> DataFrame:
+def hours_from_six(hours: DataFrame, sessions: DataFrame) -> DataFrame:
     """Hours with their place on a chart that begins at 06."""
-    return by_hour(calls).select("hour", F.pmod(F.col("hour") - 6, F.lit(24)).cast("int").alias("place"), "tokens")
+    return by_hour(hours, sessions).select("hour", F.pmod(F.col("hour") - 6, F.lit(24)).cast("int").alias("place"), "tokens")
 
 
-def averages(calls: DataFrame, *by: str) -> DataFrame:
-    """Cost by session, by call and by a million tokens; null where there are none."""
-    sums = calls.groupBy(*by).agg(dollars(F.sum("cost")).alias("cost"), F.count_distinct("provider", "session").alias("sessions"), F.count(F.lit(1)).alias("calls"), F.sum(all_tokens()).alias("tokens"))
+def averages(sessions: DataFrame, *by: str) -> DataFrame:
+    """Cost by session, by message and by a million tokens; null where there are none."""
+    sums = sessions.groupBy(*by).agg(summed("cost").alias("cost"), F.count(F.lit(1)).alias("sessions"), F.sum("messages").alias("messages"), F.sum("tokens").alias("tokens"))
     each = lambda c: F.try_divide("cost", F.nullif(F.col(c), F.lit(0)))
-    return sums.select(*by, each("sessions").alias("cost_a_session"), each("calls").alias("cost_a_call"), (each("tokens") * 1e6).alias("cost_a_million"))
+    return sums.select(*by, each("sessions").alias("cost_a_session"), each("messages").alias("cost_a_message"), (each("tokens") * 1e6).alias("cost_a_million"))

@@ -1,8 +1,22 @@
-"""Incremental refresh: which logs to read again."""
+"""Incremental refresh: which logs to read again, and a store of what was read.
+
+A store has a folder for each version: ``files`` (path, time and size as they were read), ``calls``
+(coalesced lines of each file, duplicates across files still in) and ``usage`` (unpriced sums by
+quarter of an hour). A version counts from the moment its row is in ``versions``, one small file
+written last; readers take the greatest, so they see the old version or the new one and never
+parts of both. Prices are joined when a report is read, so new rates make nothing stale.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.operators.calls import billed, coalesce_streamed
+from tallyspark.operators.rollup import quarter_hours
+from tallyspark.sources.logs import read_lines, scan_files
 
 
 def changed_files(stored: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -14,3 +28,43 @@ def unchanged_rows(rows: DataFrame, stored: DataFrame, scanned: DataFrame) -> Da
     """Stored results of the files that are still there as they were; those of deleted files go."""
     same = stored.join(scanned, ["path", "mtime", "size"], "left_semi").select("path")
     return rows.join(same, "path", "left_semi")
+
+
+def version(spark: SparkSession, store: str) -> int:
+    """The version that counts, 0 for a new store."""
+    try:
+        return spark.read.schema("version int").parquet(f"{store}/versions").agg(F.max("version")).first()[0] or 0
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return 0
+        raise
+
+
+def stored(spark: SparkSession, store: str, part: str) -> DataFrame:
+    """``files``, ``calls`` or ``usage`` of the version that counts."""
+    return spark.read.parquet(f"{store}/{part}/v={version(spark, store)}")
+
+
+def refresh(spark: SparkSession, roots: list[str], store: str, decode: Callable[[DataFrame], DataFrame]) -> int:
+    """Read new and changed logs, keep what the others gave, forget deleted ones; the number of logs that were read.
+
+    The paths to read go to the reader by way of the driver, as any list of paths does."""
+    old = version(spark, store)
+    scanned = scan_files(spark, roots)
+    to_read = scanned if not old else changed_files(stored(spark, store, "files"), scanned)
+    paths = [r[0] for r in to_read.select("path").collect()]
+    calls = None
+    if paths:
+        calls = coalesce_streamed(decode(read_lines(spark, roots, only=paths)))
+        calls = calls.withColumn("path", F.col("session"))
+    if old:
+        kept = unchanged_rows(stored(spark, store, "calls"), stored(spark, store, "files"), scanned)
+        calls = kept if calls is None else calls.unionByName(kept)
+    now = old + 1
+    scanned.write.mode("overwrite").parquet(f"{store}/files/v={now}")
+    if calls is None:
+        calls = coalesce_streamed(decode(read_lines(spark, []))).withColumn("path", F.col("session"))
+    calls.write.mode("overwrite").parquet(f"{store}/calls/v={now}")
+    quarter_hours(billed(spark.read.parquet(f"{store}/calls/v={now}").drop("path"))).write.mode("overwrite").parquet(f"{store}/usage/v={now}")
+    spark.createDataFrame([(now,)], "version int").coalesce(1).write.mode("append").parquet(f"{store}/versions")
+    return len(paths)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.rate_table import BUILTIN, FAMILIES, RATES
+from tallyspark.functions.rate_table import BUILTIN, FAMILIES
 from tallyspark.operators.calls import billed, coalesce_streamed, priced, resolve_rates
 from tallyspark.sources.rates import builtin_rates
 
@@ -50,13 +50,16 @@ priced AS (SELECT *, (input * r[1])::BIGINT AS n_in, (output * r[2])::BIGINT AS
     floor(epoch(ts))::BIGINT AS unix, CAST(ts AS DATE) AS day FROM rated)"""
 
 
-def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a billable line, without its session's facts."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    rows = events.selectExpr(*[x.strip() for x in _split_columns(_USAGE)]).withColumn("ts", F.col("ts").cast("timestamp"))
-    heads = rows.groupBy("provider", "session").agg(
-        F.min("ts").alias("session_started"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("line_seq"))).alias("session_model")
-    )
-    return rows.join(heads, ["provider", "session"])
+    return events.selectExpr(*[x.strip() for x in _split_columns(_USAGE)]).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their session's start and first model, by the window whose shuffle and order coalescing uses again."""
+    whole = Window.partitionBy("provider", "session").orderBy("line_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return event_rows(spark, sf_dir).withColumns({"session_started": F.min("ts").over(whole), "session_model": F.first("model", ignorenulls=True).over(whole)})
 
 
 def _split_columns(text: str) -> list[str]:
@@ -75,25 +78,62 @@ def calls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return billed(coalesce_streamed(usage_rows(spark, sf_dir)))
 
 
+def rates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the models that lines name; a session's model is one of them. Reads two columns and coalesces nothing."""
+    return resolve_rates(event_rows(spark, sf_dir), builtin_rates(spark))
+
+
 def priced_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = calls_of(spark, sf_dir)
-    # Resolved over the models before calls are coalesced: the same names, without doing the work twice.
-    named = usage_rows(spark, sf_dir)
-    return priced(calls, resolve_rates(named, builtin_rates(spark)))
+    return priced(calls_of(spark, sf_dir), rates_of(spark, sf_dir))
 
 
 def headers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session headers: each event as a message, the session's id as its name."""
     return usage_rows(spark, sf_dir).groupBy("provider", "session", "project").agg(
-        F.min("session").alias("id"), F.min("session").alias("name"), F.min("session_model").alias("model"), F.count(F.lit(1)).alias("messages"),
+        F.min("session").alias("id"), F.min("session").alias("name"), F.min("project").alias("summary"), F.min("session_model").alias("model"), F.count(F.lit(1)).alias("messages"),
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
     )
 
 
+_SAID = """CASE WHEN user_id % 4 = 0 THEN 'codex' ELSE 'claude' END AS provider, concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS session,
+  event_id AS ord, 0 AS part, ts, CASE event_type WHEN 'signup' THEN 'User' WHEN 'purchase' THEN 'Assistant' WHEN 'error' THEN 'ToolResult' ELSE 'ToolUse' END AS kind,
+  concat(event_type, ' ', props) AS text, CASE WHEN event_type IN ('view', 'click') THEN concat('tool', CAST(event_id % 5 AS STRING)) END AS tool_name, event_id % 1000 AS tokens"""
+#: CTE ``said``: each event as one message of its session.
+SAID_SQL = f"said AS (SELECT {_SAID.replace('AS STRING', 'AS VARCHAR')} FROM events)"
+
+
+def said_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as one message of its session, with its kind and tool."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[x.strip() for x in _split_columns(_SAID)])
+
+
+def claude_log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three users of four as lines of logs, as ``read_lines`` gives them: prompts, and replies of a text and a tool call."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 4 <> 0")
+    stamp = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || '.250Z'"
+    usage = "named_struct('input_tokens', event_id % 1000, 'output_tokens', event_id % 877, 'cache_creation', named_struct('ephemeral_1h_input_tokens', event_id % 7), 'cache_creation_input_tokens', event_id % 301)"
+    content = "array(named_struct('type', 'text', 'text', props, 'name', NULL, 'input', NULL), named_struct('type', 'tool_use', 'text', NULL, 'name', 'Bash', 'input', named_struct('command', event_type)))"
+    reply = f"named_struct('id', 'm' || event_id, 'model', 'claude-opus-4-7', 'content', {content}, 'usage', {usage})"
+    value = f"""CASE WHEN event_type = 'signup' THEN to_json(named_struct('type', 'user', 'timestamp', {stamp}, 'cwd', '/home/me/code/p' || user_id % 7, 'message', named_struct('content', 'please ' || props)))
+      ELSE to_json(named_struct('type', 'assistant', 'timestamp', {stamp}, 'message', {reply})) END AS value"""
+    rel = "concat('-home-me-code-p', user_id % 7, '/', user_id, '-', CAST(ts AS DATE), '.jsonl') AS rel_path"
+    return e.selectExpr(rel, value, "event_id AS line_seq").selectExpr("'file:///logs/' || rel_path AS path", "rel_path", "0L AS block_start", "line_seq", "value")
+
+
+def codex_log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth user's rollouts: turns that name a model, and counts of tokens."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 4 = 0")
+    stamp = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z'"
+    turn = f"to_json(named_struct('type', 'turn_context', 'timestamp', {stamp}, 'payload', named_struct('model', CASE WHEN event_id % 2 = 0 THEN 'gpt-5' ELSE 'o9' END)))"
+    last = "named_struct('input_tokens', event_id % 4, 'cached_input_tokens', event_id % 2, 'output_tokens', 1)"
+    count = f"to_json(named_struct('type', 'event_msg', 'timestamp', {stamp}, 'payload', named_struct('type', 'token_count', 'info', named_struct('last_token_usage', {last}))))"
+    rel = "concat('2024/01/01/rollout-', user_id, '.jsonl') AS rel_path"
+    rows = e.selectExpr(rel, f"CASE WHEN event_type = 'signup' THEN {turn} ELSE {count} END AS value", "event_id AS line_seq")
+    return rows.selectExpr("'file:///logs/' || rel_path AS path", "rel_path", "0L AS block_start", "line_seq", "value")
+
+
 def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages: roles as kinds."""
     kind = F.initcap("role")
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), kind.alias("kind"), "text")
 
-
-RATE_COLUMNS = RATES

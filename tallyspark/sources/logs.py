@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,25 +14,67 @@ from tallyspark.operators.calls import codex_usage, drop_repeated_usage, running
 MAX_DEPTH = 8
 
 
-def read_lines(spark: SparkSession, roots: list[str], dated: bool = False) -> DataFrame:
-    """``path, rel_path, mtime, size, block_start, line_seq, value`` of all logs under the roots that exist.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*"
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A file's path below a root, in any file system, without the encoding of an address."""
+    plain = F.concat(F.lit("/"), F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), _SCHEME, ""))
+    return F.substring(F.regexp_replace(plain, "^/+", "/"), len("/" + re.sub(_SCHEME, "", root).strip("/")) + 2, 1 << 20)
+
+
+def _reader(spark: SparkSession, root: str, dated: bool):
+    """How logs below a root are found: at any depth, or in folders by year, month and day."""
+    reader = spark.read.option("pathGlobFilter", "*.jsonl")
+    return (reader, f"{root}/*/*/*/*.jsonl") if dated else (reader.option("recursiveFileLookup", True), root)
+
+
+def _missing(e: Exception) -> bool:
+    """A root that is missing contributes nothing."""
+    return "PATH_NOT_FOUND" in str(e)
+
+
+def scan_files(spark: SparkSession, roots: list[str], dated: bool = False) -> DataFrame:
+    """``path, mtime, size`` of the logs under the roots that exist; contents aren't read."""
+    out = spark.createDataFrame([], "path string, mtime timestamp, size bigint")
+    for root in (r.rstrip("/") for r in roots):
+        reader, where = _reader(spark, root, dated)
+        try:
+            found = reader.format("binaryFile").load(where)
+        except Exception as e:
+            if _missing(e):
+                continue
+            raise
+        meta = F.col("_metadata")
+        rows = found.select(meta["file_path"].alias("path"), meta["file_modification_time"].alias("mtime"), meta["file_size"].alias("size"))
+        out = out.unionByName(rows.where(F.size(F.split(relative_path(F.col("path"), root), "/")) <= MAX_DEPTH))
+    return out
+
+
+def read_lines(spark: SparkSession, roots: list[str], dated: bool = False, only: list[str] | None = None) -> DataFrame:
+    """``path, rel_path, mtime, size, block_start, line_seq, value`` of all logs under the roots that exist, or of those of
+    them that ``only`` names by the paths of ``scan_files``.
 
     Logs are split across tasks; ``block_start`` and ``line_seq`` together are the order of lines in a file."""
     parts = []
     for root in roots:
         root = root.rstrip("/")
-        reader = spark.read.option("pathGlobFilter", "*.jsonl")
+        reader, where = _reader(spark, root, dated)
+        if only is not None:
+            below = re.sub(_SCHEME, "/", root).rstrip("/") + "/"
+            mine = [p for p in map(unquote, only) if re.sub(_SCHEME, "/", p).startswith(below)]
+            if not mine:
+                continue
+            reader, where = spark.read, [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in mine]
         try:
-            text = reader.text(f"{root}/*/*/*/*.jsonl") if dated else reader.option("recursiveFileLookup", True).text(root)
-        except Exception as e:  # a root that is missing contributes nothing
-            if "PATH_NOT_FOUND" in str(e):
+            text = reader.text(where)
+        except Exception as e:
+            if _missing(e):
                 continue
             raise
         meta = F.col("_metadata")
-        path = meta["file_path"]
-        rel = F.expr("substring(regexp_replace(_metadata.file_path, '^file:/+', '/'), %d)" % (len(root.removeprefix("file://")) + 2))
         rows = text.select(
-            path.alias("path"), rel.alias("rel_path"), meta["file_modification_time"].alias("mtime"), meta["file_size"].alias("size"),
+            meta["file_path"].alias("path"), relative_path(meta["file_path"], root).alias("rel_path"), meta["file_modification_time"].alias("mtime"), meta["file_size"].alias("size"),
             meta["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("line_seq"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"),
         )
         parts.append(rows.where((F.col("value") != "") & (F.size(F.split("rel_path", "/")) <= MAX_DEPTH)))
@@ -45,12 +90,25 @@ def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
 
+def claude_group(rel_path: Column) -> Column:
+    """The first folder under the root: logs of sub-agents, however deep, join their conversation's project."""
+    return F.element_at(F.split(rel_path, "/"), 1)
+
+
 def claude_project(cwd: Column, rel_path: Column) -> Column:
     """The working directory without the home folder, else the log's folder with its dashes as slashes."""
-    dashed = F.regexp_replace(F.element_at(F.split(rel_path, "/"), 1), "^-(?:Users|home)-[^-]+-", "")
+    dashed = F.regexp_replace(claude_group(rel_path), "^-(?:Users|home)-[^-]+-", "")
     return F.coalesce(pretty_path(cwd), F.regexp_replace(dashed, "-", "/"))
 
 
+def group_cwd(logs: DataFrame) -> DataFrame:
+    """``rel_path, cwd``, a row a log: one working directory for all logs of a group, its own where the log lies right in the
+    group's folder first, then the first by path. A group is joined by its key, so none is collected."""
+    has = F.col("cwd").isNotNull() & (F.col("cwd") != "")
+    best = logs.groupBy(claude_group(F.col("rel_path")).alias("__group")).agg(F.min_by("cwd", F.when(has, F.struct(F.size(F.split("rel_path", "/")), "rel_path"))).alias("__cwd"))
+    return logs.withColumn("__group", claude_group(F.col("rel_path"))).join(best, "__group").withColumn("cwd", F.col("__cwd")).drop("__group", "__cwd")
+
+
 def decode_claude(lines: DataFrame) -> DataFrame:
     """Billable assistant lines: one row a line, with ``project``, session facts and counts. Lines that are no JSON, or lack
     content, are dropped."""
@@ -64,13 +122,14 @@ def decode_claude(lines: DataFrame) -> DataFrame:
             ("cache_creation.ephemeral_1h_input_tokens", "cache_write_1h"))),
         F.try_variant_get("v", "$.message.usage", "variant").isNotNull().alias("has_usage"),
     ).where("content is not null")
-    heads = rows.groupBy("session").agg(
+    heads = rows.groupBy("session", "rel_path").agg(
         F.min_by("model", F.when(F.col("model").isNotNull() & (F.col("type") == "assistant"), F.col("ord"))).alias("session_model"),
         F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("ord"))).alias("session_started"),
-        F.min_by("cwd", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != ""), F.col("ord"))).alias("session_cwd"),
+        F.min_by("cwd", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != ""), F.col("ord"))).alias("cwd"),
     )
+    heads = group_cwd(heads).select("session", "session_model", "session_started", claude_project(F.col("cwd"), F.col("rel_path")).alias("project"))
     billable = rows.where("type = 'assistant' and has_usage and ts is not null").drop("cwd", "content", "has_usage", "type")
-    named = billable.join(heads, "session").withColumn("project", claude_project(F.col("session_cwd"), F.col("rel_path"))).drop("session_cwd")
+    named = billable.join(heads, "session")
     return named.withColumnRenamed("ord", "line_seq").drop("rel_path")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import cut_bytes, display_name, parse_timestamp, pretty_path
-from tallyspark.sources.logs import claude_project
+from tallyspark.sources.logs import claude_project, group_cwd
 
 #: Bytes of a tool's result and of a session's first prompt that are kept.
 RESULT_BYTES, TITLE_BYTES = 500, 200
@@ -172,7 +172,7 @@ def claude_headers(lines: DataFrame) -> DataFrame:
         F.min_by("cwd", F.when(F.col("cwd") != "", F.col("ord"))).alias("cwd"), F.max_by(_of("content", "$"), F.when(F.col("type") == "summary", F.col("ord"))).alias("summary")
     )
     stem = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.jsonl$", "")
-    rows = facts.join(_from_messages(claude_messages(lines)), ["provider", "session"], "left")
+    rows = group_cwd(facts).join(_from_messages(claude_messages(lines)), ["provider", "session"], "left")
     return rows.select(
         "provider", "session", stem.alias("id"), claude_project(F.col("cwd"), F.col("rel_path")).alias("project"), "summary", "first_user", display_name(F.col("summary"), F.col("first_user"), stem).alias("name"),
         "model", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("messages", F.lit(0)).alias("messages"), F.col("first_ts").alias("started_at"), "ended_at",

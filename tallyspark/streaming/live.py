@@ -1,25 +1,52 @@
-"""Live usage: each call once, by five-hour block."""
+"""Live usage: each call once, by five-hour block.
+
+A stream's calls are kept by call with their greatest counts; a micro-batch hands on the calls that
+changed. ``keep_calls`` writes each batch's calls as a folder of a table, numbered by batch, so that
+a batch that is run again replaces its own folder. ``live_table`` is the table's calls at their
+latest: counts only grow, so a call's greatest row is its last. Reports over it are the batch ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.expressions import block_start
+from tallyspark.operators.rollup import blocks_active, status_line
+
 LATE = "5 hours"
+TOKENS = ("input", "output", "cache_read", "cache_write")
 
 
 def live_calls(stream: DataFrame) -> DataFrame:
-    """A stream's calls, the lines of one message taken together with their greatest counts. Lines without an id count each;
-    lines later than a block are dropped, so the batch report is the reference."""
+    """A stream's calls, for update mode: the lines of one message taken together with their greatest counts. Lines without an
+    id count each; lines later than a block are dropped, so the batch report is the reference."""
     key = F.coalesce("msg_id", F.concat_ws("-", F.lit("line"), "session", "line_seq"))
-    tokens = ("input", "output", "cache_read", "cache_write")
     return stream.withColumn("call_id", key).withWatermark("ts", LATE).groupBy("provider", "call_id").agg(
-        F.min("ts").alias("ts"), F.min("model").alias("model"), *(F.max(t).alias(t) for t in tokens)
+        F.min("ts").alias("ts"), F.min("model").alias("model"), *(F.max(t).alias(t) for t in TOKENS)
     )
 
 
-def live_blocks(stream: DataFrame) -> DataFrame:
-    """Tokens by five-hour block of the epoch, for update mode; first lines count for messages seen again."""
-    once = stream.withWatermark("ts", LATE).withColumn("call_id", F.coalesce("msg_id", F.concat_ws("-", F.lit("line"), "session", "line_seq")))
-    once = once.dropDuplicatesWithinWatermark(["provider", "call_id"])
-    return once.groupBy(F.window("ts", "5 hours").alias("block")).agg(*(F.sum(t).alias(t) for t in ("input", "output", "cache_read", "cache_write")), F.count(F.lit(1)).alias("api_calls"))
+def keep_calls(calls: DataFrame, path: str, checkpoint: str, **trigger):
+    """Start the query that keeps ``live_calls`` in the table at ``path``."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return calls.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "2 seconds"}).foreachBatch(put).start()
+
+
+def live_table(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy("provider", "call_id").agg(F.min("ts").alias("ts"), F.min("model").alias("model"), *(F.max(t).alias(t) for t in TOKENS))
+
+
+def live_blocks(calls: DataFrame, now: int | None = None, offset: int = 0) -> DataFrame:
+    """``key``, tokens and calls by five-hour block; with ``now``, of the block that runs."""
+    rows = calls.groupBy(block_start(F.col("ts"), offset).alias("key")).agg(*(F.sum(t).alias(t) for t in TOKENS), F.count(F.lit(1)).alias("api_calls"))
+    return rows if now is None else blocks_active(rows, now)
+
+
+def live_status(priced_calls: DataFrame, now: int, offset: int = 0) -> DataFrame:
+    """The status line over the table as it stands, priced as any calls."""
+    return status_line(priced_calls, now, offset)

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from tallyspark import catalog
 from tallyspark.functions.expressions import cut_bytes, short_label, tier_1h
+from tallyspark.functions.expressions import block_label, resume_target
 from tallyspark.operators import calls as C
+from tallyspark.operators import catalogue as K
+from tallyspark.operators import dashboard as D
 from tallyspark.operators import rollup as R
-from tallyspark.operators.refresh import changed_files
-from tallyspark.sources.logs import decode_claude, decode_codex, read_lines
+from tallyspark.operators import search as S
+from tallyspark.operators.refresh import changed_files, refresh, stored, version
+from tallyspark.plans.adapters import headers_of, priced_of, said_of
+from tallyspark.sources.logs import decode_claude, decode_codex, read_lines, relative_path
+from tallyspark.sources.providers import PROVIDERS, all_calls, provider
 from tallyspark.sources.rates import builtin_rates, override_rates, read_price_feed
-from tallyspark.streaming.live import live_blocks
+from tallyspark.streaming.live import keep_calls, live_blocks, live_calls, live_status, live_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,15 +42,19 @@ def claude(spark, root):
     return C.priced(calls, C.resolve_rates(calls, builtin_rates(spark)))
 
 
-def test_one_project(spark, tmp_path):
-    write(tmp_path, "-Users-me-code-alpha/s1.jsonl", [
-        {"type": "user", "timestamp": "2026-04-01T12:00:00Z", "cwd": "/Users/me/code/alpha", "message": {"role": "user", "content": "hi"}},
-        call("msg_A", "2026-04-01T12:00:01.000Z", i=1000, o=2000), "not json", call("msg_B", "2026-04-02T12:00:01Z", i=500, o=500, r=1000, w=10000),
+def test_project_of_a_log(spark, tmp_path):
+    write(tmp_path, "-home-ann-src-kiwi/one.jsonl", [
+        {"type": "user", "timestamp": "2025-06-10T08:00:00Z", "cwd": "/home/ann/src/kiwi", "message": {"role": "user", "content": "start"}},
+        call("k1", "2025-06-10T08:00:05.000Z", i=30, o=7), "{broken", call("k2", "2025-06-11T09:30:00Z", i=4, o=40, r=600, w=900),
+    ])
+    write(tmp_path, "-home-ann-src-kiwi/one/subagents/agent-1.jsonl", [
+        {"type": "user", "timestamp": "2025-06-10T08:01:00Z", "cwd": "/home/ann/src/kiwi/deeper", "message": {"role": "user", "content": "look"}},
+        call("k3", "2025-06-10T08:01:05Z", i=1, o=1),
     ])
     row = R.in_dollars(R.totals(R.rollup(claude(spark, tmp_path), "day"))).first()
-    assert (row["input"], row["output"], row["cache_write"], row["cache_read"]) == (1500, 2500, 10000, 1000)
-    assert row["cost"] == pytest.approx(0.1330)
-    assert claude(spark, tmp_path).select("project").distinct().first()[0] == "code/alpha"
+    assert (row["input"], row["output"], row["cache_write"], row["cache_read"]) == (35, 48, 900, 600)
+    assert row["cost"] == pytest.approx((35 * 5 + 48 * 25 + 900 * 6.25 + 600 * 0.5) / 1e6)
+    assert [r[0] for r in claude(spark, tmp_path).select("project").distinct().collect()] == ["src/kiwi"]  # the nested log, too
 
 
 def test_streamed_message_and_resumed_session(spark, tmp_path):
@@ -110,14 +120,159 @@ def test_refresh(spark):
     assert sorted(r["path"] for r in changed_files(stored, seen).collect()) == ["b", "c"]
 
 
-def test_live_blocks(spark, tmp_path):
-    schema = "provider string, session string, line_seq bigint, ts timestamp, msg_id string, model string, input bigint, output bigint, cache_read bigint, cache_write bigint"
-    rows = [("claude", "s", k, f"2026-04-01 0{k}:00:00", m, "x", 1, 2, 3, 4) for k, m in enumerate(["a", "a", None, "b"])]
-    spark.createDataFrame(rows, schema.replace("timestamp", "string")).write.json(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
-    run = live_blocks(stream).writeStream.outputMode("complete").format("memory").queryName("blocks").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    assert spark.table("blocks").agg(F.sum("api_calls"), F.sum("output")).first()[:] == (3, 6)
+LIVE = "provider string, session string, line_seq bigint, ts timestamp, msg_id string, model string, input bigint, output bigint, cache_read bigint, cache_write bigint"
+
+
+def test_live_blocks_count_streamed_messages_once(spark, tmp_path):
+    """One id on three lines, in two files that arrive one after the other: the greatest counts."""
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(LIVE).json(f"{tmp_path}/in")
+    batches = [[("m", 0, 10, 15), ("m", 1, 10, 45)], [("m", 2, 10, 80), (None, 3, 1, 2), (None, 4, 1, 2), ("n", 5, 5, 5)]]
+    for rows in batches:
+        data = [("claude", "s", k, f"2026-04-01 0{k}:10:00", m, "claude-opus-4-7", i, o, 0, 0) for m, k, i, o in rows]
+        spark.createDataFrame(data, LIVE.replace("timestamp", "string")).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        keep_calls(live_calls(stream), f"{tmp_path}/calls", f"{tmp_path}/cp", availableNow=True).awaitTermination(120)
+    calls = live_table(spark, f"{tmp_path}/calls")
+    start = 1_775_001_600  # 2026-04-01 00:00 UTC
+    first = start - start % 18_000
+    rows = {r["key"]: (r["output"], r["api_calls"]) for r in live_blocks(calls).collect()}
+    assert sum(o for o, _ in rows.values()) == 80 + 2 + 2 + 5 and sum(n for _, n in rows.values()) == 4 and min(rows) in (first, first + 18_000)
+    assert live_blocks(calls, now=start + 5 * 3600 + 660).count() == 1
+    priced_calls = C.priced(calls.withColumn("cache_write_1h", F.lit(0)), C.resolve_rates(calls, builtin_rates(spark)))
+    assert live_status(priced_calls, start + 6 * 3600).first()["today_tokens"] == 17 + 89
+
+
+def test_provider_protocol(spark, tmp_path):
+    assert provider("CC").id == "claude" and provider("codex").id == "codex"
+    with pytest.raises(ValueError, match="no provider"):
+        provider("other")
+    write(tmp_path / "a", "p/s.jsonl", [call("x", "2026-04-01T12:00:00Z", i=5, o=5)])
+    write(tmp_path / "b", "2026/04/01/rollout-1.jsonl", [
+        {"type": "turn_context", "timestamp": "2026-04-01T12:00:01Z", "payload": {"model": "gpt-5"}},
+        {"type": "event_msg", "timestamp": "2026-04-01T12:00:02Z", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 9, "output_tokens": 1}}}},
+    ])
+    calls = all_calls(spark, {"claude": [f"file://{tmp_path}/a"], "codex": [f"file://{tmp_path}/b"]})
+    assert sorted((r["provider"], r["input"]) for r in calls.collect()) == [("claude", 5), ("codex", 9)]
+    one = spark.sql("SELECT 'p/q/r.jsonl' AS rel_path, '/home/u/w' AS cwd, 'claude-opus-4-7-20260101' AS model")
+    found = [one.select(p.project_key(F.col("rel_path"), F.col("cwd")), p.normalize_model(F.col("model")), F.size(p.rate_candidates(F.col("model"))), p.skip_model(F.lit("<synthetic>"))).first() for p in PROVIDERS]
+    assert [tuple(r) for r in found] == [("p", "opus-4-7", 4, True), ("w", "claude-opus-4-7-20260101", 2, False)]
+    assert all(f[0] == p.id for p in PROVIDERS for f in p.family_rates())
+
+
+def test_refresh_reads_only_what_changed(spark, tmp_path):
+    root, store = f"file://{tmp_path}/logs", f"file://{tmp_path}/store"
+    decode = decode_claude
+    write(tmp_path / "logs", "p/a.jsonl", [call("a1", "2026-04-01T12:00:00Z", i=1, o=1)])
+    write(tmp_path / "logs", "p q/b+c.jsonl", [call("b1", "2026-04-01T12:20:00Z", i=10, o=1)])
+    assert (refresh(spark, [root], store, decode), version(spark, store)) == (2, 1)
+    assert (refresh(spark, [root], store, decode), version(spark, store)) == (0, 2)
+    with (tmp_path / "logs/p/a.jsonl").open("a") as f:  # a log that grew
+        f.write(json.dumps(call("a2", "2026-04-01T13:00:00Z", i=100, o=1)) + "\n")
+    assert refresh(spark, [root], store, decode) == 1
+    usage = stored(spark, store, "usage")
+    assert usage.agg(F.sum("input"), F.sum("calls")).first()[:] == (111, 3)
+    (tmp_path / "logs/p q/b+c.jsonl").unlink()
+    (tmp_path / "logs/.gone").touch()
+    assert refresh(spark, [root], store, decode) == 0 and stored(spark, store, "usage").agg(F.sum("input")).first()[0] == 101
+    for price, want in (("claude-opus-4-7", 101 * 5), ("claude-opus-4-7", 101 * 7)):  # rates are joined when a report is read
+        over = override_rates(spark, {price: {"input": want / 101, "output": 0, "cache_write": 0, "cache_read": 0}})
+        rows = R.from_quarter_hours(stored(spark, store, "usage"), C.resolve_rates(usage, builtin_rates(spark), overrides=over), "day")
+        assert R.in_dollars(rows).first()["cost"] == pytest.approx(want / 1e6)
+
+
+def test_relative_paths(spark):
+    row = lambda p, root: spark.sql(f"SELECT '{p}' AS p").select(relative_path(F.col("p"), root)).first()[0]
+    assert row("hdfs://nn:8020/logs/a/b.jsonl", "/logs") == row("hdfs://nn:8020/logs/a/b.jsonl", "hdfs://nn:8020/logs") == "a/b.jsonl"
+    assert row("file:///x/y%20z/a+b.jsonl", "file:///x/y z") == "a+b.jsonl"
+
+
+def test_substring_rates(spark):
+    zero = {"cache_write": 0, "cache_read": 0, "output": 0}
+    feed = override_rates(spark, {"foo": {"input": 1, **zero}, "Bar-9": {"input": 2, **zero}, "a.c": {"input": 3, **zero}})
+    models = spark.createDataFrame([("claude", m) for m in ("xfoo-foo-1", "xfoo", "my/BAR-9", "abc", "x_a.c:1")], "provider string, model string")
+    got = {r["model"]: (r["resolution"], float(r["rate_input"])) for r in C.resolve_rates(models, builtin_rates(spark), feed).collect()}
+    assert got == {"xfoo-foo-1": ("exact", 1), "xfoo": ("unknown", 0), "my/BAR-9": ("exact", 2), "abc": ("unknown", 0), "x_a.c:1": ("exact", 3)}
+
+
+def test_search(spark):
+    index = spark.createDataFrame([(1, "cat"), (2, "category"), (1, "dog"), (2, "dog"), (3, "cats")], "k int, term string")
+    found = lambda *t: sorted(r[0] for r in S.search(index, "k", list(t)).collect())
+    assert found("cat") == [1] and found("cate") == [2] and found("ca") == [1, 2, 3] and found("dog", "ca") == [1, 2] and found() == [] and found("none") == []
+
+
+def test_index_is_written_in_order_of_terms(spark, tmp_path):
+    index = S.index_of(said_of(spark, SF), headers_of(spark, SF))
+    S.write_index(index, f"file://{tmp_path}/i")
+    again = spark.read.parquet(f"file://{tmp_path}/i")
+    assert again.count() == index.count()
+    bounds = [(r[1], r[2]) for r in again.groupBy(F.input_file_name()).agg(F.min("term"), F.max("term")).orderBy(F.min("term")).collect()]
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_project_filter(spark):
+    calls = spark.createDataFrame([("a/x/kiwi",), ("b/x/kiwi",), ("x-kiwi",)], "project string")
+    named = lambda n: R.project_named(calls, n)
+    assert named("x-kiwi") == "x-kiwi" and named("b/x/kiwi") == "b/x/kiwi"
+    assert R.project_named(calls.where("project <> 'x-kiwi'"), "x-kiwi") == "a/x/kiwi"
+    with pytest.raises(ValueError, match="no project"):
+        named("kiwi")
+
+
+def test_options_that_exclude_each_other(spark):
+    for given in ({"bucket": "day", "active": True, "now": 1}, {"bucket": "block", "active": True, "recent": True, "now": 1}, {"bucket": "block", "limit": 1.0, "costs": False},
+                  {"bucket": "block", "recent": True}, {"bucket": "year"}, {"bucket": "day", "by_model": True, "by_provider": True}):
+        with pytest.raises(ValueError):
+            R.check_options(**given)
+
+
+def test_display_order(spark):
+    calls = priced_of(spark, SF)
+    keys = lambda *a, **b: [r["key"] for r in R.report(calls, *a, **b).collect()]
+    days = keys("day")
+    assert days == sorted(days) and keys("day", order="desc") == days[::-1] and keys("day", tail_=3) == days[-3:] and keys("day", tail_=0) == []
+    rows = R.report(calls, "session", by_model=True).collect()
+    at = {}
+    for r in rows:
+        at[r["key"]] = max(r["last_ts"], at.get(r["key"], 0))
+    assert [r["key"] for r in rows] == sorted((r["key"] for r in rows), key=lambda k: (-at[k], k))
+    listed = catalog.listed(spark, SF)
+    rows = K.sorted_list(listed, "sessions").collect()
+    assert [r["started_at"] for r in rows] == sorted((r["started_at"] for r in rows), reverse=True)
+    assert [r["cost"] for r in K.page(K.sorted_list(listed, "sessions", "cost", True), "sessions").collect()] == sorted((r["cost"] for r in rows), reverse=True)[:12]
+    shares = [r["share"] for r in D.shares(D.tool_counts(said_of(spark, SF)), "tool_name", "n").collect()]
+    assert shares == sorted(shares, reverse=True) and sum(shares) == pytest.approx(1)
+    ords = [r["ord"] for r in K.transcript(said_of(spark, SF), headers_of(spark, SF), "code/p5", said_of(spark, SF).where("session like '5-%'").first()["session"]).collect()]
+    assert ords and ords == sorted(ords)
+
+
+def test_the_session_time_zone_has_no_part(spark):
+    def results():
+        calls = priced_of(spark, SF)
+        hours = [tuple(r) for r in D.hourly(calls).orderBy("provider", "session", "hour").collect()]
+        return hours, spark.range(1).select(block_label(F.lit(1_700_000_000), F.lit(3600))).first()[0]
+
+    before = results()
+    late = [(r["key"]) for r in R.rollup(priced_of(spark, SF), "day", offset=3600).collect()]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        shifted = spark.sql("SELECT timestamp_seconds(1750980600) AS ts")  # 23:30 UTC
+        assert shifted.select(R.local_day(F.col("ts")).cast("string"), R.local_day(F.col("ts"), 3600).cast("string")).first()[:] == ("2025-06-26", "2025-06-27")
+        assert spark.range(1).select(block_label(F.lit(1_700_000_000), F.lit(3600))).first()[0] == before[1] == "2023-11-14 23:13"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert late and results() == before
+
+
+def test_resume_target(spark):
+    row = spark.range(1).select(resume_target(F.lit("p/abc.jsonl")), resume_target(F.lit("p/abc/subagents/agent-1.jsonl"))).first()
+    assert tuple(row) == ("abc", "abc")
+
+
+def test_a_report_scans_twice_and_sorts_windows_once(spark):
+    df = R.rollup(priced_of(spark, SF), "day")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") <= 2 and plan.count("Window [") <= 3 and plan.count("Exchange hashpartitioning") <= 4
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
