@@ -193,21 +193,41 @@ def may_link(n: Column, p: Column, m: Column, q: Column, threshold: int) -> Colu
     return left * (100 + threshold) >= (n + m) * threshold
 
 
+def _links(n: int, m: int, both: int, threshold: int) -> bool:
+    return 100 * both >= threshold * (n + m - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` that link."""
+    """``a, b`` of the pairs that link. Sets meet by the upper halves of their elements' hashes, which halves what is shuffled and
+    never makes an intersection smaller; pairs so near to the threshold that halves which agree by chance might matter meet
+    again whole."""
+    halved = lambda data: np.frombuffer(data.as_buffer(), "u8") >> np.uint64(32)
 
-    def linked(batches):
+    def halves(batches):
         for batch in sliced(batches):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * both >= threshold * (len(p) + len(q) - both))
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch({"r": batch.column(0), "x": pa.array([halved(x).astype("u4").tobytes() for x in batch.column(1)], pa.binary())})
+
+    def judged(kind: str, sure: bool):
+        def run(batches):
+            for batch in sliced(batches):
+                keep, near = [], []
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    p, q = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                    p, q = (p, q) if len(p) <= len(q) else (q, p)
+                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                    keep.append(_links(len(p), len(q), both, threshold))
+                    near.append(not sure and keep[-1] and not _links(len(p), len(q), both - 3 - (len(p) * len(q) >> 30), threshold))
+                yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "near": pa.array(near, pa.bool_())}).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("r").alias(c), F.col("x").alias(f"x{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(linked, "a long, b long")
+        return run
+
+    def met(of: DataFrame, data: DataFrame, kind: str, sure: bool) -> DataFrame:
+        side = lambda c: data.select(F.col("r").alias(c), F.col("x").alias(f"x{c}"))
+        return of.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(judged(kind, sure), "a long, b long, near boolean")
+
+    first = written(met(pairs, sets.select("r", "x").mapInArrow(halves, "r long, x binary"), "u4", False), "ngram-met")
+    again = met(first.where("near").select("a", "b"), sets, "u8", True)
+    return first.where("not near").select("a", "b").unionByName(again.select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,11 +306,15 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shipped(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     of_set = ["f1", "f2", "n"]
-    every = written(hashed_sets(rows, size, threshold), "ngram-rows")
-    sets = every.where("n > 0").groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
-    sets = written(sets.withColumn("r", F.monotonically_increasing_id()), "ngram-sets")
-
-    lists = _lists(sets, REGION, threshold)
+    hashed = written(hashed_sets(rows, size, threshold), "ngram-hashed")
+    by_set = hashed.where("n > 0").groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
+    by_set = written(by_set.withColumn("r", F.monotonically_increasing_id()), "ngram-by-set")
+    every = written(hashed.select("doc_id", *of_set), "ngram-rows")
+    dropped(hashed)
+
+    lists = _lists(by_set, REGION, threshold)
+    sets = written(by_set.select("r", "least", *of_set), "ngram-sets")
+    dropped(by_set)
     long_ = lists.where(F.col("k") > SHORT)
     pairs = written(compared(lists.where(F.col("k") <= SHORT), threshold).unionByName(led(long_, None, threshold)).distinct(), "ngram-pairs")
     wanted = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).unionByName(long_.select("r")).distinct()
