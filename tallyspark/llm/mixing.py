@@ -95,8 +95,8 @@ def _summed(found: str, weights: dict[str, float]) -> Column:
 
 
 def _posteriors(labelled: DataFrame, sizes: dict[str, int], vocabulary: dict[str, tuple[int, ...]]) -> tuple[list[Column], list[Column]]:
-    """Log-likelihoods, to be named ``__l0`` and so on, and posteriors over those, from ``__found`` (the telling words of a text) and the steps: Bernoulli naive Bayes, with one added to
-    every count. The tables have a row for each telling word and step."""
+    """Log-likelihoods, to be named ``__l0`` and so on, and posteriors over those, from ``__found`` (the telling words of a text) and the steps: naive Bayes over the words that a text has, with
+    one added to every count; words that it lacks tell little, as texts are of several languages. The tables have a row for each telling word and step."""
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in STEPS))
     seen = {(r[0], r[1], r[2]): r[3] for r in labelled.select("domain", F.explode(pairs).alias("x")).groupBy("domain", "x.k", "x.v").count().collect()}
     values = {k: sorted({v for _, f, v in seen if f == k}) for k in STEPS}
@@ -104,9 +104,9 @@ def _posteriors(labelled: DataFrame, sizes: dict[str, int], vocabulary: dict[str
     for i, d in enumerate(DOMAINS):
         size = sizes.get(d, 0)
         odds = {w: (c[i] + 1) / (size + 2) for w, c in vocabulary.items()}
-        terms = [F.lit(math.log((size + 1) / (sum(sizes.values()) + len(DOMAINS))) + sum(math.log(1 - p) for p in odds.values()))]
+        terms = [F.lit(math.log((size + 1) / (sum(sizes.values()) + len(DOMAINS))))]
         if odds:
-            terms.append(_summed("__found", {w: math.log(p / (1 - p)) for w, p in odds.items()}))
+            terms.append(_summed("__found", {w: math.log(p) for w, p in odds.items()}))
         for k, steps in values.items():
             log = lambda v: F.lit(math.log((seen.get((d, k, v), 0) + 1) / (size + len(steps) + 1)))  # noqa: B023, E731
             if steps:
