@@ -388,7 +388,7 @@ def test_mixing_rates_by_brute_force(spark):
             w, logs = words[r["doc_id"]], {}
             for c in goal:
                 p = {x: (has(x, c) + 1) / (sizes[c] + 2) for x in vocabulary}
-                logs[c] = math.log((sizes[c] + 1) / (sum(sizes.values()) + 3)) + sum(math.log(p[x] if x in w else 1 - p[x]) for x in vocabulary)
+                logs[c] = math.log((sizes[c] + 1) / (sum(sizes.values()) + 3)) + sum(math.log(p[x]) for x in vocabulary if x in w)
                 for k in range(3):
                     same = sum(steps(words[d])[k] == steps(w)[k] for d, _ in docs if taught.get(d) == c)
                     logs[c] += math.log((same + 1) / (sizes[c] + len(values[k]) + 1))
@@ -408,26 +408,18 @@ def test_toxicity_values_by_brute_force(spark):
         w = toxicity.tokens(t)
         n[c].update(zip(["", *w], w))
     D = toxicity.DISCOUNT
-    every = {w for c in n for pair in c for w in pair}
+    every = {w for c in n for _, w in c}
     cont = [Counter(w for _, w in c) for c in n]
     shared = {w: min(cont[0][w] / len(n[0]), cont[1][w] / len(n[1])) * len(n[0]) + 1 for w in every}
     whole = sum(shared.values()) + 1
-
-    def p(c, v, w):
-        low = (max(cont[c][w] - D, 0) + D * len(cont[c]) * shared[w] / whole) / len(n[c])
-        after = {x: k for (u, x), k in n[c].items() if u == v}
-        total = sum(after.values())
-        return (max(after.get(w, 0) - D, 0) + D * len(after) * low) / total if total else low
-
+    p = lambda c, w: (max(cont[c][w] - D, 0) + D * len(cont[c]) * shared[w] / whole) / len(n[c])
     text = "a x y b. c1 d-e x x never b y a x"
     found = toxicity.tokens(text)
-    want = [0.0 if w not in every else math.log(p(1, v, w) / p(0, v, w)) for v, w in zip(["", *found], found)]
-    want[found.index("never") + 1] = math.log(p(1, "never", "b") / p(0, "never", "b"))
+    want = [0.0 if w not in every else math.log(p(1, w) / p(0, w)) for w in found]
     assert model.differences(found).tolist() == pytest.approx(want)
-    assert model.value(text) == pytest.approx(sum(want) / len(want))
-    long_ = " ".join([text] * 4)
-    each = model.differences(toxicity.tokens(long_))
-    assert model.value(long_) == pytest.approx(max(each[k : k + toxicity.WINDOW].sum() for k in range(len(each) - toxicity.WINDOW + 1)) / toxicity.WINDOW)
+    assert model.value("a x never") == pytest.approx((want[0] + want[1]) / 3)
+    assert model.value(text) == pytest.approx(max(sum(want[k : k + toxicity.WINDOW]) for k in range(len(want) - toxicity.WINDOW + 1)) / toxicity.WINDOW)
+    assert toxicity.tokens("Unbelievable, (x1)! ...") == ["unbel", "+ievab", "+le", "x1", "..."]
 
 
 def test_toxicity_of_odd_rows(spark):
