@@ -9,8 +9,8 @@ BLOCK_SECONDS = 5 * 3600
 
 
 def parse_timestamp(c: Column) -> Column:
-    """RFC 3339 with Z or an offset, to whole seconds; null if it isn't one."""
-    return F.date_trunc("second", F.try_to_timestamp(c))
+    """RFC 3339 with Z or an offset, to whole seconds; null if it isn't one, as is a time without an offset."""
+    return F.when(c.rlike(r"^\d{4}-\d\d-\d\d[Tt ].*([Zz]|[+-]\d\d:\d\d)$"), F.timestamp_seconds(F.unix_seconds(F.try_to_timestamp(c))))
 
 
 def unix(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import catalog
 from tallyspark.functions.expressions import cut_bytes, short_label, tier_1h
-from tallyspark.functions.expressions import block_label, resume_target
+from tallyspark.functions.expressions import block_label, parse_timestamp, resume_target
 from tallyspark.operators import calls as C
 from tallyspark.operators import catalogue as K
 from tallyspark.operators import dashboard as D
@@ -263,6 +263,12 @@ def test_the_session_time_zone_has_no_part(spark):
     assert late and results() == before
 
 
+def test_timestamps(spark):
+    texts = ["2026-04-01T12:00:01.999Z", "2026-04-01T12:00:01+02:00", "2026-04-01T12:00:01", "2026-04-01", "noon", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", F.unix_seconds(parse_timestamp(F.col("t")))).collect()
+    assert [r[1] for r in sorted(rows)] == [1_775_044_801, 1_775_037_601, None, None, None, None]
+
+
 def test_resume_target(spark):
     row = spark.range(1).select(resume_target(F.lit("p/abc.jsonl")), resume_target(F.lit("p/abc/subagents/agent-1.jsonl"))).first()
     assert tuple(row) == ("abc", "abc")
