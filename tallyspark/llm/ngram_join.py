@@ -21,7 +21,7 @@ a pair that links passes this at its first common element.
    A longer list has a leader, the set with the fewest light elements, which every other set of
    the list is held against. Lists whose sets then lie in one component are done.
 2. The sets of the other long lists are joined again among themselves, in an order from the counts
-   of all their elements: leaders first; then the sets outside a list's largest component are held
+   of a wider part, ``OPEN_REGION``, of their elements: leaders first; then the sets outside a list's largest component are held
    against the whole list, where the places allow a link and the components differ.
 
 Candidates are verified on whole sets, which are made for the sets in pairs and in long lists only. Components come from repeated minima over neighbours with
@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from tallyspark.llm.line_dedup import WordHashes, mixed
 SHINGLE = 4
 THRESHOLD = 85
 LIGHT = 24
-REGION = 0.25
+REGION, OPEN_REGION = 0.25, 0.5
 HEAVY_HELD = 100_000
 #: The greatest size that may be the boundary.
 LARGEST = 64
@@ -58,16 +59,26 @@ SHORT = 8
 _ROOT = 0x9E3779B97F4A7C15
 
 
-def elements(text: str | None, held: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles."""
-    x = held.of((text or "").encode().lower().split())  # bytes: lower-cased in A-Z, split at ASCII white space alone
-    if not len(x):
-        return x
-    n = min(size, len(x))
-    out = np.zeros(len(x) - n + 1, "u8")
-    for k in range(n):
-        out = out * np.uint64(_ROOT) + x[k : k + len(out)]
-    return np.unique(mixed(out + np.uint64(n)))
+def sets_of(texts: list[str | None], held: WordHashes, size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; all texts' words are hashed at once."""
+    words = [(t or "").encode().lower().split() for t in texts]  # bytes: lower-cased in A-Z, split at ASCII white space alone
+    x = held.of(list(chain.from_iterable(words)))
+    every = np.zeros(max(len(x) - size + 1, 0), "u8")
+    for k in range(size):
+        every = every * np.uint64(_ROOT) + x[k : k + len(every)]
+    every = mixed(every + np.uint64(size))
+    out, at = [], 0
+    for n in map(len, words):
+        if n >= size:
+            found = np.sort(every[at : at + n - size + 1])
+        else:  # fewer words than a shingle: the whole sequence
+            one = 0
+            for w in x[at : at + n].tolist():
+                one = (one * _ROOT + w) & ((1 << 64) - 1)
+            found = mixed(np.full(min(n, 1), (one + n) & ((1 << 64) - 1), "u8"))
+        out.append(found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found)
+        at += n
+    return out
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -78,9 +89,13 @@ def subsets(n: int, threshold: int = THRESHOLD) -> int:
     return sum(math.comb(n, d) for d in range(n * (100 - threshold) // 100 + 1))
 
 
-def _hashes(x: np.ndarray) -> tuple[int, int]:
-    """Two hashes of a set; of an empty one zeros."""
-    return int(x.sum(dtype="u8").view("i8")), int(mixed(x * np.uint64(_ROOT)).sum(dtype="u8").view("i8"))
+def _hashes(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """``n, f1, f2``: size and two hashes of each set; zeros for an empty one."""
+    n = np.fromiter(map(len, sets), "i8", len(sets))
+    flat = np.concatenate([*sets, np.zeros(1, "u8")])
+    starts = np.minimum(np.cumsum(n) - n, len(flat) - 1)
+    sums = lambda x: np.where(n > 0, np.add.reduceat(x, starts), np.uint64(0)) if len(sets) else np.zeros(0, "u8")
+    return {"n": pa.array(n), "f1": pa.array(sums(flat).view("i8")), "f2": pa.array(sums(mixed(flat * np.uint64(_ROOT))).view("i8"))}
 
 
 def hashed_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -90,13 +105,10 @@ def hashed_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD
 
     def run(batches):
         held = WordHashes()
-        for batch in sliced(batches):
-            sets = [elements(value.as_py(), held, size) for value in batch.column(1)]
-            f1, f2 = zip(*map(_hashes, sets)) if sets else ((), ())
+        for batch in sliced(batches, 100):
+            sets = sets_of(batch.column(1).to_pylist(), held, size)
             low = [x if len(x) <= LARGEST else x[: max(int(np.searchsorted(x, edge)), prefix_length(len(x), threshold))] for x in sets]
-            yield pa.record_batch({
-                "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "x": pa.array([x.tobytes() for x in low], pa.binary()),
-            })
+            yield pa.record_batch({"doc_id": batch.column(0), **_hashes(sets), "x": pa.array([x.tobytes() for x in low], pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, x binary")
 
@@ -106,10 +118,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataF
 
     def run(batches):
         held = WordHashes()
-        for batch in sliced(batches):
-            sets = [elements(value.as_py(), held, size) for value in batch.column(0)]
-            f1, f2 = zip(*map(_hashes, sets)) if sets else ((), ())
-            yield pa.record_batch({"n": pa.array(map(len, sets), pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "x": pa.array([x.tobytes() for x in sets], pa.binary())})
+        for batch in sliced(batches, 100):
+            sets = sets_of(batch.column(0).to_pylist(), held, size)
+            yield pa.record_batch({**_hashes(sets), "x": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     found = docs.select("text").mapInArrow(run, "n long, f1 long, f2 long, x binary").join(bounded(wanted), ["n", "f1", "f2"])
     return found.groupBy("r").agg(F.first("n").alias("n"), F.first("x").alias("x"))  # copies have one set
@@ -325,7 +336,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     opened = written(long_.join(still_open(long_, labels), "key", "left_semi").select("r").distinct(), "ngram-open")
     again = written(whole.join(opened, "r", "left_semi"), "ngram-open-sets")
     dropped(lists, pairs, wanted, whole)
-    lists = _lists(again, 1.0, threshold)
+    lists = _lists(again, OPEN_REGION, threshold)
     for find in (led, outsiders):
         pairs = written(find(lists, labels, threshold), "ngram-pairs")
         links = links.unionByName(written(verified(pairs, again, threshold), "ngram-links"))
