@@ -11,8 +11,9 @@
    rates are ``START_RATE`` plus a multiple of each posterior, cut (projected) at 0; the multiples
    follow the gradient, scaled by the curvature, one distributed sum over all documents a round,
    until the slope is under the tolerance; a fit that doesn't get there fails. Where no rates meet
-   the targets, the nearest would put all weight on a few documents; then the squared distance
-   from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as that from the targets, and a
+   the targets, or only by multiples over ``MOST``, the nearest would put most weight on a few
+   documents; then the squared distance from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as
+   that from the targets, and a
    warning says what is missing.
 
 A document's tokens are its words between white space: byte-level BPE needs Python, which a native
@@ -42,12 +43,15 @@ BUDGET = 1.0
 START_RATE = 1.0
 VOCABULARY = 60
 MIN_DOCS = 5
+PRIOR = 4.0
 #: Bound on the labelled rows of each domain that the classifier is fitted on.
 LABELLED_ROWS = 10_000
 #: A fit that takes more rounds fails.
 ITERATIONS = 200
 TOLERANCE = 1e-4
-WITHIN_REACH, OUT_OF_REACH = 1e-9, 1e-2
+WITHIN_REACH, OUT_OF_REACH = 1e-9, 1.0
+#: The greatest multiple of a posterior that a rate may be made of; beyond it, rates turn on differences of a few hundredths.
+MOST = 50.0
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -95,20 +99,23 @@ def _summed(found: str, weights: dict[str, float]) -> Column:
 
 
 def _posteriors(labelled: DataFrame, sizes: dict[str, int], vocabulary: dict[str, tuple[int, ...]]) -> tuple[list[Column], list[Column]]:
-    """Log-likelihoods, to be named ``__l0`` and so on, and posteriors over those, from ``__found`` (the telling words of a text) and the steps: naive Bayes over the words that a text has, with
-    one added to every count; words that it lacks tell little, as texts are of several languages. The tables have a row for each telling word and step."""
+    """Log-likelihoods, to be named ``__l0`` and so on, and posteriors over those, from ``__found`` (the telling words of a text)
+    and the steps: naive Bayes over the words that a text has, as those it lacks tell little where texts are of several
+    languages. ``PRIOR`` documents with all domains' shares are added to each domain's counts, and stand alone for one
+    without labelled rows. The tables have a row for each telling word and step."""
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in STEPS))
     seen = {(r[0], r[1], r[2]): r[3] for r in labelled.select("domain", F.explode(pairs).alias("x")).groupBy("domain", "x.k", "x.v").count().collect()}
     values = {k: sorted({v for _, f, v in seen if f == k}) for k in STEPS}
-    logs = []
+    logs, every = [], sum(sizes.values())
     for i, d in enumerate(DOMAINS):
         size = sizes.get(d, 0)
-        odds = {w: (c[i] + 1) / (size + 2) for w, c in vocabulary.items()}
-        terms = [F.lit(math.log((size + 1) / (sum(sizes.values()) + len(DOMAINS))))]
+        odds = {w: (c[i] + PRIOR * (sum(c) + 0.5) / (every + 1)) / (size + PRIOR) for w, c in vocabulary.items()}
+        terms = [F.lit(math.log((size + 1) / (every + len(DOMAINS))))]
         if odds:
             terms.append(_summed("__found", {w: math.log(p) for w, p in odds.items()}))
         for k, steps in values.items():
-            log = lambda v: F.lit(math.log((seen.get((d, k, v), 0) + 1) / (size + len(steps) + 1)))  # noqa: B023, E731
+            share = lambda v: (sum(seen.get((o, k, v), 0) for o in DOMAINS) + 1) / (every + len(steps) + 1)  # noqa: B023, E731
+            log = lambda v: F.lit(math.log((seen.get((d, k, v), 0) + PRIOR * share(v)) / (size + PRIOR)))  # noqa: B023, E731
             if steps:
                 terms.append(reduce(lambda other, v: F.when(F.col(k) == v, log(v)).otherwise(other), steps, log(None)))  # noqa: B023
         logs.append(reduce(lambda a, b: a + b, terms))
@@ -159,7 +166,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGE
 
     missing = lambda gap: dict(zip(DOMAINS, (-gap).tolist()))
     found, gap = fitted(WITHIN_REACH)
-    if np.abs(gap).max() > TOLERANCE:
+    if np.abs(gap).max() > TOLERANCE or np.abs(found).max() > MOST:
         nearest = missing(gap)
         found, gap = fitted(OUT_OF_REACH)
         warnings.warn(f"no rates reach the targets; missing by domain, in shares of all words: {missing(gap)}, at the nearest {nearest}", stacklevel=2)

@@ -387,11 +387,12 @@ def test_mixing_rates_by_brute_force(spark):
         if r["doc_id"] is not None:
             w, logs = words[r["doc_id"]], {}
             for c in goal:
-                p = {x: (has(x, c) + 1) / (sizes[c] + 2) for x in vocabulary}
+                p = {x: (has(x, c) + 4 * (sum(has(x, o) for o in goal) + 0.5) / (sum(sizes.values()) + 1)) / (sizes[c] + 4) for x in vocabulary}
                 logs[c] = math.log((sizes[c] + 1) / (sum(sizes.values()) + 3)) + sum(math.log(p[x]) for x in vocabulary if x in w)
                 for k in range(3):
                     same = sum(steps(words[d])[k] == steps(w)[k] for d, _ in docs if taught.get(d) == c)
-                    logs[c] += math.log((same + 1) / (sizes[c] + len(values[k]) + 1))
+                    share = (sum(steps(words[d])[k] == steps(w)[k] for d in taught for _ in range(sum(x == d for x, _ in docs))) + 1) / (sum(sizes.values()) + len(values[k]) + 1)
+                    logs[c] += math.log((same + 4 * share) / (sizes[c] + 4))
             whole = sum(math.exp(x) for x in logs.values())
             assert [r[f"p_{c}"] for c in goal] == pytest.approx([math.exp(logs[c]) / whole for c in goal])
     with pytest.raises(ValueError, match="targets must name"):
