@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, iso_media, line_dedup, mixing, ngram_join, quality_rules, suffix_tree, token_counts, toxicity, warc
+from tallyspark.llm import byte_bpe, iso_media, line_dedup, mixing, ngram_join, quality_rules, suffix_tree, token_counts, toxicity, warc, word_bpe
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
+    "op11_word_bpe": word_bpe.op11_word_bpe,
 }
 ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op8_warc": warc.OP8_SQL}
