@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import alignment, byte_bpe, iso_media, line_dedup, mixing, ngram_join, quality_rules, suffix_tree, token_counts, toxicity, warc, word_bpe
+from tallyspark.llm import alignment, byte_bpe, hard_negatives, iso_media, line_dedup, mixing, ngram_join, quality_rules, suffix_tree, token_counts, toxicity, warc, word_bpe
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
     "op11_word_bpe": word_bpe.op11_word_bpe,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_alignment": alignment.op13_alignment,
 }
-ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op8_warc": warc.OP8_SQL}
+ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op8_warc": warc.OP8_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
