@@ -6,8 +6,9 @@ that either tokenizer doesn't give back byte by byte, has no tokens, groups or l
 
 1. ``Pair.segments`` cuts a text before each blank that follows anything but white space. Neither tokenizer has tokens over such
    a place (checked when they are read; if one has, a text is one segment), so that segments are encoded by themselves.
-2. ``Pair.align``: for both token lists a dictionary from cumulative end to index; the intersection of their keys, sorted, slices
-   both id lists into groups, and each slice is expanded into links. A task aligns each distinct segment of a block once.
+   A task encodes each distinct segment of a block once.
+2. ``Pair.align``: for both token lists, of some hundred texts one after the other, a dictionary from cumulative end to index; the
+   intersection of their keys, sorted, slices both id lists into groups, and ``links`` expands each slice.
 3. ``aligned`` writes a row for each block: its documents' figures, its distinct linked id pairs with the number of its documents
    that hold each, and each document's pairs as positions among them. A block is bounded by ``SEGMENTS_HELD`` and ``LINKS_HELD``,
    or is one document.
@@ -25,9 +26,8 @@ import json
 import os
 import re
 from array import array
-from collections import Counter
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.byte_bpe import packed, unpacked
+from tallyspark.llm.byte_bpe import gathered, packed, unpacked
 from tallyspark.llm.common import dropped, shipped, sliced, table, written
 from tallyspark.llm.word_bpe import byte_letters
 
@@ -46,6 +46,8 @@ SEGMENTS_HELD, LINKS_HELD = 250_000, 6_000_000
 #: Rows that a task hands on at once.
 ROWS_HELD = 200_000
 BLANK = "▁"
+#: Bits of an id within a pair's key, and links of a slice over which its ids are counted first.
+ID_BITS, LONG = 20, 10_000
 
 
 def read_files(a: str | None = None, b: str | None = None) -> tuple[bytes, bytes]:
@@ -61,23 +63,47 @@ class Pair:
     def __init__(self, a: bytes, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_buffer(a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        spec = json.loads(a)
+        vocab, cut = spec["model"]["vocab"], spec["pre_tokenizer"]
         byte_of = {c: k for k, c in enumerate(byte_letters())}
-        vocab = json.loads(a)["model"]["vocab"]
-        self.a_bytes = {i: bytes(map(byte_of.get, t)) for t, i in vocab.items()}
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes(map(byte_of.get, t))
+        self.a_ids = self._first(a, spec)
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = list(map(self.b.id_to_piece, range(self.b.vocab_size())))
         hexed = re.compile("<0x([0-9A-F]{2})>").fullmatch
         self.b_bytes = [bytes.fromhex(m[1]) if (m := hexed(p)) else p.replace(BLANK, " ").encode() for p in pieces]
         self.blank = self.b.piece_to_id(BLANK)
-        inside = re.compile(rb"\S ").search
-        self.whole = any(map(inside, self.b_bytes)) or any(map(inside, self.a_bytes.values()))
+        self.sizes = [np.fromiter(map(len, x), "i8", len(x)) for x in (self.a_bytes, self.b_bytes)]
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << ID_BITS:
+            raise ValueError(f"vocabularies of more than {1 << ID_BITS} ids")
+        # What a token is in the text of groups: followed by a comma, or last of its side.
+        each = lambda n, last: [f"{i}{end}".encode() for end in (",", last) for i in range(n)]
+        self.signs = pa.array(each(len(self.a_bytes), "|") + each(len(self.b_bytes), ";"), pa.large_binary())
+        # The first cuts words before blanks by its expression; the second has no piece with a blank after another character.
+        inside = re.compile(rf"[^\s{BLANK}]{BLANK}").search
+        self.whole = not (cut["type"] == "ByteLevel" and cut["use_regex"]) or any(map(inside, pieces))
         self._spaced = re.compile(r"\s ").search
         self._cut = re.compile(r"(?<=\S)(?= )").split
 
+    def _first(self, raw: bytes, spec: dict):
+        """The byte-level tokenizer's ids of a list of texts. Where an id is the rank of the merge that makes it, as in the public
+        file, tiktoken gives the same ids faster; else by the file's own library."""
+        model = spec["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if spec["normalizer"] is None and all(model["vocab"][x + y] == 256 + k for k, (x, y) in enumerate(merges)):
+            import tiktoken
+
+            ranks = {t: i for i, t in enumerate(self.a_bytes) if i < 256 + len(merges)}
+            return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_buffer(raw)
+        library.encode_special_tokens = True
+        return lambda text: library.encode(text, add_special_tokens=False).ids
+
     def segments(self, text: str) -> list[str]:
         """Each without the blank that it begins with."""
         if self.whole:
@@ -86,49 +112,41 @@ class Pair:
             return text.split(" ")
         return [s[1:] for s in self._cut(f" {text}")]
 
-    def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Both tokenizers' ids of each segment with its blank."""
-        left = self.a.encode_batch([f" {s}" for s in segments], add_special_tokens=False)
-        right = self.b.encode(segments, num_threads=1)
-        return [(x.ids, y or [self.blank]) for x, y in zip(left, right)]
-
-    def same(self, segment: str, a: list[int], b: list[int]) -> bool:
-        """Whether both give the segment back."""
-        raw = f" {segment}".encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-
-    def align(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The groups: slices of both lists between offsets at which both have an end."""
-        ends = []
-        for ids, size in ((a, self.a_bytes), (b, self.b_bytes)):
-            at, index = 0, {}
-            for k, i in enumerate(ids):
-                at += len(size[i])
-                index[at] = k + 1
-            ends.append(index)
-        groups, i, j = [], 0, 0
-        for end in sorted(ends[0].keys() & ends[1].keys()):
-            groups.append((a[i : ends[0][end]], b[j : ends[1][end]]))
-            i, j = ends[0][end], ends[1][end]
-        return groups
-
-
-def links(groups: list[tuple[list[int], list[int]]]) -> Counter:
-    """How often each id pair is linked. A group's equal ids are counted before they are paired, so a long group costs its distinct ids."""
-    out: Counter = Counter()
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            out[a[0] << 32 | b[0]] += 1
-            continue
-        right = Counter(b).items()
-        for x, n in Counter(a).items():
-            for y, m in right:
-                out[x << 32 | y] += n * m
-    return out
-
-
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+        left = [self.a_ids(f" {s}") for s in segments]
+        return left, [y or [self.blank] for y in self.b.encode(segments, num_threads=1)]
+
+    def same(self, segments: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether both give each segment back."""
+        joined = lambda table, ids: b"".join(map(table.__getitem__, chain.from_iterable(ids)))
+        if joined(self.a_bytes, a) == joined(self.b_bytes, b) == "".join(f" {s}" for s in segments).encode():
+            return [True] * len(segments)
+        return [joined(self.a_bytes, [x]) == joined(self.b_bytes, [y]) == f" {s}".encode() for s, x, y in zip(segments, a, b)]
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of two id lists: where each begins, and the end, in either list. Of one text or of many, one after the other:
+        texts end in common ends."""
+        index = []
+        for ids, size in zip((a, b), self.sizes):
+            index.append(dict(zip(np.cumsum(size[ids]).tolist(), range(1, len(ids) + 1))))
+        common = sorted(index[0].keys() & index[1].keys())
+        return tuple(np.concatenate(([0], np.fromiter(map(i.__getitem__, common), "i8", len(common)))) for i in index)
+
+
+def links(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, id pair and times of the links of each slice. A long slice's equal ids are counted before they are paired, so it costs
+    its distinct ids."""
+    n_a, n_b = np.diff(at_a), np.diff(at_b)
+    n = n_a * n_b
+    short = n <= LONG
+    group = np.repeat(np.flatnonzero(short), n[short])
+    step = np.arange(len(group)) - np.repeat(np.cumsum(n[short]) - n[short], n[short])
+    parts = [(group, a[at_a[group] + step // np.maximum(n_b[group], 1)] << ID_BITS | b[at_b[group] + step % np.maximum(n_b[group], 1)], np.ones(len(group), "i8"))]
+    for g in np.flatnonzero(~short):
+        (x, n_x), (y, n_y) = (np.unique(ids[at[g] : at[g + 1]], return_counts=True) for ids, at in ((a, at_a), (b, at_b)))
+        parts.append((np.full(len(x) * len(y), g), (x[:, None] << ID_BITS | y[None, :]).ravel(), (n_x[:, None] * n_y[None, :]).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 @lru_cache(maxsize=2)
@@ -136,17 +154,22 @@ def pair(a: bytes, b: bytes) -> Pair:
     return Pair(a, b)
 
 
+def _lists(flat: array, ends: array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These lists, one after the other, of lists that lie in ``flat``; and how long each is."""
+    ends = np.frombuffer(ends, "i8")
+    size = ends[of + 1] - ends[of]
+    at = np.repeat(ends[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return (np.frombuffer(flat, "i4")[at].astype("i8") if len(at) else np.zeros(0, "i8")), size
+
+
 class _Block:
     """What a task knows of the segments and documents of one block."""
 
     def __init__(self, tokenizers: Pair):
         self.t = tokenizers
         self.place: dict[str, int] = {}
-        self.texts: list[str] = []
-        # By segment: tokens of both, groups, links, whether it comes back; and its pairs with their numbers, list after list.
-        self.facts = [array("q") for _ in range(5)]
-        self.pair_ends, self.pairs, self.times = array("q", [0]), array("q"), array("q")
-        self.pair_place: dict[int, int] = {}
+        self.good = array("b")
+        self.flat, self.ends = [array("i"), array("i")], [array("q", [0]), array("q", [0])]
         self.ids: list = []
         self.figures: list[np.ndarray] = []
         self.shas: list[str] = []
@@ -156,15 +179,11 @@ class _Block:
         self.held = 0
 
     def _learn(self, fresh: list[str]) -> None:
-        for s, (a, b) in zip(fresh, self.t.encode(fresh)):
-            groups = self.t.align(a, b) if self.t.same(s, a, b) else []
-            for column, x in zip(self.facts, (len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), bool(groups))):
-                column.append(x)
-            self.texts.append(shown(groups))
-            for p, n in links(groups).items():
-                self.pairs.append(self.pair_place.setdefault(p, len(self.pair_place)))
-                self.times.append(n)
-            self.pair_ends.append(len(self.pairs))
+        both = self.t.encode(fresh)
+        self.good.extend(self.t.same(fresh, *both))
+        for flat, ends, lists in zip(self.flat, self.ends, both):
+            flat.extend(chain.from_iterable(lists))
+            ends.extend((np.cumsum(np.fromiter(map(len, lists), "i8", len(lists))) + ends[-1]).tolist())
 
     def add(self, ids: list, texts: list[str | None]) -> None:
         cut = [self.t.segments(t) if t else [] for t in texts]
@@ -173,55 +192,52 @@ class _Block:
             self.place[s] = len(self.place)
         self._learn(fresh)
         n = np.fromiter(map(len, cut), "i8", len(cut))
-        x = np.fromiter((self.place[s] for found in cut for s in found), "i8", int(n.sum()))
-        facts = [np.frombuffer(f, "i8") if len(f) else np.zeros(0, "i8") for f in self.facts]
+        x = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), "i8", int(n.sum()))
         # Documents that either tokenizer doesn't give back lose their segments.
         doc = np.repeat(np.arange(len(cut)), n)
         bad = np.zeros(len(cut), bool)
-        bad[doc[facts[4][x] == 0]] = True
+        bad[doc[np.frombuffer(self.good, "i1")[x] == 0] if len(x) else []] = True
         x, doc = x[~bad[doc]], doc[~bad[doc]]
-        figures = np.stack([np.bincount(doc, f[x], len(cut)).astype("i8") for f in facts[:4]], 1)
-        held = np.bincount(doc, minlength=len(cut))
-        ends = np.concatenate(([0], np.cumsum(held)))
-        for k in range(len(cut)):
-            mine = x[ends[k] : ends[k + 1]].tolist()
-            self.shas.append(hashlib.sha256(";".join([self.texts[i] for i in mine]).encode()).hexdigest() if mine else "")
-        # Segments of a document once, with their number; then their pairs once.
-        key, times = np.unique(doc * max(len(self.place), 1) + x, return_counts=True)
-        doc, x = np.divmod(key, max(len(self.place), 1))
-        starts = np.frombuffer(self.pair_ends, "i8")
-        size = starts[x + 1] - starts[x]
-        at = np.repeat(starts[x] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
-        flat = np.frombuffer(self.pairs, "i8")[at] if len(at) else np.zeros(0, "i8")
-        weight = (np.frombuffer(self.times, "i8")[at] if len(at) else np.zeros(0, "i8")) * np.repeat(times, size)
-        width = max(len(self.pair_place), 1)
-        key, where = np.unique(np.repeat(doc, size) * width + flat, return_inverse=True)
-        total = np.zeros(len(key), "i8")
-        np.add.at(total, where, weight)
+        (a, size_a), (b, size_b) = (_lists(f, e, x) for f, e in zip(self.flat, self.ends))
+        doc_a, doc_b = np.repeat(doc, size_a), np.repeat(doc, size_b)
+        at_a, at_b = self.t.align(a, b)
+        group, key, times = links(a, b, at_a, at_b)
+        doc_of = doc_a[at_a[:-1]]
+        counted = lambda of, w=None: np.bincount(of, w, len(cut)).astype("i8")
+        self.figures.append(np.stack([counted(doc_a), counted(doc_b), counted(doc_of), counted(doc_of, np.diff(at_a) * np.diff(at_b))], 1))
+        self.shas += self._digests(a, b, at_a, at_b, counted(doc_a) + counted(doc_b))
+        key, where = np.unique(doc_of[group] << 2 * ID_BITS | key, return_inverse=True)
+        total = np.bincount(where, times, len(key)).astype("i8")
         if len(total) and total.max() >= 1 << 32:
             raise OverflowError("a text links one id pair over four billion times")
         self.ids += ids
-        self.figures.append(figures)
-        self.sizes.append(np.bincount(key // width, minlength=len(cut)))
-        self.of_docs.append((key % width).astype("u4"))
+        self.sizes.append(counted(key >> 2 * ID_BITS))
+        self.of_docs.append(key & (1 << 2 * ID_BITS) - 1)
         self.of_times.append(total.astype("u4"))
         self.held += len(key)
 
+    def _digests(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Of each document's groups as text: the signs of a group's first ids, then of its second, group after group."""
+        n_a, n_b = len(self.t.a_bytes), len(self.t.b_bytes)
+        sign_a, sign_b = a.copy(), b + 2 * n_a
+        sign_a[at_a[1:] - 1] += n_a
+        sign_b[at_b[1:] - 1] += n_b
+        out = np.empty(len(a) + len(b), "i8")
+        out[np.arange(len(a)) + np.repeat(at_b[:-1], np.diff(at_a))] = sign_a
+        out[np.arange(len(b)) + np.repeat(at_a[1:], np.diff(at_b))] = sign_b
+        return [hashlib.sha256(memoryview(t.as_buffer())[:-1]).hexdigest() if n else "" for t, n in zip(gathered(self.t.signs, out, sizes), sizes.tolist())]
+
     def full(self) -> bool:
         return len(self.place) > SEGMENTS_HELD or self.held > LINKS_HELD
 
     def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
-        figures, of_docs = np.concatenate(self.figures), np.concatenate(self.of_docs)
-        keys = np.fromiter(self.pair_place, "i8", len(self.pair_place))
-        n_docs = np.bincount(of_docs, minlength=len(keys))
-        used = np.flatnonzero(n_docs)  # pairs of texts that lost their segments may be in none
-        again = np.zeros(len(keys), "u4")
-        again[used] = np.arange(len(used), dtype="u4")
+        figures = np.concatenate(self.figures)
+        keys, at, n_docs = np.unique(np.concatenate(self.of_docs), return_inverse=True, return_counts=True)
         one = lambda x: pa.array([x], pa.binary())
         return pa.record_batch({
             "block": pa.array([number], pa.int64()), "docs": pa.array([self.ids], pa.list_(kind)), "figures": pa.array([figures.ravel().tolist()], pa.list_(pa.int64())),
-            "shas": pa.array([self.shas], pa.list_(pa.string())), "sizes": one(packed(np.concatenate(self.sizes))), "at": one(packed(again[of_docs])),
-            "times": one(packed(np.concatenate(self.of_times))), "a": one(packed(keys[used] >> 32)), "b": one(packed(keys[used] & 0xFFFFFFFF)), "n_docs": one(packed(n_docs[used])),
+            "shas": pa.array([self.shas], pa.list_(pa.string())), "sizes": one(packed(np.concatenate(self.sizes))), "at": one(packed(at)), "times": one(packed(np.concatenate(self.of_times))),
+            "a": one(packed(keys >> ID_BITS)), "b": one(packed(keys & (1 << ID_BITS) - 1)), "n_docs": one(packed(n_docs)),
         })
 
 

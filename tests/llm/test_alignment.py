@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,12 +13,13 @@ from tokenizers import Tokenizer
 
 from tallyspark.llm import alignment as L
 from tallyspark.llm.queries import QUERIES
+from tallyspark.llm.word_bpe import byte_letters
 
 SF = "/root/testdata/sf0.001"
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 A.encode_special_tokens = True
 B = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-LETTER = {c: k for k, c in enumerate(L.byte_letters())}
+LETTER = {c: k for k, c in enumerate(byte_letters())}
 PARTS = ["a", "the", "é", " ", "  ", "\n", "\n ", " \n", "\t", "\x1c ", "　", "　 ", "▁", "1234", "½", "一二", "\U0001f600", "<s>", "<0x41>", "<|endoftext|>", "'s", "!!", "\0", "ing", "\r\n"]
 
 
@@ -66,16 +68,28 @@ def expected(rows):
 @given(st.one_of(st.text(max_size=30), st.lists(st.sampled_from(PARTS), max_size=12).map("".join)))
 def test_groups_of_any_text(text):
     t = L.pair(*L.read_files())
+    assert not t.whole
     cut = t.segments(text) if text else []
-    each = t.encode(cut)
-    got = [g for ids in each for g in t.align(*ids)] if all(t.same(s, *ids) for s, ids in zip(cut, each)) else []
+    a, b = t.encode(cut)
+    a_, b_ = (np.array([i for x in each for i in x], "i8") for each in (a, b))
+    got = []
+    if all(t.same(cut, a, b)):
+        at_a, at_b = t.align(a_, b_)
+        got = [(a_[i:j].tolist(), b_[k:m].tolist()) for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
     assert got == groups_of(text)
 
 
-def test_links_of_long_groups():
+@pytest.mark.parametrize("long", [10_000, 1])
+def test_links_of_long_groups(monkeypatch, long):
+    monkeypatch.setattr(L, "LONG", long)
     groups = [([1, 1, 2], [7, 7]), ([1], [7]), ([3], [8, 9])]
-    plain = Counter(x << 32 | y for a, b in groups for x in a for y in b)
-    assert L.links(groups) == plain and sum(plain.values()) == 9
+    plain = Counter((k, x << L.ID_BITS | y) for k, (a, b) in enumerate(groups) for x in a for y in b)
+    flat = [np.array([i for g in groups for i in g[k]]) for k in (0, 1)]
+    ends = [np.cumsum([0, *(len(g[k]) for g in groups)]) for k in (0, 1)]
+    got = Counter()
+    for g, p, n in zip(*L.links(*flat, *ends)):
+        got[g, p] += n
+    assert got == plain
 
 
 @pytest.mark.parametrize("held", [(250_000, 6_000_000), (1, 1)])
