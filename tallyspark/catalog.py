@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import display_model, dollars, local_day, short_label, unix
+from tallyspark.functions.rate_table import RATES
 from tallyspark.operators import calls as C
 from tallyspark.operators import catalogue as K
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import rollup as R
+from tallyspark.operators import refresh as I
 from tallyspark.operators import search as S
-from tallyspark.plans.adapters import CALLS_SQL, SAID_SQL, calls_of, claude_log_of, codex_log_of, headers_of, messages_of, priced_of, rates_of, said_of, usage_rows
+from tallyspark.plans.adapters import CALLS_SQL, SAID_SQL, calls_of, claude_log_of, codex_log_of, codex_rollout_of, headers_of, messages_of, priced_of, rates_of, said_of, usage_rows
 from tallyspark.sources.logs import decode_claude, decode_codex
-from tallyspark.sources.messages import claude_headers, claude_messages
+from tallyspark.sources.messages import claude_headers, claude_messages, codex_headers, codex_messages
 from tallyspark.sources.rates import builtin_rates
 
 QUERIES: dict = {}
@@ -266,9 +268,9 @@ def hist_projects(spark, d):
     return D.top_projects(priced_of(spark, d))
 
 
-@query("model_choices", _with("SELECT DISTINCT session_model FROM priced WHERE session_model IS NOT NULL"))
+@query("model_choices", f"WITH {CALLS_SQL} SELECT DISTINCT session_model AS model FROM headed WHERE session_model IS NOT NULL ORDER BY 1")
 def model_choices(spark, d):
-    return D.model_choices(calls_of(spark, d))
+    return D.model_choices(headers_of(spark, d))
 
 
 query("hist_days", _with(f"SELECT CAST(day AS VARCHAR) AS day, {ALL} AS tokens FROM priced GROUP BY 1 ORDER BY 1 DESC LIMIT 120"))(lambda spark, d: D.last_days(priced_of(spark, d)))
@@ -379,15 +381,21 @@ query("catalogue_page", f"{_L} SELECT provider, session, project, tokens, n / 1e
 query("catalogue_latest", f"{_L} SELECT provider, session, floor(epoch(started))::BIGINT AS started FROM listed")(
     lambda spark, d: K.latest_first(listed(spark, d)).select("provider", "session", unix(F.col("started_at")).alias("started"))
 )
-query("relative_days", f"{_L} SELECT provider, session FROM listed WHERE CAST(started AS DATE) BETWEEN DATE '2024-01-09' AND DATE '2024-01-15'")(
+query("relative_days", f"{_L} SELECT provider, session FROM listed WHERE CAST(started AS DATE) BETWEEN DATE '2024-01-15' - 7 AND DATE '2024-01-15'")(
     lambda spark, d: R.relative_days(listed(spark, d), "2024-01-15", 7, "started_at").select("provider", "session")
 )
 query("dash_scope", f"{_L} SELECT CAST(day AS VARCHAR) AS day, {ALL} AS tokens FROM priced WHERE project IN (SELECT project FROM listed GROUP BY 1 HAVING sum(tokens) > 200000) GROUP BY 1")(
     lambda spark, d: D.in_scope(priced_of(spark, d), K.projects(listed(spark, d)).where("tokens > 200000")).groupBy(local_day(F.col("ts")).cast("string").alias("day")).agg(F.sum(D.all_tokens()).alias("tokens"))
 )
-query("transcript", f"WITH {CALLS_SQL}, {SAID_SQL} SELECT provider, session, ord, kind, text FROM said WHERE session = '5-2024-01-03'")(
-    lambda spark, d: K.transcript(said_of(spark, d), headers_of(spark, d), "code/p5", "5-2024-01-03").select("provider", "session", "ord", "kind", "text")
-)
+_ONE = "(SELECT min(session) FROM said WHERE provider = 'claude')"
+
+
+@query("transcript", f"WITH {SAID_SQL} SELECT provider, session, ord, kind, text FROM said WHERE provider = 'claude' AND session = {_ONE}")
+def transcript(spark, d):
+    headers = headers_of(spark, d)
+    one = headers.where("provider = 'claude'").orderBy("session").limit(1).first()  # a session that is there
+    return K.transcript(said_of(spark, d), headers, one["project"], one["id"]).where("provider = 'claude'").select("provider", "session", "ord", "kind", "text")
+
 
 query("filter_label", _with(f"SELECT CAST(day AS VARCHAR) AS key, {ROLL} FROM priced WHERE project = 'code/p3' GROUP BY 1"))(
     lambda spark, d: R.in_dollars(R.rollup(R.filtered(priced_of(spark, d), project="code-p3", projects=usage_rows(spark, d)), "day"))
@@ -448,3 +456,108 @@ def log_messages(spark, d):
 def session_headers(spark, d):
     rows = claude_headers(claude_log_of(spark, d))
     return rows.select("session", "id", "project", "name", "model", "turns", "messages", unix(F.col("started_at")).alias("started"), unix(F.col("ended_at")).alias("ended"))
+
+
+# Scans over splits: the same SQL as over whole sessions.
+ORACLES["coalesce_splits"] = ORACLES["coalesce_stream"]
+ORACLES["running_model_splits"] = ORACLES["running_model"]
+ORACLES["codex_dup_guard_splits"] = ORACLES["codex_dup_guard"]
+ORACLES["compact_splits"] = ORACLES["compact_tools"]
+
+
+def _split(of: str = "line_seq"):
+    return F.floor(F.col(of) / 500)
+
+
+@query("coalesce_splits")
+def coalesce_splits(spark, d):
+    return C.coalesce_streamed(usage_rows(spark, d), _split()).select(*_call_columns.split(", "))
+
+
+@query("running_model_splits")
+def running_model_splits(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS session", "event_id AS line_seq", "CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS turn_model")
+    return C.running_model(e, _split()).select("session", "line_seq", "model")
+
+
+@query("codex_dup_guard_splits")
+def codex_dup_guard_splits(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS session", "event_id AS line_seq", "event_type AS model", "CAST(floor(value) AS BIGINT) % 3 AS uncached", "event_id % 2 AS cached", "1L AS output")
+    return C.drop_repeated_usage(e, _split())
+
+
+@query("compact_splits")
+def compact_splits(spark, d):
+    return D.compact(said_of(spark, d), tokens="tokens", split=_split("ord"))
+
+
+@query("codex_usage_events", """WITH e AS (SELECT user_id AS session, event_id AS line_seq, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS turn, event_id % 2 AS uncached FROM events),
+r AS (SELECT *, last_value(turn IGNORE NULLS) OVER (PARTITION BY session ORDER BY line_seq ROWS UNBOUNDED PRECEDING) AS model, last_value(turn IGNORE NULLS) OVER (PARTITION BY session ORDER BY line_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ran FROM e),
+s AS (SELECT *, sum(CASE WHEN turn IS NOT NULL AND turn IS DISTINCT FROM ran THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY line_seq) AS seg FROM r),
+u AS (SELECT *, lag((uncached, seg)) OVER (PARTITION BY session ORDER BY line_seq) AS before FROM s WHERE turn IS NULL)
+SELECT session, line_seq, model, uncached FROM u WHERE before IS DISTINCT FROM (uncached, seg)""")
+def codex_usage_events(spark, d):
+    turn = "CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END"
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS session", "event_id AS line_seq", f"{turn} AS turn_model", f"{turn} IS NULL AS is_usage", "event_id % 2 AS uncached", "0L AS cached", "0L AS output")
+    return C.usage_events(e, _split()).select("session", "line_seq", "model", "uncached")
+
+
+_KEPT = "(SELECT * FROM events WHERE user_id % 10 <> 4)"
+
+
+@query("incremental_billed", f"WITH {CALLS_SQL.replace('FROM events', f'FROM {_KEPT}')} SELECT {_call_columns} FROM calls")
+def incremental_billed(spark, d):
+    """Logs of users that end in 3 grew by a fifth, those of users that end in 4 went: what was decided before, and the change."""
+    user = F.split("session", "-")[0].cast("int") % 10
+    before, after = (C.coalesce_streamed(usage_rows(spark, d, where)) for where in ("user_id % 10 <> 3 OR event_id % 5 <> 0", "user_id % 10 <> 4"))
+    old, new = before.where(user.isin(3, 4)), after.where(user == 3)
+    ids = old.select("provider", "msg_id").unionByName(new.select("provider", "msg_id")).where("msg_id is not null").distinct()
+    held = before.join(ids, ["provider", "msg_id"], "left_semi").select(before.columns)
+    change = I.decided(old, new, held, held.where(~user.isin(3, 4)))
+    weighed = C.billed(before).withColumn("weight", F.lit(1).cast("long")).unionByName(change)
+    return weighed.groupBy(*before.columns).agg(F.sum("weight").alias("w")).where("w > 0").select(*_call_columns.split(", "))
+
+
+_KEY = "CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_brand, '#', '_') ELSE concat(upper(replace(p_name, ' ', '-')), '.', replace(p_brand, '#', '_')) END"
+_NAMED = "SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'claude' ELSE 'codex' END AS provider, concat(p_type, '/', replace(p_name, ' ', '-'), '.', replace(p_brand, '#', '_')) AS model FROM part"
+
+
+@query("rate_feed", f"""WITH models AS ({_NAMED}), feed AS (SELECT k, CAST(min(p_size) AS DOUBLE) AS r FROM (SELECT p_size, {_KEY} AS k FROM part WHERE p_partkey % 40 = 0) GROUP BY k),
+hits AS (SELECT provider, m.model, r FROM models m JOIN feed ON regexp_matches(lower(m.model), '(^|[-/._:])' || regexp_escape(lower(k)) || '($|[-/._:])') QUALIFY row_number() OVER (PARTITION BY provider, m.model ORDER BY length(k) DESC, k) = 1)
+SELECT provider, m.model, CASE WHEN r IS NULL THEN 'unknown' ELSE 'exact' END AS resolution, coalesce(r, 0) AS rate_input FROM models m LEFT JOIN hits h USING (provider, model)""")
+def rate_feed(spark, d):
+    """Models named after parts, priced by a feed of some of their names' segments."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    part.createOrReplaceTempView("__tally_part")
+    feed = spark.sql(f"SELECT {_KEY} AS model, CAST(min(p_size) AS DECIMAL(18,8)) AS r FROM __tally_part WHERE p_partkey % 40 = 0 GROUP BY 1")
+    feed = feed.select("model", *(F.col("r").alias(x) for x in RATES))
+    models = spark.sql(_NAMED.replace("FROM part", "FROM __tally_part"))
+    return C.resolve_rates(models, builtin_rates(spark), feed).select("provider", "model", "resolution", F.col("rate_input").cast("double").alias("rate_input"))
+
+
+_ROLLOUT = """e AS (SELECT user_id, event_id, ts, event_type, props, last_value(CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'gpt-5' ELSE 'o9' END END IGNORE NULLS) OVER
+    (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events WHERE user_id % 4 = 0),
+  x AS (SELECT *, event_type = 'error' AS is_count, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, lead(event_id) OVER w AS nxt FROM e WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  m AS (SELECT *, CASE WHEN is_count THEN event_id WHEN after = 'error' THEN nxt END AS c FROM x WHERE NOT is_count OR before IS NULL OR before = 'error'),
+  said AS (SELECT concat('file:///logs/2024/01/01/rollout-', user_id, '.jsonl') AS session, user_id, event_id, ts, model,
+    CASE event_type WHEN 'purchase' THEN 'User' WHEN 'view' THEN 'Thinking' WHEN 'click' THEN 'ToolUse' ELSE 'Assistant' END AS kind,
+    CASE event_type WHEN 'purchase' THEN props || chr(10) || 'more' WHEN 'error' THEN '' ELSE props END AS text, CASE event_type WHEN 'click' THEN 'run' END AS tool_name,
+    greatest(c % 50 - c % 20, 0) AS input, c % 7 AS output, c % 20 AS cache_read FROM m)"""
+
+
+@query("codex_messages", f"WITH {_ROLLOUT} SELECT session, event_id, model, kind, text, tool_name, input, output, cache_read FROM said")
+def codex_said(spark, d):
+    rows = codex_messages(codex_rollout_of(spark, d))
+    return rows.select("session", F.col("ord.line_seq").alias("event_id"), "model", "kind", "text", "tool_name", "input", "output", "cache_read")
+
+
+@query("codex_headers", f"""WITH {_ROLLOUT} SELECT session, concat('id-', min(user_id)) AS id, concat('code/p', min(user_id) % 7) AS project, first(text ORDER BY event_id) FILTER (kind = 'User') AS first_user,
+  first(model ORDER BY event_id) FILTER (model IS NOT NULL) AS model, count(*) FILTER (kind = 'User') AS turns, count(*) AS messages, epoch(TIMESTAMP '2023-12-31 23:00:00')::BIGINT AS started,
+  floor(epoch(last(ts ORDER BY event_id)))::BIGINT AS ended FROM said GROUP BY session""")
+def codex_heads(spark, d):
+    rows = codex_headers(codex_rollout_of(spark, d)).where("messages > 0")
+    return rows.select("session", "id", "project", "first_user", "model", "turns", "messages", unix(F.col("started_at")).alias("started"), unix(F.col("ended_at")).alias("ended"))
+
+
+query("manifest", f"""{_L} SELECT p.provider, label, coalesce(sessions, 0) AS sessions, coalesce(cost, 0) AS cost FROM (VALUES ('claude', 'Claude Code'), ('codex', 'Codex')) p(provider, label)
+  LEFT JOIN (SELECT provider, count(*) AS sessions, CAST(sum(n) AS BIGINT) / 1e9 AS cost FROM listed GROUP BY 1) s USING (provider)""")(lambda spark, d: K.manifest(listed(spark, d), ["cc", "cdx"]))

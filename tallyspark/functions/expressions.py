@@ -57,8 +57,8 @@ def display_name(summary: Column, first_user: Column, session_id: Column) -> Col
 
 
 def pretty_path(cwd: Column) -> Column:
-    """A working directory without the home folder."""
-    return F.regexp_replace(cwd, "^/(?:Users|home)/[^/]+/?", "")
+    """A working directory without the home folder, if something lies below that; else as it is."""
+    return F.regexp_replace(cwd, "^/*(?:Users|home)/[^/]*/", "")
 
 
 def short_label(project: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import dollars, duration_ms, local_day
+from tallyspark.functions.registry import known, named
 from tallyspark.operators.dashboard import hourly, summed, tool_counts
 from tallyspark.operators.rollup import COSTS, TOKENS
 
@@ -94,6 +95,14 @@ def providers(rows: DataFrame) -> DataFrame:
     return rows.groupBy("provider").agg(F.count(F.lit(1)).alias("sessions"), _cost())
 
 
+def manifest(rows: DataFrame, chosen: list[str] | None = None) -> DataFrame:
+    """``provider, label, sessions, cost``: the providers that have sessions; with ``chosen``, those, without sessions too."""
+    found = providers(rows)
+    labels = rows.sparkSession.createDataFrame([(p.id, p.label) for p in (map(named, chosen) if chosen else known())], "provider string, label string")
+    joined = F.broadcast(labels).join(found, "provider", "left") if chosen else found.join(F.broadcast(labels), "provider", "left")  # a row a provider
+    return joined.select("provider", F.coalesce("label", "provider").alias("label"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
 def write_catalogue(rows: DataFrame, messages: DataFrame, path: str, calls: DataFrame | None = None) -> None:
     """Sessions as rows in folders by project, the latest first in each file, with their tool counts and, given ``calls``, their
     hours. A project's sessions may go to several files, so that a great project isn't one task's."""
@@ -106,11 +115,26 @@ def write_catalogue(rows: DataFrame, messages: DataFrame, path: str, calls: Data
     in_order.write.mode("overwrite").partitionBy("project").json(path)
 
 
+#: Files that a project's transcripts are dealt out to, by a hash of the session's id.
+TRANSCRIPT_BUCKETS = 64
+
+
 def write_transcripts(messages: DataFrame, headers: DataFrame, path: str) -> None:
-    """Messages by provider and project, those of one session in order within one file."""
+    """Messages in folders by provider and project and by a hash of the session's id, those of one session in order within one file."""
     named = messages.join(headers.select("provider", "session", "project", "id"), ["provider", "session"])
-    in_order = named.repartition("provider", "project", "session").sortWithinPartitions("provider", "project", "session", "ord", "part")
-    in_order.write.mode("overwrite").partitionBy("provider", "project").json(path)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(TRANSCRIPT_BUCKETS)).cast("int")
+    by = ["provider", "project", "bucket"]
+    in_order = named.withColumn("bucket", bucket).repartition(*by).sortWithinPartitions(*by, "id", "session", "ord", "part")
+    in_order.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def read_transcript(spark: SparkSession, path: str, project: str, session_id: str, provider: str | None = None) -> DataFrame:
+    """One session's messages from what ``write_transcripts`` wrote, in their order: only the folder is read that the id's hash
+    tells, and of its file the parts that hold the id."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(session_id)), F.lit(TRANSCRIPT_BUCKETS)).cast("int")).first()[0]
+    rows = spark.read.parquet(path).where((F.col("project") == project) & (F.col("bucket") == bucket) & (F.col("id") == session_id))
+    rows = rows if provider is None else rows.where(F.col("provider") == named(provider).id)
+    return rows.drop("bucket").orderBy("session", "ord", "part")
 
 
 def save_rollup(rows: DataFrame, path: str, *by: str) -> None:

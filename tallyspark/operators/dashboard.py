@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import dollars, local_day, unix
+from tallyspark.operators.segments import runs
 
 
 def all_tokens():
@@ -72,18 +73,15 @@ def calendar(calls: DataFrame, last_day: str) -> DataFrame:
     return joined.select(F.col("day").cast("string").alias("day"), level.alias("level"))
 
 
-def compact(messages: DataFrame, session: str = "session", order: tuple[str, ...] = ("ord",), kind: str = "kind", tool: str | None = "tool_name", text: str = "text", tokens: str | None = None) -> DataFrame:
-    """Adjacent messages of one kind, and of one tool, as one group: how many, their characters and tokens. A window over a
-    session, which is one log file."""
-    w = Window.partitionBy(session).orderBy(*order)
-    same = F.struct(*(c for c in (kind, tool) if c))
-    new = F.when(F.row_number().over(w) == 1, 1).otherwise((~same.eqNullSafe(F.lag(same).over(w))).cast("int"))
-    groups = messages.withColumn("__new", new).withColumn("__g", F.sum("__new").over(w))
-    sums = [F.sum(tokens).alias("tokens")] if tokens else []
-    return groups.groupBy(session, "__g").agg(
-        *(F.min_by(c, F.struct(*order)).alias(f"first_{c}") for c in order), F.first(kind).alias(kind), *([F.first(tool).alias(tool)] if tool else []),
-        F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"), *sums,
-    ).drop("__g")
+def compact(
+    messages: DataFrame, session: str = "session", order: tuple[str, ...] = ("ord",), kind: str = "kind", tool: str | None = "tool_name", text: str = "text", tokens: str | None = None, split: Column | None = None
+) -> DataFrame:
+    """Adjacent messages of one kind, and of one tool, as one group: how many, their characters and tokens. ``split`` is the part
+    of its session that a message is in, for sessions that a task shouldn't hold."""
+    same = [c for c in (kind, tool) if c]
+    parts = {"n": F.count(F.lit(1)), "chars": F.sum(F.length(text))} | ({"tokens": F.sum(tokens)} if tokens else {})
+    found = runs(messages, [session], F.lit(0) if split is None else split, order, same, parts, {c: F.sum(c) for c in parts}, order)
+    return found.select(session, *(F.col(c).alias(f"first_{c}") for c in order), *same, *parts)
 
 
 def by_message(messages: DataFrame, column: str = "ts", descending: bool = False) -> DataFrame:
@@ -134,8 +132,9 @@ def top_projects(calls: DataFrame, n: int = 16) -> DataFrame:
     return calls.groupBy("project").agg(F.sum(all_tokens()).alias("tokens")).orderBy(F.desc("tokens"), "project").limit(n)
 
 
-def model_choices(calls: DataFrame) -> DataFrame:
-    return calls.select("session_model").where("session_model is not null").distinct()
+def model_choices(sessions: DataFrame) -> DataFrame:
+    """The models of the sessions shown, by name."""
+    return sessions.select("model").where("model is not null").distinct().orderBy("model")
 
 
 def tool_counts(messages: DataFrame) -> DataFrame:
@@ -164,13 +163,14 @@ def days_of_sessions(hours: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def last_days(calls: DataFrame, n: int = 120) -> DataFrame:
-    """The bars of the latest days with calls, as many as the chart has."""
-    return calls.groupBy(local_day(F.col("ts")).alias("day")).agg(F.sum(all_tokens()).alias("tokens")).orderBy(F.desc("day")).limit(n).select(F.col("day").cast("string").alias("day"), "tokens")
+    """The bars of the latest days with calls, as many as the chart has, in their order."""
+    days = calls.groupBy(local_day(F.col("ts")).alias("day")).agg(F.sum(all_tokens()).alias("tokens"))
+    return days.orderBy(F.desc("day")).limit(n).orderBy("day").select(F.col("day").cast("string").alias("day"), "tokens")
 
 
 def hours_from_six(hours: DataFrame, sessions: DataFrame) -> DataFrame:
     """Hours with their place on a chart that begins at 06."""
-    return by_hour(hours, sessions).select("hour", F.pmod(F.col("hour") - 6, F.lit(24)).cast("int").alias("place"), "tokens")
+    return by_hour(hours, sessions).select("hour", F.pmod(F.col("hour") - 6, F.lit(24)).cast("int").alias("place"), "tokens").orderBy("place")
 
 
 def averages(sessions: DataFrame, *by: str) -> DataFrame:

@@ -43,9 +43,14 @@ def filtered(calls: DataFrame, since: str | None = None, until: str | None = Non
 
 
 def relative_days(rows: DataFrame, today: str, days: int | None = None, ts: str = "ts") -> DataFrame:
-    """Rows of the last ``days`` UTC days, today included; all without a number, that one day with 1."""
+    """Rows from ``days`` UTC days before today up to today, both included; all without a number, today's with 0."""
     day = local_day(F.col(ts))
-    return rows if days is None else rows.where(day.between(F.date_sub(F.to_date(F.lit(today)), days - 1), F.to_date(F.lit(today))))
+    return rows if days is None else rows.where(day.between(F.date_sub(F.to_date(F.lit(today)), days), F.to_date(F.lit(today))))
+
+
+def single_day(rows: DataFrame, day: str, ts: str = "ts") -> DataFrame:
+    """Rows of one UTC day."""
+    return rows.where(local_day(F.col(ts)) == F.to_date(F.lit(day)))
 
 
 def blocks_active(rows: DataFrame, now: int) -> DataFrame:
@@ -59,19 +64,27 @@ def blocks_recent(rows: DataFrame, now: int) -> DataFrame:
 
 
 def rollup(calls: DataFrame, bucket: str, by: tuple[str, ...] = (), offset: int = 0) -> DataFrame:
-    """Sums by bucket and, with ``by``, by model or provider. Costs are exact micro-dollars until ``in_dollars``."""
+    """Sums by bucket and, with ``by``, by model or provider; of priced calls, or of priced ``quarter_hours`` where the offset is
+    of whole quarters. Costs are exact micro-dollars until ``in_dollars``."""
+    slots = "calls" in calls.columns
+    if slots and offset % SLOT:
+        raise ValueError("quarters of an hour need an offset of whole quarters")
     return calls.groupBy(bucket_key(bucket, offset).alias("key"), *by).agg(
         *(F.sum(c).alias(c) for c in (*TOKENS, *COSTS)),
-        F.count(F.lit(1)).alias("api_calls"),
-        F.max(unix(F.col("ts"))).alias("last_ts"),
+        (F.sum("calls") if slots else F.count(F.lit(1))).alias("api_calls"),
+        F.max(unix(F.col("last_ts" if slots else "ts"))).alias("last_ts"),
         F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
         F.array_join(F.array_sort(F.collect_set("project")), ",").alias("projects"),
     )
 
 
+#: Seconds of a slot: all usual offsets are multiples of it, and so the blocks' and days' ends.
+SLOT = 900
+
+
 def quarter_hours(calls: DataFrame) -> DataFrame:
     """Unpriced sums by quarter of an hour, from which all rollups follow whose offset is a multiple of it."""
-    slot = F.timestamp_seconds(F.floor(unix(F.col("ts")) / 900) * 900)
+    slot = F.timestamp_seconds(F.floor(unix(F.col("ts")) / SLOT) * SLOT)
     return calls.groupBy("provider", slot.alias("ts"), "project", "model").agg(
         *(F.sum(c).alias(c) for c in TOKENS), F.sum(F.least("cache_write_1h", "cache_write")).alias("cache_write_1h"), F.count(F.lit(1)).alias("calls"), F.max("ts").alias("last_ts")
     )
@@ -79,13 +92,7 @@ def quarter_hours(calls: DataFrame) -> DataFrame:
 
 def from_quarter_hours(slots: DataFrame, rates: DataFrame, bucket: str, by: tuple[str, ...] = (), offset: int = 0) -> DataFrame:
     """``rollup`` over ``quarter_hours``, priced with the rates of today: linear in tokens, so nothing stored goes stale."""
-    if offset % 900 or bucket not in ("day", "week", "month", "session", "block"):
-        raise ValueError("quarters of an hour need an offset of whole quarters")
-    costed = priced(slots, rates)
-    return costed.groupBy(bucket_key(bucket, offset).alias("key"), *by).agg(
-        *(F.sum(c).alias(c) for c in (*TOKENS, *COSTS)), F.sum("calls").alias("api_calls"), F.max(unix(F.col("last_ts"))).alias("last_ts"),
-        F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"), F.array_join(F.array_sort(F.collect_set("project")), ",").alias("projects"),
-    )
+    return rollup(priced(slots, rates), bucket, by, offset)
 
 
 def in_dollars(rows: DataFrame) -> DataFrame:
@@ -102,11 +109,11 @@ def _with_recency(rows: DataFrame, bucket: str) -> DataFrame:
 
 
 def tail(rows: DataFrame, n: int, bucket: str = "day") -> DataFrame:
-    """The n latest buckets with all their rows; sessions by their last call, ties by name. Ranked over the rolled-up rows, as
-    many as a report has, without rolling up twice."""
+    """The n latest buckets with all their rows; sessions by their last call, ties by name. The latest are found as a top n over
+    the buckets, of which each task hands on n at most."""
     at = [F.desc("__at"), F.asc("key")] if bucket == "session" else [F.desc("key")]
-    ranked = _with_recency(rows, bucket).withColumn("__rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(*at)))
-    return ranked.where(F.col("__rank") <= n).select(rows.columns)
+    buckets = rows.groupBy("key").agg(F.max("last_ts").alias("__at"))
+    return rows.join(buckets.orderBy(*at).limit(n).select("key"), "key", "left_semi").select(rows.columns)
 
 
 def ordered(rows: DataFrame, bucket: str = "day", order: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:

@@ -50,16 +50,16 @@ priced AS (SELECT *, (input * r[1])::BIGINT AS n_in, (output * r[2])::BIGINT AS
     floor(epoch(ts))::BIGINT AS unix, CAST(ts AS DATE) AS day FROM rated)"""
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a billable line, without its session's facts."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+def event_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Each event as a billable line, without its session's facts; ``where``: of which events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(where).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     return events.selectExpr(*[x.strip() for x in _split_columns(_USAGE)]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usage_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """Lines with their session's start and first model, by the window whose shuffle and order coalescing uses again."""
     whole = Window.partitionBy("provider", "session").orderBy("line_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return event_rows(spark, sf_dir).withColumns({"session_started": F.min("ts").over(whole), "session_model": F.first("model", ignorenulls=True).over(whole)})
+    return event_rows(spark, sf_dir, where).withColumns({"session_started": F.min("ts").over(whole), "session_model": F.first("model", ignorenulls=True).over(whole)})
 
 
 def _split_columns(text: str) -> list[str]:
@@ -132,6 +132,21 @@ def codex_log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("'file:///logs/' || rel_path AS path", "rel_path", "0L AS block_start", "line_seq", "value")
 
 
+def codex_rollout_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth user's rollouts with a meta line, turns, and what is said, thought and called between counts of tokens."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 4 = 0")
+    line = lambda type_, payload: f"to_json(named_struct('timestamp', stamp, 'type', '{type_}', 'payload', named_struct({payload})))"
+    value = f"""CASE event_type WHEN 'signup' THEN {line("turn_context", "'model', CASE WHEN event_id % 2 = 0 THEN 'gpt-5' ELSE 'o9' END")}
+      WHEN 'purchase' THEN {line("response_item", "'type', 'message', 'role', 'user', 'content', array(named_struct('type', 'input_text', 'text', props), named_struct('type', 'input_text', 'text', 'more'))")}
+      WHEN 'view' THEN {line("response_item", "'type', 'reasoning', 'summary', array(named_struct('text', props))")}
+      WHEN 'click' THEN {line("response_item", "'type', 'function_call', 'name', 'run', 'arguments', props")}
+      ELSE {line("event_msg", "'type', 'token_count', 'info', named_struct('last_token_usage', named_struct('input_tokens', event_id % 50, 'cached_input_tokens', event_id % 20, 'output_tokens', event_id % 7))")} END AS value"""
+    stamped = e.withColumn("stamp", F.expr("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z'")).selectExpr("user_id", value, "event_id AS line_seq")
+    meta = e.select("user_id").distinct().withColumn("stamp", F.lit("2023-12-31T23:00:00Z")).selectExpr("user_id", line("session_meta", "'id', 'id-' || user_id, 'cwd', '/home/me/code/p' || user_id % 7") + " AS value", "-1L AS line_seq")
+    rows = stamped.unionByName(meta).selectExpr("concat('2024/01/01/rollout-', user_id, '.jsonl') AS rel_path", "value", "line_seq")
+    return rows.selectExpr("'file:///logs/' || rel_path AS path", "rel_path", "0L AS block_start", "line_seq", "value")
+
+
 def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages: roles as kinds."""
     kind = F.initcap("role")

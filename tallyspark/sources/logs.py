@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import parse_timestamp, pretty_path
-from tallyspark.operators.calls import codex_usage, drop_repeated_usage, running_model
+from tallyspark.operators.calls import codex_usage, usage_events
 
 MAX_DEPTH = 8
 
@@ -86,6 +87,18 @@ def read_lines(spark: SparkSession, roots: list[str], dated: bool = False, only:
     return out
 
 
+#: Logs up to this size are one task's in scans that depend on the order of lines; larger ones are scanned by splits.
+WHOLE_BYTES = 128 << 20
+
+
+def by_size(lines: DataFrame, made: Callable[[DataFrame, Column | None], DataFrame], order: str = "line_seq") -> DataFrame:
+    """``made`` of the smaller logs in one pass, and of the larger ones by splits. The size is a file's, so each reads its own files."""
+    if "size" not in lines.columns:
+        return made(lines, None)
+    split = F.col(f"{order}.block_start")
+    return made(lines.where(F.col("size") <= WHOLE_BYTES), None).unionByName(made(lines.where(F.col("size") > WHOLE_BYTES), split))
+
+
 def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
@@ -96,59 +109,97 @@ def claude_group(rel_path: Column) -> Column:
 
 
 def claude_project(cwd: Column, rel_path: Column) -> Column:
-    """The working directory without the home folder, else the log's folder with its dashes as slashes."""
-    dashed = F.regexp_replace(claude_group(rel_path), "^-(?:Users|home)-[^-]+-", "")
-    return F.coalesce(pretty_path(cwd), F.regexp_replace(dashed, "-", "/"))
+    """The working directory without the home folder; without one, the log's folder, which has dashes for slashes, likewise.
+    A folder that isn't below a home folder keeps its name."""
+    folder = claude_group(rel_path)
+    parts = F.filter(F.split(folder, "-"), lambda x: x != "")
+    below = (F.size(parts) > 2) & F.get(parts, F.lit(0)).isin("Users", "home")
+    return F.coalesce(F.nullif(pretty_path(cwd), F.lit("")), F.when(below, F.array_join(F.slice(parts, 3, 1 << 20), "/")).otherwise(folder))
 
 
-def group_cwd(logs: DataFrame) -> DataFrame:
-    """``rel_path, cwd``, a row a log: one working directory for all logs of a group, its own where the log lies right in the
-    group's folder first, then the first by path. A group is joined by its key, so none is collected."""
+def group_cwd(logs: DataFrame, started: str = "started") -> DataFrame:
+    """``rel_path, cwd, started``, a row a log: for all logs of a group the working directory of the latest that has one, as the
+    catalogue names projects; ties by path. A group is joined by its key, so none is collected."""
     has = F.col("cwd").isNotNull() & (F.col("cwd") != "")
-    best = logs.groupBy(claude_group(F.col("rel_path")).alias("__group")).agg(F.min_by("cwd", F.when(has, F.struct(F.size(F.split("rel_path", "/")), "rel_path"))).alias("__cwd"))
+    place = F.struct(F.col(started).isNotNull(), F.col(started), "rel_path")
+    best = logs.groupBy(claude_group(F.col("rel_path")).alias("__group")).agg(F.max_by("cwd", F.when(has, place)).alias("__cwd"))
     return logs.withColumn("__group", claude_group(F.col("rel_path"))).join(best, "__group").withColumn("cwd", F.col("__cwd")).drop("__group", "__cwd")
 
 
-def decode_claude(lines: DataFrame) -> DataFrame:
-    """Billable assistant lines: one row a line, with ``project``, session facts and counts. Lines that are no JSON, or lack
-    content, are dropped."""
+def shows_a_part(type_: Column, content: Column, has_usage: Column) -> Column:
+    """Whether a line makes a message: a text, or a block that is kept."""
+    text = lambda v, path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")) != ""
+    inner = lambda b: F.exists(F.try_variant_get(b, "$.content", "array<variant>"), lambda x: (F.try_variant_get(x, "$.type", "string") == "text") & text(x, "$.text"))
+    is_text = lambda b, path: F.schema_of_variant(F.try_variant_get(b, path, "variant")) == "STRING"
+    result = lambda b: F.when(is_text(b, "$.content"), text(b, "$.content")).otherwise(F.coalesce(inner(b), F.lit(False)))
+
+    def kept(b: Column) -> Column:
+        kind = F.try_variant_get(b, "$.type", "string")
+        return F.coalesce(
+            F.when(kind == "text", text(b, "$.text")).when(kind == "thinking", text(b, "$.thinking")).when(kind == "tool_use", F.lit(True)).when(kind == "tool_result", result(b)), F.lit(False)
+        )
+
+    some = F.when(F.schema_of_variant(content) == "STRING", text(content, "$")).otherwise(F.coalesce(F.exists(F.try_variant_get(content, "$", "array<variant>"), kept), F.lit(False)))
+    return type_.isin("user", "assistant") & (some | ((type_ == "assistant") & has_usage))
+
+
+def claude_rows(lines: DataFrame) -> DataFrame:
+    """The fields of each line that reports need, of any type; lines that are no JSON are dropped. Also of a stream."""
     v = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
-    order = F.struct("block_start", "line_seq")
-    rows = v.select(
-        F.lit("claude").alias("provider"), F.col("path").alias("session"), "rel_path", order.alias("ord"), _get("$.type").alias("type"), parse_timestamp(_get("$.timestamp")).alias("ts"),
+    return v.select(
+        F.lit("claude").alias("provider"), F.col("path").alias("session"), "rel_path", F.struct("block_start", "line_seq").alias("ord"), _get("$.type").alias("type"), parse_timestamp(_get("$.timestamp")).alias("ts"),
         _get("$.cwd").alias("cwd"), _get("$.message.id").alias("msg_id"), _get("$.message.model").alias("model"), F.try_variant_get("v", "$.message.content", "variant").alias("content"),
         *(F.coalesce(_get(f"$.message.usage.{f}", "long"), F.lit(0)).alias(n) for f, n in (
             ("input_tokens", "input"), ("output_tokens", "output"), ("cache_read_input_tokens", "cache_read"), ("cache_creation_input_tokens", "cache_write"),
             ("cache_creation.ephemeral_1h_input_tokens", "cache_write_1h"))),
-        F.try_variant_get("v", "$.message.usage", "variant").isNotNull().alias("has_usage"),
-    ).where("content is not null")
+        F.try_variant_get("v", "$.message.usage", "variant").isNotNull().alias("has_usage"), (_get("$.subtype") == "turn_duration").alias("took"),
+    )
+
+
+def decode_claude(lines: DataFrame) -> DataFrame:
+    """Billable assistant lines: one row a line, with ``project``, session facts and counts. Lines that are no JSON, lack content
+    or are of other types are dropped. A log's project is told by that log alone, so it doesn't change with other logs."""
+    rows = claude_rows(lines).where("(type in ('user', 'assistant', 'summary') and content is not null) or (type = 'system' and took)")
+    shown = F.col("took") | shows_a_part(F.col("type"), F.col("content"), F.col("has_usage"))
     heads = rows.groupBy("session", "rel_path").agg(
         F.min_by("model", F.when(F.col("model").isNotNull() & (F.col("type") == "assistant"), F.col("ord"))).alias("session_model"),
-        F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("ord"))).alias("session_started"),
+        F.min_by("ts", F.when(F.col("ts").isNotNull() & shown, F.col("ord"))).alias("session_started"),
         F.min_by("cwd", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != ""), F.col("ord"))).alias("cwd"),
     )
-    heads = group_cwd(heads).select("session", "session_model", "session_started", claude_project(F.col("cwd"), F.col("rel_path")).alias("project"))
-    billable = rows.where("type = 'assistant' and has_usage and ts is not null").drop("cwd", "content", "has_usage", "type")
+    heads = heads.select("session", "session_model", "session_started", claude_project(F.col("cwd"), F.col("rel_path")).alias("project"))
+    billable = rows.where("type = 'assistant' and has_usage and ts is not null").drop("cwd", "content", "has_usage", "type", "took")
     named = billable.join(heads, "session")
     return named.withColumnRenamed("ord", "line_seq").drop("rel_path")
 
 
 def decode_codex(lines: DataFrame) -> DataFrame:
-    """Usage events of rollouts under the running model, without repeats; ids are always null."""
+    """Usage events of rollouts under the running model, without repeats; ids are always null. Where no model runs yet, the
+    session's is the first that a turn names. Id, folder and start of a session come from its meta line; without one it starts
+    with its first count."""
+    return by_size(lines, _decode_codex)
+
+
+def _decode_codex(lines: DataFrame, split: Column | None) -> DataFrame:
     v = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
+    type_ = _get("$.type")
     rows = v.select(
         F.lit("codex").alias("provider"), F.col("path").alias("session"), F.struct("block_start", "line_seq").alias("line_seq"), parse_timestamp(_get("$.timestamp")).alias("ts"),
-        _get("$.type").alias("type"), F.when(_get("$.type") == "turn_context", _get("$.payload.model")).alias("turn_model"), _get("$.payload.cwd").alias("cwd"),
+        type_.alias("type"), F.when(type_ == "turn_context", _get("$.payload.model")).alias("turn_model"), F.when(type_ == "session_meta", _get("$.payload.cwd")).alias("cwd"),
         _get("$.payload.type").alias("kind"), *(_get(f"$.payload.info.last_token_usage.{c}", "long").alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens")),
     ).where("ts is not null")
-    heads = rows.groupBy("session").agg(F.min("ts").alias("session_started"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_seq"))).alias("cwd0"))
     usage = codex_usage(F.col("input_tokens"), F.col("cached_input_tokens"))
-    events = running_model(rows).where("type = 'event_msg' and kind = 'token_count' and (input_tokens is not null or output_tokens is not null)")
-    events = events.withColumns({"uncached": usage["input"], "cached": usage["cache_read"], "output": F.greatest(F.coalesce("output_tokens", F.lit(0)), F.lit(0))})
-    kept = drop_repeated_usage(events).join(heads, "session")
+    counts = {"uncached": usage["input"], "cached": usage["cache_read"], "output": F.greatest(F.coalesce("output_tokens", F.lit(0)), F.lit(0))}
+    is_usage = F.coalesce((F.col("type") == "event_msg") & (F.col("kind") == "token_count") & (F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()), F.lit(False))
+    rows = rows.withColumns({**counts, "is_usage": is_usage}).drop("input_tokens", "cached_input_tokens", "output_tokens")
+    at = lambda c, when: F.min_by(c, F.when(when, F.col("line_seq")))
+    heads = rows.groupBy("session").agg(
+        at("turn_model", F.col("turn_model").isNotNull()).alias("session_model"), F.max_by("cwd", F.when(F.col("type") == "session_meta", F.col("line_seq"))).alias("cwd0"),
+        F.coalesce(at("ts", F.col("type") == "session_meta"), at("ts", F.col("is_usage"))).alias("session_started"),
+    )
+    kept = usage_events(rows, split).join(heads, "session")
     zero = F.lit(0).cast("long")
     return kept.select(
-        "provider", "session", "line_seq", "ts", F.lit(None).cast("string").alias("msg_id"), "model", F.lit(None).cast("string").alias("session_model"), "session_started",
+        "provider", "session", "line_seq", "ts", F.lit(None).cast("string").alias("msg_id"), "model", "session_model", "session_started",
         F.coalesce(pretty_path(F.col("cwd0")), F.lit("unknown")).alias("project"), F.col("uncached").alias("input"), "output", F.col("cached").alias("cache_read"),
         zero.alias("cache_write"), zero.alias("cache_write_1h"),
     )

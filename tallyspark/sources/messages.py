@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import cut_bytes, display_name, parse_timestamp, pretty_path
-from tallyspark.sources.logs import claude_project, group_cwd
+from tallyspark.operators.segments import scanned
+from tallyspark.sources.logs import by_size, claude_project, group_cwd
 
 #: Bytes of a tool's result and of a session's first prompt that are kept.
 RESULT_BYTES, TITLE_BYTES = 500, 200
@@ -89,14 +90,16 @@ def claude_messages(lines: DataFrame) -> DataFrame:
     return _shaped(out.withColumns({"text": text, **{c: F.when(carries, F.col(c)) for c in USAGE}}))
 
 
-def codex_lines(lines: DataFrame) -> DataFrame:
-    """Decoded lines with a time, under the running model."""
+def codex_lines(lines: DataFrame, split: Column | None = None) -> DataFrame:
+    """Decoded lines with a time, under the running model; ``split``: as in ``usage_events``."""
     v = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
     rows = v.select(
         F.lit("codex").alias("provider"), F.col("path").alias("session"), "rel_path", F.struct("block_start", "line_seq").alias("ord"), _of("v", "$.type").alias("type"),
         parse_timestamp(_of("v", "$.timestamp")).alias("ts"), _of("v", "$.payload", "variant").alias("p"),
     ).where("ts is not null and type in ('session_meta', 'turn_context', 'response_item', 'event_msg')")
     turn = F.when(F.col("type") == "turn_context", _of("p", "$.model"))
+    if split is not None:
+        return scanned(rows, ("session",), split, ("ord",), last={"model": turn})
     in_order = Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("model", F.last(turn, ignorenulls=True).over(in_order))
 
@@ -109,6 +112,10 @@ def _joined(path: str) -> Column:
 
 def codex_messages(lines: DataFrame) -> DataFrame:
     """``MESSAGE``. A count of tokens lands on the item before it, if that has none yet, else on an empty message of its own."""
+    return by_size(lines, _codex_messages, "ord")
+
+
+def _codex_messages(lines: DataFrame, split: Column | None) -> DataFrame:
     kind, role, message = _of("p", "$.type"), _of("p", "$.role"), _joined("$.content")
     reason = _joined("$.summary")
     argv = F.array_join(F.transform(_of("p", "$.action.command", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", _of(x, "$"))), " ")
@@ -125,7 +132,7 @@ def codex_messages(lines: DataFrame) -> DataFrame:
         .when(kind.isin(*done), output).otherwise("")
     )
     tool = F.when(kind.isin(*call), F.coalesce(_of("p", "$.name"), F.lit("tool"))).when(kind == "local_shell_call", "shell").when(kind == "web_search_call", "web_search")
-    rows = codex_lines(lines)
+    rows = codex_lines(lines, split)
     item = rows["type"] == "response_item"
     rows = rows.withColumns({"kind": F.when(item, shown), "text": F.when(item, text), "tool_name": F.when(item, tool)})
     last = "$.info.last_token_usage"
@@ -134,13 +141,16 @@ def codex_messages(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_count", F.coalesce(is_count, F.lit(False))).withColumns({a: F.when(F.col("is_count"), F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))) for a, c in counts.items()})
     rows = rows.where(F.col("is_count") | (F.col("kind") == "ToolUse") | (F.col("kind").isNotNull() & (F.col("text") != "")))
     rows = rows.withColumns({"n_in": F.greatest(F.col("all_in") - F.col("cached"), F.lit(0)), "n_out": F.col("made"), "n_read": F.col("cached")})
-    w = Window.partitionBy("session").orderBy("ord")
-    follows, before = F.coalesce(F.lead("is_count").over(w), F.lit(False)), F.coalesce(F.lag("is_count").over(w), F.lit(True))
+    own = F.struct("is_count", "n_in", "n_out", "n_read")
+    if split is not None:
+        rows = scanned(rows, ("session",), split, ("ord",), before={"__before": own}, after={"__after": own})
+    else:
+        w = Window.partitionBy("session").orderBy("ord")
+        rows = rows.withColumns({"__before": F.lag(own).over(w), "__after": F.lead(own).over(w)})
+    follows, before = F.coalesce(F.col("__after.is_count"), F.lit(False)), F.coalesce(F.col("__before.is_count"), F.lit(True))
     # The next row's count for an item; a count's own where no item stands before it.
-    taken = rows.withColumns({
-        "input": F.when(F.col("is_count"), F.col("n_in")).when(follows, F.lead("n_in").over(w)), "output": F.when(F.col("is_count"), F.col("n_out")).when(follows, F.lead("n_out").over(w)),
-        "cache_read": F.when(F.col("is_count"), F.col("n_read")).when(follows, F.lead("n_read").over(w)), "alone": F.col("is_count") & before,
-    }).where("not is_count or alone")
+    taken = {a: F.when(F.col("is_count"), F.col(b)).when(follows, F.col(f"__after.{b}")) for a, b in (("input", "n_in"), ("output", "n_out"), ("cache_read", "n_read"))}
+    taken = rows.withColumns({**taken, "alone": F.col("is_count") & before}).where("not is_count or alone")
     zero = F.when(F.col("input").isNotNull(), F.lit(0).cast("long"))
     return _shaped(taken.withColumns({
         "kind": F.coalesce("kind", F.lit("Assistant")), "text": F.coalesce("text", F.lit("")), "part": F.lit(0), "msg_id": F.lit(None).cast("string"), "cache_write": zero,
@@ -172,7 +182,7 @@ def claude_headers(lines: DataFrame) -> DataFrame:
         F.min_by("cwd", F.when(F.col("cwd") != "", F.col("ord"))).alias("cwd"), F.max_by(_of("content", "$"), F.when(F.col("type") == "summary", F.col("ord"))).alias("summary")
     )
     stem = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.jsonl$", "")
-    rows = group_cwd(facts).join(_from_messages(claude_messages(lines)), ["provider", "session"], "left")
+    rows = group_cwd(facts.join(_from_messages(claude_messages(lines)), ["provider", "session"], "left"), "first_ts")
     return rows.select(
         "provider", "session", stem.alias("id"), claude_project(F.col("cwd"), F.col("rel_path")).alias("project"), "summary", "first_user", display_name(F.col("summary"), F.col("first_user"), stem).alias("name"),
         "model", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("messages", F.lit(0)).alias("messages"), F.col("first_ts").alias("started_at"), "ended_at",
@@ -183,7 +193,7 @@ def codex_headers(lines: DataFrame) -> DataFrame:
     """As ``claude_headers``; the session's meta line gives the id and the start, where it exists."""
     meta = F.col("type") == "session_meta"
     facts = codex_lines(lines).groupBy("provider", "session", "rel_path").agg(
-        *(F.min_by(c, F.when(meta, F.col("ord"))).alias(n) for c, n in ((_of("p", "$.id"), "meta_id"), (_of("p", "$.cwd"), "cwd"), (F.col("ts"), "meta_ts")))
+        *(f(c, F.when(meta, F.col("ord"))).alias(n) for f, c, n in ((F.max_by, _of("p", "$.id"), "meta_id"), (F.max_by, _of("p", "$.cwd"), "cwd"), (F.min_by, F.col("ts"), "meta_ts")))
     )
     id_ = F.coalesce("meta_id", F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.jsonl$", ""))
     rows = facts.join(_from_messages(codex_messages(lines)), ["provider", "session"], "left").withColumns({"id": id_, "summary": F.lit(None).cast("string")})

@@ -1,4 +1,4 @@
-"""What a provider of logs has to offer, and the two that are known, by id or alias."""
+"""What a provider of logs has to offer, and the library's own two. ``registry.register`` makes others known."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import display_model, pretty_path, strip_date_suffix
 from tallyspark.functions.rate_table import FAMILIES
+from tallyspark.functions.registry import named, register
 from tallyspark.operators.calls import SYNTHETIC, coalesce_streamed
 from tallyspark.sources.logs import claude_group, decode_claude, decode_codex, read_lines
 from tallyspark.sources.messages import claude_headers, claude_messages, codex_headers, codex_messages
@@ -19,6 +20,7 @@ class Provider(Protocol):
     """All by columns and DataFrames; no function sees a row."""
 
     id: str
+    label: str
     aliases: tuple[str, ...]
 
     def read(self, spark: SparkSession, roots: list[str]) -> DataFrame: ...
@@ -37,19 +39,22 @@ class Provider(Protocol):
 
     def rate_candidates(self, model: Column) -> Column: ...
 
+    def builtin_candidates(self, model: Column) -> Column: ...
+
     def family_rates(self) -> list[tuple]: ...
 
 
 @dataclass(frozen=True)
 class Claude:
     id: str = "claude"
+    label: str = "Claude Code"
     aliases: tuple[str, ...] = field(default=("claude-code", "cc"))
 
     def read(self, spark, roots):
         return read_lines(spark, roots)
 
     def calls(self, lines):
-        return coalesce_streamed(decode_claude(lines))
+        return coalesce_streamed(decode_claude(lines), F.col("line_seq.block_start"))
 
     def messages(self, lines):
         return claude_messages(lines)
@@ -70,6 +75,9 @@ class Claude:
         bare = strip_date_suffix(model)
         return F.array_distinct(F.array(model, F.concat(F.lit("anthropic/"), model), bare, F.concat(F.lit("anthropic/"), bare)))
 
+    def builtin_candidates(self, model):
+        return F.array_distinct(F.array(model, strip_date_suffix(model)))
+
     def family_rates(self):
         return [f for f in FAMILIES if f[0] == self.id]
 
@@ -77,7 +85,8 @@ class Claude:
 @dataclass(frozen=True)
 class Codex:
     id: str = "codex"
-    aliases: tuple[str, ...] = field(default=("openai",))
+    label: str = "Codex"
+    aliases: tuple[str, ...] = field(default=("openai", "cdx"))
 
     def read(self, spark, roots):
         return read_lines(spark, roots, dated=True)
@@ -103,19 +112,15 @@ class Codex:
     def rate_candidates(self, model):
         return F.array_distinct(F.array(model, F.concat(F.lit("openai/"), model)))
 
+    def builtin_candidates(self, model):
+        return F.array().cast("array<string>")
+
     def family_rates(self):
         return [f for f in FAMILIES if f[0] == self.id]
 
 
-PROVIDERS: tuple[Provider, ...] = (Claude(), Codex())
-
-
-def provider(name: str) -> Provider:
-    """By id or alias, in any case."""
-    for p in PROVIDERS:
-        if name.lower() in (p.id, *p.aliases):
-            return p
-    raise ValueError(f"no provider is named {name!r}; there are {', '.join(p.id for p in PROVIDERS)}")
+PROVIDERS: tuple[Provider, ...] = (register(Claude()), register(Codex()))
+provider = named
 
 
 def all_calls(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Logs to dollars, on hand-written logs; and every registered query against its SQL."""
 
 import json
+from dataclasses import dataclass
 
 import duckdb
 import pandas as pd
@@ -18,9 +19,10 @@ from tallyspark.operators import search as S
 from tallyspark.operators.refresh import changed_files, refresh, stored, version
 from tallyspark.plans.adapters import headers_of, priced_of, said_of
 from tallyspark.sources.logs import decode_claude, decode_codex, read_lines, relative_path
-from tallyspark.sources.providers import PROVIDERS, all_calls, provider
+from tallyspark.functions import registry
+from tallyspark.functions.registry import register
+from tallyspark.sources.providers import PROVIDERS, Claude, all_calls, provider
 from tallyspark.sources.rates import builtin_rates, override_rates, read_price_feed
-from tallyspark.streaming.live import keep_calls, live_blocks, live_calls, live_status, live_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,7 +56,7 @@ def test_project_of_a_log(spark, tmp_path):
     row = R.in_dollars(R.totals(R.rollup(claude(spark, tmp_path), "day"))).first()
     assert (row["input"], row["output"], row["cache_write"], row["cache_read"]) == (35, 48, 900, 600)
     assert row["cost"] == pytest.approx((35 * 5 + 48 * 25 + 900 * 6.25 + 600 * 0.5) / 1e6)
-    assert [r[0] for r in claude(spark, tmp_path).select("project").distinct().collect()] == ["src/kiwi"]  # the nested log, too
+    assert sorted(r[0] for r in claude(spark, tmp_path).select("project").distinct().collect()) == ["src/kiwi", "src/kiwi/deeper"]  # each by its own folder
 
 
 def test_streamed_message_and_resumed_session(spark, tmp_path):
@@ -120,28 +122,6 @@ def test_refresh(spark):
     assert sorted(r["path"] for r in changed_files(stored, seen).collect()) == ["b", "c"]
 
 
-LIVE = "provider string, session string, line_seq bigint, ts timestamp, msg_id string, model string, input bigint, output bigint, cache_read bigint, cache_write bigint"
-
-
-def test_live_blocks_count_streamed_messages_once(spark, tmp_path):
-    """One id on three lines, in two files that arrive one after the other: the greatest counts."""
-    (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(LIVE).json(f"{tmp_path}/in")
-    batches = [[("m", 0, 10, 15), ("m", 1, 10, 45)], [("m", 2, 10, 80), (None, 3, 1, 2), (None, 4, 1, 2), ("n", 5, 5, 5)]]
-    for rows in batches:
-        data = [("claude", "s", k, f"2026-04-01 0{k}:10:00", m, "claude-opus-4-7", i, o, 0, 0) for m, k, i, o in rows]
-        spark.createDataFrame(data, LIVE.replace("timestamp", "string")).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        keep_calls(live_calls(stream), f"{tmp_path}/calls", f"{tmp_path}/cp", availableNow=True).awaitTermination(120)
-    calls = live_table(spark, f"{tmp_path}/calls")
-    start = 1_775_001_600  # 2026-04-01 00:00 UTC
-    first = start - start % 18_000
-    rows = {r["key"]: (r["output"], r["api_calls"]) for r in live_blocks(calls).collect()}
-    assert sum(o for o, _ in rows.values()) == 80 + 2 + 2 + 5 and sum(n for _, n in rows.values()) == 4 and min(rows) in (first, first + 18_000)
-    assert live_blocks(calls, now=start + 5 * 3600 + 660).count() == 1
-    priced_calls = C.priced(calls.withColumn("cache_write_1h", F.lit(0)), C.resolve_rates(calls, builtin_rates(spark)))
-    assert live_status(priced_calls, start + 6 * 3600).first()["today_tokens"] == 17 + 89
-
-
 def test_provider_protocol(spark, tmp_path):
     assert provider("CC").id == "claude" and provider("codex").id == "codex"
     with pytest.raises(ValueError, match="no provider"):
@@ -165,7 +145,7 @@ def test_refresh_reads_only_what_changed(spark, tmp_path):
     write(tmp_path / "logs", "p/a.jsonl", [call("a1", "2026-04-01T12:00:00Z", i=1, o=1)])
     write(tmp_path / "logs", "p q/b+c.jsonl", [call("b1", "2026-04-01T12:20:00Z", i=10, o=1)])
     assert (refresh(spark, [root], store, decode), version(spark, store)) == (2, 1)
-    assert (refresh(spark, [root], store, decode), version(spark, store)) == (0, 2)
+    assert (refresh(spark, [root], store, decode), version(spark, store)) == (0, 1)
     with (tmp_path / "logs/p/a.jsonl").open("a") as f:  # a log that grew
         f.write(json.dumps(call("a2", "2026-04-01T13:00:00Z", i=100, o=1)) + "\n")
     assert refresh(spark, [root], store, decode) == 1
@@ -180,6 +160,98 @@ def test_refresh_reads_only_what_changed(spark, tmp_path):
         assert R.in_dollars(rows).first()["cost"] == pytest.approx(want / 1e6)
 
 
+@dataclass(frozen=True)
+class Third(Claude):
+    """Another provider: its own names, families and pseudo-model."""
+
+    id: str = "third"
+    label: str = "A third"
+    aliases: tuple = ("t3",)
+
+    def skip_model(self, model):
+        return model == "nothing"
+
+    def normalize_model(self, model):
+        return F.upper(model)
+
+    def rate_candidates(self, model):
+        return F.array(F.concat(F.lit("maker/"), model))
+
+    def builtin_candidates(self, model):
+        return F.array(F.replace(model, F.lit("my-"), F.lit("claude-")))
+
+    def family_rates(self):
+        return [("third", "big", "7", "7", "7", "7", "7")]
+
+
+def test_a_third_provider_is_priced_without_other_changes(spark):
+    register(Third())
+    try:
+        rows = [("third", m) for m in ("x", "my-opus-4-7", "bigger", "opus", "nothing")] + [("claude", "nothing"), ("claude", "opus-x")]
+        models = spark.createDataFrame(rows, "provider string, model string")
+        feed = override_rates(spark, {"maker/x": {"input": 3, "output": 3, "cache_write": 3, "cache_read": 3}})
+        rates = {(r["provider"], r["model"]): (r["resolution"], float(r["rate_input"])) for r in C.resolve_rates(models, builtin_rates(spark), feed).collect()}
+        assert rates["third", "x"] == ("exact", 3) and rates["third", "my-opus-4-7"] == ("exact", 5) and rates["third", "bigger"] == ("estimated", 7)
+        assert rates["third", "opus"] == rates["claude", "nothing"] == ("unknown", 0) and rates["claude", "opus-x"] == ("estimated", 5)
+        kept = models.where(~registry.skipped()).select("provider", "model").collect()
+        assert ("third", "nothing") not in map(tuple, kept) and ("claude", "nothing") in map(tuple, kept)
+        assert {r[0] for r in models.where("provider = 'third' and model = 'x'").select(registry.shown()).collect()} == {"X"} and provider("T3").id == "third"
+        with pytest.raises(ValueError, match="already"):
+            register(Third(id="fourth", aliases=("cdx",)))
+    finally:
+        registry.forget("third")
+    assert provider("cdx").id == "codex"
+
+
+def test_spans(spark):
+    row = lambda name, n=99: spark.range(1).select(C.delimited_spans(F.lit(name), F.lit(n))).first()[0]
+    assert sorted(row("A/b-c")) == sorted(["a", "a/b", "a/b-c", "b", "b-c", "c"]) and sorted(row("a-b", 1)) == ["a", "b"]
+    assert row("") == [] and "-x" in row("--x") and row("abc") == ["abc"]
+
+
+def test_project_names(spark, tmp_path):
+    names = {"-opt-work-app": "-opt-work-app", "my-project": "my-project", "-home-me--dot": "dot", "-Users-ann-code-x": "code/x", "-home-me": "-home-me"}
+    for folder in names:
+        write(tmp_path, f"{folder}/s.jsonl", [call(folder, "2026-04-01T12:00:00Z", i=1, o=1)])
+    cwds = {"/home/me": "/home/me", "/home/me/": "plain", "/home/me/a/b": "a/b", "/srv/x": "/srv/x", "": "plain"}
+    for k, cwd in enumerate(cwds):
+        write(tmp_path, f"plain/{k}.jsonl", [call(f"c{k}", "2026-04-01T12:00:00Z", i=1, o=1) | {"cwd": cwd}])
+    got = {r["msg_id"]: r["project"] for r in decode_claude(read_lines(spark, [f"file://{tmp_path}"])).collect()}
+    assert got == names | {f"c{k}": want for k, want in enumerate(cwds.values())}
+
+
+def test_codex_session_model_and_start(spark, tmp_path):
+    count = lambda n: {"type": "event_msg", "timestamp": "2026-04-01T12:00:02Z", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": n, "output_tokens": 1}}}}
+    turn = lambda m: {"type": "turn_context", "timestamp": "2026-04-01T12:00:01Z", "payload": {"model": m, "cwd": "/other"}}
+    meta = {"type": "session_meta", "timestamp": "2026-04-01T11:00:00Z", "payload": {"id": "x", "cwd": "/home/me/code/b"}}
+    write(tmp_path, "2026/04/01/rollout-1.jsonl", [count(4), meta, turn("gpt-5"), count(4), turn("o9"), turn("gpt-5"), count(4), count(4)])
+    write(tmp_path, "2026/04/01/rollout-2.jsonl", [turn("gpt-5"), count(1)])
+    calls = C.billed(decode_codex(read_lines(spark, [f"file://{tmp_path}"], dated=True)))
+    rows = sorted((r["session"][-7:], r["model"], r["session_model"], r["project"], r["session_started"].hour) for r in calls.collect())
+    # The count before any turn has the session's first model; a switch there and back lets an equal count stand.
+    assert rows == [("1.jsonl", "gpt-5", "gpt-5", "code/b", 11)] * 3 + [("2.jsonl", "gpt-5", "gpt-5", "unknown", 12)]
+
+
+def test_session_start_is_a_line_that_counts(spark, tmp_path):
+    """Lines that make no message don't start a session, so that they don't decide which session has an id."""
+    odd = [{"type": "attachment", "timestamp": "2026-04-01T01:00:00Z", "message": {"content": "x"}}, {"type": "user", "timestamp": "2026-04-01T02:00:00Z", "message": {"content": [{"type": "image"}]}}, {"type": "user", "timestamp": "2026-04-01T02:30:00Z", "message": {"content": ""}}]
+    write(tmp_path, "p/a.jsonl", [*odd, call("m", "2026-04-01T12:00:00Z", i=1, o=1)])
+    write(tmp_path, "p/b.jsonl", [{"type": "user", "timestamp": "2026-04-01T03:00:00Z", "message": {"content": [{"type": "tool_result", "content": [{"type": "text", "text": "ok"}]}]}}, call("m", "2026-04-01T12:00:00Z", i=2, o=1)])
+    calls = C.billed(C.coalesce_streamed(decode_claude(read_lines(spark, [f"file://{tmp_path}"])), F.col("line_seq.block_start")))
+    assert [(r["input"], r["session_started"].hour) for r in calls.collect()] == [(2, 3)]
+
+
+def test_series_are_in_order(spark):
+    days = [r["day"] for r in D.last_days(priced_of(spark, SF), 5).collect()]
+    assert days == sorted(days) and len(days) == 5 and days[-1] == max(r["day"] for r in D.last_days(priced_of(spark, SF)).collect())
+    models = [r["model"] for r in D.model_choices(headers_of(spark, SF)).collect()]
+    assert models == sorted(set(models)) and None not in models
+    listed = catalog.listed(spark, SF)
+    at = {n: {str(r["started_at"])[:10] for r in R.relative_days(listed, "2024-01-15", n, "started_at").collect()} for n in (0, 7)}
+    assert at[0] <= {"2024-01-15"} and min(at[7]) >= "2024-01-08" and max(at[7]) <= "2024-01-15"
+    assert {str(r["started_at"])[:10] for r in R.single_day(listed, "2024-01-08", "started_at").collect()} <= {"2024-01-08"}
+
+
 def test_relative_paths(spark):
     row = lambda p, root: spark.sql(f"SELECT '{p}' AS p").select(relative_path(F.col("p"), root)).first()[0]
     assert row("hdfs://nn:8020/logs/a/b.jsonl", "/logs") == row("hdfs://nn:8020/logs/a/b.jsonl", "hdfs://nn:8020/logs") == "a/b.jsonl"
@@ -284,7 +356,7 @@ def test_a_report_scans_twice_and_sorts_windows_once(spark):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "documents", "conversations"):
+    for t in ("events", "documents", "conversations", "part"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(catalog.ORACLES[name]).df()
     got = catalog.QUERIES[name](spark, SF).toPandas()
