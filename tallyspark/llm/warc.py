@@ -35,6 +35,8 @@ from tallyspark.llm.common import bounded, shared_dir, shipped, table, written
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 MIN_SHARED = 100
+#: Digits of a record's length.
+MOST_DIGITS = 16
 ID = "urn:x-page:"
 ADDED = ("__payload", "payload_bytes", "payload_digest", "__first", "record_type", "refers_to")
 
@@ -90,7 +92,8 @@ def _fields(raw: bytes) -> tuple[dict, int] | None:
         name, _, content = line.partition(b": ")
         fields.setdefault(name.lower().decode("latin-1"), content.decode("utf-8", "replace"))
     size = fields.get("content-length", "")
-    if not (size.isascii() and size.isdigit() and "warc-type" in fields and "warc-record-id" in fields):
+    # A payload may look like a header with any length; one that no file has is none.
+    if not (size.isascii() and size.isdigit() and len(size.lstrip("0")) <= MOST_DIGITS and "warc-type" in fields and "warc-record-id" in fields):
         return None
     return fields, end + len(END)
 
@@ -210,7 +213,7 @@ def read_archives(spark, path: str) -> DataFrame:
     )
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["content"]))
     columns = ["file", "offset", "type", "id", "refers", "uri", "digest", "content"]
-    return rows.where("whole").select(columns).unionByName(parts.withColumn("content", F.substring(joined, 1, F.col("length").cast("int"))).select(columns))
+    return rows.where("whole").select(columns).unionByName(parts.withColumn("content", F.substring(joined, 1, F.least("length", F.lit((1 << 31) - 1)).cast("int"))).select(columns))
 
 
 def op8_warc(spark, sf_dir):
