@@ -29,6 +29,8 @@ TIMESCALE = 8000
 KEYFRAME_EVERY = 16
 SAMPLES_A_CHUNK = 1024
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf")
+#: Containers within each other, of which a track has five.
+DEPTH = 32
 TRACK = "struct<track_id:int,kind:string,codec:string,timescale:long,duration:long,n_samples:long,media_bytes:long,keyframes:array<struct<offset:long,length:long>>>"
 
 
@@ -48,10 +50,12 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def _tables(data: memoryview, start: int, end: int, found: dict) -> dict:
+def _tables(data: memoryview, start: int, end: int, found: dict, depth: int = 0) -> dict:
+    if depth > DEPTH:
+        raise ValueError("boxes are nested too deep")
     for kind, a, b in boxes(data, start, end):
         if kind in CONTAINERS:
-            _tables(data, a, b, found)
+            _tables(data, a, b, found, depth + 1)
         else:
             found.setdefault(kind, (a, b))
     return found
@@ -68,11 +72,15 @@ def _column(data: memoryview, at: tuple[int, int], fmt: str, skip: int = 4) -> l
 def samples(data: memoryview, t: dict) -> list[tuple[int, int]]:
     """Offset and length of each sample: sizes from stsz, chunks from stsc and stco or co64."""
     fixed, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
+    if fixed * n > len(data):
+        raise ValueError("more samples than the file has bytes for")
     sizes = [fixed] * n if fixed else [x for (x,) in _column(data, t[b"stsz"], ">I", 8)]
     chunks = [x for (x,) in (_column(data, t[b"co64"], ">Q") if b"co64" in t else _column(data, t[b"stco"], ">I"))]
     runs, out, k = _column(data, t[b"stsc"], ">III"), [], 0
     for i, (first, each, _) in enumerate(runs):
         last = runs[i + 1][0] if i + 1 < len(runs) else len(chunks) + 1
+        if first < 1:
+            raise ValueError("chunks are counted from 1")
         for c in range(first - 1, last - 1):
             at = chunks[c]
             for _ in range(each):
@@ -101,6 +109,8 @@ def tracks(media: bytes) -> list[dict]:
             codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1").strip()
             every = samples(data, t)
             keys = [x - 1 for (x,) in _column(data, t[b"stss"], ">I")] if b"stss" in t else range(len(every))
+            if any(not 0 <= k < len(every) for k in keys):
+                raise ValueError("a keyframe that is none of the samples")
             track_id = struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] == 1 else 12))[0]
             out.append(
                 {
