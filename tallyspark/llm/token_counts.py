@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.byte_bpe import token_lengths
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import bounded, table, written
 
 BAND = 1024
 
@@ -59,16 +59,15 @@ def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each row ``context`` of ``limits``: documents that are longer, and the total after truncation to it.
-    The row of the least length at or over the limit holds both sums; over the longest nothing is cut."""
-    total = sums.agg(F.max("tokens_total")).first()[0] or 0
-    edges = F.broadcast(limits.select("context").distinct())  # a stated query set
-    hit = sums.join(edges, F.col("n_tokens") > F.col("context")).groupBy("context").agg(
-        F.sum("n_docs").alias("docs_longer"), F.sum(F.col("n_docs") * (F.col("n_tokens") - F.col("context"))).alias("cut")
-    )
-    return limits.select("context").distinct().join(hit, "context", "left").select(
-        "context", F.coalesce("docs_longer", F.lit(0)).alias("docs_longer"), (F.lit(total) - F.coalesce("cut", F.lit(0))).alias("truncated_total")
-    )
+    """For each row ``context`` of ``limits``: documents that are longer, and the total after truncation to it. The row of the
+    least length over the limit holds both suffix sums; over the longest nothing is cut. Of each limit a task hands on one row."""
+    contexts = limits.select("context").distinct()
+    over = F.struct("docs_at_least", "tokens_at_least")
+    hit = sums.join(bounded(contexts), F.col("n_tokens") > F.col("context")).groupBy("context").agg(F.min_by(over, "n_tokens").alias("s"))
+    total = sums.agg(F.coalesce(F.max("tokens_total"), F.lit(0)).alias("total"))  # one row
+    rows = contexts.join(hit, "context", "left").crossJoin(F.broadcast(total))
+    longer, tokens = (F.coalesce(F.col(f"s.{c}"), F.lit(0)) for c in ("docs_at_least", "tokens_at_least"))
+    return rows.select("context", longer.alias("docs_longer"), (F.col("total") - tokens + F.col("context") * longer).alias("truncated_total"))
 
 
 def quantile_length(sums: DataFrame, q: float) -> int | None:

@@ -205,6 +205,31 @@ def test_iso_media(spark):
     assert [(r["error"] is not None) for r in iso_media.media_columns(bad).collect()] == [True, False]
 
 
+def test_hostile_media(spark):
+    """Deep boxes, sample tables that claim more than the file has, keyframes and chunks that don't exist: an error each, no crash."""
+    media = iso_media.pack_bytes(iso_media.padded(b"x" * 200))
+    deep = b""
+    for _ in range(3000):
+        deep = iso_media._box(b"mdia", deep)
+    at = lambda kind: media.index(kind) + 4
+    put = lambda place, data: media[:place] + data + media[place + len(data) :]
+    bad = {
+        "deep": iso_media._box(b"moov", iso_media._box(b"trak", deep)), "many": put(at(b"stsz") + 8, b"\xff" * 4), "zero": put(at(b"stss") + 8, bytes(4)),
+        "beyond": put(at(b"stss") + 8, b"\0\0\0\x63"), "chunk": put(at(b"stsc") + 8, bytes(4)), "rows": put(at(b"stss") + 4, b"\xff" * 4), "each": put(at(b"stsc") + 12, b"\xff" * 4),
+    }
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in [*bad.items(), ("good", media)]], "k string, media binary")
+    got = {r["k"]: (r["error"] is None, len(r["tracks"])) for r in iso_media.media_columns(rows).collect()}
+    assert got == {k: (False, 0) for k in bad if k != "each"} | {"good": (True, 1), "each": (True, 1)}
+
+
+def test_hostile_lengths_in_payloads(spark, tmp_path):
+    head = lambda n: f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:x-page:9>\r\nContent-Length: {n}\r\n\r\nhello"
+    rows = [(k, "u", head(n)) for k, n in enumerate(("9" * 20, "9" * 5000, "9" * 16, "0" * 40 + "5", "-1", "²", "1e3"))]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = {r["id"]: bytes(r["content"]).decode().split("\r\n\r\n", 1)[1] for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {f"<{warc.ID}{k}>": html for k, _, html in rows}
+
+
 def test_warc_with_magic_inside_payloads(spark, tmp_path):
     fake = f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:x-page:9>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(k, f"http://x/{k} y", ("y" * (k % 7) + fake) * (k % 9)) for k in range(40)] + [(100, None, None), (101, "", "")] + [(200 + k, "u", "same" * 40) for k in range(3)]
