@@ -542,7 +542,7 @@ _ROLLOUT = """e AS (SELECT user_id, event_id, ts, event_type, props, last_value(
   said AS (SELECT concat('file:///logs/2024/01/01/rollout-', user_id, '.jsonl') AS session, user_id, event_id, ts, model,
     CASE event_type WHEN 'purchase' THEN 'User' WHEN 'view' THEN 'Thinking' WHEN 'click' THEN 'ToolUse' ELSE 'Assistant' END AS kind,
     CASE event_type WHEN 'purchase' THEN props || chr(10) || 'more' WHEN 'error' THEN '' ELSE props END AS text, CASE event_type WHEN 'click' THEN 'run' END AS tool_name,
-    greatest(c % 50 - c % 20, 0) AS input, c % 7 AS output, c % 20 AS cache_read FROM m)"""
+    CASE WHEN c IS NOT NULL THEN greatest(c % 50 - c % 20, 0) END AS input, c % 7 AS output, c % 20 AS cache_read FROM m)"""
 
 
 @query("codex_messages", f"WITH {_ROLLOUT} SELECT session, event_id, model, kind, text, tool_name, input, output, cache_read FROM said")
