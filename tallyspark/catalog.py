@@ -535,6 +535,24 @@ def rate_feed(spark, d):
     return C.resolve_rates(models, builtin_rates(spark), feed).select("provider", "model", "resolution", F.col("rate_input").cast("double").alias("rate_input"))
 
 
+_EACH = "SELECT provider, model, min(p_partkey) AS k FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'claude' ELSE 'codex' END AS provider, concat(p_type, '/', replace(p_name, ' ', '-'), '.', replace(p_brand, '#', '_')) AS model, p_partkey FROM part) GROUP BY provider, model"
+_FED = "SELECT CASE k % 7 WHEN 0 THEN model WHEN 1 THEN concat('anthropic/', model) ELSE concat('openai/', model) END AS model, k % 90 + 1 AS r FROM each WHERE k % 7 < 3"
+
+
+@query("rate_candidates", f"""WITH each AS ({_EACH}), fed AS (SELECT model, min(r) AS r FROM ({_FED}) GROUP BY 1), over AS (SELECT model, min(k) % 50 + 100 AS r FROM each WHERE k % 11 = 0 GROUP BY 1)
+SELECT e.provider, e.model, CASE WHEN coalesce(o.r, a.r, b.r) IS NULL THEN 'unknown' ELSE 'exact' END AS resolution, CAST(coalesce(o.r, a.r, b.r, 0) AS DOUBLE) AS rate_output
+FROM each e LEFT JOIN over o USING (model) LEFT JOIN fed a ON a.model = e.model LEFT JOIN fed b ON b.model = concat(CASE e.provider WHEN 'claude' THEN 'anthropic/' ELSE 'openai/' END, e.model)""")
+def rate_candidates(spark, d):
+    """Overrides by raw name before the feed, the feed by name before vendor and name; another vendor's name is none."""
+    spark.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("__tally_part")
+    each = spark.sql(_EACH.replace("FROM part", "FROM __tally_part"))
+    each.createOrReplaceTempView("__tally_each")
+    typed = lambda df: df.groupBy("model").agg(F.min("r").cast("decimal(18,8)").alias("r")).select("model", *(F.col("r").alias(x) for x in RATES))
+    feed = typed(spark.sql(_FED.replace("FROM each", "FROM __tally_each")))
+    over = typed(each.where("k % 11 = 0").groupBy("model").agg((F.min("k") % 50 + 100).alias("r")))
+    return C.resolve_rates(each, builtin_rates(spark), feed, over).select("provider", "model", "resolution", F.col("rate_output").cast("double").alias("rate_output"))
+
+
 _ROLLOUT = """e AS (SELECT user_id, event_id, ts, event_type, props, last_value(CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'gpt-5' ELSE 'o9' END END IGNORE NULLS) OVER
     (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events WHERE user_id % 4 = 0),
   x AS (SELECT *, event_type = 'error' AS is_count, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, lead(event_id) OVER w AS nxt FROM e WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

@@ -88,9 +88,10 @@ def priced_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session headers: each event as a message, the session's id as its name."""
-    return usage_rows(spark, sf_dir).groupBy("provider", "session", "project").agg(
-        F.min("session").alias("id"), F.min("session").alias("name"), F.min("project").alias("summary"), F.min("session_model").alias("model"), F.count(F.lit(1)).alias("messages"),
+    """Session headers: each event as a message, the session's id as its name. Sums that tasks make before the shuffle; no window."""
+    model = F.min_by("model", F.when(F.col("model").isNotNull(), F.col("line_seq")))
+    return event_rows(spark, sf_dir).groupBy("provider", "session", "project").agg(
+        F.min("session").alias("id"), F.min("session").alias("name"), F.min("project").alias("summary"), model.alias("model"), F.count(F.lit(1)).alias("messages"),
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
     )
 
