@@ -11,10 +11,10 @@
    rates are ``START_RATE`` plus a multiple of each posterior, cut (projected) at 0; the multiples
    follow the gradient, scaled by the curvature, one distributed sum over all documents a round,
    until the slope is under the tolerance; a fit that doesn't get there fails. Where no rates meet
-   the targets, or only by multiples over ``MOST``, the nearest would put most weight on a few
-   documents; then the squared distance from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as
-   that from the targets, and a
-   warning says what is missing.
+   the targets, the squared distance from ``START_RATE`` counts ``OUT_OF_REACH`` times as much as
+   that from the targets, and a warning says what is missing. A caller who rather misses targets
+   than puts most weight on a few documents may bound the multiples by ``most``; beyond it holds the
+   same as out of reach.
 
 A document's tokens are its words between white space: byte-level BPE needs Python, which a native
 operator's main path has none of. Null and empty texts have no words, posteriors like any other and
@@ -47,11 +47,9 @@ PRIOR = 4.0
 #: Bound on the labelled rows of each domain that the classifier is fitted on.
 LABELLED_ROWS = 10_000
 #: A fit that takes more rounds fails.
-ITERATIONS = 200
+ITERATIONS = 500
 TOLERANCE = 1e-4
 WITHIN_REACH, OUT_OF_REACH = 1e-9, 1.0
-#: The greatest multiple of a posterior that a rate may be made of; beyond it, rates turn on differences of a few hundredths.
-MOST = 50.0
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -124,7 +122,7 @@ def _posteriors(labelled: DataFrame, sizes: dict[str, int], vocabulary: dict[str
     return logs, [(F.exp(F.col(f"__l{i}") - top) / whole).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGET, start: float = START_RATE) -> DataFrame:
+def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGET, start: float = START_RATE, most: float = math.inf) -> DataFrame:
     """``cells``: rows with words and posteriors, of documents or of groups of them. Adds ``rate``; each round is one sum over
     the rows. ``targets`` has a share for each domain."""
     if set(targets) != set(DOMAINS):
@@ -166,14 +164,14 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], budget: float = BUDGE
 
     missing = lambda gap: dict(zip(DOMAINS, (-gap).tolist()))
     found, gap = fitted(WITHIN_REACH)
-    if np.abs(gap).max() > TOLERANCE or np.abs(found).max() > MOST:
+    if np.abs(gap).max() > TOLERANCE or np.abs(found).max() > most:
         nearest = missing(gap)
         found, gap = fitted(OUT_OF_REACH)
         warnings.warn(f"no rates reach the targets; missing by domain, in shares of all words: {missing(gap)}, at the nearest {nearest}", stacklevel=2)
     return cells.withColumn("rate", rate(found))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), most: float = math.inf) -> DataFrame:
     """``doc_id, n_tokens``, a posterior for each domain and ``rate``, for each row of ``docs``; ``carry``: columns that pass
     through, with names that are none of ours."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry)
@@ -193,7 +191,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     scored = lean.select("doc_id", *carry, "n_tokens", *(x.alias(f"__l{i}") for i, x in enumerate(logs))).select("doc_id", *carry, "n_tokens", F.col("n_tokens").alias("words"), *posteriors)
     scored = written(scored, "mix-scored")
     dropped(known, lean)
-    return fit_rates(scored, targets or TARGETS, budget).select("doc_id", *carry, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
+    return fit_rates(scored, targets or TARGETS, budget, most=most).select("doc_id", *carry, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
 
 
 def op10_mixing(spark, sf_dir):

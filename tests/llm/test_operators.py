@@ -506,3 +506,15 @@ def test_warc_with_odd_rows(spark, tmp_path, broadcast, monkeypatch):
     assert sum(got.values()) == len(rows) and got["<urn:x-page:2>", "response", 150] == 1 and got["<urn:x-page:none>", "response", 200] == 2
     warc.write_archives(df.limit(0), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_mixing_meets_targets_by_great_multiples(spark):
+    """Documents whose posteriors differ by hundredths: rates meet the targets all the same, unless the caller bounds multiples."""
+    rows = [(k, 100, 0.34 + 0.01 * (k % 3 == 0), 0.33 + 0.01 * (k % 3 == 1), 0.33 + 0.01 * (k % 3 == 2)) for k in range(90)]
+    cells = spark.createDataFrame([(k, w, *(x / (a + b + c) for x in (a, b, c))) for k, w, a, b, c in rows], "doc_id long, words long, p_good double, p_low double, p_toxic double")
+    targets = {"good": 0.345, "low": 0.3275, "toxic": 0.3275}
+    got = mixing.fit_rates(cells, targets).toPandas()
+    assert (got["rate"] >= 0).all() and all(abs((got["rate"] * got[f"p_{d}"] * got["words"]).sum() / 9000 - targets[d]) < 1e-4 for d in targets)
+    assert (got["rate"] - 1).abs().max() > 0.3
+    with pytest.warns(UserWarning, match="no rates reach"):
+        mixing.fit_rates(cells, targets, most=1.0).collect()
