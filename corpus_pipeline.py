@@ -12,6 +12,8 @@ from tallyspark.llm.common import table, written
 #: toxic text as a filter is later to be tried on, and hardly any of low quality.
 TARGETS = {"good": 0.92, "low": 0.005, "toxic": 0.075}
 BUDGET = 1.2
+#: The greatest multiple of a posterior in a rate: targets are rather missed than most text left out.
+MOST = 50.0
 
 
 # In every stage: other columns pass through, whatever their names; a null id is an id like any other; rows that repeat an id
@@ -66,7 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says; what is over a whole number is decided by a hash of its id and text, so rows
     that agree in both fare alike. Null and empty texts have a rate as any."""
     rows = with_key(docs)
-    rates = mixing.mixing_rates(rows, table(spark, sf_dir, "labels"), TARGETS, BUDGET, carry=("__key",))
+    rates = mixing.mixing_rates(rows, table(spark, sf_dir, "labels"), TARGETS, BUDGET, carry=("__key",), most=MOST)
     chance = F.pmod(F.xxhash64("__key", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     copies = rates.groupBy("__key").agg(F.first("rate").alias("rate")).select("__key", F.floor(F.col("rate") + chance).cast("int").alias("__copies"))
     joined = rows.drop("doc_id").join(copies, "__key").where("__copies > 0")
