@@ -22,7 +22,8 @@ a pair that links passes this at its first common element.
    the list is held against. Lists whose sets then lie in one component are done.
 2. The sets of the other long lists are joined again among themselves, in an order from the counts
    of a wider part, ``OPEN_REGION``, of their elements: leaders first; then the sets outside a list's largest component are held
-   against the whole list, where the places allow a link and the components differ.
+   against the whole list, where the places allow a link, the components differ, and so do not too many of their elements by
+   the counts of those in ranges of the hash.
 
 Candidates are verified on whole sets, which are made for the sets in pairs and in long lists only. Components come from repeated minima over neighbours with
 pointer jumping, each round a written table.
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -56,6 +58,8 @@ HEAVY_HELD = 100_000
 LARGEST = 64
 #: Lists of up to so many sets are compared whole.
 SHORT = 8
+#: Ranges of hashes whose counts tell sets apart, a power of two.
+BINS = 32
 _ROOT = 0x9E3779B97F4A7C15
 
 
@@ -114,7 +118,8 @@ def hashed_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``r, n, x`` with all elements of the sets that ``wanted`` (r, n, f1, f2) names."""
+    """``r, n, x`` with all elements of the sets that ``wanted`` (r, n, f1, f2, least) names. Only texts with a set's least id are
+    split again, and those without an id; rows that repeat an id are told apart by the hashes."""
 
     def run(batches):
         held = WordHashes()
@@ -122,7 +127,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataF
             sets = sets_of(batch.column(0).to_pylist(), held, size)
             yield pa.record_batch({**_hashes(sets), "x": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-    found = docs.select("text").mapInArrow(run, "n long, f1 long, f2 long, x binary").join(bounded(wanted), ["n", "f1", "f2"])
+    ids = bounded(wanted.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct())
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    if wanted.where("least is null").limit(1).count():
+        texts = texts.unionByName(docs.where("doc_id is null").select("text"))
+    found = texts.mapInArrow(run, "n long, f1 long, f2 long, x binary").join(bounded(wanted.drop("least")), ["n", "f1", "f2"])
     return found.groupBy("r").agg(F.first("n").alias("n"), F.first("x").alias("x"))  # copies have one set
 
 
@@ -288,17 +297,38 @@ def still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return by.where("c0 <> c1").select("key")
 
 
-def outsiders(lists: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``a, b`` of the sets outside a list's largest component with all of the list, where the places allow a link and the
-    components differ."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """``r, c0, c1, ...``: how many of a set's elements fall into each of ``BINS`` ranges of their hashes."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            every = [np.frombuffer(x.as_buffer(), "u8") >> np.uint64(64 - BINS.bit_length() + 1) for x in batch.column(1)]
+            counts = np.stack([np.bincount(x.astype("i8"), minlength=BINS) for x in every]).astype("i4") if every else np.zeros((0, BINS), "i4")
+            yield pa.record_batch({"r": batch.column(0), **{f"c{k}": counts[:, k] for k in range(BINS)}})
+
+    return sets.select("r", "x").mapInArrow(run, "r long, " + ", ".join(f"c{k} int" for k in range(BINS)))
+
+
+def may_agree(n: Column, m: Column, threshold: int) -> Column:
+    """Whether sets of n and m elements may link by their sketches ``c`` and ``e``: they differ in as many elements as their counts
+    do at least, and those that link in no more than (100 - threshold) / (100 + threshold) of their sizes together."""
+    apart = reduce(lambda a, b: a + b, (F.abs(F.col(f"c{k}") - F.col(f"e{k}")) for k in range(BINS)))
+    return apart * (100 + threshold) <= (n + m) * (100 - threshold)
+
+
+def outsiders(lists: DataFrame, labels: DataFrame, threshold: int, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the sets outside a list's largest component with all of the list, where the places and the sketches of
+    ``sets`` allow a link and the components differ."""
     rows = written(_labelled(lists, labels), "ngram-labelled")
     by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     major = by.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("major"))
-    open_ = written(rows.join(major, "key"), "ngram-lists-open")
+    open_ = rows.join(major, "key")
+    open_ = written(open_.join(written(sketches(sets), "ngram-sketches"), "r"), "ngram-lists-open")
     dropped(rows)
-    minor = open_.where("comp <> major").select("key", F.col("r").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("c"))
-    other = open_.select("key", "r", "n", "p", "comp")
-    fits = may_link(F.col("n"), F.col("p"), F.col("m"), F.col("q"), threshold) & (F.col("comp") != F.col("c"))
+    each = [f"c{k}" for k in range(BINS)]
+    minor = open_.where("comp <> major").select("key", F.col("r").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("c"), *(F.col(f"c{k}").alias(f"e{k}") for k in range(BINS)))
+    other = open_.select("key", "r", "n", "p", "comp", *each)
+    fits = may_link(F.col("n"), F.col("p"), F.col("m"), F.col("q"), threshold) & (F.col("comp") != F.col("c")) & may_agree(F.col("n"), F.col("m"), threshold)
     return other.join(minor, (other["key"] == minor["key"]) & fits).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
@@ -329,7 +359,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     long_ = lists.where(F.col("k") > SHORT)
     pairs = written(compared(lists.where(F.col("k") <= SHORT), threshold).unionByName(led(long_, None, threshold)).distinct(), "ngram-pairs")
     wanted = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).unionByName(long_.select("r")).distinct()
-    wanted = written(sets.select("r", *of_set).join(wanted, "r", "left_semi"), "ngram-wanted")
+    wanted = written(sets.select("r", "least", *of_set).join(wanted, "r", "left_semi"), "ngram-wanted")
     whole = written(whole_sets(rows, wanted, size), "ngram-whole")
     links = written(verified(pairs, whole, threshold), "ngram-links")
     labels = components(links)
@@ -337,7 +367,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     again = written(whole.join(opened, "r", "left_semi"), "ngram-open-sets")
     dropped(lists, pairs, wanted, whole)
     lists = _lists(again, OPEN_REGION, threshold)
-    for find in (led, outsiders):
+    for find in (led, lambda *of: outsiders(*of, again)):
         pairs = written(find(lists, labels, threshold), "ngram-pairs")
         links = links.unionByName(written(verified(pairs, again, threshold), "ngram-links"))
         labels = components(links)
