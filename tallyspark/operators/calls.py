@@ -151,27 +151,29 @@ def resolve_rates(models: DataFrame, builtin: DataFrame, feed: DataFrame | None
     in order, the spans between its delimiters among them, and one equi-join with the price tables finds the first that has
     rates. Price tables have a row for each model on sale, some thousands."""
     m = models.select("provider", "model").where("model is not null").distinct()
-    keyed = lambda df, table, key="model": df.select(F.lit(table).alias("table"), F.col(key).alias("key"), _struct().alias("r"))
+    keyed = lambda df, table, key="model": df.select(F.lit(table).alias("table"), F.col(key).alias("key"), F.col("model").alias("name"), _struct().alias("r"))
     tables, names = [keyed(builtin, "builtin")], []
-    # Rank: the kind of candidate, its place among the provider's names, and how short it is.
-    listed = lambda table, kind, array: F.transform(array, lambda n, i: F.struct(F.lit(table).alias("table"), n.alias("key"), F.struct(F.lit(kind).alias("kind"), i.alias("i")).alias("rank")))
+    # Rank: the kind of candidate, and its place among the provider's names or, of a span, how short it is. Spans of one length
+    # are told apart by the feed's own names, case included.
+    at = lambda table, kind, key, i: F.struct(F.lit(table).alias("table"), key.alias("key"), F.struct(F.lit(kind).alias("kind"), i.alias("i")).alias("rank"))
+    listed = lambda table, kind, array: F.transform(array, lambda n, i: at(table, kind, n, i))
     if overrides is not None:
         tables.append(keyed(overrides, "overrides"))
         names.append(listed("overrides", 0, F.array("model")))
     if feed is not None:
         feed = feed.where("model <> ''")
-        once = feed.groupBy(_folded_case(F.col("model")).alias("low")).agg(F.min_by(F.struct(*RATES), "model").alias("r")).select("low", "r.*")
+        once = feed.groupBy(_folded_case(F.col("model")).alias("low")).agg(F.min_by(F.struct("model", *RATES), "model").alias("r")).select("low", "r.*")
         tables += [keyed(feed, "feed"), keyed(once, "spans", "low")]
         m = m.crossJoin(F.broadcast(feed.agg(F.coalesce(F.max(F.length("model")), F.lit(0)).alias("__longest"))))  # one row
-        spans = F.reverse(F.array_sort(F.transform(delimited_spans(F.col("model"), F.col("__longest")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
-        names += [listed("feed", 1, feed_names()), listed("spans", 2, F.transform(spans, lambda s: s["s"]))]
+        spans = F.transform(delimited_spans(F.col("model"), F.col("__longest")), lambda s: at("spans", 2, s, -F.length(s)))
+        names += [listed("feed", 1, feed_names()), spans]
     names.append(listed("builtin", 3, builtin_names()))
     zero = F.struct(*(F.lit("0").cast("decimal(18,8)").alias(r) for r in RATES))
     tried = m.select("provider", "model", family().alias("guess"), F.explode_outer(F.concat(*names)).alias("c")).select("provider", "model", "guess", "c.rank", "c.table", "c.key")
     prices = reduce(DataFrame.unionByName, tables)
     # Built-in rates and overrides are the driver's own rows; a feed is as large as its file.
     found = tried.join(F.broadcast(prices) if feed is None else prices, ["table", "key"], "left")
-    best = found.groupBy("provider", "model").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("rank"))).alias("r"), F.first("guess").alias("guess"))
+    best = found.groupBy("provider", "model").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.struct("rank", "name"))).alias("r"), F.first("guess").alias("guess"))
     resolution = F.when(F.col("r").isNotNull(), "exact").when(F.col("guess").isNotNull(), "estimated").otherwise("unknown")
     best = best.select("provider", "model", resolution.alias("resolution"), F.coalesce("r", "guess", zero).alias("r"))
     return best.select("provider", "model", "resolution", *(F.col(f"r.{r}").alias(f"rate_{r}") for r in RATES))
