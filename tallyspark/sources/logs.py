@@ -103,6 +103,12 @@ def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """The lines that are JSON, with their value as ``v``. It comes out of a generator, as filters on a plain column's fields
+    would go below it and take the parser along, once for each field."""
+    return lines.withColumn("v", F.explode(F.array(F.try_parse_json("value")))).where("v is not null")
+
+
 def claude_group(rel_path: Column) -> Column:
     """The first folder under the root: logs of sub-agents, however deep, join their conversation's project."""
     return F.element_at(F.split(rel_path, "/"), 1)
@@ -145,7 +151,7 @@ def shows_a_part(type_: Column, content: Column, has_usage: Column) -> Column:
 
 def claude_rows(lines: DataFrame) -> DataFrame:
     """The fields of each line that reports need, of any type; lines that are no JSON are dropped. Also of a stream."""
-    v = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
+    v = parsed(lines)
     return v.select(
         F.lit("claude").alias("provider"), F.col("path").alias("session"), "rel_path", F.struct("block_start", "line_seq").alias("ord"), _get("$.type").alias("type"), parse_timestamp(_get("$.timestamp")).alias("ts"),
         _get("$.cwd").alias("cwd"), _get("$.message.id").alias("msg_id"), _get("$.message.model").alias("model"), F.try_variant_get("v", "$.message.content", "variant").alias("content"),
@@ -180,7 +186,7 @@ def decode_codex(lines: DataFrame) -> DataFrame:
 
 
 def _decode_codex(lines: DataFrame, split: Column | None) -> DataFrame:
-    v = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
+    v = parsed(lines)
     type_ = _get("$.type")
     rows = v.select(
         F.lit("codex").alias("provider"), F.col("path").alias("session"), F.struct("block_start", "line_seq").alias("line_seq"), parse_timestamp(_get("$.timestamp")).alias("ts"),
