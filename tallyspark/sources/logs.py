@@ -125,11 +125,13 @@ def claude_project(cwd: Column, rel_path: Column) -> Column:
 
 def group_cwd(logs: DataFrame, started: str = "started") -> DataFrame:
     """``rel_path, cwd, started``, a row a log: for all logs of a group the working directory of the latest that has one, as the
-    catalogue names projects; ties by path. A group is joined by its key, so none is collected."""
+    catalogue names projects; ties by path. A group is joined by its key, so none is collected. A group's latest log is taken
+    as a whole row, and a log's own directory stands where no log has one: both sides of the join then need the same columns, so
+    Spark makes ``logs`` once."""
     has = F.col("cwd").isNotNull() & (F.col("cwd") != "")
     place = F.struct(F.col(started).isNotNull(), F.col(started), "rel_path")
-    best = logs.groupBy(claude_group(F.col("rel_path")).alias("__group")).agg(F.max_by("cwd", F.when(has, place)).alias("__cwd"))
-    return logs.withColumn("__group", claude_group(F.col("rel_path"))).join(best, "__group").withColumn("cwd", F.col("__cwd")).drop("__group", "__cwd")
+    best = logs.groupBy(claude_group(F.col("rel_path")).alias("__group")).agg(F.max_by(F.struct(*logs.columns), F.when(has, place)).alias("__latest"))
+    return logs.withColumn("__group", claude_group(F.col("rel_path"))).join(best, "__group").withColumn("cwd", F.coalesce("__latest.cwd", "cwd")).drop("__group", "__latest")
 
 
 def shows_a_part(type_: Column, content: Column, has_usage: Column) -> Column:
