@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """``rows`` by keys over all shuffle partitions. Spark would join partitions into tasks of 64 MB of compressed rows, which
+    may be a million of short ones, and each sort of a scan holds them all."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def runs(
     rows: DataFrame, keys: Sequence[str], split: Column, order: Sequence[str], same: Sequence[str], parts: Mapping[str, Column], merged: Mapping[str, Column], first: Sequence[str] = (), alone: Column | None = None
 ) -> DataFrame:
@@ -21,26 +27,26 @@ def runs(
     ``parts`` aggregates rows into named parts, ``merged`` the parts of a run that goes over splits, by the same names. Rows for
     which ``alone`` holds are a run each. Rows of a sequence are those with equal ``keys``, in the order of ``split``, then ``order``.
 
-    Only the first and the last run of a split can go on in another; the others are finished where they are."""
+    Only the first and the last run of a split can go on in another; the others are finished where they are: in the second pass
+    each is a sequence of its own. A run's first row is carried along it and is part of what groups it, so groups need no sort."""
     alone = F.lit(False) if alone is None else alone
-    within = Window.partitionBy(*keys, "__split").orderBy(*order)
+    part = Window.partitionBy(*keys, "__split")
+    within = part.orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     key = F.struct(*same)
     new = (F.row_number().over(within) == 1) | F.col("__alone") | ~key.eqNullSafe(F.lag(key).over(within))
-    marked = rows.withColumns({"__split": split, "__alone": F.coalesce(alone, F.lit(False))}).withColumn("__new", new.cast("int"))
-    numbered = marked.withColumn("__run", F.sum("__new").over(within))
-    at = F.struct("__split", *order)
-    carried = list(dict.fromkeys((*same, *first)))
-    local = numbered.groupBy(*keys, "__split", "__run").agg(F.min_by(F.struct(*carried, "__alone"), at).alias("__first"), F.min(at).alias("__at"), *(c.alias(n) for n, c in parts.items()))
-    local = local.withColumn("__last", F.max("__run").over(Window.partitionBy(*keys, "__split")))
-    edge = (F.col("__run") == 1) | (F.col("__run") == F.col("__last"))
-    ends, inside = local.where(edge), local.where(~edge)
-    across = Window.partitionBy(*keys).orderBy("__at")
+    marked = rows.withColumns({"__split": split, "__alone": F.coalesce(alone, F.lit(False))}).withColumn("__new", new)
+    carried = F.struct(*dict.fromkeys((*same, *first)), "__alone", F.struct("__split", *order).alias("__at"))
+    numbered = marked.withColumns({"__run": F.sum(F.col("__new").cast("int")).over(so_far), "__first": F.last(F.when(F.col("__new"), carried), ignorenulls=True).over(so_far)})
+    numbered = numbered.withColumn("__edge", (F.col("__run") == 1) | (F.col("__run") == F.sum(F.col("__new").cast("int")).over(part)))
+    local = numbered.groupBy(*keys, "__split", "__run", "__edge", "__first").agg(*(c.alias(n) for n, c in parts.items()))
+    local = local.withColumns({"__own": F.when(~F.col("__edge"), F.struct("__split", "__run")), "__at": F.col("__first.__at")})
+    across = Window.partitionBy(*keys, "__own").orderBy("__at")
     its_key = F.struct(*(F.col(f"__first.{c}").alias(c) for c in same))
     goes_on = (F.col("__run") == 1) & ~F.col("__first.__alone") & (F.row_number().over(across) > 1) & its_key.eqNullSafe(F.lag(its_key).over(across))
-    joined = ends.withColumn("__goes_on", goes_on).withColumn("__whole", F.sum((~F.col("__goes_on")).cast("int")).over(across))
-    stitched = joined.groupBy(*keys, "__whole").agg(F.min_by("__first", "__at").alias("__first"), *(c.alias(n) for n, c in merged.items()))
-    shape = [*keys, *(F.col(f"__first.{c}").alias(c) for c in carried), *parts]
-    return inside.select(*shape).unionByName(stitched.select(*shape))
+    joined = local.withColumn("__goes_on", goes_on).withColumn("__whole", F.last(F.when(~F.col("__goes_on"), F.col("__first")), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stitched = joined.groupBy(*keys, "__own", "__whole").agg(*(c.alias(n) for n, c in merged.items()))
+    return stitched.select(*keys, *(F.col(f"__whole.{c}").alias(c) for c in dict.fromkeys((*same, *first))), *parts)
 
 
 def scanned(

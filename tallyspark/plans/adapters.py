@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.rate_table import BUILTIN, FAMILIES
 from tallyspark.operators.calls import billed, coalesce_streamed, priced, resolve_rates
+from tallyspark.operators.segments import spread
 from tallyspark.sources.rates import builtin_rates
 
 _USAGE = """
@@ -56,10 +57,13 @@ def event_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFra
     return events.selectExpr(*[x.strip() for x in _split_columns(_USAGE)]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def usage_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """Lines with their session's start and first model, by the window whose shuffle and order coalescing uses again."""
+def usage_rows(spark: SparkSession, sf_dir: str, where: str = "true", many: bool = False) -> DataFrame:
+    """Lines with their session's start and first model, by the window whose shuffle and order coalescing uses again; ``many``: in
+    all shuffle partitions, for scans that sort more than once."""
     whole = Window.partitionBy("provider", "session").orderBy("line_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return event_rows(spark, sf_dir, where).withColumns({"session_started": F.min("ts").over(whole), "session_model": F.first("model", ignorenulls=True).over(whole)})
+    rows = event_rows(spark, sf_dir, where)
+    rows = spread(rows, "provider", "session") if many else rows
+    return rows.withColumns({"session_started": F.min("ts").over(whole), "session_model": F.first("model", ignorenulls=True).over(whole)})
 
 
 def _split_columns(text: str) -> list[str]:

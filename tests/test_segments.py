@@ -85,3 +85,19 @@ def test_a_long_log_goes_over_many_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_runs_of_short_rows_stay_in_many_tasks(spark, tmp_path):
+    """Neither scan is joined into a few tasks, and neither sorts its rows for a group or makes them twice."""
+    from tallyspark import catalog
+
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        spark.range(2000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 50 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props").write.parquet(f"file://{tmp_path}/events.parquet")
+        for name in ("coalesce_splits",):
+            df = catalog.QUERIES[name](spark, f"file://{tmp_path}")
+            assert df.rdd.getNumPartitions() == 32
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert "SortAggregate" not in plan and plan.count("FileScan") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
