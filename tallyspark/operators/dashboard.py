@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import dollars, local_day, unix
-from tallyspark.operators.segments import runs
+from tallyspark.operators.segments import runs, spread
 
 
 def all_tokens():
@@ -80,7 +80,8 @@ def compact(
     of its session that a message is in, for sessions that a task shouldn't hold."""
     same = [c for c in (kind, tool) if c]
     parts = {"n": F.count(F.lit(1)), "chars": F.sum(F.length(text))} | ({"tokens": F.sum(tokens)} if tokens else {})
-    found = runs(messages, [session], F.lit(0) if split is None else split, order, same, parts, {c: F.sum(c) for c in parts}, order)
+    rows = spread(messages, session, *([] if split is None else [split]))
+    found = runs(rows, [session], F.lit(0) if split is None else split, order, same, parts, {c: F.sum(c) for c in parts}, order)
     return found.select(session, *(F.col(c).alias(f"first_{c}") for c in order), *same, *parts)
 
 

@@ -94,7 +94,7 @@ def test_runs_of_short_rows_stay_in_many_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         spark.range(2000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 50 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props").write.parquet(f"file://{tmp_path}/events.parquet")
-        for name in ("coalesce_splits",):
+        for name in ("coalesce_splits", "compact_tools"):
             df = catalog.QUERIES[name](spark, f"file://{tmp_path}")
             assert df.rdd.getNumPartitions() == 32
             plan = df._jdf.queryExecution().sparkPlan().toString()
