@@ -10,7 +10,8 @@
    together by position. A block is bounded by ``WORDS_HELD`` words and ``POSITIONS_HELD``
    positions, or is one document.
 4. ``decode`` joins the token-byte table, which is bounded by the vocabulary's size and thus goes
-   to each task whole, and concatenates.
+   to each task whole, and concatenates. ``encoded_and_decoded`` does so where the ids are put
+   together, some documents at once, so that a task has one Python worker and not two.
 
 Texts are split twice, once for the words and once for the positions, as keeping the positions in
 a table would take half the input's disk again. A table gives the same rows in the same tasks each
@@ -46,6 +47,8 @@ from tallyspark.llm.common import shipped, sliced, table
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Distinct words and positions of a block, but for its last document.
 WORDS_HELD, POSITIONS_HELD = 400_000, 4_000_000
+#: Documents of a block that are put together at once.
+DOCS_HELD = 400
 #: Encoded words that a task packs by block at once.
 ROWS_HELD = 200_000
 #: White space of the pattern's ``\\s``, as the inside of a character class.
@@ -195,20 +198,38 @@ def encoded_words(words: DataFrame, ranks: bytes) -> DataFrame:
 
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, held: int = WORDS_HELD) -> DataFrame:
     """``doc_id, ids``: the ids of each text, unsigned 32-bit, little-endian, one after the other."""
+    return _put_together(df, doc_id, text, ranks or read_ranks(), held, False)
+
+
+def encoded_and_decoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, held: int = WORDS_HELD) -> DataFrame:
+    """``doc_id, ids, decoded``: as ``decode`` of ``encode``, in one pass over the ids."""
+    return _put_together(df, doc_id, text, ranks or read_ranks(), held, True)
+
+
+def _put_together(df: DataFrame, doc_id: str, text: str, ranks: bytes, held: int, decoding: bool) -> DataFrame:
     kind = df.schema[doc_id].dataType.simpleString()
-    words = encoded_words(blocks(df, True, doc_id, text, held=held), ranks or read_ranks())
+    words = encoded_words(blocks(df, True, doc_id, text, held=held), ranks)
     docs = blocks(df, False, doc_id, text, held=held)
+    shared = df.sparkSession.sparkContext.broadcast(ranks) if decoding else None
 
     def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
         k, n, ids = (np.concatenate([np.zeros(0, "u4"), *(unpacked(x.as_py()) for x in words.column(c))]) for c in ("k", "n", "ids"))
         if docs.num_rows != 1 or docs.column("n_words")[0].as_py() != len(k):
             raise RuntimeError("the input gave other rows when it was read again; encode a table of it")
         ends = np.concatenate(([0], np.cumsum(n, dtype="i8"))) * 4
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
-        found = gathered(pieces.take(pa.array(np.argsort(k))), unpacked(docs.column("at")[0].as_py()), unpacked(docs.column("lengths")[0].as_py()))
-        return pa.table({doc_id: docs.column("docs").combine_chunks().flatten(), "ids": found.cast(pa.binary())})
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).take(pa.array(np.argsort(k)))
+        at, lengths = unpacked(docs.column("at")[0].as_py()), unpacked(docs.column("lengths")[0].as_py())
+        starts, every = np.concatenate(([0], np.cumsum(lengths, dtype="i8"))), docs.column("docs").combine_chunks().flatten()
+        parts = []
+        for i in range(0, len(lengths), DOCS_HELD):
+            each = lengths[i : i + DOCS_HELD]
+            found = gathered(pieces, at[starts[i] : starts[i + len(each)]], each)
+            part = {doc_id: every.slice(i, len(each)), "ids": found.cast(pa.binary())}
+            parts.append(pa.table(part | ({"decoded": decoded_ids(part["ids"], shared.value)} if decoding else {})))
+        return pa.concat_tables(parts)
 
-    return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, f"`{doc_id}` {kind}, ids binary")
+    schema = f"`{doc_id}` {kind}, ids binary" + ", decoded binary" * decoding
+    return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, schema)
 
 
 def token_lengths(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: bytes | None = None, held: int = WORDS_HELD) -> DataFrame:
@@ -223,23 +244,26 @@ def token_bytes(ranks: bytes) -> pa.Array:
     return pa.array(map(merges.get, range(max(merges) + 1)), pa.large_binary())
 
 
+def decoded_ids(ids: pa.Array, ranks: bytes) -> pa.Array:
+    """The bytes that each value's ids stand for."""
+    each = [np.frombuffer(x.as_py() or b"", "<u4") for x in ids]
+    return gathered(token_bytes(ranks), np.concatenate(each), list(map(len, each))).cast(pa.binary())
+
+
 def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks: bytes | None = None) -> DataFrame:
     """``doc_id, ids, decoded``: the bytes that the ids stand for."""
     shared = shipped(df.sparkSession).sparkContext.broadcast(ranks or read_ranks())
     kind = df.schema[doc_id].dataType.simpleString()
 
     def join(batches):
-        table_ = token_bytes(shared.value)
         for batch in sliced(batches):
-            each = [np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column(1)]
-            decoded = gathered(table_, np.concatenate(each), list(map(len, each)))
-            yield pa.record_batch({doc_id: batch.column(0), "ids": batch.column(1), "decoded": decoded.cast(pa.binary())})
+            yield pa.record_batch({doc_id: batch.column(0), "ids": batch.column(1), "decoded": decoded_ids(batch.column(1), shared.value)})
 
     return df.select(doc_id, F.col(ids).alias("ids")).mapInArrow(join, f"`{doc_id}` {kind}, ids binary, decoded binary")
 
 
 def op4_byte_bpe(spark, sf_dir):
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    found = encoded_and_decoded(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

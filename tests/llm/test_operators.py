@@ -156,6 +156,16 @@ def test_byte_bpe(spark, held):
     assert byte_bpe.decode(byte_bpe.encode(table(spark, []))).count() == 0
 
 
+def test_byte_bpe_decodes_where_it_encodes(spark):
+    """The result is put together and decoded by one Python worker a task, in batches of some documents."""
+    docs = table(spark, [*ODD, *((k, "same text") for k in range(100, 2000))])
+    rows = lambda df: Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    found = byte_bpe.encoded_and_decoded(docs)
+    assert rows(found) == rows(byte_bpe.decode(byte_bpe.encode(docs)))
+    plan = queries.QUERIES["op4_byte_bpe"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+
+
 def test_decoding_unknown_ids_fails(spark):
     ids = spark.createDataFrame([(1, bytearray(struct.pack("<I", 50_256)))], "doc_id long, ids binary")
     with pytest.raises(Exception, match="outside the vocabulary"):
