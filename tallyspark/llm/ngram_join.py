@@ -23,7 +23,8 @@ a pair that links passes this at its first common element.
 2. The sets of the other long lists are joined again among themselves, in an order from the counts
    of a wider part, ``OPEN_REGION``, of their elements: leaders first; then the sets outside a list's largest component are held
    against the whole list, where the places allow a link, the components differ, and so do not too many of their elements by
-   the counts of those in ranges of the hash.
+   the parities of how many lie in each range of the hash. A list makes no pair that shares one of the ``AHEAD`` elements before
+   its own, as an earlier list makes it: the first common element's always does, and few others do.
 
 Candidates are verified on whole sets, which are made for the sets in pairs and in long lists only. Components come from repeated minima over neighbours with
 pointer jumping, each round a written table.
@@ -58,8 +59,11 @@ HEAVY_HELD = 100_000
 LARGEST = 64
 #: Lists of up to so many sets are compared whole.
 SHORT = 8
-#: Ranges of hashes whose counts tell sets apart, a power of two.
-BINS = 32
+#: Ranges of hashes whose parities tell sets apart, a power of two, and words of 64 bits that hold them.
+BINS = 512
+PARITIES = [f"c{k}" for k in range(BINS // 64)]
+#: Elements before a list's own by which a pair of an earlier list is known.
+AHEAD = 4
 _ROOT = 0x9E3779B97F4A7C15
 
 
@@ -172,11 +176,18 @@ def boundary(sets: DataFrame, mean_list: float, threshold: int = THRESHOLD) -> i
     return min(range(LARGEST + 1), key=lambda x: sum(c * (subsets(n, threshold) if n <= x else scan(n)) for n, c in sizes.items()))
 
 
+def listed(x: np.ndarray, n: int, hot: np.ndarray, small: int, region: float, threshold: int) -> tuple[np.ndarray, int]:
+    """The elements under which a set is listed, in the order that all sets share, and how many of its elements are light."""
+    at = np.minimum(np.searchsorted(hot, x), max(len(hot) - 1, 0))
+    late = ((x >= _edge(region)) if region < 1 else np.zeros(len(x), bool)) | ((hot[at] == x) if len(hot) else False)
+    light = len(x) - int(late.sum())
+    m = prefix_length(n, threshold) if n > small or n >= -(-threshold * (small + 1) // 100) else 0
+    return np.concatenate((x[~late][:m], x[late][: max(m - light, 0)])), light
+
+
 def postings(sets: DataFrame, heavy, small: int, region: float, threshold: int = THRESHOLD) -> DataFrame:
     """``key, r, n, p, light``: each set under the subsets or the list elements that it shares with what it links to; p elements
     stand before the list's in its order, 0 for subsets."""
-    edge = _edge(region)
-    mixed_from = -(-threshold * (small + 1) // 100)
 
     def run(batches):
         hot = heavy.value
@@ -188,15 +199,11 @@ def postings(sets: DataFrame, heavy, small: int, region: float, threshold: int =
                 if n <= small:
                     rests = (np.delete(x, gone) for k in range(n * (100 - threshold) // 100 + 1) for gone in itertools.combinations(range(n), k))
                     own.append(np.array([mixed(rest).sum(dtype="u8") ^ np.uint64(len(rest) * _ROOT & (1 << 64) - 1) for rest in rests], "u8"))
-                at = np.minimum(np.searchsorted(hot, x), max(len(hot) - 1, 0))
-                late = ((x >= edge) if region < 1 else np.zeros(len(x), bool)) | ((hot[at] == x) if len(hot) else False)
-                light = len(x) - int(late.sum())
-                m = prefix_length(n, threshold) if n > small or n >= mixed_from else 0
-                prefix = np.concatenate((x[~late][:m], x[late][: max(m - light, 0)]))
+                prefix, light = listed(x, n, hot, small, region, threshold)
                 keys += [*own, prefix]
                 enumerated = len(own[-1]) if len(own) > 1 else 0
-                places.append(np.concatenate((np.zeros(enumerated, "i4"), np.arange(m, dtype="i4"))))
-                count.append(enumerated + m)
+                places.append(np.concatenate((np.zeros(enumerated, "i4"), np.arange(len(prefix), dtype="i4"))))
+                count.append(enumerated + len(prefix))
                 lights.append(light)
             of = np.repeat(np.arange(batch.num_rows), count)
             yield pa.record_batch({
@@ -297,49 +304,56 @@ def still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return by.where("c0 <> c1").select("key")
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """``r, c0, c1, ...``: how many of a set's elements fall into each of ``BINS`` ranges of their hashes."""
+def sketches(sets: DataFrame, heavy, small: int, region: float, threshold: int = THRESHOLD) -> DataFrame:
+    """``r, c0, c1, ..., prefix``: a bit for each of ``BINS`` ranges of the hash, set if it holds an odd number of a set's elements;
+    and the elements under which the set is listed, in order."""
 
     def run(batches):
+        hot = heavy.value
         for batch in sliced(batches):
-            every = [np.frombuffer(x.as_buffer(), "u8") >> np.uint64(64 - BINS.bit_length() + 1) for x in batch.column(1)]
-            counts = np.stack([np.bincount(x.astype("i8"), minlength=BINS) for x in every]).astype("i4") if every else np.zeros((0, BINS), "i4")
-            yield pa.record_batch({"r": batch.column(0), **{f"c{k}": counts[:, k] for k in range(BINS)}})
+            odd, prefixes = np.zeros((batch.num_rows, BINS), "u1"), []
+            for k, (n, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                x = np.frombuffer(data.as_buffer(), "u8")
+                odd[k] = np.bincount((x >> np.uint64(64 - BINS.bit_length() + 1)).astype("i8"), minlength=BINS) & 1
+                prefixes.append(listed(x, n, hot, small, region, threshold)[0].view("i8"))
+            bits = np.packbits(odd, axis=1).view("i8")
+            yield pa.record_batch({"r": batch.column(0), **{c: np.ascontiguousarray(bits[:, k]) for k, c in enumerate(PARITIES)}, "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return sets.select("r", "x").mapInArrow(run, "r long, " + ", ".join(f"c{k} int" for k in range(BINS)))
+    return sets.select("r", "n", "x").mapInArrow(run, "r long, " + ", ".join(f"{c} long" for c in PARITIES) + ", prefix array<long>")
 
 
 def may_agree(n: Column, m: Column, threshold: int) -> Column:
-    """Whether sets of n and m elements may link by their sketches ``c`` and ``e``: they differ in as many elements as their counts
+    """Whether sets of n and m elements may link by their sketches ``c`` and ``e``: they differ in as many elements as their bits
     do at least, and those that link in no more than (100 - threshold) / (100 + threshold) of their sizes together."""
-    apart = reduce(lambda a, b: a + b, (F.abs(F.col(f"c{k}") - F.col(f"e{k}")) for k in range(BINS)))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in PARITIES))
     return apart * (100 + threshold) <= (n + m) * (100 - threshold)
 
 
-def outsiders(lists: DataFrame, labels: DataFrame, threshold: int, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of the sets outside a list's largest component with all of the list, where the places and the sketches of
-    ``sets`` allow a link and the components differ."""
+def outsiders(lists: DataFrame, labels: DataFrame, threshold: int, sketched: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the sets outside a list's largest component with all of the list, where the places and the sketches
+    allow a link, the components differ and none of the elements just before the list's is shared."""
     rows = written(_labelled(lists, labels), "ngram-labelled")
     by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     major = by.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("major"))
-    open_ = rows.join(major, "key")
-    open_ = written(open_.join(written(sketches(sets), "ngram-sketches"), "r"), "ngram-lists-open")
+    open_ = rows.join(major, "key").join(written(sketched, "ngram-sketches"), "r")
+    before = F.slice("prefix", F.greatest(F.col("p") - AHEAD, F.lit(0)) + 1, F.least(F.col("p"), F.lit(AHEAD))).alias("before")
+    open_ = written(open_.select("key", "r", "n", "p", "comp", (F.col("comp") != F.col("major")).alias("minor"), *PARITIES, before), "ngram-lists-open")
     dropped(rows)
-    each = [f"c{k}" for k in range(BINS)]
-    minor = open_.where("comp <> major").select("key", F.col("r").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("c"), *(F.col(f"c{k}").alias(f"e{k}") for k in range(BINS)))
-    other = open_.select("key", "r", "n", "p", "comp", *each)
-    fits = may_link(F.col("n"), F.col("p"), F.col("m"), F.col("q"), threshold) & (F.col("comp") != F.col("c")) & may_agree(F.col("n"), F.col("m"), threshold)
-    return other.join(minor, (other["key"] == minor["key"]) & fits).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+    other = open_.where("minor").select("key", F.col("r").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("c"), F.col("before").alias("ahead"), *(F.col(c).alias(f"other_{c}") for c in PARITIES))
+    once = ~F.col("minor") | (F.col("r") < F.col("s"))
+    fits = may_link(F.col("n"), F.col("p"), F.col("m"), F.col("q"), threshold) & (F.col("comp") != F.col("c")) & once & may_agree(F.col("n"), F.col("m"), threshold)
+    first = ~F.arrays_overlap("before", "ahead")
+    return open_.join(other, (open_["key"] == other["key"]) & fits & first).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
-def _lists(sets: DataFrame, region: float, threshold: int) -> DataFrame:
-    """The inverted lists of two sets or more, with their length ``k``, a written table."""
+def _lists(sets: DataFrame, region: float, threshold: int) -> tuple[DataFrame, tuple]:
+    """The inverted lists of two sets or more, with their length ``k``, a written table; and what their order is made of."""
     heavy, mean_list = heavy_elements(sets, region)
-    small = boundary(sets, mean_list, threshold)
-    rows = written(postings(sets, sets.sparkSession.sparkContext.broadcast(heavy), small, region, threshold), "ngram-postings")
+    order = (sets.sparkSession.sparkContext.broadcast(heavy), boundary(sets, mean_list, threshold), region, threshold)
+    rows = written(postings(sets, *order), "ngram-postings")
     lists = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "key"), "ngram-lists")
     dropped(rows)
-    return lists
+    return lists, order
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -353,7 +367,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     every = written(hashed.select("doc_id", *of_set), "ngram-rows")
     dropped(hashed)
 
-    lists = _lists(by_set, REGION, threshold)
+    lists, _ = _lists(by_set, REGION, threshold)
     sets = written(by_set.select("r", "least", *of_set), "ngram-sets")
     dropped(by_set)
     long_ = lists.where(F.col("k") > SHORT)
@@ -366,8 +380,8 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     opened = written(long_.join(still_open(long_, labels), "key", "left_semi").select("r").distinct(), "ngram-open")
     again = written(whole.join(opened, "r", "left_semi"), "ngram-open-sets")
     dropped(lists, pairs, wanted, whole)
-    lists = _lists(again, OPEN_REGION, threshold)
-    for find in (led, lambda *of: outsiders(*of, again)):
+    lists, order = _lists(again, OPEN_REGION, threshold)
+    for find in (led, lambda *of: outsiders(*of, sketches(again, *order))):
         pairs = written(find(lists, labels, threshold), "ngram-pairs")
         links = links.unionByName(written(verified(pairs, again, threshold), "ngram-links"))
         labels = components(links)

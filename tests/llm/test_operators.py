@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,30 @@ def test_ngram_join_of_a_large_group(spark):
     assert joined(spark, rows) == components(rows)
 
 
+def test_ngram_join_makes_a_pair_once(spark):
+    """The join of open lists makes a pair about once, not for each common element, and only pairs that link or nearly do."""
+    rng, sets = random.Random(7), []
+    base = [rng.getrandbits(64) for _ in range(140)]
+    for k in range(200):
+        sets.append(np.sort(np.array([*rng.sample(base, 140 - k % 60), *(rng.getrandbits(64) for _ in range(k % 60))], "u8")))
+    df = spark.createDataFrame([(k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets)], "r long, n long, x binary")
+    lists, order = ngram_join._lists(df, 1, 85)
+    labels = spark.createDataFrame([(0, 0)], "r long, comp long")  # no links are known yet
+    found = ngram_join.outsiders(lists, labels, 85, ngram_join.sketches(df, *order))
+    pairs = Counter(map(tuple, found.collect()))
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in itertools.combinations(range(200), 2)}
+    links = {p for p, k in both.items() if 100 * k >= 85 * (280 - k)}
+    assert links and links <= pairs.keys() and len(pairs) < 1.5 * len(links) and max(pairs.values()) == 1
+    made, todo = 0, [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        while (name := node.nodeName()) == "AdaptiveSparkPlan" or "QueryStage" in name:
+            node = node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan()
+        made += node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert len(pairs) <= made < 1.2 * len(pairs)
+
+
 @pytest.mark.parametrize("held", [byte_bpe.WORDS_HELD, 30])
 def test_byte_bpe(spark, held):
     rows = [*ODD, (None, "null id"), (6, "same id"), *((r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
