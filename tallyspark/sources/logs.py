@@ -109,6 +109,12 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("v", F.explode(F.array(F.try_parse_json("value")))).where("v is not null")
 
 
+def unsent(facts: DataFrame) -> DataFrame:
+    """``facts``, a row a log, as a side of a join that sorts both sides and sends neither through the driver. By itself Spark may:
+    it takes what comes out of a generator to be as large as what goes in, and the value, which is dropped, to be most of it."""
+    return facts.hint("merge")
+
+
 def claude_group(rel_path: Column) -> Column:
     """The first folder under the root: logs of sub-agents, however deep, join their conversation's project."""
     return F.element_at(F.split(rel_path, "/"), 1)
@@ -176,7 +182,7 @@ def decode_claude(lines: DataFrame) -> DataFrame:
     )
     heads = heads.select("session", "session_model", "session_started", claude_project(F.col("cwd"), F.col("rel_path")).alias("project"))
     billable = rows.where("type = 'assistant' and has_usage and ts is not null").drop("cwd", "content", "has_usage", "type", "took")
-    named = billable.join(heads, "session")
+    named = billable.join(unsent(heads), "session")
     return named.withColumnRenamed("ord", "line_seq").drop("rel_path")
 
 
@@ -204,7 +210,7 @@ def _decode_codex(lines: DataFrame, split: Column | None) -> DataFrame:
         at("turn_model", F.col("turn_model").isNotNull()).alias("session_model"), F.max_by("cwd", F.when(F.col("type") == "session_meta", F.col("line_seq"))).alias("cwd0"),
         F.coalesce(at("ts", F.col("type") == "session_meta"), at("ts", F.col("is_usage"))).alias("session_started"),
     )
-    kept = usage_events(rows, split).join(heads, "session")
+    kept = usage_events(rows, split).join(unsent(heads) if split is None else heads, "session")  # large logs are few
     zero = F.lit(0).cast("long")
     return kept.select(
         "provider", "session", "line_seq", "ts", F.lit(None).cast("string").alias("msg_id"), "model", "session_model", "session_started",

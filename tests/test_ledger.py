@@ -353,6 +353,14 @@ def test_a_report_scans_twice_and_sorts_windows_once(spark):
     assert plan.count("FileScan parquet") <= 2 and plan.count("Window [") <= 3 and plan.count("Exchange hashpartitioning") <= 4
 
 
+@pytest.mark.parametrize("name", ["decode_claude", "decode_codex", "codex_headers"])
+def test_a_row_a_log_is_not_sent_through_the_driver(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
